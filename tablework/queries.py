@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tablework import testdata as td
 from tablework.plans import field_recovery as fr
+from tablework.plans import pageviews as pv
+from tablework.plans import starter as st
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -222,6 +224,157 @@ def q_remaining_opportunities(spark, sf_dir):
     return fr.remaining_opportunities(mart(spark, sf_dir))
 
 
+# ====================================================================
+# Pageview marts (M5-M7, A1, A6, P3, R1) on events as daily views
+# ====================================================================
+SUMMARY_AS_OF = td.EVENTS_AS_OF
+TREND_AS_OF = "2024-02-10"
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+DAILY_SQL = """
+SELECT
+  event_type AS project,
+  'user_' || CAST(user_id AS VARCHAR) AS article,
+  'all-access' AS access,
+  'user' AS agent,
+  'daily' AS granularity,
+  CAST(ts AS DATE) AS viewed_on,
+  CAST(count(*) AS BIGINT) AS views,
+  max(ts) AS loaded_at_utc
+FROM events
+GROUP BY event_type, user_id, CAST(ts AS DATE)
+"""
+
+SUMMARY_SQL = f"""
+SELECT
+  project,
+  article,
+  min(viewed_on) AS first_viewed_on,
+  max(viewed_on) AS last_viewed_on,
+  CAST(sum(views) AS BIGINT) AS total_views,
+  CAST(avg(views) AS DOUBLE) AS avg_daily_views,
+  CAST(sum(CASE WHEN viewed_on >= DATE '{SUMMARY_AS_OF}' - INTERVAL 7 DAY THEN views ELSE 0 END) AS BIGINT) AS views_last_7_days,
+  max(loaded_at_utc) AS loaded_at_utc
+FROM daily
+GROUP BY project, article
+"""
+
+
+def daily_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return td.pageviews_from_events(_t(spark, sf_dir, "events"))
+
+
+@register("article_summary", f"WITH daily AS ({DAILY_SQL}) {SUMMARY_SQL}")
+def q_article_summary(spark, sf_dir):
+    return pv.article_summary(daily_views(spark, sf_dir), SUMMARY_AS_OF)
+
+
+@register(
+    "daily_trend",
+    f"""
+WITH daily AS ({DAILY_SQL})
+SELECT CAST(viewed_on AS VARCHAR) AS viewed_on, article, views
+FROM daily
+WHERE viewed_on >= DATE '{TREND_AS_OF}' - INTERVAL 30 DAY
+ORDER BY viewed_on, article
+""",
+)
+def q_daily_trend(spark, sf_dir):
+    return pv.daily_trend(daily_views(spark, sf_dir), TREND_AS_OF)
+
+
+@register(
+    "daily_trend_wide",
+    f"""
+WITH daily AS ({DAILY_SQL})
+SELECT CAST(viewed_on AS VARCHAR) AS viewed_on,
+  """
+    + ",\n  ".join(f"CAST(sum(views) FILTER (WHERE project = '{e}') AS BIGINT) AS {e}" for e in EVENT_TYPES)
+    + f"""
+FROM daily
+WHERE viewed_on >= DATE '{TREND_AS_OF}' - INTERVAL 30 DAY
+GROUP BY viewed_on
+""",
+)
+def q_daily_trend_wide(spark, sf_dir):
+    return pv.daily_trend_wide(daily_views(spark, sf_dir), TREND_AS_OF, EVENT_TYPES, column_key="project")
+
+
+@register(
+    "pageview_kpis",
+    f"""
+WITH daily AS ({DAILY_SQL}), summary AS ({SUMMARY_SQL}),
+top AS (SELECT article, total_views, loaded_at_utc FROM summary ORDER BY total_views DESC, article LIMIT 1)
+SELECT
+  CAST(sum(total_views) AS BIGINT) AS total_views,
+  CAST(sum(views_last_7_days) AS BIGINT) AS views_last_7_days,
+  CAST(count(*) AS BIGINT) AS articles,
+  (SELECT article FROM top) AS leading_article,
+  (SELECT total_views FROM top) AS leading_views,
+  (SELECT loaded_at_utc FROM top) AS leading_loaded_at_utc
+FROM summary
+""",
+)
+def q_pageview_kpis(spark, sf_dir):
+    return pv.pageview_kpis(pv.article_summary(daily_views(spark, sf_dir), SUMMARY_AS_OF))
+
+
+# ====================================================================
+# Starter marts (M8, M9, S5, A2) on events as dense daily metric counts
+# ====================================================================
+SERIES_AS_OF = "2024-01-30"
+SERIES_DAYS = 14
+
+SERIES_SQL = f"""
+WITH metrics AS (SELECT DISTINCT event_type AS metric FROM events WHERE event_type IS NOT NULL),
+days AS (
+  SELECT CAST(DATE '{SERIES_AS_OF}' - CAST(13 - day_index AS INTEGER) AS DATE) AS measured_on
+  FROM range({SERIES_DAYS}) AS d(day_index)
+),
+counts AS (
+  SELECT event_type AS metric, CAST(ts AS DATE) AS measured_on, count(*) AS n
+  FROM events
+  WHERE CAST(ts AS DATE) BETWEEN DATE '{SERIES_AS_OF}' - INTERVAL 13 DAY AND DATE '{SERIES_AS_OF}'
+  GROUP BY ALL
+)
+SELECT m.metric, d.measured_on, CAST(coalesce(c.n, 0) AS BIGINT) AS value,
+       TIMESTAMP '{td.FIELDS_LOADED_AT}' AS loaded_at_utc
+FROM metrics m CROSS JOIN days d
+LEFT JOIN counts c ON c.metric = m.metric AND c.measured_on = d.measured_on
+"""
+
+
+def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.dense_daily_counts(_t(spark, sf_dir, "events"), "event_type", "ts", SERIES_AS_OF, SERIES_DAYS, td.FIELDS_LOADED_AT)
+
+
+@register("metric_daily_series", SERIES_SQL)
+def q_metric_daily_series(spark, sf_dir):
+    return metric_series(spark, sf_dir)
+
+
+@register(
+    "metric_summary",
+    f"""
+WITH daily AS ({SERIES_SQL})
+SELECT
+  metric,
+  CAST(arg_max(value, measured_on) AS BIGINT) AS current_value,
+  CAST(min(value) AS BIGINT) AS min_value,
+  CAST(max(value) AS BIGINT) AS max_value,
+  CAST(round(avg(value), 2) AS DOUBLE) AS avg_value,
+  CAST(sum(value) AS BIGINT) AS total_value,
+  min(measured_on) AS first_measured_on,
+  max(measured_on) AS last_measured_on,
+  max(loaded_at_utc) AS loaded_at_utc
+FROM daily
+GROUP BY metric
+""",
+)
+def q_metric_summary(spark, sf_dir):
+    return st.starter_metric_summary(metric_series(spark, sf_dir))
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
