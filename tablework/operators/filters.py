@@ -64,4 +64,4 @@ def scope_guard(
         F.when(F.col("__tw_prot").isNotNull(), F.concat(F.lit(f"refusing to {verb} protected name "), F.col(name_col)))
         .when(~has_marker, F.concat(F.lit(f"refusing to {verb} unscoped name "), F.col(name_col)))
     )
-    return joined.drop("__tw_prot").withColumn("guard_error", reason)
+    return joined.withColumn("guard_error", reason).drop("__tw_prot")

@@ -375,9 +375,15 @@ def q_metric_summary(spark, sf_dir):
     return st.starter_metric_summary(metric_series(spark, sf_dir))
 
 
+def _load_all() -> None:
+    import tablework.queries_ops  # noqa: F401  (registers operator queries)
+
+
 def queries() -> dict[str, QueryFn]:
+    _load_all()
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_all()
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}
