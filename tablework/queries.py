@@ -377,6 +377,7 @@ def q_metric_summary(spark, sf_dir):
 
 def _load_all() -> None:
     import tablework.queries_ops  # noqa: F401  (registers operator queries)
+    import tablework.queries_plans  # noqa: F401  (registers plan and function queries)
 
 
 def queries() -> dict[str, QueryFn]:

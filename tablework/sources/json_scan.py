@@ -152,8 +152,19 @@ def read_whole_text(spark: SparkSession, glob: str, drop_line_pattern: str | Non
 
 def drop_matching_lines(text: Column, contains_pattern: str) -> Column:
     """Remove every whole line (with its newline) that contains a match of
-    ``contains_pattern``; lines are split on ``\\n`` only."""
-    return F.regexp_replace(text, "[^\\n]*(?:" + contains_pattern + ")[^\\n]*\\n?", "")
+    ``contains_pattern``; lines are split on ``\\n`` only.
+
+    Same result as a global ``[^\\n]*(?:pattern)[^\\n]*\\n?`` replace, but
+    done line by line (split, per-line ``rlike``, rejoin) so the regex never
+    backtracks across a long line: linear in the text length.
+    """
+    lines = F.split(text, "\n", -1)
+    n = F.size(lines)
+    pieces = F.transform(
+        lines,
+        lambda line, i: F.when(line.rlike(contains_pattern), F.lit("")).when(i < n - 1, F.concat(line, F.lit("\n"))).otherwise(line),
+    )
+    return F.array_join(pieces, "")
 
 
 __all__ = [
