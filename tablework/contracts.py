@@ -7,10 +7,35 @@ contract (Q5) and then projected with ``select(cast.alias)`` (P1).
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 Contract = list[tuple[str, str, str]]
 
+_TYPES: dict[str, DataType] = {
+    "bigint": LongType(),
+    "int": IntegerType(),
+    "double": DoubleType(),
+    "string": StringType(),
+    "date": DateType(),
+    "timestamp": TimestampType(),
+    "boolean": BooleanType(),
+}
+
+
+def spark_type(name: str) -> DataType:
+    return _TYPES[name]
+
 # Source names and target names of the field layer.
 FIELDS: Contract = [
     ("OBJECTID", "bigint", "object_id"),
@@ -54,14 +79,14 @@ RESERVES_EPOCH_DATE = ("official_estimate_date",)
 # The daily pageview table (K3), its NOT NULL columns and key.
 PAGEVIEWS_DAILY = StructType(
     [
-        StructField("project", _parse_datatype_string("string"), False),
-        StructField("article", _parse_datatype_string("string"), False),
-        StructField("access", _parse_datatype_string("string"), False),
-        StructField("agent", _parse_datatype_string("string"), False),
-        StructField("granularity", _parse_datatype_string("string"), False),
-        StructField("viewed_on", _parse_datatype_string("date"), False),
-        StructField("views", _parse_datatype_string("bigint"), False),
-        StructField("loaded_at_utc", _parse_datatype_string("timestamp"), False),
+        StructField("project", StringType(), False),
+        StructField("article", StringType(), False),
+        StructField("access", StringType(), False),
+        StructField("agent", StringType(), False),
+        StructField("granularity", StringType(), False),
+        StructField("viewed_on", DateType(), False),
+        StructField("views", LongType(), False),
+        StructField("loaded_at_utc", TimestampType(), False),
     ]
 )
 PAGEVIEWS_KEY = ("project", "article", "access", "agent", "viewed_on")
@@ -72,8 +97,8 @@ INGESTION_RUNS = "loaded_at_utc timestamp, source_service string, field_rows big
 
 def source_schema(contract: Contract) -> StructType:
     """Read schema in source names (used for JSON scans)."""
-    return StructType([StructField(src, _parse_datatype_string(t), True) for src, t, _ in contract])
+    return StructType([StructField(src, spark_type(t), True) for src, t, _ in contract])
 
 
 def target_schema(contract: Contract) -> StructType:
-    return StructType([StructField(dst, _parse_datatype_string(t), True) for _, t, dst in contract])
+    return StructType([StructField(dst, spark_type(t), True) for _, t, dst in contract])

@@ -165,3 +165,56 @@ def remaining_opportunities(
         F.round("produced_share_of_recoverable_oil_pct", 1).alias("produced_share_pct"),
         "fact_page_url",
     )
+
+
+# ---------------------------------------------------------------- load job
+def load_field_recovery(
+    spark,
+    store,
+    fields_path,
+    reserves_path,
+    source_service: str,
+    loaded_at,
+    multiline: bool = True,
+) -> tuple[int, int, int]:
+    """Load field and reserve JSON into ``fields`` and
+    ``field_reserve_history``, and append one ``ingestion_runs`` row, all
+    in one publish (K6): a missing source column, a bad cast, an empty
+    source or an all-NULL version fails the load and leaves the previous
+    tables and audit untouched.  Returns (field rows, reserve rows, latest
+    version)."""
+    from tablework.contracts import FIELDS, FIELDS_EPOCH_TS, INGESTION_RUNS, RESERVES, RESERVES_EPOCH_DATE
+    from tablework.operators.aggregates import load_stats
+    from tablework.operators.quality import ContractError, require_rows
+    from tablework.sources.json_scan import read_json_table
+
+    stamp = F.lit(loaded_at).cast("timestamp")
+    fields = read_json_table(spark, str(fields_path), FIELDS, epoch_ts=FIELDS_EPOCH_TS, multiline=multiline).withColumn("loaded_at_utc", stamp)
+    reserves = read_json_table(spark, str(reserves_path), RESERVES, epoch_date=RESERVES_EPOCH_DATE, multiline=multiline).withColumn("loaded_at_utc", stamp)
+    require_rows(fields, "fields")
+    require_rows(reserves, "reserves")
+    result: dict = {}
+
+    def stats_check(staged):
+        row = load_stats(staged["fields"], staged["field_reserve_history"]).first()
+        if row["latest_reserve_version"] is None:
+            raise ContractError("reserve history has no version")
+        result.update(row.asDict())
+
+    def audit_row(staged):
+        return spark.createDataFrame(
+            [(loaded_at, source_service, result["field_rows"], result["reserve_history_rows"], result["latest_reserve_version"])],
+            INGESTION_RUNS,
+        )
+
+    store.publish(
+        {"fields": fields, "field_reserve_history": reserves},
+        checks=[stats_check],
+        appends={"ingestion_runs": audit_row},
+    )
+    return int(result["field_rows"]), int(result["reserve_history_rows"]), int(result["latest_reserve_version"])
+
+
+def field_recovery_view(store) -> DataFrame:
+    """K2: the latest-recovery view over the published tables."""
+    return field_recovery_latest(store.read("fields"), store.read("field_reserve_history"))

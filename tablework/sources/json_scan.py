@@ -126,7 +126,7 @@ def unnest_items(payloads: DataFrame, request_cols: Sequence[str], loaded_at: st
     """S3: one row per ``items[]`` element; ``article`` comes from the
     request columns, ``viewed_on`` is the yyyyMMdd prefix of the item
     timestamp, ``views`` a strict bigint, ``loaded_at_utc`` one value per
-    run."""
+    run.  Other request columns are carried through after these."""
     exploded = payloads.select(*request_cols, F.explode(items_col).alias("it"))
     return exploded.select(
         F.col("it.project").alias("project"),
@@ -137,6 +137,7 @@ def unnest_items(payloads: DataFrame, request_cols: Sequence[str], loaded_at: st
         F.to_date(F.substring(F.col("it.timestamp"), 1, 8), "yyyyMMdd").alias("viewed_on"),
         F.col("it.views").cast("bigint").alias("views"),
         F.to_timestamp(F.lit(loaded_at)).alias("loaded_at_utc"),
+        *[c for c in request_cols if c != "article"],
     )
 
 
