@@ -64,23 +64,25 @@ def exact_median(df: DataFrame, column: str, accuracy: int = 10000, collect_limi
     """
     x = F.col(column)
     base = df.select(x.cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = base.count()
-    if n == 0:
-        return None
-    k1, k2 = (n - 1) // 2, n // 2  # 0-based ranks of the middle values
     lo_val: float | None = None
     hi_val: float | None = None
     below = 0  # rows strictly below lo_val
+    n: int | None = None
     for _ in range(8):
         part = base
         if lo_val is not None:
             part = part.where((F.col("v") >= F.lit(lo_val)) & (F.col("v") <= F.lit(hi_val)))
         grouped = part.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        distinct_n = grouped.count()
-        if distinct_n <= collect_limit:
-            pairs = sorted((r["v"], r["c"]) for r in grouped.collect())
+        # One job answers the common case: at most collect_limit distinct values.
+        pairs = grouped.limit(collect_limit + 1).collect()
+        if len(pairs) <= collect_limit:
+            pairs = sorted((r["v"], r["c"]) for r in pairs)
+            if n is None:
+                n = sum(c for _, c in pairs)
+            if n == 0:
+                return None
             vals = []
-            for target in (k1, k2):
+            for target in ((n - 1) // 2, n // 2):
                 seen = below
                 for v, c in pairs:
                     seen += c
@@ -88,6 +90,9 @@ def exact_median(df: DataFrame, column: str, accuracy: int = 10000, collect_limi
                         vals.append(v)
                         break
             return vals[0] * 0.5 + vals[1] * 0.5
+        if n is None:
+            n = base.count()
+        k1, k2 = (n - 1) // 2, n // 2  # 0-based ranks of the middle values
         m = part.count()
         eps = 2.0 / accuracy
         lo_q = max(0.0, (k1 - below) / m - eps)

@@ -4,9 +4,10 @@
 Graph walks are frontier loops of DataFrame joins: each round joins the
 frontier with the edges, anti-joins what was already visited and stops
 when the frontier is empty, so cycles terminate.  Each round's state is
-cut from its lineage with ``checkpoint()`` in the session's checkpoint
-directory (``spark.checkpoint.dir`` on a cluster), which keeps plans
-small and lets a lost executor recompute only the current round.  The
+cut from its lineage with an eager ``checkpoint()`` in the session's
+checkpoint directory (``spark.checkpoint.dir`` on a cluster), which
+keeps plans small and means a lost executor only recomputes the current
+round.  The
 driver only learns whether the frontier is empty.
 """
 
@@ -27,11 +28,19 @@ class GraphError(ValueError):
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint directory."""
+    """Materialise ``df`` in the shared checkpoint directory (reliable
+    storage: a lost executor never forces a replay of earlier rounds)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _keep(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Checkpoint one round's state; return it and whether it is empty
+    (read from the checkpoint, so the round is computed once)."""
+    kept = _cut(df)
+    return kept, kept.isEmpty()
+
+
 # ---------------------------------------------------------------- L1
 def build_edges(inputs: DataFrame, references: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Edges from declared inputs ``(consumer, producer)`` and cross-package
@@ -87,10 +96,11 @@ def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "
             .distinct()
             .join(visited.select("node"), "node", "left_anti")
         )
-        nxt = _cut(nxt)
-        if nxt.isEmpty():
+        nxt, empty = _keep(nxt)
+        if empty:
             return visited
-        visited = _cut(visited.unionByName(nxt.withColumn("depth", F.lit(depth))))
+        # a union of checkpointed pieces: short plan, no extra checkpoint
+        visited = visited.unionByName(nxt.withColumn("depth", F.lit(depth)))
         frontier = nxt
     raise RuntimeError("lineage expansion did not converge")
 
@@ -103,23 +113,21 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rou
     holds the nodes left when no node is ready (cycles and what depends on
     them); order a wave by name to get a producer-first order."""
     all_nodes = _cut(nodes_of(edges, nodes))
-    open_edges = _cut(edges.select("consumer", "producer").distinct())
-    remaining = all_nodes
-    levels = None
+    all_edges = _cut(edges.select("consumer", "producer").distinct())
+    levels = all_nodes.limit(0).withColumn("level", F.lit(0))
     level = 0
     while level < max_rounds:
-        blocked = open_edges.select(F.col("consumer").alias("node")).distinct()
-        ready = _cut(remaining.join(blocked, "node", "left_anti"))
-        if ready.isEmpty():
+        # Unions of checkpointed waves keep every plan here short: the
+        # unresolved part is recomputed from all nodes/edges minus levels.
+        done = levels.select("node")
+        remaining = all_nodes.join(done, "node", "left_anti")
+        blocked = all_edges.join(done.select(F.col("node").alias("producer")), "producer", "left_anti").select(F.col("consumer").alias("node"))
+        ready, empty = _keep(remaining.join(blocked, "node", "left_anti"))
+        if empty:
             break
-        wave = ready.withColumn("level", F.lit(level))
-        levels = wave if levels is None else levels.unionByName(wave)
-        levels = _cut(levels)
-        remaining = _cut(remaining.join(ready, "node", "left_anti"))
-        open_edges = _cut(open_edges.join(ready.select(F.col("node").alias("producer")), "producer", "left_anti"))
+        levels = levels.unionByName(ready.withColumn("level", F.lit(level)))
         level += 1
-    if levels is None:
-        levels = all_nodes.limit(0).withColumn("level", F.lit(0))
+    remaining = all_nodes.join(levels.select("node"), "node", "left_anti")
     return levels, remaining
 
 

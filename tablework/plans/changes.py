@@ -261,7 +261,14 @@ def canonical_refs(json_text: Column) -> Column:
 
     def canon(e: Column) -> Column:
         typ = F.coalesce(F.get_json_object(e, "$.type"), F.lit(""))
-        fallback = F.call_function("get_json_object", e, F.concat(F.lit("$."), typ, F.lit("_id")))
+        # literal paths for the known kinds; a computed path only for others
+        dynamic = F.call_function("get_json_object", e, F.concat(F.lit("$."), typ, F.lit("_id")))
+        fallback = (
+            F.when(typ == "dive", F.get_json_object(e, "$.dive_id"))
+            .when(typ == "flight", F.get_json_object(e, "$.flight_id"))
+            .when(typ == "guide", F.get_json_object(e, "$.guide_id"))
+            .otherwise(dynamic)
+        )
         uid = F.coalesce(F.get_json_object(e, "$.uuid"), fallback)
         fields = []
         for f in REF_FIELDS:

@@ -153,19 +153,15 @@ def read_whole_text(spark: SparkSession, glob: str, drop_line_pattern: str | Non
 
 def drop_matching_lines(text: Column, contains_pattern: str) -> Column:
     """Remove every whole line (with its newline) that contains a match of
-    ``contains_pattern``; lines are split on ``\\n`` only.
+    ``contains_pattern``; only ``\\n`` ends a line.
 
-    Same result as a global ``[^\\n]*(?:pattern)[^\\n]*\\n?`` replace, but
-    done line by line (split, per-line ``rlike``, rejoin) so the regex never
-    backtracks across a long line: linear in the text length.
+    One global replace of ``^[^\\n]*(?:pattern)[^\\n]*\\n?`` in multi-line
+    mode with UNIX_LINES (``(?d)``, so ``^`` only follows ``\\n``).  The
+    ``^`` anchor makes every attempt start at a line start, which keeps the
+    match linear in the text length (an unanchored pattern retries from
+    every position of a long line).
     """
-    lines = F.split(text, "\n", -1)
-    n = F.size(lines)
-    pieces = F.transform(
-        lines,
-        lambda line, i: F.when(line.rlike(contains_pattern), F.lit("")).when(i < n - 1, F.concat(line, F.lit("\n"))).otherwise(line),
-    )
-    return F.array_join(pieces, "")
+    return F.regexp_replace(text, "(?d)(?m)^[^\\n]*(?:" + contains_pattern + ")[^\\n]*\\n?", "")
 
 
 __all__ = [
