@@ -183,12 +183,13 @@ def load_field_recovery(
     source or an all-NULL version fails the load and leaves the previous
     tables and audit untouched.  Returns (field rows, reserve rows, latest
     version)."""
-    from tablework.contracts import FIELDS, FIELDS_EPOCH_TS, INGESTION_RUNS, RESERVES, RESERVES_EPOCH_DATE
+    from tablework.contracts import FIELDS, FIELDS_EPOCH_TS, RESERVES, RESERVES_EPOCH_DATE
     from tablework.operators.aggregates import load_stats
     from tablework.operators.quality import ContractError, require_rows
     from tablework.sources.json_scan import read_json_table
 
-    stamp = F.lit(loaded_at).cast("timestamp")
+    loaded_text = loaded_at.strftime("%Y-%m-%d %H:%M:%S") if hasattr(loaded_at, "strftime") else str(loaded_at)
+    stamp = F.to_timestamp(F.lit(loaded_text))
     fields = read_json_table(spark, str(fields_path), FIELDS, epoch_ts=FIELDS_EPOCH_TS, multiline=multiline).withColumn("loaded_at_utc", stamp)
     reserves = read_json_table(spark, str(reserves_path), RESERVES, epoch_date=RESERVES_EPOCH_DATE, multiline=multiline).withColumn("loaded_at_utc", stamp)
     require_rows(fields, "fields")
@@ -202,9 +203,13 @@ def load_field_recovery(
         result.update(row.asDict())
 
     def audit_row(staged):
-        return spark.createDataFrame(
-            [(loaded_at, source_service, result["field_rows"], result["reserve_history_rows"], result["latest_reserve_version"])],
-            INGESTION_RUNS,
+        # built from literals of the checked statistics (no driver rows)
+        return spark.range(1).select(
+            stamp.alias("loaded_at_utc"),
+            F.lit(source_service).alias("source_service"),
+            F.lit(result["field_rows"]).cast("bigint").alias("field_rows"),
+            F.lit(result["reserve_history_rows"]).cast("bigint").alias("reserve_history_rows"),
+            F.lit(result["latest_reserve_version"]).cast("int").alias("latest_reserve_version"),
         )
 
     store.publish(

@@ -41,7 +41,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ====================================================================
 # SQL twins of the adapters
 # ====================================================================
-FIELDS_SQL = f"""
+def fields_sql(loaded_at: str) -> str:
+    return FIELDS_SQL_T.replace("{LOADED}", loaded_at)
+
+
+def history_sql(loaded_at: str) -> str:
+    return HISTORY_SQL_T.replace("{LOADED}", loaded_at)
+
+
+FIELDS_SQL_T = """
 SELECT
   c_custkey AS object_id,
   c_custkey AS field_id,
@@ -59,11 +67,11 @@ SELECT
        ELSE 'Barents sea' END AS main_area,
   'https://example.org/field/' || CAST(c_custkey AS VARCHAR) AS fact_page_url,
   epoch_ms(1735689600000 + c_custkey * 60000) AS source_updated_at,
-  TIMESTAMP '{td.FIELDS_LOADED_AT}' AS loaded_at_utc
+  TIMESTAMP '{LOADED}' AS loaded_at_utc
 FROM customer
 """
 
-HISTORY_SQL = f"""
+HISTORY_SQL_T = """
 SELECT
   o_orderkey AS object_id,
   o_custkey AS field_id,
@@ -83,14 +91,16 @@ SELECT
   CAST(NULL AS DOUBLE) AS inplace_associated_liquid_mill_sm3,
   CAST(NULL AS DOUBLE) AS inplace_associated_gas_bill_sm3,
   CAST(NULL AS DOUBLE) AS inplace_free_gas_bill_sm3,
-  TIMESTAMP '{td.RESERVES_LOADED_AT}' AS loaded_at_utc
+  TIMESTAMP '{LOADED}' AS loaded_at_utc
 FROM orders
 WHERE o_orderstatus = 'P'
 """
+FIELDS_SQL = fields_sql(td.FIELDS_LOADED_AT)
+HISTORY_SQL = history_sql(td.RESERVES_LOADED_AT)
 
-MART_SQL = f"""
-WITH fields AS ({FIELDS_SQL}),
-history AS ({HISTORY_SQL}),
+MART_SQL_T = """
+WITH fields AS ({FIELDS}),
+history AS ({HISTORY}),
 latest_reserve AS (
   SELECT * FROM history
   QUALIFY row_number() OVER (
@@ -123,6 +133,13 @@ LEFT JOIN latest_reserve AS r USING (field_id)
 """
 
 
+def mart_sql(fields_loaded: str, reserves_loaded: str) -> str:
+    return MART_SQL_T.replace("{FIELDS}", fields_sql(fields_loaded)).replace("{HISTORY}", history_sql(reserves_loaded))
+
+
+MART_SQL = mart_sql(td.FIELDS_LOADED_AT, td.RESERVES_LOADED_AT)
+
+
 def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = td.fields_from_customer(_t(spark, sf_dir, "customer"))
     history = td.reserves_from_orders(_t(spark, sf_dir, "orders"))
@@ -378,6 +395,7 @@ def q_metric_summary(spark, sf_dir):
 def _load_all() -> None:
     import tablework.queries_ops  # noqa: F401  (registers operator queries)
     import tablework.queries_plans  # noqa: F401  (registers plan and function queries)
+    import tablework.queries_jobs  # noqa: F401  (registers end-to-end job queries)
 
 
 def queries() -> dict[str, QueryFn]:

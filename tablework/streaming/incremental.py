@@ -45,9 +45,11 @@ def stream_upsert(
     payload_schema: StructType | str = ITEM_PAYLOAD_SCHEMA,
     request_cols: Sequence[str] = ("article",),
     max_files_per_trigger: int | None = None,
+    loaded_at: str | None = None,
 ) -> int:
     """Run the incremental load until all landed files are processed.
-    Returns the number of micro-batches committed in this run."""
+    Returns the number of micro-batches committed in this run.
+    ``loaded_at`` fixes the load time (default: now, one value per batch)."""
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/streams/{table}"
     reader = spark.readStream.schema(payload_schema)
     if max_files_per_trigger:
@@ -59,8 +61,8 @@ def stream_upsert(
         done = store.meta().get("stream_batches", {}).get(table, -1)
         if batch_id <= done:
             return
-        loaded_at = dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None).isoformat(sep=" ")
-        rows = unnest_items(batch, [*request_cols, "__mtime", "__file"], loaded_at)
+        stamp = loaded_at or dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None).isoformat(sep=" ")
+        rows = unnest_items(batch, [*request_cols, "__mtime", "__file"], stamp)
         rows = latest_per_key(rows, list(keys), [F.col("__mtime").desc(), F.col("__file").desc()]).drop("__mtime", "__file")
         if rows.isEmpty():
             return
