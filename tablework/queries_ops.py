@@ -450,3 +450,22 @@ def q_blank_equality(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     src = F.when(F.col("source") != "src3", F.col("source"))
     return d.select("doc_id", fx.blank_eq(src, "").alias("blank_source"), fx.blank_eq("lang", "en").alias("is_en"))
+
+
+# ====================================================================
+# T3 bounded listing (the limit is the feature: one listing page)
+# ====================================================================
+LISTING_SIZE = 1000  # fixed value: rows per listing call
+
+
+@register(
+    "customer_listing",
+    f"""
+SELECT c_custkey, c_name FROM customer
+ORDER BY c_name, c_custkey
+LIMIT {LISTING_SIZE} OFFSET 0
+""",
+)
+def q_customer_listing(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return shape.page(c, [F.col("c_name").asc_nulls_last(), F.col("c_custkey").asc()], LISTING_SIZE, 0)
