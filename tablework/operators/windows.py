@@ -26,7 +26,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     e.g. ``[F.col('version').desc_nulls_last(), F.col('id').desc()]``.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1).drop(_RN)
+    cols = df.columns
+    return df.select(*cols, F.row_number().over(w).alias(_RN)).where(F.col(_RN) == 1).select(*cols)
 
 
 # Terminal run states of the reference.

@@ -81,27 +81,22 @@ def field_recovery_latest(fields: DataFrame, history: DataFrame, oil_types: Sequ
     The field side is not de-duplicated (a repeated field id yields two
     rows); reserve rows with a NULL field id never match.
     """
-    r = latest_reserve(history).select(
-        "field_id",
-        "reserve_version",
-        "official_estimate_date",
-        *RESERVE_MEASURES,
-        F.col("loaded_at_utc").alias("__r_loaded"),
-    )
-    f = fields.select(*FIELD_COLUMNS, F.col("loaded_at_utc").alias("__f_loaded"))
-    j = f.join(r, "field_id", "left")
-    oil_bearing = F.col("hydrocarbon_type").isin(list(oil_types))
+    r = latest_reserve(history).alias("r")
+    f = fields.alias("f")
+    j = f.join(r, F.col("f.field_id") == F.col("r.field_id"), "left")
+    rc = lambda c: F.col(f"r.{c}")
+    oil_bearing = F.col("f.hydrocarbon_type").isin(list(oil_types))
     return j.select(
-        *FIELD_COLUMNS,
-        "reserve_version",
-        "official_estimate_date",
-        *RESERVE_MEASURES,
-        guarded_ratio("recoverable_oil_mill_sm3", "inplace_oil_mill_sm3", oil_bearing).alias("oil_recovery_factor_pct"),
-        nonneg_diff("recoverable_oil_mill_sm3", "remaining_oil_mill_sm3").alias("recovered_oil_mill_sm3"),
-        clamp_pct("recoverable_oil_mill_sm3", "remaining_oil_mill_sm3").alias("produced_share_of_recoverable_oil_pct"),
-        nonneg_diff("recoverable_oe_mill_sm3", "remaining_oe_mill_sm3").alias("recovered_oe_mill_sm3"),
-        nonneg_diff("remaining_oe_mill_sm3").alias("remaining_oe_mill_sm3_nonnegative"),
-        newest("__f_loaded", "__r_loaded").alias("loaded_at_utc"),
+        *[F.col(f"f.{c}").alias(c) for c in FIELD_COLUMNS],
+        rc("reserve_version").alias("reserve_version"),
+        rc("official_estimate_date").alias("official_estimate_date"),
+        *[rc(c).alias(c) for c in RESERVE_MEASURES],
+        guarded_ratio(rc("recoverable_oil_mill_sm3"), rc("inplace_oil_mill_sm3"), oil_bearing).alias("oil_recovery_factor_pct"),
+        nonneg_diff(rc("recoverable_oil_mill_sm3"), rc("remaining_oil_mill_sm3")).alias("recovered_oil_mill_sm3"),
+        clamp_pct(rc("recoverable_oil_mill_sm3"), rc("remaining_oil_mill_sm3")).alias("produced_share_of_recoverable_oil_pct"),
+        nonneg_diff(rc("recoverable_oe_mill_sm3"), rc("remaining_oe_mill_sm3")).alias("recovered_oe_mill_sm3"),
+        nonneg_diff(rc("remaining_oe_mill_sm3")).alias("remaining_oe_mill_sm3_nonnegative"),
+        newest(F.col("f.loaded_at_utc"), rc("loaded_at_utc")).alias("loaded_at_utc"),
     )
 
 

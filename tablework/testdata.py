@@ -24,8 +24,20 @@ RESERVES_LOADED_AT = "2025-01-01 06:05:00"
 EVENTS_AS_OF = "2024-01-31"
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table as a DataFrame.  The read-only test tables are
+    listed and their footers read once per session (plans are immutable,
+    so reusing the relation is safe)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 def _ts(text: str):
