@@ -115,7 +115,8 @@ def q_pageview_items(spark, sf_dir):
 # ====================================================================
 CORRECTIONS_SQL = """
 SELECT l_orderkey AS o_orderkey,
-  round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS o_totalprice
+  CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))
+                 * (1 + CAST(l_tax AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS o_totalprice
 FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '2000-01-01 00:00:00'
 GROUP BY l_orderkey
@@ -124,8 +125,13 @@ GROUP BY l_orderkey
 
 def _corrections(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    # Money in exact decimals: a double sum depends on summation order and
+    # can flip a value that sits on a half-cent boundary.
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    disc = F.col("l_discount").cast("decimal(4,2)")
+    tax = F.col("l_tax").cast("decimal(4,2)")
     return li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("o_totalprice")
+        F.round(F.sum(price * (1 - disc) * (1 + tax)), 2).cast("double").alias("o_totalprice")
     )
 
 
