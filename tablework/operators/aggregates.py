@@ -129,20 +129,26 @@ def kpi_row(
 def load_stats(fields: DataFrame, history: DataFrame, version_col: str = "reserve_version") -> DataFrame:
     """Row counts of both tables and the max version (one row).
 
-    Two global aggregates (each a partial + single-row final) joined as
-    one-row frames; no driver round trip.
+    Each table gets one global aggregate (partial per task, one row at the
+    end); the two rows are combined by a union and a max, so no join and
+    no driver round trip is involved.
     """
-    f = fields.agg(F.count(F.lit(1)).alias("field_rows"))
+    null_long = F.lit(None).cast("bigint")
+    f = fields.agg(
+        F.count(F.lit(1)).alias("field_rows"),
+        null_long.alias("reserve_history_rows"),
+        F.lit(None).cast(history.schema[version_col].dataType).alias("latest_reserve_version"),
+    )
     h = history.agg(
+        null_long.alias("field_rows"),
         F.count(F.lit(1)).alias("reserve_history_rows"),
         F.max(version_col).alias("latest_reserve_version"),
     )
-    return _one_row_join(f, h)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates on a constant key (no cartesian)."""
-    return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    return f.unionByName(h).agg(
+        F.max("field_rows").alias("field_rows"),
+        F.max("reserve_history_rows").alias("reserve_history_rows"),
+        F.max("latest_reserve_version").alias("latest_reserve_version"),
+    )
 
 
 # ---------------------------------------------------------------- A5

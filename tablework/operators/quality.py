@@ -169,15 +169,20 @@ def require_rows(df: DataFrame, what: str = "source") -> DataFrame:
 
 
 def check_separation(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Q7: rows whose key exists in both sets and that share a (non-NULL)
-    identifier in any of ``cols``; one row per (key, column)."""
-    aa = a.select(*keys, *[F.col(c).alias(f"a__{c}") for c in cols])
-    bb = b.select(*keys, *[F.col(c).alias(f"b__{c}") for c in cols])
-    j = aa.join(bb, list(keys), "inner")
-    hits = F.filter(
-        F.array(*[F.when(F.col(f"a__{c}").isNotNull() & F.col(f"a__{c}").eqNullSafe(F.col(f"b__{c}")), F.lit(c)) for c in cols]),
-        lambda x: x.isNotNull(),
-    )
-    return j.select(*keys, F.explode(hits).alias("column"), *[F.col(f"a__{c}").alias(c) for c in cols]).select(
-        *keys, "column", F.coalesce(*[F.when(F.col("column") == F.lit(c), F.col(c).cast("string")) for c in cols]).alias("shared_value")
-    )
+    """Q7: (key, column, value) where the same key in both sets shares a
+    non-NULL identifier value in that column.
+
+    Each side is first reduced to its distinct (key, column, value)
+    triples (a partial aggregate), then the triples are equi-joined, so a
+    key repeated on both sides never multiplies into all pairs.
+    """
+
+    def triples(df: DataFrame) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("shared_value")) for c in cols])
+        return (
+            df.select(*keys, F.inline(cells))
+            .where(F.col("shared_value").isNotNull())
+            .distinct()
+        )
+
+    return triples(a).join(triples(b), [*keys, "column", "shared_value"], "inner")

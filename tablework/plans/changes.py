@@ -298,8 +298,15 @@ def append_versions(
     """C4: per id, whether a new version is needed (content, external id
     when given, or canonical references differ), which metadata fields
     changed, whether access changed, and the next version number."""
-    cur = current.select(id_col, *[F.col(c).alias(f"cur__{c}") for c in (content_col, external_id_col, refs_col, access_col, version_col, *metadata_cols)])
-    des = desired.select(id_col, *[F.col(c).alias(f"des__{c}") for c in (content_col, external_id_col, refs_col, access_col, *metadata_cols)])
+    # Content is compared by SHA-256 digest computed before the join, so the
+    # shuffle moves 32 bytes per row instead of whole documents.
+    others = (external_id_col, refs_col, access_col, *metadata_cols)
+    cur = current.select(
+        id_col,
+        F.sha2(F.col(content_col), 256).alias(f"cur__{content_col}"),
+        *[F.col(c).alias(f"cur__{c}") for c in (*others, version_col)],
+    )
+    des = desired.select(id_col, F.sha2(F.col(content_col), 256).alias(f"des__{content_col}"), *[F.col(c).alias(f"des__{c}") for c in others])
     j = des.join(cur, id_col, "inner")
     ext_given = F.coalesce(F.col(f"des__{external_id_col}"), F.lit("")) != F.lit("")
     same_content = F.col(f"cur__{content_col}").eqNullSafe(F.col(f"des__{content_col}"))
