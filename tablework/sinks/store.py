@@ -10,8 +10,9 @@ A commit writes one manifest version with Spark (``errorifexists``, so
 two writers cannot both commit version ``n``).  Every manifest row
 carries the number of rows of its version; a version only counts when
 all its rows are present, so a crash during the manifest write leaves the
-previous version current.  Data directories of failed or rolled-back
-loads are simply never referenced.  Nothing is overwritten in place, so a
+previous version current.  Readers take the version numbers from the
+file listing and read only the newest complete version.  Data
+directories of failed or rolled-back loads are simply never referenced.  Nothing is overwritten in place, so a
 job can read a table while publishing its next version (Spark refuses to
 overwrite a path it reads).
 
@@ -24,9 +25,11 @@ from __future__ import annotations
 import datetime as dt
 import fnmatch
 import json
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -62,24 +65,30 @@ class TableStore:
         self.root = root.rstrip("/")
 
     # ------------------------------------------------------------ manifest
-    def _read_manifest(self) -> tuple[int, dict[str, TableEntry], dict]:
+    def _versions(self) -> list[int]:
+        """Committed-or-partial manifest versions, newest first, from the
+        file listing alone (``inputFiles`` runs no job)."""
         try:
-            rows_df = self.spark.read.schema(_MANIFEST_SCHEMA + ", v long").json(f"{self.root}/_manifests")
+            files = self.spark.read.format("text").load(f"{self.root}/_manifests").inputFiles()
         except AnalysisException:
-            return 0, {}, {}
-        complete = (
-            rows_df.groupBy("v")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("n_rows_in_version").alias("want"))
-            .where(F.col("n") == F.col("want"))
-            .agg(F.max("v").alias("v"))
-            .first()
-        )
-        if complete is None or complete["v"] is None:
-            return 0, {}, {}
-        version = int(complete["v"])
+            return []
+        found = {int(m.group(1)) for f in files if (m := re.search(r"/v=(\d+)/", f))}
+        return sorted(found, reverse=True)
+
+    def _read_manifest(self) -> tuple[int, dict[str, TableEntry], dict]:
+        """The newest complete manifest version: only that version's rows are
+        read, so the cost does not grow with the number of commits."""
+        for version in self._versions():
+            rows = self.spark.read.schema(_MANIFEST_SCHEMA).json(f"{self.root}/_manifests/v={version}").collect()
+            if rows and len(rows) == rows[0]["n_rows_in_version"]:
+                return (version, *self._entries(rows))
+        return 0, {}, {}
+
+    @staticmethod
+    def _entries(rows) -> tuple[dict[str, TableEntry], dict]:
         tables: dict[str, TableEntry] = {}
         meta: dict = {}
-        for r in rows_df.where(F.col("v") == version).collect():
+        for r in rows:
             meta = json.loads(r["meta"] or "{}")
             if r["table"] is None:
                 continue
@@ -96,7 +105,7 @@ class TableStore:
                 tables[r["table"]] = e
             if r["path"]:
                 e.paths.append((r["part"], r["path"]))
-        return version, tables, meta
+        return tables, meta
 
     def version(self) -> int:
         return self._read_manifest()[0]
@@ -140,9 +149,11 @@ class TableStore:
             df.write.mode("errorifexists").parquet(target)
             return [(None, target)]
         with_part = df.withColumn("__part", F.expr(partition_expr).cast("string"))
-        parts = [r[0] for r in with_part.select("__part").distinct().collect()]
         with_part.write.mode("errorifexists").partitionBy("__part").parquet(target)
-        return [(p, f"{target}/__part={p}") for p in parts]
+        # the written partition directories come from the listing (no job)
+        files = self.spark.read.format("text").load(target).inputFiles()
+        dirs = sorted({m.group(1) for f in files if (m := re.search(r"/(__part=[^/]+)/", f))})
+        return [(unquote(d.split("=", 1)[1]), f"{target}/{d}") for d in dirs]
 
     def _validate(self, entry: TableEntry | None, df: DataFrame) -> None:
         if entry is None:
@@ -192,14 +203,19 @@ class TableStore:
         new_tables = dict(tables)
         for name, df in outputs.items():
             entry = tables.get(name)
-            self._validate(entry, df)
+            if entry is not None:
+                missing = [c for c in entry.schema.fieldNames() if c not in df.columns]
+                if missing:
+                    raise ContractError(f"{name}: missing column(s) {', '.join(missing)}")
             part_expr = entry.partition_expr if entry else None
+            # Write first, then check the written data: the output plan runs
+            # once; a failed check leaves only unreferenced directories.
             paths = self._stage(name, df, part_expr)
-            schema = df.schema
             new_tables[name] = TableEntry(
-                name, schema, paths, entry.not_null if entry else [], entry.primary_key if entry else [], part_expr
+                name, df.schema, paths, entry.not_null if entry else [], entry.primary_key if entry else [], part_expr
             )
             staged[name] = self._read_entry(new_tables[name])
+            self._validate(entry, staged[name])
         for check in checks:
             check(staged)
         for name, make in (appends or {}).items():
