@@ -2,7 +2,7 @@
 
 Inputs are tables, not manifests:
 
-* ``desired``: blueprint, type, key, name, deploy, run_on_deploy, managed,
+* ``desired``: package, type, key, name, deploy, run_on_deploy, managed,
   desired_status, roles (array<string>), producer (for inputs), id (for
   guides with a configured id)
 * ``live``: type, name, id, status
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tablework.operators.filters import scope_guard
 
-PLAN_COLUMNS = ("blueprint", "type", "key", "name", "action", "exists", "id", "notes", "current_status", "desired_status")
+PLAN_COLUMNS = ("package", "type", "key", "name", "action", "exists", "id", "notes", "current_status", "desired_status")
 
 # Notes of the plan rows.
 NOTE_DUPLICATE = {"flight": "duplicate Flight name; expected 0 or 1", "dive": "duplicate Dive title; expected 0 or 1"}
@@ -33,7 +33,7 @@ NOTE_GRANT_MISSING = "grant role(s) do not exist and are not selected for deploy
 NOTE_SHARE_UPDATE = "share is available; filter and/or grants will be reconciled"
 NOTE_SHARE_PRESENT = "share is available"
 NOTE_SHARE_PENDING = "will be produced by a Flight configured with runOnDeploy"
-NOTE_SHARE_ERROR = "share is missing and no Flight in this blueprint is configured with runOnDeploy"
+NOTE_SHARE_ERROR = "share is missing and no Flight in this package is configured with runOnDeploy"
 NOTE_ENDORSE = "endorsing requires an organization admin"
 NOTE_OFF_ENDORSED = "moving off endorsed may be one-way unless the deployer is an organization admin"
 NOTE_STAY_ENDORSED = "content update remains endorsed"
@@ -85,15 +85,15 @@ def _missing_roles(desired: DataFrame, live: DataFrame, row_keys: Sequence[str])
 
 def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
     """One plan row per desired row (per live id when ambiguous)."""
-    row_keys = ["blueprint", "type", "key"]
+    row_keys = ["package", "type", "key"]
     d = desired
     for c, t in (("producer", "string"), ("output", "string"), ("id", "string"), ("managed", "boolean"), ("run_on_deploy", "boolean"), ("desired_status", "string"), ("deploy", "boolean")):
         if c not in d.columns:
             d = d.withColumn(c, F.lit(None).cast(t))
-    selected = d.select(F.col("blueprint").alias("producer")).distinct().withColumn("producer_selected", F.lit(True))
+    selected = d.select(F.col("package").alias("producer")).distinct().withColumn("producer_selected", F.lit(True))
     producing = (
         d.where((F.col("type") == "flight") & F.coalesce("run_on_deploy", F.lit(False)))
-        .select(F.col("blueprint").alias("__bp"))
+        .select(F.col("package").alias("__bp"))
         .distinct()
         .withColumn("can_produce", F.lit(True))
     )
@@ -105,7 +105,7 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
     j = lookup_one(d, live_l, ["lookup_type", "name"], "id")
     j = (
         j.join(missing, row_keys, "left")
-        .join(producing, F.col("blueprint") == F.col("__bp"), "left")
+        .join(producing, F.col("package") == F.col("__bp"), "left")
         .drop("__bp")
         .join(selected, "producer", "left")
         .join(producer_can, "producer", "left")
@@ -145,8 +145,8 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         .when(
             typ == "input",
             F.when(n > 0, F.concat(F.lit("resolved from "), out_ref))
-            .when(psel & pcan, F.concat(F.lit("will be produced by selected blueprint "), out_ref))
-            .when(psel, F.concat(F.lit("selected blueprint "), out_ref, F.lit(" is missing and has no Flight configured with runOnDeploy")))
+            .when(psel & pcan, F.concat(F.lit("will be produced by selected package "), out_ref))
+            .when(psel, F.concat(F.lit("selected package "), out_ref, F.lit(" is missing and has no Flight configured with runOnDeploy")))
             .otherwise(F.concat(F.lit("required production output "), out_ref, F.lit(" is not available"))),
         )
         .when(typ == "context", NOTE_CONTEXT)
@@ -165,7 +165,7 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
     exists = F.when((typ == "role") & ~F.coalesce("deploy", F.lit(False)), F.lit(None).cast("boolean")).when(typ == "context", F.lit(False)).otherwise(n > 0)
     ident = F.when(typ == "context", F.lit(None).cast("string")).when((typ == "role"), F.when(F.coalesce("deploy", F.lit(False)) & (n > 0), F.col("name"))).otherwise(F.col("live_id"))
     res = j.select(
-        "blueprint",
+        "package",
         "type",
         "key",
         "name",
@@ -191,8 +191,8 @@ def plan_deletes(
 ) -> DataFrame:
     """Ordered delete plan.
 
-    ``candidates``: blueprint, type, key, name, level (dependency level of
-    the blueprint), drop_database (bool), database (for shares).
+    ``candidates``: package, type, key, name, level (dependency level of
+    the package), drop_database (bool), database (for shares).
     Order: guides, dives, flights, then each share followed by its
     database; inside a kind reverse dependency order.  Guarded names
     (P10) give ``error``; no live row gives ``missing``; every live id
@@ -200,13 +200,13 @@ def plan_deletes(
     row (``drop_database``) exists only when flagged.
     """
     shares = candidates.where((F.col("type") == "share") & F.coalesce("drop_database", F.lit(False)))
-    dbs = shares.select("blueprint", F.lit("database").alias("type"), "key", F.col("database").alias("name"), "level")
-    rows = candidates.select("blueprint", "type", "key", "name", "level").unionByName(dbs)
+    dbs = shares.select("package", F.lit("database").alias("type"), "key", F.col("database").alias("name"), "level")
+    rows = candidates.select("package", "type", "key", "name", "level").unionByName(dbs)
     guarded = scope_guard(rows, "name", protected, "name", markers, verb="delete")
     ok = guarded.where(F.col("guard_error").isNull() & (F.col("type") != "database"))
     lk = ok.join(live.select(F.col("type").alias("lt"), F.col("name").alias("ln"), F.col("id").alias("live_id")), (F.col("type") == F.col("lt")) & (F.col("name") == F.col("ln")), "left")
     resolved = lk.select(
-        "blueprint",
+        "package",
         "type",
         "key",
         "name",
@@ -217,10 +217,10 @@ def plan_deletes(
         F.lit("").alias("notes"),
     )
     errors = guarded.where(F.col("guard_error").isNotNull()).select(
-        "blueprint", "type", "key", "name", "level", F.lit("error").alias("action"), F.lit(None).cast("boolean").alias("exists"), F.lit(None).cast("string").alias("id"), F.col("guard_error").alias("notes")
+        "package", "type", "key", "name", "level", F.lit("error").alias("action"), F.lit(None).cast("boolean").alias("exists"), F.lit(None).cast("string").alias("id"), F.col("guard_error").alias("notes")
     )
     dropdb = guarded.where(F.col("guard_error").isNull() & (F.col("type") == "database")).select(
-        "blueprint", "type", "key", "name", "level", F.lit("drop_database").alias("action"), F.lit(True).alias("exists"), F.lit(None).cast("string").alias("id"),
+        "package", "type", "key", "name", "level", F.lit("drop_database").alias("action"), F.lit(True).alias("exists"), F.lit(None).cast("string").alias("id"),
         F.lit("database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS").alias("notes"),
     )
     allr = resolved.unionByName(errors).unionByName(dropdb)
@@ -232,7 +232,7 @@ def plan_deletes(
 
 def order_deletes(plan: DataFrame) -> DataFrame:
     return plan.orderBy(
-        F.col("kind_rank").asc(), F.col("level").desc(), F.col("blueprint").asc(), F.col("key").asc(), F.col("sub_rank").asc(), F.col("id").asc_nulls_first()
+        F.col("kind_rank").asc(), F.col("level").desc(), F.col("package").asc(), F.col("key").asc(), F.col("sub_rank").asc(), F.col("id").asc_nulls_first()
     )
 
 

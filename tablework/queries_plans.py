@@ -25,7 +25,7 @@ def _t(spark, sf_dir, name):
 # ====================================================================
 PLAN_INPUT_SQL = """
 desired AS (
-  SELECT 'bp_' || CAST(c_nationkey AS VARCHAR) AS blueprint,
+  SELECT 'bp_' || CAST(c_nationkey AS VARCHAR) AS package,
     CASE c_mktsegment WHEN 'BUILDING' THEN 'dive' WHEN 'FURNITURE' THEN 'share'
          WHEN 'HOUSEHOLD' THEN 'input' ELSE 'flight' END AS type,
     'k' || CAST(c_custkey AS VARCHAR) AS key,
@@ -58,7 +58,7 @@ def plan_inputs(spark, sf_dir):
     typ = F.when(seg == "BUILDING", "dive").when(seg == "FURNITURE", "share").when(seg == "HOUSEHOLD", "input").otherwise("flight")
     live_typ = F.when(seg == "BUILDING", "dive").when(seg.isin("FURNITURE", "HOUSEHOLD"), "share").otherwise("flight")
     desired = c.where(F.col("c_acctbal") >= 0).select(
-        F.concat(F.lit("bp_"), F.col("c_nationkey").cast("string")).alias("blueprint"),
+        F.concat(F.lit("bp_"), F.col("c_nationkey").cast("string")).alias("package"),
         typ.alias("type"),
         F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"),
         F.col("c_name").alias("name"),
@@ -89,20 +89,20 @@ def plan_inputs(spark, sf_dir):
     f"""
 WITH {PLAN_INPUT_SQL},
 counts AS (SELECT type AS lookup_type, name, count(*) AS n_live FROM live GROUP BY type, name),
-producing AS (SELECT DISTINCT blueprint FROM desired WHERE type = 'flight' AND run_on_deploy),
-selected AS (SELECT DISTINCT blueprint FROM desired),
+producing AS (SELECT DISTINCT package FROM desired WHERE type = 'flight' AND run_on_deploy),
+selected AS (SELECT DISTINCT package FROM desired),
 d AS (SELECT *, CASE WHEN type = 'input' THEN 'share' ELSE type END AS lookup_type FROM desired),
 j AS (
   SELECT d.*, coalesce(c.n_live, 0) AS n_live, l.id AS live_id, l.status AS live_status,
-    coalesce(d.blueprint IN (SELECT blueprint FROM producing), false) AS can_produce,
-    coalesce(d.producer IN (SELECT blueprint FROM selected), false) AS psel,
-    coalesce(d.producer IN (SELECT blueprint FROM producing), false) AS pcan
+    coalesce(d.package IN (SELECT package FROM producing), false) AS can_produce,
+    coalesce(d.producer IN (SELECT package FROM selected), false) AS psel,
+    coalesce(d.producer IN (SELECT package FROM producing), false) AS pcan
   FROM d
   LEFT JOIN counts c ON c.lookup_type = d.lookup_type AND c.name = d.name
   LEFT JOIN live l ON l.type = d.lookup_type AND l.name = d.name
 ),
 p AS (
-  SELECT blueprint, type, key, name,
+  SELECT package, type, key, name,
     CASE
       WHEN type = 'share' THEN CASE WHEN n_live > 0 AND coalesce(managed, false) THEN 'update' WHEN n_live > 0 THEN 'present'
                                     WHEN can_produce THEN 'pending' ELSE 'error' END
@@ -114,10 +114,10 @@ p AS (
       WHEN type = 'share' THEN CASE WHEN n_live > 0 AND coalesce(managed, false) THEN 'share is available; filter and/or grants will be reconciled'
                                     WHEN n_live > 0 THEN 'share is available'
                                     WHEN can_produce THEN 'will be produced by a Flight configured with runOnDeploy'
-                                    ELSE 'share is missing and no Flight in this blueprint is configured with runOnDeploy' END
+                                    ELSE 'share is missing and no Flight in this package is configured with runOnDeploy' END
       WHEN type = 'input' THEN CASE WHEN n_live > 0 THEN 'resolved from ' || producer || '.' || output
-                                    WHEN psel AND pcan THEN 'will be produced by selected blueprint ' || producer || '.' || output
-                                    WHEN psel THEN 'selected blueprint ' || producer || '.' || output || ' is missing and has no Flight configured with runOnDeploy'
+                                    WHEN psel AND pcan THEN 'will be produced by selected package ' || producer || '.' || output
+                                    WHEN psel THEN 'selected package ' || producer || '.' || output || ' is missing and has no Flight configured with runOnDeploy'
                                     ELSE 'required production output ' || producer || '.' || output || ' is not available' END
       WHEN n_live > 1 THEN CASE type WHEN 'flight' THEN 'duplicate Flight name; expected 0 or 1' WHEN 'dive' THEN 'duplicate Dive title; expected 0 or 1' END
       WHEN type = 'dive' AND n_live = 0 THEN CASE WHEN desired_status = 'endorsed' THEN 'endorsing requires an organization admin' ELSE '' END
@@ -152,7 +152,7 @@ def q_plan_changes(spark, sf_dir):
 # ====================================================================
 DELETE_INPUT_SQL = """
 cand AS (
-  SELECT 'bp_' || CAST(s_nationkey AS VARCHAR) AS blueprint,
+  SELECT 'bp_' || CAST(s_nationkey AS VARCHAR) AS package,
     CASE WHEN s_acctbal < 2000 THEN 'guide' WHEN s_acctbal < 5000 THEN 'dive' WHEN s_acctbal < 8000 THEN 'flight' ELSE 'share' END AS type,
     'k' || CAST(s_suppkey AS VARCHAR) AS key,
     s_name || CASE WHEN s_acctbal > 500 THEN '__preview_x' ELSE '' END AS name,
@@ -174,7 +174,7 @@ def delete_inputs(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier")
     bal = F.col("s_acctbal")
     cand = s.select(
-        F.concat(F.lit("bp_"), F.col("s_nationkey").cast("string")).alias("blueprint"),
+        F.concat(F.lit("bp_"), F.col("s_nationkey").cast("string")).alias("package"),
         F.when(bal < 2000, "guide").when(bal < 5000, "dive").when(bal < 8000, "flight").otherwise("share").alias("type"),
         F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("key"),
         F.concat(F.col("s_name"), F.when(bal > 500, F.lit("__preview_x")).otherwise(F.lit(""))).alias("name"),
@@ -195,9 +195,9 @@ def delete_inputs(spark, sf_dir):
     f"""
 WITH {DELETE_INPUT_SQL},
 rows AS (
-  SELECT blueprint, type, key, name, level FROM cand
+  SELECT package, type, key, name, level FROM cand
   UNION ALL
-  SELECT blueprint, 'database', key, database, level FROM cand WHERE type = 'share' AND drop_database
+  SELECT package, 'database', key, database, level FROM cand WHERE type = 'share' AND drop_database
 ),
 g AS (
   SELECT r.*, CASE WHEN p.name IS NOT NULL THEN 'refusing to delete protected name ' || r.name
@@ -205,15 +205,15 @@ g AS (
   FROM rows r LEFT JOIN protected p ON p.name = r.name
 ),
 resolved AS (
-  SELECT g.blueprint, g.type, g.key, g.name, g.level,
+  SELECT g.package, g.type, g.key, g.name, g.level,
     CASE WHEN l.id IS NULL THEN 'missing' WHEN g.type = 'share' THEN 'drop_share' ELSE 'delete' END AS action,
     l.id IS NOT NULL AS "exists", l.id AS id, '' AS notes
   FROM g LEFT JOIN live l ON l.type = g.type AND l.name = g.name
   WHERE g.guard_error IS NULL AND g.type <> 'database'
   UNION ALL
-  SELECT blueprint, type, key, name, level, 'error', CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), guard_error FROM g WHERE guard_error IS NOT NULL
+  SELECT package, type, key, name, level, 'error', CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), guard_error FROM g WHERE guard_error IS NOT NULL
   UNION ALL
-  SELECT blueprint, type, key, name, level, 'drop_database', true, CAST(NULL AS VARCHAR),
+  SELECT package, type, key, name, level, 'drop_database', true, CAST(NULL AS VARCHAR),
     'database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS' FROM g WHERE guard_error IS NULL AND type = 'database'
 )
 SELECT *, CASE type WHEN 'guide' THEN 0 WHEN 'dive' THEN 1 WHEN 'flight' THEN 2 ELSE 3 END AS kind_rank,

@@ -60,7 +60,7 @@ def test_changed_files_select_owners(spark):
 
     assert pick(["packages/second/src/dive.tsx"]) == ["packages/second"]
     assert pick(["docs/readme.md"]) == []
-    assert pick(["schemas/v1/blueprint.schema.json"]) == ["packages/first", "packages/second"]
+    assert pick(["schemas/v1/package.schema.json"]) == ["packages/first", "packages/second"]
     assert pick(["packages/secondary/x"]) == []
     assert pick(["packages/first"]) == ["packages/first"]
     assert pick([], has_base=False) == ["packages/first", "packages/second"]

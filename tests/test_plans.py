@@ -6,7 +6,7 @@ from tablework.operators import quality as q
 from tablework.operators import shape
 from tablework.plans import changes as ch
 
-DESIRED = ("blueprint string, type string, key string, name string, deploy boolean, run_on_deploy boolean, "
+DESIRED = ("package string, type string, key string, name string, deploy boolean, run_on_deploy boolean, "
            "managed boolean, desired_status string, roles array<string>, producer string, output string")
 LIVE = "type string, name string, id string, status string"
 
@@ -63,7 +63,7 @@ def test_share_and_input_rules(spark):
     assert p[("share", "r")]["notes"].endswith("missing_role")
     assert acts[("role", "x")] == "skipped"
     rows = ch.plan_changes(spark.createDataFrame(desired, DESIRED), spark.createDataFrame([], LIVE))
-    by = {(r["blueprint"], r["key"]): r["action"] for r in rows.where(F.col("type") == "share").collect()}
+    by = {(r["package"], r["key"]): r["action"] for r in rows.where(F.col("type") == "share").collect()}
     assert by[("prod_bp", "s")] == "pending" and by[("lonely", "s")] == "error"
 
 
@@ -116,12 +116,12 @@ def test_cleanup_order_and_guard(spark):
             ("producer", "share", "s", "share_preview_x", 0, True, "db_preview_x"),
             ("producer", "guide", "g", "Prod guide", 0, False, None),
         ],
-        "blueprint string, type string, key string, name string, level int, drop_database boolean, database string",
+        "package string, type string, key string, name string, level int, drop_database boolean, database string",
     )
     live = spark.createDataFrame([("dive", "Dive (preview x)", "d1"), ("flight", "flight_preview_x", "f1"), ("share", "share_preview_x", "url")], "type string, name string, id string")
     protected = spark.createDataFrame([("Prod guide",)], "name string")
     out = ch.order_deletes(ch.plan_deletes(cand, live, protected, ["preview_x", "preview x"])).collect()
-    got = [(r["type"], r["blueprint"], r["action"]) for r in out]
+    got = [(r["type"], r["package"], r["action"]) for r in out]
     assert got == [
         ("guide", "producer", "error"),
         ("dive", "consumer", "delete"),
