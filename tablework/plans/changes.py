@@ -3,9 +3,9 @@
 Inputs are tables, not manifests:
 
 * ``desired``: package, type, key, name, deploy, run_on_deploy, managed,
-  desired_status, roles (array<string>), producer (for inputs), id (for
-  guides with a configured id)
-* ``live``: type, name, id, status
+  desired_status, roles (array<string>), producer and output (for
+  inputs), id and topic (for guides)
+* ``live``: type, name, id, status, topic
 
 Every rule is a ``when`` chain over joined columns; lookups are equi
 joins on (type, name), never one query per resource.  When a name
@@ -83,13 +83,35 @@ def _missing_roles(desired: DataFrame, live: DataFrame, row_keys: Sequence[str])
     return missing.groupBy(*row_keys).agg(F.array_join(F.array_sort(F.collect_set("role")), ", ").alias("missing_roles"))
 
 
+SINGLE_TYPES = ("share", "input", "role")  # existence checks: one plan row
+NOTE_GUIDE_SKIPPED = "set deploy: true to publish this Guide"
+NOTE_GUIDE_ID_MISSING = "configured Guide id does not exist"
+NOTE_DUPLICATE_GUIDE = "duplicate Guide topic/title; set id explicitly"
+
+
+def _with_defaults(df: DataFrame, cols: Sequence[tuple[str, str]]) -> DataFrame:
+    for c, t in cols:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(t))
+    return df
+
+
 def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
-    """One plan row per desired row (per live id when ambiguous)."""
+    """One plan row per desired row (per live id when a flight, dive or
+    guide name is ambiguous).
+
+    Roles, shares and inputs are existence checks (one row, the smallest
+    live id); flights, dives and guides resolve to 0, 1 or several live
+    rows.  Guides resolve by configured id when given, else by title and
+    topic (an empty topic matches NULL or '').
+    """
     row_keys = ["package", "type", "key"]
-    d = desired
-    for c, t in (("producer", "string"), ("output", "string"), ("id", "string"), ("managed", "boolean"), ("run_on_deploy", "boolean"), ("desired_status", "string"), ("deploy", "boolean")):
-        if c not in d.columns:
-            d = d.withColumn(c, F.lit(None).cast(t))
+    d = _with_defaults(
+        desired,
+        [("producer", "string"), ("output", "string"), ("id", "string"), ("managed", "boolean"), ("run_on_deploy", "boolean"),
+         ("desired_status", "string"), ("deploy", "boolean"), ("topic", "string"), ("roles", "array<string>")],
+    )
+    lv = _with_defaults(live, [("status", "string"), ("topic", "string")])
     selected = d.select(F.col("package").alias("producer")).distinct().withColumn("producer_selected", F.lit(True))
     producing = (
         d.where((F.col("type") == "flight") & F.coalesce("run_on_deploy", F.lit(False)))
@@ -98,42 +120,61 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         .withColumn("can_produce", F.lit(True))
     )
     producer_can = producing.select(F.col("__bp").alias("producer"), F.col("can_produce").alias("producer_can_produce"))
-    missing = _missing_roles(d, live, row_keys)
-    lookup_type = F.when(F.col("type") == "input", F.lit("share")).otherwise(F.col("type"))
-    d = d.withColumn("lookup_type", lookup_type)
-    live_l = live.select(F.col("type").alias("lookup_type"), "name", "id", "status")
-    j = lookup_one(d, live_l, ["lookup_type", "name"], "id")
+    missing = _missing_roles(d, lv, row_keys)
+
+    typ = F.col("type")
+    by_id = (typ == "guide") & F.col("id").isNotNull()
+    topic_key = F.concat(F.lit("t:"), F.col("name"), F.lit("\u0001"), F.coalesce(F.col("topic"), F.lit("")))
+    d = d.withColumn("lookup_type", F.when(typ == "input", F.lit("share")).otherwise(typ)).withColumn(
+        "mkey", F.when(by_id, F.concat(F.lit("id:"), F.col("id"))).when(typ == "guide", topic_key).otherwise(F.col("name"))
+    )
+    # a live guide can be found by its id or by its (title, topic)
+    live_keys = F.when(
+        F.col("type") == "guide", F.array(F.concat(F.lit("id:"), F.col("id")), topic_key)
+    ).otherwise(F.array(F.col("name")))
+    live_k = lv.select(F.col("type").alias("lookup_type"), F.explode(live_keys).alias("mkey"), "id", "status")
+    single = d.where(typ.isin(*SINGLE_TYPES))
+    counts = live_k.groupBy("lookup_type", "mkey").agg(F.count(F.lit(1)).alias("n_live"), F.min("id").alias("live_id"))
+    single = (
+        single.join(counts, ["lookup_type", "mkey"], "left")
+        .withColumn("n_live", F.coalesce("n_live", F.lit(0)))
+        .withColumn("live_status", F.lit(None).cast("string"))
+    )
+    multi = lookup_one(d.where(~typ.isin(*SINGLE_TYPES)), live_k, ["lookup_type", "mkey"], "id")
     j = (
-        j.join(missing, row_keys, "left")
+        single.unionByName(multi)
+        .join(missing, row_keys, "left")
         .join(producing, F.col("package") == F.col("__bp"), "left")
         .drop("__bp")
         .join(selected, "producer", "left")
         .join(producer_can, "producer", "left")
     )
-    typ, n = F.col("type"), F.col("n_live")
+    n = F.col("n_live")
     miss = F.col("missing_roles")
     can = F.coalesce("can_produce", F.lit(False))
     managed = F.coalesce("managed", F.lit(False))
     psel = F.coalesce("producer_selected", F.lit(False))
     pcan = F.coalesce("producer_can_produce", F.lit(False))
-    deploy = F.coalesce("deploy", F.lit(True))
+    deployed = F.coalesce("deploy", F.lit(False))
+    guide_off = (typ == "guide") & ~F.coalesce("deploy", F.lit(True))
+    guide_id_missing = (typ == "guide") & by_id & (n == 0)
     dstat = F.col("desired_status")
     cur = F.col("live_status")
     out_ref = F.concat_ws(".", F.col("producer"), F.coalesce(F.col("output"), F.col("key")))
 
     action = (
-        F.when(typ == "role", F.when(~F.coalesce("deploy", F.lit(False)), "skipped").when(miss.isNotNull(), "error").when(n > 0, "update").otherwise("create"))
+        F.when(typ == "role", F.when(~deployed, "skipped").when(miss.isNotNull(), "error").when(n > 0, "update").otherwise("create"))
         .when(typ == "share", F.when(miss.isNotNull(), "error").when((n > 0) & managed, "update").when(n > 0, "present").when(can, "pending").otherwise("error"))
         .when(typ == "input", F.when(n > 0, "present").when(psel & pcan, "pending").otherwise("error"))
         .when(typ == "context", "validated_only")
-        .when((typ == "guide") & ~deploy, "validated_only")
-        .when((typ == "guide") & F.col("id").isNotNull() & ((n == 0) | (F.col("live_id") != F.col("id"))), "error")
+        .when(guide_off, "validated_only")
+        .when(guide_id_missing, "error")
         .when(n == 0, "create")
         .when(n == 1, "update")
         .otherwise("error")
     )
     notes = (
-        F.when(typ == "role", F.when(~F.coalesce("deploy", F.lit(False)), NOTE_ROLE_SKIPPED).when(miss.isNotNull(), F.concat(F.lit(NOTE_ROLE_MISSING), miss)).otherwise(""))
+        F.when(typ == "role", F.when(~deployed, NOTE_ROLE_SKIPPED).when(miss.isNotNull(), F.concat(F.lit(NOTE_ROLE_MISSING), miss)).otherwise(""))
         .when(
             typ == "share",
             F.when(miss.isNotNull(), F.concat(F.lit(NOTE_GRANT_MISSING), miss))
@@ -150,7 +191,9 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
             .otherwise(F.concat(F.lit("required production output "), out_ref, F.lit(" is not available"))),
         )
         .when(typ == "context", NOTE_CONTEXT)
-        .when((typ == "guide") & F.col("id").isNotNull() & ((n == 0) | (F.col("live_id") != F.col("id"))), F.concat(F.lit("configured guide id "), F.col("id"), F.lit(" does not exist")))
+        .when(guide_off, NOTE_GUIDE_SKIPPED)
+        .when(guide_id_missing, NOTE_GUIDE_ID_MISSING)
+        .when((typ == "guide") & (n > 1), NOTE_DUPLICATE_GUIDE)
         .when(n > 1, F.coalesce(F.element_at(F.create_map(*[x for k, v in NOTE_DUPLICATE.items() for x in (F.lit(k), F.lit(v))]), typ), F.lit("duplicate name; expected 0 or 1")))
         .when((typ == "dive") & (n == 0), F.when(dstat == "endorsed", NOTE_ENDORSE).otherwise(""))
         .when(
@@ -162,8 +205,17 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         )
         .otherwise("")
     )
-    exists = F.when((typ == "role") & ~F.coalesce("deploy", F.lit(False)), F.lit(None).cast("boolean")).when(typ == "context", F.lit(False)).otherwise(n > 0)
-    ident = F.when(typ == "context", F.lit(None).cast("string")).when((typ == "role"), F.when(F.coalesce("deploy", F.lit(False)) & (n > 0), F.col("name"))).otherwise(F.col("live_id"))
+    exists = (
+        F.when((typ == "role") & ~deployed, F.lit(None).cast("boolean"))
+        .when((typ == "context") | guide_off | guide_id_missing, F.lit(False))
+        .otherwise(n > 0)
+    )
+    ident = (
+        F.when((typ == "context") | guide_off, F.lit(None).cast("string"))
+        .when(guide_id_missing, F.col("id"))
+        .when(typ == "role", F.when(deployed & (n > 0), F.col("name")))
+        .otherwise(F.col("live_id"))
+    )
     res = j.select(
         "package",
         "type",

@@ -23,63 +23,98 @@ def _t(spark, sf_dir, name):
 # ====================================================================
 # C1 / C3 desired-versus-live plan on customers
 # ====================================================================
-PLAN_INPUT_SQL = """
+PLAN_TYPE_SQL = """CASE c_mktsegment WHEN 'BUILDING' THEN 'dive' WHEN 'FURNITURE' THEN 'share'
+         WHEN 'HOUSEHOLD' THEN '{input}'
+         WHEN 'MACHINERY' THEN CASE WHEN c_acctbal < 3000 THEN 'role' ELSE 'guide' END
+         ELSE 'flight' END"""
+
+PLAN_INPUT_SQL = f"""
 desired AS (
   SELECT 'bp_' || CAST(c_nationkey AS VARCHAR) AS package,
-    CASE c_mktsegment WHEN 'BUILDING' THEN 'dive' WHEN 'FURNITURE' THEN 'share'
-         WHEN 'HOUSEHOLD' THEN 'input' ELSE 'flight' END AS type,
+    {PLAN_TYPE_SQL.format(input="input")} AS type,
     'k' || CAST(c_custkey AS VARCHAR) AS key,
     c_name AS name,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal < 3000 THEN c_acctbal > 500
+         WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal < 9000
+         ELSE true END AS deploy,
     c_acctbal > 5000 AS run_on_deploy,
     c_acctbal < 2000 AS managed,
     CASE WHEN c_mktsegment = 'BUILDING' THEN
       CASE WHEN c_acctbal > 7000 THEN 'endorsed' WHEN c_acctbal > 3000 THEN 'draft' END END AS desired_status,
     CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'bp_' || CAST(c_nationkey + 3 AS VARCHAR) END AS producer,
-    CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'out' END AS output
+    CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'out' END AS output,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal BETWEEN 3000 AND 3500 THEN 'id_' || CAST(c_custkey AS VARCHAR)
+         WHEN c_mktsegment = 'MACHINERY' AND c_acctbal BETWEEN 8000 AND 8500 THEN 'gid_' || CAST(c_custkey AS VARCHAR) END AS id,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal > 4000 THEN 'ops' END AS topic,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal BETWEEN 1500 AND 3000
+           THEN ['Customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')]
+         WHEN c_mktsegment = 'FURNITURE' AND c_acctbal > 7000
+           THEN ['Customer#' || lpad(CAST(c_custkey + 2 AS VARCHAR), 9, '0')]
+         ELSE CAST([] AS VARCHAR[]) END AS roles
   FROM customer WHERE c_acctbal >= 0
 ),
 live AS (
-  SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'dive' WHEN 'FURNITURE' THEN 'share'
-              WHEN 'HOUSEHOLD' THEN 'share' ELSE 'flight' END AS type,
+  SELECT {PLAN_TYPE_SQL.format(input="share")} AS type,
     c_name AS name, 'id_' || CAST(c_custkey AS VARCHAR) AS id,
-    CASE WHEN c_acctbal > 4000 THEN 'endorsed' ELSE 'draft' END AS status
+    CASE WHEN c_acctbal > 4000 THEN 'endorsed' ELSE 'draft' END AS status,
+    CASE WHEN c_acctbal > 4500 THEN 'ops' ELSE '' END AS topic
   FROM customer WHERE c_acctbal < 6000
   UNION ALL
-  SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'dive' WHEN 'FURNITURE' THEN 'share'
-              WHEN 'HOUSEHOLD' THEN 'share' ELSE 'flight' END,
-    c_name, 'id_' || CAST(c_custkey AS VARCHAR) || '_b', 'draft'
+  SELECT {PLAN_TYPE_SQL.format(input="share")},
+    c_name, 'id_' || CAST(c_custkey AS VARCHAR) || '_b', 'draft',
+    CASE WHEN c_acctbal > 4500 THEN 'ops' ELSE '' END
   FROM customer WHERE c_acctbal BETWEEN 1000 AND 1400
 )"""
 
 
 def plan_inputs(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
-    seg = F.col("c_mktsegment")
-    typ = F.when(seg == "BUILDING", "dive").when(seg == "FURNITURE", "share").when(seg == "HOUSEHOLD", "input").otherwise("flight")
-    live_typ = F.when(seg == "BUILDING", "dive").when(seg.isin("FURNITURE", "HOUSEHOLD"), "share").otherwise("flight")
-    desired = c.where(F.col("c_acctbal") >= 0).select(
+    seg, bal = F.col("c_mktsegment"), F.col("c_acctbal")
+    machinery_type = F.when(bal < 3000, "role").otherwise("guide")
+
+    def typ(input_type):
+        return (
+            F.when(seg == "BUILDING", "dive").when(seg == "FURNITURE", "share").when(seg == "HOUSEHOLD", input_type)
+            .when(seg == "MACHINERY", machinery_type).otherwise("flight")
+        )
+
+    def customer_name(offset):
+        return F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") + offset).cast("string"), 9, "0"))
+
+    desired = c.where(bal >= 0).select(
         F.concat(F.lit("bp_"), F.col("c_nationkey").cast("string")).alias("package"),
-        typ.alias("type"),
+        typ("input").alias("type"),
         F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"),
         F.col("c_name").alias("name"),
-        (F.col("c_acctbal") > 5000).alias("run_on_deploy"),
-        (F.col("c_acctbal") < 2000).alias("managed"),
-        F.when(seg == "BUILDING", F.when(F.col("c_acctbal") > 7000, "endorsed").when(F.col("c_acctbal") > 3000, "draft")).alias("desired_status"),
+        F.when((seg == "MACHINERY") & (bal < 3000), bal > 500).when(seg == "MACHINERY", bal < 9000).otherwise(F.lit(True)).alias("deploy"),
+        (bal > 5000).alias("run_on_deploy"),
+        (bal < 2000).alias("managed"),
+        F.when(seg == "BUILDING", F.when(bal > 7000, "endorsed").when(bal > 3000, "draft")).alias("desired_status"),
         F.when(seg == "HOUSEHOLD", F.concat(F.lit("bp_"), (F.col("c_nationkey") + 3).cast("string"))).alias("producer"),
         F.when(seg == "HOUSEHOLD", F.lit("out")).alias("output"),
-        F.array().cast("array<string>").alias("roles"),
+        F.when((seg == "MACHINERY") & bal.between(3000, 3500), F.concat(F.lit("id_"), F.col("c_custkey").cast("string")))
+        .when((seg == "MACHINERY") & bal.between(8000, 8500), F.concat(F.lit("gid_"), F.col("c_custkey").cast("string")))
+        .alias("id"),
+        F.when((seg == "MACHINERY") & (bal > 4000), F.lit("ops")).alias("topic"),
+        F.when((seg == "MACHINERY") & bal.between(1500, 3000), F.array(customer_name(1)))
+        .when((seg == "FURNITURE") & (bal > 7000), F.array(customer_name(2)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("roles"),
     )
-    live1 = c.where(F.col("c_acctbal") < 6000).select(
-        live_typ.alias("type"),
+    live_topic = F.when(bal > 4500, "ops").otherwise("")
+    live1 = c.where(bal < 6000).select(
+        typ("share").alias("type"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("id_"), F.col("c_custkey").cast("string")).alias("id"),
-        F.when(F.col("c_acctbal") > 4000, "endorsed").otherwise("draft").alias("status"),
+        F.when(bal > 4000, "endorsed").otherwise("draft").alias("status"),
+        live_topic.alias("topic"),
     )
-    live2 = c.where(F.col("c_acctbal").between(1000, 1400)).select(
-        live_typ.alias("type"),
+    live2 = c.where(bal.between(1000, 1400)).select(
+        typ("share").alias("type"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("id_"), F.col("c_custkey").cast("string"), F.lit("_b")).alias("id"),
         F.lit("draft").alias("status"),
+        live_topic.alias("topic"),
     )
     return desired, live1.unionByName(live2)
 
@@ -88,30 +123,69 @@ def plan_inputs(spark, sf_dir):
     "plan_changes",
     f"""
 WITH {PLAN_INPUT_SQL},
-counts AS (SELECT type AS lookup_type, name, count(*) AS n_live FROM live GROUP BY type, name),
+lk AS (
+  SELECT type AS lookup_type, name AS mkey, id, status FROM live WHERE type <> 'guide'
+  UNION ALL SELECT type, 'id:' || id, id, status FROM live WHERE type = 'guide'
+  UNION ALL SELECT type, 't:' || name || chr(1) || coalesce(topic, ''), id, status FROM live WHERE type = 'guide'
+),
+counts AS (SELECT lookup_type, mkey, count(*) AS n_live, min(id) AS min_id FROM lk GROUP BY lookup_type, mkey),
+known AS (SELECT name FROM live WHERE type = 'role' UNION SELECT name FROM desired WHERE type = 'role' AND deploy),
+missing AS (
+  SELECT package, type, key, string_agg(DISTINCT r, ', ' ORDER BY r) AS missing_roles
+  FROM (SELECT package, type, key, unnest(roles) AS r FROM desired) x
+  WHERE r IS NOT NULL AND r NOT IN (SELECT name FROM known)
+  GROUP BY package, type, key
+),
 producing AS (SELECT DISTINCT package FROM desired WHERE type = 'flight' AND run_on_deploy),
 selected AS (SELECT DISTINCT package FROM desired),
-d AS (SELECT *, CASE WHEN type = 'input' THEN 'share' ELSE type END AS lookup_type FROM desired),
+d AS (
+  SELECT *, CASE WHEN type = 'input' THEN 'share' ELSE type END AS lookup_type,
+    CASE WHEN type = 'guide' AND id IS NOT NULL THEN 'id:' || id
+         WHEN type = 'guide' THEN 't:' || name || chr(1) || coalesce(topic, '')
+         ELSE name END AS mkey
+  FROM desired
+),
 j AS (
-  SELECT d.*, coalesce(c.n_live, 0) AS n_live, l.id AS live_id, l.status AS live_status,
+  SELECT d.*, coalesce(c.n_live, 0) AS n_live,
+    CASE WHEN d.type IN ('share', 'input', 'role') THEN c.min_id ELSE l.id END AS live_id,
+    CASE WHEN d.type IN ('share', 'input', 'role') THEN NULL ELSE l.status END AS live_status,
+    m.missing_roles,
     coalesce(d.package IN (SELECT package FROM producing), false) AS can_produce,
     coalesce(d.producer IN (SELECT package FROM selected), false) AS psel,
-    coalesce(d.producer IN (SELECT package FROM producing), false) AS pcan
+    coalesce(d.producer IN (SELECT package FROM producing), false) AS pcan,
+    coalesce(d.deploy, false) AS deployed,
+    d.type = 'guide' AND NOT coalesce(d.deploy, true) AS guide_off,
+    d.type = 'guide' AND d.id IS NOT NULL AND coalesce(c.n_live, 0) = 0 AS guide_id_missing
   FROM d
-  LEFT JOIN counts c ON c.lookup_type = d.lookup_type AND c.name = d.name
-  LEFT JOIN live l ON l.type = d.lookup_type AND l.name = d.name
+  LEFT JOIN counts c ON c.lookup_type = d.lookup_type AND c.mkey = d.mkey
+  LEFT JOIN lk l ON d.type NOT IN ('share', 'input', 'role') AND l.lookup_type = d.lookup_type AND l.mkey = d.mkey
+  LEFT JOIN missing m ON m.package = d.package AND m.type = d.type AND m.key = d.key
 ),
 p AS (
   SELECT package, type, key, name,
     CASE
-      WHEN type = 'share' THEN CASE WHEN n_live > 0 AND coalesce(managed, false) THEN 'update' WHEN n_live > 0 THEN 'present'
+      WHEN type = 'role' THEN CASE WHEN NOT deployed THEN 'skipped' WHEN missing_roles IS NOT NULL THEN 'error'
+                                   WHEN n_live > 0 THEN 'update' ELSE 'create' END
+      WHEN type = 'share' THEN CASE WHEN missing_roles IS NOT NULL THEN 'error'
+                                    WHEN n_live > 0 AND coalesce(managed, false) THEN 'update' WHEN n_live > 0 THEN 'present'
                                     WHEN can_produce THEN 'pending' ELSE 'error' END
       WHEN type = 'input' THEN CASE WHEN n_live > 0 THEN 'present' WHEN psel AND pcan THEN 'pending' ELSE 'error' END
+      WHEN guide_off THEN 'validated_only'
+      WHEN guide_id_missing THEN 'error'
       WHEN n_live = 0 THEN 'create' WHEN n_live = 1 THEN 'update' ELSE 'error' END AS action,
-    n_live > 0 AS "exists",
-    live_id AS id,
+    CASE WHEN type = 'role' AND NOT deployed THEN CAST(NULL AS BOOLEAN)
+         WHEN guide_off OR guide_id_missing THEN false
+         ELSE n_live > 0 END AS "exists",
+    CASE WHEN guide_off THEN CAST(NULL AS VARCHAR)
+         WHEN guide_id_missing THEN id
+         WHEN type = 'role' THEN CASE WHEN deployed AND n_live > 0 THEN name END
+         ELSE live_id END AS id,
     CASE
-      WHEN type = 'share' THEN CASE WHEN n_live > 0 AND coalesce(managed, false) THEN 'share is available; filter and/or grants will be reconciled'
+      WHEN type = 'role' THEN CASE WHEN NOT deployed THEN 'roles deploy only when resources.roles.<key>.deploy is true'
+                                   WHEN missing_roles IS NOT NULL THEN 'included role(s) do not exist and are not selected for deployment: ' || missing_roles
+                                   ELSE '' END
+      WHEN type = 'share' THEN CASE WHEN missing_roles IS NOT NULL THEN 'grant role(s) do not exist and are not selected for deployment: ' || missing_roles
+                                    WHEN n_live > 0 AND coalesce(managed, false) THEN 'share is available; filter and/or grants will be reconciled'
                                     WHEN n_live > 0 THEN 'share is available'
                                     WHEN can_produce THEN 'will be produced by a Flight configured with runOnDeploy'
                                     ELSE 'share is missing and no Flight in this package is configured with runOnDeploy' END
@@ -119,7 +193,11 @@ p AS (
                                     WHEN psel AND pcan THEN 'will be produced by selected package ' || producer || '.' || output
                                     WHEN psel THEN 'selected package ' || producer || '.' || output || ' is missing and has no Flight configured with runOnDeploy'
                                     ELSE 'required production output ' || producer || '.' || output || ' is not available' END
-      WHEN n_live > 1 THEN CASE type WHEN 'flight' THEN 'duplicate Flight name; expected 0 or 1' WHEN 'dive' THEN 'duplicate Dive title; expected 0 or 1' END
+      WHEN guide_off THEN 'set deploy: true to publish this Guide'
+      WHEN guide_id_missing THEN 'configured Guide id does not exist'
+      WHEN type = 'guide' AND n_live > 1 THEN 'duplicate Guide topic/title; set id explicitly'
+      WHEN n_live > 1 THEN CASE type WHEN 'flight' THEN 'duplicate Flight name; expected 0 or 1' WHEN 'dive' THEN 'duplicate Dive title; expected 0 or 1'
+                                     ELSE 'duplicate name; expected 0 or 1' END
       WHEN type = 'dive' AND n_live = 0 THEN CASE WHEN desired_status = 'endorsed' THEN 'endorsing requires an organization admin' ELSE '' END
       WHEN type = 'dive' AND n_live = 1 THEN CASE
         WHEN live_status = 'endorsed' AND desired_status IS NOT NULL AND desired_status <> 'endorsed' THEN 'moving off endorsed may be one-way unless the deployer is an organization admin'

@@ -139,3 +139,44 @@ def test_row_rules(spark):
     assert got == [(1, "exactly_one"), (1, "required"), (2, "exactly_one"), (3, "required")]
     dup = spark.createDataFrame([("a",), ("a",), ("b",)], "alias string")
     assert [r["alias"] for r in q.check_unique(dup, ["alias"]).collect()] == ["a"]
+
+
+def test_guide_rules(spark):
+    desired = spark.createDataFrame(
+        [
+            ("bp", "guide", "off", "Off", False, None, None),
+            ("bp", "guide", "byid", "Any", True, "g1", None),
+            ("bp", "guide", "gone", "Any", True, "g404", None),
+            ("bp", "guide", "topic", "T", True, None, "ops"),
+            ("bp", "guide", "blank", "B", True, None, ""),
+            ("bp", "guide", "dup", "D", True, None, None),
+        ],
+        "package string, type string, key string, name string, deploy boolean, id string, topic string",
+    )
+    live = spark.createDataFrame(
+        [("guide", "X", "g1", None, "ops"), ("guide", "T", "g2", None, "other"), ("guide", "B", "g3", None, None),
+         ("guide", "D", "g4", None, ""), ("guide", "D", "g5", None, None)],
+        "type string, name string, id string, status string, topic string",
+    )
+    rows = ch.plan_changes(desired, live).collect()
+    got = sorted((r["key"], r["action"], r["id"]) for r in rows)
+    assert got == [
+        ("blank", "update", "g3"),
+        ("byid", "update", "g1"),
+        ("dup", "error", "g4"),
+        ("dup", "error", "g5"),
+        ("gone", "error", "g404"),
+        ("off", "validated_only", None),
+        ("topic", "create", None),
+    ]
+    notes = {r["key"]: r["notes"] for r in rows}
+    assert notes["off"] == "set deploy: true to publish this Guide"
+    assert notes["gone"] == "configured Guide id does not exist"
+    assert notes["dup"] == "duplicate Guide topic/title; set id explicitly"
+
+
+def test_duplicate_share_is_one_row(spark):
+    desired = [("bp", "share", "s", "S", True, None, None, None, [], None, None)]
+    live = [("share", "S", "url2", None), ("share", "S", "url1", None)]
+    out = ch.plan_changes(spark.createDataFrame(desired, DESIRED), spark.createDataFrame(live, LIVE)).collect()
+    assert [(r["action"], r["id"]) for r in out] == [("present", "url1")]
