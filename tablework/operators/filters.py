@@ -45,23 +45,38 @@ def trailing_window(df: DataFrame, column: str, as_of: str, n: int) -> DataFrame
 def scope_guard(
     df: DataFrame,
     name_col: str,
-    protected: DataFrame,
-    protected_col: str,
     markers: Sequence[str],
-    verb: str = "delete",
+    production: DataFrame | None = None,
+    key_cols: Sequence[str] = (),
+    production_col: str = "production_name",
+    type_col: str | None = "type",
 ) -> DataFrame:
-    """P10: mark rows whose name must not be touched.
+    """P10: add ``guard_error`` to rows whose name must not be touched.
 
-    A row is refused when its name equals a protected (production) name,
-    or when it contains none of the branch markers.  ``protected`` is a
-    table of names; it is joined (left semi logic as a left join on a
-    distinct key set), never collected.
+    A row is refused when its name equals the production name of the same
+    resource (``production`` joined on ``key_cols``; with no key columns,
+    any production name), or when it contains none of the non-empty
+    branch ``markers`` (the first marker is the branch slug named in the
+    message).  Shares and databases are "dropped", the rest "deleted".
     """
-    prot = protected.select(F.col(protected_col).alias("__tw_prot")).distinct()
-    joined = df.join(prot, F.col(name_col) == F.col("__tw_prot"), "left")
-    has_marker = reduce(lambda a, b: a | b, [F.col(name_col).contains(m) for m in markers], F.lit(False))
-    reason = (
-        F.when(F.col("__tw_prot").isNotNull(), F.concat(F.lit(f"refusing to {verb} protected name "), F.col(name_col)))
-        .when(~has_marker, F.concat(F.lit(f"refusing to {verb} unscoped name "), F.col(name_col)))
+    live_markers = [m for m in markers if m]
+    slug = live_markers[0] if live_markers else ""
+    typ = F.col(type_col) if type_col else F.lit("resource")
+    name = F.col(name_col)
+    if production is not None:
+        prod = production.select(*key_cols, F.col(production_col).alias("__prod"))
+        if key_cols:
+            joined = df.join(prod, list(key_cols), "left")
+        else:
+            prod = prod.distinct()
+            joined = df.join(prod, name == F.col("__prod"), "left")
+        matches = F.coalesce(name == F.col("__prod"), F.lit(False))
+    else:
+        joined = df.withColumn("__prod", F.lit(None).cast("string"))
+        matches = F.lit(False)
+    has_marker = reduce(lambda a, b: a | b, [name.contains(m) for m in live_markers], F.lit(False))
+    verb = F.when(typ.isin("share", "database"), F.lit("drop")).otherwise(F.lit("delete"))
+    reason = F.when(matches, F.concat(F.lit("refusing to delete preview "), typ, F.lit(" because it matches production: "), name)).when(
+        ~has_marker, F.concat(F.lit("refusing to "), verb, F.lit(" preview "), typ, F.lit(" without branch slug " + slug))
     )
-    return joined.withColumn("guard_error", reason).drop("__tw_prot")
+    return joined.withColumn("guard_error", reason).drop("__prod")

@@ -238,25 +238,37 @@ KIND_RANK = {"guide": 0, "dive": 1, "flight": 2, "share": 3, "database": 3}
 def plan_deletes(
     candidates: DataFrame,
     live: DataFrame,
-    protected: DataFrame,
+    production: DataFrame | None,
     markers: Sequence[str],
 ) -> DataFrame:
-    """Ordered delete plan.
+    """Delete plan rows (order them with ``order_deletes``).
 
     ``candidates``: package, type, key, name, level (dependency level of
-    the package), drop_database (bool), database (for shares).
-    Order: guides, dives, flights, then each share followed by its
-    database; inside a kind reverse dependency order.  Guarded names
-    (P10) give ``error``; no live row gives ``missing``; every live id
-    gives one ``delete`` (``drop_share`` for shares) row; the database
-    row (``drop_database``) exists only when flagged.
+    the package), drop_database, database, and optionally cleanup
+    (default true), deploy (guides) and topic (guides).  ``production``:
+    package, type, key, production_name (for shares also the production
+    database under type ``database``).  Guides are cleaned only when
+    deployed and not opted out, shares only when not opted out.  Guarded
+    names (P10) give ``error``; no live row gives ``missing``; every live
+    id gives one ``delete`` (``drop_share`` for shares) row; the database
+    row (``drop_database``) exists only when flagged.  Guides are found by
+    title and topic.
     """
-    shares = candidates.where((F.col("type") == "share") & F.coalesce("drop_database", F.lit(False)))
-    dbs = shares.select("package", F.lit("database").alias("type"), "key", F.col("database").alias("name"), "level")
-    rows = candidates.select("package", "type", "key", "name", "level").unionByName(dbs)
-    guarded = scope_guard(rows, "name", protected, "name", markers, verb="delete")
+    c = _with_defaults(candidates, [("cleanup", "boolean"), ("deploy", "boolean"), ("topic", "string"), ("drop_database", "boolean"), ("database", "string")])
+    keep = F.coalesce(F.col("cleanup"), F.lit(True)) & (
+        (F.col("type") != "guide") | F.coalesce(F.col("deploy"), F.lit(False))
+    )
+    c = c.where(keep)
+    shares = c.where((F.col("type") == "share") & F.coalesce("drop_database", F.lit(False)))
+    dbs = shares.select("package", F.lit("database").alias("type"), "key", F.col("database").alias("name"), "level", F.lit(None).cast("string").alias("topic"))
+    rows = c.select("package", "type", "key", "name", "level", "topic").unionByName(dbs)
+    guarded = scope_guard(rows, "name", markers, production, ["package", "type", "key"]) if production is not None else scope_guard(rows, "name", markers)
     ok = guarded.where(F.col("guard_error").isNull() & (F.col("type") != "database"))
-    lk = ok.join(live.select(F.col("type").alias("lt"), F.col("name").alias("ln"), F.col("id").alias("live_id")), (F.col("type") == F.col("lt")) & (F.col("name") == F.col("ln")), "left")
+    lv = _with_defaults(live, [("topic", "string")])
+    topic_key = lambda: F.when(F.col("type") == "guide", F.coalesce(F.col("topic"), F.lit(""))).otherwise(F.lit(""))
+    ok = ok.withColumn("__tk", topic_key())
+    lv = lv.select(F.col("type").alias("__lt"), F.col("name").alias("__ln"), topic_key().alias("__ltk"), F.col("id").alias("live_id"))
+    lk = ok.join(lv, (F.col("type") == F.col("__lt")) & (F.col("name") == F.col("__ln")) & (F.col("__tk") == F.col("__ltk")), "left")
     resolved = lk.select(
         "package",
         "type",

@@ -422,25 +422,38 @@ def q_snapshot_selection(spark, sf_dir):
 @register(
     "scope_guard",
     """
-WITH protected AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_acctbal > 9000),
-cand AS (
-  SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_name || '__feature_x' ELSE c_name END AS name FROM customer
+WITH cand AS (
+  SELECT c_custkey,
+    CASE WHEN c_mktsegment = 'FURNITURE' THEN 'share' ELSE 'dive' END AS type,
+    CASE WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN c_name || '__feature_x' ELSE c_name END AS name
+  FROM customer
+),
+prod AS (
+  SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN c_name || '__feature_x' ELSE c_name || '_prod' END AS production_name
+  FROM customer
 )
-SELECT c_custkey, name,
-  CASE WHEN p.name IS NOT NULL THEN 'refusing to delete protected name ' || cand.name
-       WHEN NOT (cand.name LIKE '%\\_\\_feature\\_x%' ESCAPE '\\' OR cand.name LIKE '%preview%') THEN 'refusing to delete unscoped name ' || cand.name
+SELECT cand.c_custkey, cand.type, cand.name,
+  CASE WHEN p.production_name IS NOT NULL AND cand.name = p.production_name
+         THEN 'refusing to delete preview ' || cand.type || ' because it matches production: ' || cand.name
+       WHEN NOT (contains(cand.name, '__feature_x') OR contains(cand.name, 'preview'))
+         THEN 'refusing to ' || CASE WHEN cand.type IN ('share', 'database') THEN 'drop' ELSE 'delete' END
+              || ' preview ' || cand.type || ' without branch slug __feature_x'
   END AS guard_error
-FROM cand LEFT JOIN protected p USING (name)
+FROM cand LEFT JOIN prod p USING (c_custkey)
 """,
 )
 def q_scope_guard(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
-    protected = c.where(F.col("c_acctbal") > 9000).select(F.col("c_name").alias("name"))
     cand = c.select(
         "c_custkey",
-        F.when(F.col("c_mktsegment") == "MACHINERY", F.concat("c_name", F.lit("__feature_x"))).otherwise(F.col("c_name")).alias("name"),
+        F.when(F.col("c_mktsegment") == "FURNITURE", "share").otherwise("dive").alias("type"),
+        F.when(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"), F.concat("c_name", F.lit("__feature_x"))).otherwise(F.col("c_name")).alias("name"),
+    )
+    production = c.select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") > 9000, F.concat("c_name", F.lit("__feature_x"))).otherwise(F.concat("c_name", F.lit("_prod"))).alias("production_name"),
     )
-    return flt.scope_guard(cand, "name", protected, "name", ["__feature_x", "preview"])
+    return flt.scope_guard(cand, "name", ["__feature_x", "", "preview"], production, ["c_custkey"])
 
 
 @register(

@@ -237,15 +237,23 @@ cand AS (
     CASE WHEN s_nationkey < 10 THEN 0 WHEN s_nationkey < 20 THEN 1 ELSE 2 END AS level,
     s_acctbal > 9000 AS drop_database,
     'db_' || lower(s_name) || '__preview_x' AS database,
+    NOT (s_acctbal BETWEEN 3000 AND 3300) AS cleanup,
+    s_acctbal > 300 AS deploy,
+    CASE WHEN s_acctbal > 1000 THEN 'ops' END AS topic,
+    s_name,
     s_acctbal
   FROM supplier
 ),
 live AS (
-  SELECT type, name, 'id_' || key AS id FROM cand WHERE s_acctbal > 1000
+  SELECT type, name, 'id_' || key AS id, CASE WHEN s_acctbal > 1500 THEN 'ops' ELSE '' END AS topic FROM cand WHERE s_acctbal > 1000
   UNION ALL
-  SELECT type, name, 'id_' || key || '_b' FROM cand WHERE s_acctbal > 9500
+  SELECT type, name, 'id_' || key || '_b', CASE WHEN s_acctbal > 1500 THEN 'ops' ELSE '' END FROM cand WHERE s_acctbal > 9500
 ),
-protected AS (SELECT DISTINCT name FROM cand WHERE s_acctbal > 9800)"""
+production AS (
+  SELECT package, type, key, CASE WHEN s_acctbal > 9800 THEN name ELSE s_name || '_prod' END AS production_name FROM cand
+  UNION ALL
+  SELECT package, 'database', key, CASE WHEN s_acctbal > 9900 THEN database ELSE 'db_prod' END FROM cand WHERE type = 'share'
+)"""
 
 
 def delete_inputs(spark, sf_dir):
@@ -259,34 +267,52 @@ def delete_inputs(spark, sf_dir):
         F.when(F.col("s_nationkey") < 10, 0).when(F.col("s_nationkey") < 20, 1).otherwise(2).alias("level"),
         (bal > 9000).alias("drop_database"),
         F.concat(F.lit("db_"), F.lower("s_name"), F.lit("__preview_x")).alias("database"),
+        (~bal.between(3000, 3300)).alias("cleanup"),
+        (bal > 300).alias("deploy"),
+        F.when(bal > 1000, F.lit("ops")).alias("topic"),
+        "s_name",
         bal,
     )
-    live = cand.where(bal > 1000).select("type", "name", F.concat(F.lit("id_"), F.col("key")).alias("id")).unionByName(
-        cand.where(bal > 9500).select("type", "name", F.concat(F.lit("id_"), F.col("key"), F.lit("_b")).alias("id"))
+    live_topic = F.when(bal > 1500, "ops").otherwise("")
+    live = cand.where(bal > 1000).select("type", "name", F.concat(F.lit("id_"), F.col("key")).alias("id"), live_topic.alias("topic")).unionByName(
+        cand.where(bal > 9500).select("type", "name", F.concat(F.lit("id_"), F.col("key"), F.lit("_b")).alias("id"), live_topic.alias("topic"))
+    )
+    production = cand.select(
+        "package", "type", "key", F.when(bal > 9800, F.col("name")).otherwise(F.concat("s_name", F.lit("_prod"))).alias("production_name")
+    ).unionByName(
+        cand.where(F.col("type") == "share").select(
+            "package", F.lit("database").alias("type"), "key", F.when(bal > 9900, F.col("database")).otherwise(F.lit("db_prod")).alias("production_name")
+        )
     )
-    protected = cand.where(bal > 9800).select("name")
-    return cand.drop("s_acctbal"), live, protected
+    return cand.drop("s_acctbal", "s_name"), live, production
 
 
 @register(
     "plan_deletes",
     f"""
 WITH {DELETE_INPUT_SQL},
+kept AS (SELECT * FROM cand WHERE coalesce(cleanup, true) AND (type <> 'guide' OR coalesce(deploy, false))),
 rows AS (
-  SELECT package, type, key, name, level FROM cand
+  SELECT package, type, key, name, level, topic FROM kept
   UNION ALL
-  SELECT package, 'database', key, database, level FROM cand WHERE type = 'share' AND drop_database
+  SELECT package, 'database', key, database, level, CAST(NULL AS VARCHAR) FROM kept WHERE type = 'share' AND drop_database
 ),
 g AS (
-  SELECT r.*, CASE WHEN p.name IS NOT NULL THEN 'refusing to delete protected name ' || r.name
-                   WHEN NOT (r.name LIKE '%\\_\\_preview\\_x%' ESCAPE '\\') THEN 'refusing to delete unscoped name ' || r.name END AS guard_error
-  FROM rows r LEFT JOIN protected p ON p.name = r.name
+  SELECT r.*,
+    CASE WHEN p.production_name IS NOT NULL AND r.name = p.production_name
+           THEN 'refusing to delete preview ' || r.type || ' because it matches production: ' || r.name
+         WHEN NOT contains(r.name, '__preview_x')
+           THEN 'refusing to ' || CASE WHEN r.type IN ('share', 'database') THEN 'drop' ELSE 'delete' END
+                || ' preview ' || r.type || ' without branch slug __preview_x'
+    END AS guard_error
+  FROM rows r LEFT JOIN production p ON p.package = r.package AND p.type = r.type AND p.key = r.key
 ),
 resolved AS (
   SELECT g.package, g.type, g.key, g.name, g.level,
     CASE WHEN l.id IS NULL THEN 'missing' WHEN g.type = 'share' THEN 'drop_share' ELSE 'delete' END AS action,
     l.id IS NOT NULL AS "exists", l.id AS id, '' AS notes
   FROM g LEFT JOIN live l ON l.type = g.type AND l.name = g.name
+    AND (CASE WHEN g.type = 'guide' THEN coalesce(g.topic, '') ELSE '' END) = (CASE WHEN l.type = 'guide' THEN coalesce(l.topic, '') ELSE '' END)
   WHERE g.guard_error IS NULL AND g.type <> 'database'
   UNION ALL
   SELECT package, type, key, name, level, 'error', CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), guard_error FROM g WHERE guard_error IS NOT NULL
@@ -300,8 +326,8 @@ FROM resolved
 """,
 )
 def q_plan_deletes(spark, sf_dir):
-    cand, live, protected = delete_inputs(spark, sf_dir)
-    return ch.plan_deletes(cand, live, protected, ["__preview_x"])
+    cand, live, production = delete_inputs(spark, sf_dir)
+    return ch.plan_deletes(cand, live, production, ["__preview_x"])
 
 
 # ====================================================================

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablework.operators import filters as flt
 from tablework.operators import quality as q
 from tablework.operators import shape
 from tablework.plans import changes as ch
@@ -110,17 +111,22 @@ def test_append_versions(spark):
 def test_cleanup_order_and_guard(spark):
     cand = spark.createDataFrame(
         [
-            ("consumer", "dive", "d", "Dive (preview x)", 1, False, None),
-            ("consumer", "flight", "f", "flight_preview_x", 1, False, None),
-            ("producer", "flight", "f", "flight_preview_x2", 0, False, None),
-            ("producer", "share", "s", "share_preview_x", 0, True, "db_preview_x"),
-            ("producer", "guide", "g", "Prod guide", 0, False, None),
+            ("consumer", "dive", "d", "Dive (preview x)", 1, False, None, None),
+            ("consumer", "flight", "f", "flight_preview_x", 1, False, None, None),
+            ("producer", "flight", "f", "flight_preview_x2", 0, False, None, None),
+            ("producer", "share", "s", "share_preview_x", 0, True, "db_preview_x", None),
+            ("producer", "guide", "g", "Guide preview x", 0, False, None, True),
+            ("producer", "guide", "h", "Hidden preview x", 0, False, None, False),
+            ("producer", "share", "t", "kept_preview_x", 0, False, None, None),
         ],
-        "package string, type string, key string, name string, level int, drop_database boolean, database string",
-    )
+        "package string, type string, key string, name string, level int, drop_database boolean, database string, deploy boolean",
+    ).withColumn("cleanup", F.col("key") != "t")
     live = spark.createDataFrame([("dive", "Dive (preview x)", "d1"), ("flight", "flight_preview_x", "f1"), ("share", "share_preview_x", "url")], "type string, name string, id string")
-    protected = spark.createDataFrame([("Prod guide",)], "name string")
-    out = ch.order_deletes(ch.plan_deletes(cand, live, protected, ["preview_x", "preview x"])).collect()
+    production = spark.createDataFrame(
+        [("producer", "guide", "g", "Guide preview x"), ("producer", "share", "s", "share_prod")],
+        "package string, type string, key string, production_name string",
+    )
+    out = ch.order_deletes(ch.plan_deletes(cand, live, production, ["preview_x", "preview x"])).collect()
     got = [(r["type"], r["package"], r["action"]) for r in out]
     assert got == [
         ("guide", "producer", "error"),
@@ -130,6 +136,17 @@ def test_cleanup_order_and_guard(spark):
         ("share", "producer", "drop_share"),
         ("database", "producer", "drop_database"),
     ]
+    assert out[0]["notes"] == "refusing to delete preview guide because it matches production: Guide preview x"
+
+
+def test_scope_guard_messages(spark):
+    df = spark.createDataFrame([("share", "s_main"), ("dive", "d_main"), ("dive", "d_feat")], "type string, name string")
+    got = {r["name"]: r["guard_error"] for r in flt.scope_guard(df, "name", ["feat", ""]).collect()}
+    assert got == {
+        "s_main": "refusing to drop preview share without branch slug feat",
+        "d_main": "refusing to delete preview dive without branch slug feat",
+        "d_feat": None,
+    }
 
 
 def test_row_rules(spark):
