@@ -42,15 +42,25 @@ def reconcile_members(
     current: DataFrame,
     keys: Sequence[str],
     mode: str = "authoritative",
+    kind_col: str | None = None,
+    direct_col: str | None = None,
 ) -> DataFrame:
     """GRANT rows for desired - current; REVOKE rows for current - desired in
     ``authoritative`` mode (``additive`` keeps extras).
 
-    Two anti joins on the member key; both inputs are de-duplicated by a
-    hash aggregate first, so duplicate rows never multiply.
+    ``kind_col`` (e.g. grantee type) is compared case-insensitively;
+    ``direct_col`` keeps only direct current memberships (inherited ones
+    are never revoked).  Two anti joins on the member key; both inputs are
+    de-duplicated by a hash aggregate first, so duplicate rows never
+    multiply.
     """
     if mode not in ("authoritative", "additive"):
         raise ValueError("mode must be authoritative or additive")
+    if direct_col:
+        current = current.where(F.coalesce(F.col(direct_col), F.lit(False)))
+    if kind_col:
+        desired = desired.withColumn(kind_col, F.lower(kind_col))
+        current = current.withColumn(kind_col, F.lower(kind_col))
     d = desired.select(*keys).distinct()
     c = current.select(*keys).distinct()
     grants = d.join(c, list(keys), "left_anti").withColumn("action", F.lit("GRANT"))

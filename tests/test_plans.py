@@ -197,3 +197,13 @@ def test_duplicate_share_is_one_row(spark):
     live = [("share", "S", "url2", None), ("share", "S", "url1", None)]
     out = ch.plan_changes(spark.createDataFrame(desired, DESIRED), spark.createDataFrame(live, LIVE)).collect()
     assert [(r["action"], r["id"]) for r in out] == [("present", "url1")]
+
+
+def test_role_membership_direct_only_and_case_insensitive(spark):
+    desired = spark.createDataFrame([("explorer", "role"), ("new", "user")], "member string, kind string")
+    current = spark.createDataFrame(
+        [("analyst", "ROLE", True), ("inherited", "role", False), ("old", "User", True)], "member string, kind string, direct boolean"
+    )
+    out = shape.reconcile_members(desired, current, ["member", "kind"], "authoritative", kind_col="kind", direct_col="direct")
+    got = sorted((r["action"], r["kind"], r["member"]) for r in out.collect())
+    assert got == [("GRANT", "role", "explorer"), ("GRANT", "user", "new"), ("REVOKE", "role", "analyst"), ("REVOKE", "user", "old")]
