@@ -67,9 +67,10 @@ def daily_trend_wide(
 
 def pageview_kpis(summary: DataFrame) -> DataFrame:
     """M7: totals over the summary, number of rows, the leading article (by
-    total views, ties on the smaller name) and *its* load time (not the
-    maximum), as the dashboard shows it.  One global aggregate."""
-    rank = F.struct(-F.col("total_views"), F.col("article"))
+    total views, ties on the smaller article then project name, so the pick
+    is deterministic) and *its* load time (not the maximum), as the
+    dashboard shows it.  One global aggregate."""
+    rank = F.struct(-F.col("total_views"), F.col("article"), F.col("project"))
     return summary.agg(
         F.sum("total_views").cast("bigint").alias("total_views"),
         F.sum("views_last_7_days").cast("bigint").alias("views_last_7_days"),

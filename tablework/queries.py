@@ -321,7 +321,7 @@ def q_daily_trend_wide(spark, sf_dir):
     "pageview_kpis",
     f"""
 WITH daily AS ({DAILY_SQL}), summary AS ({SUMMARY_SQL}),
-top AS (SELECT article, total_views, loaded_at_utc FROM summary ORDER BY total_views DESC, article LIMIT 1)
+top AS (SELECT article, total_views, loaded_at_utc FROM summary ORDER BY total_views DESC, article, project LIMIT 1)
 SELECT
   CAST(sum(total_views) AS BIGINT) AS total_views,
   CAST(sum(views_last_7_days) AS BIGINT) AS views_last_7_days,
