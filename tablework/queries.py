@@ -398,9 +398,22 @@ def _load_all() -> None:
     import tablework.queries_jobs  # noqa: F401  (registers end-to-end job queries)
 
 
+def _in_utc(fn: QueryFn) -> QueryFn:
+    """Timestamps of the data model are UTC: pin the session zone so the
+    results do not depend on the caller's session settings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     _load_all()
-    return {name: fn for name, (fn, _) in REGISTRY.items()}
+    return {name: _in_utc(fn) for name, (fn, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
