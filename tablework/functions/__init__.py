@@ -9,6 +9,7 @@ from tablework.functions.columns import (  # noqa: F401
     guarded_ratio,
     join_pair,
     json_field,
+    load_time,
     metric_label,
     newest,
     nonneg_diff,

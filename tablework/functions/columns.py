@@ -158,3 +158,13 @@ def json_field(column: ColumnOrName, path: str) -> Column:
 # ---------------------------------------------------------------- F4
 def round_to(column: ColumnOrName, digits: int) -> Column:
     return F.round(_c(column), digits)
+
+
+# ---------------------------------------------------------------- F14
+def load_time() -> str:
+    """Now in UTC cut to the second, as text: computed once on the driver
+    and passed to every query of a run as a literal (never
+    ``current_timestamp`` per query), so all tables of a load agree."""
+    import datetime as _dt
+
+    return _dt.datetime.now(_dt.timezone.utc).replace(microsecond=0, tzinfo=None).isoformat(sep=" ")

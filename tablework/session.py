@@ -49,7 +49,9 @@ def get_session(
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "8g")
+        # local mode: the driver JVM is the whole cluster; 4g fits small
+        # test machines and is plenty for the test scales
+        conf.setdefault("spark.driver.memory", os.environ.get("TABLEWORK_DRIVER_MEMORY", "4g"))
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

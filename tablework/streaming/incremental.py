@@ -16,13 +16,13 @@ always unique on the key.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablework.functions.columns import load_time
 from tablework.operators.windows import latest_per_key
 from tablework.session import checkpoint_dir
 from tablework.sinks.store import TableStore
@@ -61,7 +61,7 @@ def stream_upsert(
         done = store.meta().get("stream_batches", {}).get(table, -1)
         if batch_id <= done:
             return
-        stamp = loaded_at or dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None).isoformat(sep=" ")
+        stamp = loaded_at or load_time()
         rows = unnest_items(batch, [*request_cols, "__mtime", "__file"], stamp)
         rows = latest_per_key(rows, list(keys), [F.col("__mtime").desc(), F.col("__file").desc()]).drop("__mtime", "__file")
         if rows.isEmpty():

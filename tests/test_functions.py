@@ -92,3 +92,9 @@ def test_replace_table_twice_same_content(spark, tmp_path):
     store.replace_table("t", store.read("t"))
     assert sorted(tuple(r) for r in store.read("t").collect()) == first
     assert store.version() == 2
+
+
+def test_load_time_is_utc_seconds():
+    import re
+
+    assert re.fullmatch(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", fx.load_time())
