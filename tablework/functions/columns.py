@@ -121,9 +121,17 @@ def full_match(column: ColumnOrName, pattern: str) -> Column:
     return _c(column).rlike("^(?:" + pattern + ")$")
 
 
-def drop_lines(column: ColumnOrName, line_pattern: str) -> Column:
-    """Remove every line matching ``line_pattern`` (global replace)."""
-    return F.regexp_replace(_c(column), "(?m)^(?:" + line_pattern + ")\\r?\\n?", "")
+def drop_lines(column: ColumnOrName, contains_pattern: str) -> Column:
+    """Remove every whole line (with its newline) that contains a match of
+    ``contains_pattern``; only ``\\n`` ends a line.
+
+    One global replace of ``^[^\\n]*(?:pattern)[^\\n]*\\n?`` in multi-line
+    mode with UNIX_LINES (``(?d)``, so ``^`` only follows ``\\n``).  The
+    ``^`` anchor makes every attempt start at a line start, which keeps the
+    match linear in the text length (an unanchored pattern retries from
+    every position of a long line).
+    """
+    return F.regexp_replace(_c(column), "(?d)(?m)^[^\\n]*(?:" + contains_pattern + ")[^\\n]*\\n?", "")
 
 
 # ---------------------------------------------------------------- F11

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.contracts import Contract, source_schema
+from tablework.functions.columns import drop_lines
 from tablework.operators.quality import ContractError, check_contract_keys
 
 
@@ -151,17 +152,8 @@ def read_whole_text(spark: SparkSession, glob: str, drop_line_pattern: str | Non
     return df
 
 
-def drop_matching_lines(text: Column, contains_pattern: str) -> Column:
-    """Remove every whole line (with its newline) that contains a match of
-    ``contains_pattern``; only ``\\n`` ends a line.
-
-    One global replace of ``^[^\\n]*(?:pattern)[^\\n]*\\n?`` in multi-line
-    mode with UNIX_LINES (``(?d)``, so ``^`` only follows ``\\n``).  The
-    ``^`` anchor makes every attempt start at a line start, which keeps the
-    match linear in the text length (an unanchored pattern retries from
-    every position of a long line).
-    """
-    return F.regexp_replace(text, "(?d)(?m)^[^\\n]*(?:" + contains_pattern + ")[^\\n]*\\n?", "")
+# S4's line rewrite is the F10 helper
+drop_matching_lines = drop_lines
 
 
 __all__ = [
