@@ -259,9 +259,12 @@ def plan_deletes(
         (F.col("type") != "guide") | F.coalesce(F.col("deploy"), F.lit(False))
     )
     c = c.where(keep)
+    # optional declaration order inside a package (``ordinal``) is carried
+    # through so ``order_deletes`` can follow it
+    extra = ["ordinal"] if "ordinal" in candidates.columns else []
     shares = c.where((F.col("type") == "share") & F.coalesce("drop_database", F.lit(False)))
-    dbs = shares.select("package", F.lit("database").alias("type"), "key", F.col("database").alias("name"), "level", F.lit(None).cast("string").alias("topic"))
-    rows = c.select("package", "type", "key", "name", "level", "topic").unionByName(dbs)
+    dbs = shares.select("package", F.lit("database").alias("type"), "key", F.col("database").alias("name"), "level", F.lit(None).cast("string").alias("topic"), *extra)
+    rows = c.select("package", "type", "key", "name", "level", "topic", *extra).unionByName(dbs)
     guarded = scope_guard(rows, "name", markers, production, ["package", "type", "key"]) if production is not None else scope_guard(rows, "name", markers)
     ok = guarded.where(F.col("guard_error").isNull() & (F.col("type") != "database"))
     lv = _with_defaults(live, [("topic", "string")])
@@ -275,16 +278,17 @@ def plan_deletes(
         "key",
         "name",
         "level",
+        *extra,
         F.when(F.col("live_id").isNull(), "missing").when(F.col("type") == "share", "drop_share").otherwise("delete").alias("action"),
         F.col("live_id").isNotNull().alias("exists"),
         F.col("live_id").alias("id"),
         F.lit("").alias("notes"),
     )
     errors = guarded.where(F.col("guard_error").isNotNull()).select(
-        "package", "type", "key", "name", "level", F.lit("error").alias("action"), F.lit(None).cast("boolean").alias("exists"), F.lit(None).cast("string").alias("id"), F.col("guard_error").alias("notes")
+        "package", "type", "key", "name", "level", *extra, F.lit("error").alias("action"), F.lit(None).cast("boolean").alias("exists"), F.lit(None).cast("string").alias("id"), F.col("guard_error").alias("notes")
     )
     dropdb = guarded.where(F.col("guard_error").isNull() & (F.col("type") == "database")).select(
-        "package", "type", "key", "name", "level", F.lit("drop_database").alias("action"), F.lit(True).alias("exists"), F.lit(None).cast("string").alias("id"),
+        "package", "type", "key", "name", "level", *extra, F.lit("drop_database").alias("action"), F.lit(True).alias("exists"), F.lit(None).cast("string").alias("id"),
         F.lit("database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS").alias("notes"),
     )
     allr = resolved.unionByName(errors).unionByName(dropdb)
@@ -295,8 +299,18 @@ def plan_deletes(
 
 
 def order_deletes(plan: DataFrame) -> DataFrame:
+    """Guides, dives, flights, then shares each followed by its database;
+    consumers before producers (higher level first); inside a package the
+    declaration order (``ordinal``) when given, else the key."""
+    within = [F.col("ordinal").asc_nulls_last()] if "ordinal" in plan.columns else []
     return plan.orderBy(
-        F.col("kind_rank").asc(), F.col("level").desc(), F.col("package").asc(), F.col("key").asc(), F.col("sub_rank").asc(), F.col("id").asc_nulls_first()
+        F.col("kind_rank").asc(),
+        F.col("level").desc(),
+        F.col("package").asc(),
+        *within,
+        F.col("key").asc(),
+        F.col("sub_rank").asc(),
+        F.col("id").asc_nulls_first(),
     )
 
 

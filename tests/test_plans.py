@@ -207,3 +207,61 @@ def test_role_membership_direct_only_and_case_insensitive(spark):
     out = shape.reconcile_members(desired, current, ["member", "kind"], "authoritative", kind_col="kind", direct_col="direct")
     got = sorted((r["action"], r["kind"], r["member"]) for r in out.collect())
     assert got == [("GRANT", "role", "explorer"), ("GRANT", "user", "new"), ("REVOKE", "role", "analyst"), ("REVOKE", "user", "old")]
+
+
+# FX13: the "operations" manifest of the complex fixture, already parsed
+OPERATIONS_PROD = [
+    ("operations", "share", "raw", "operations_raw", True, None, None, None, [], None, None),
+    ("operations", "share", "marts", "operations_marts", True, None, None, None, [], None, None),
+    ("operations", "flight", "ingest", "operations-ingest", True, True, None, None, [], None, None),
+    ("operations", "flight", "transform", "operations-transform", True, True, None, None, [], None, None),
+    ("operations", "dive", "dashboard", "Operations Dashboard", True, None, None, None, [], None, None),
+    ("operations", "context", "policy", "policy.md", False, None, None, None, [], None, None),
+]
+
+
+def test_operations_manifest_first_deploy(spark):
+    p = plan(spark, OPERATIONS_PROD, [])
+    got = {k: (v["action"], v["status_label"]) for k, v in p.items()}
+    assert got == {
+        ("share", "raw"): ("pending", ""),
+        ("share", "marts"): ("pending", ""),
+        ("flight", "ingest"): ("create", ""),
+        ("flight", "transform"): ("create", ""),
+        ("dive", "dashboard"): ("create", "draft (default)"),
+        ("context", "policy"): ("validated_only", ""),
+    }
+    assert p[("context", "policy")]["notes"] == "context deployment is not available yet"
+
+
+def test_operations_manifest_preview_cleanup(spark):
+    suffix = "_preview_feature_x"
+    cand = spark.createDataFrame(
+        [
+            ("operations", "share", "raw", "operations_raw" + suffix, 0, True, "operations_raw" + suffix, 0),
+            ("operations", "share", "marts", "operations_marts" + suffix, 0, True, "operations_marts" + suffix, 1),
+            ("operations", "flight", "ingest", "operations-ingest:feature-x (Preview)", 0, False, None, 0),
+            ("operations", "flight", "transform", "operations-transform:feature-x (Preview)", 0, False, None, 1),
+            ("operations", "dive", "dashboard", "Operations Dashboard:feature-x (Preview)", 0, False, None, 0),
+        ],
+        "package string, type string, key string, name string, level int, drop_database boolean, database string, ordinal int",
+    )
+    live = spark.createDataFrame(
+        [("share", "operations_raw" + suffix, "url_raw"), ("flight", "operations-ingest:feature-x (Preview)", "f1"),
+         ("dive", "Operations Dashboard:feature-x (Preview)", "d1")],
+        "type string, name string, id string",
+    )
+    production = spark.createDataFrame(
+        [("operations", "share", "raw", "operations_raw"), ("operations", "database", "raw", "operations_raw")],
+        "package string, type string, key string, production_name string",
+    )
+    out = ch.order_deletes(ch.plan_deletes(cand, live, production, ["feature_x", "feature-x"])).collect()
+    assert [(r["type"], r["key"], r["action"]) for r in out] == [
+        ("dive", "dashboard", "delete"),
+        ("flight", "ingest", "delete"),
+        ("flight", "transform", "missing"),
+        ("share", "raw", "drop_share"),
+        ("database", "raw", "drop_database"),
+        ("share", "marts", "missing"),
+        ("database", "marts", "drop_database"),
+    ]
