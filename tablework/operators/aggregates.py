@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +115,27 @@ def kpi_row(
     count_name: str = "field_count",
 ) -> DataFrame:
     """One KPI row, also on empty input: filtered count, exact median,
-    sums, max version and formatted max load time."""
-    med = exact_median(df, ratio_col)
-    return df.agg(
-        F.count_if(F.col(ratio_col).isNotNull()).cast("bigint").alias(count_name),
-        F.lit(med).cast("double").alias(median_name),
-        *[F.sum(src).alias(dst) for src, dst in sum_cols],
-        F.max(version_col).alias(version_col),
-        fmt_utc(F.max(time_col)).alias("loaded_at"),
-    )
+    sums, max version and formatted max load time.
+
+    The input feeds several jobs (median narrowing, then the aggregate), so
+    it is persisted (memory and disk; a lost block is recomputed from its
+    lineage) for their duration.  The result is one row, materialised and
+    returned as a one-row DataFrame so the cache can be released.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        med = exact_median(cached, ratio_col)
+        kpis = cached.agg(
+            F.count_if(F.col(ratio_col).isNotNull()).cast("bigint").alias(count_name),
+            F.lit(med).cast("double").alias(median_name),
+            *[F.sum(src).alias(dst) for src, dst in sum_cols],
+            F.max(version_col).alias(version_col),
+            fmt_utc(F.max(time_col)).alias("loaded_at"),
+        )
+        row = kpis.first()
+        return df.sparkSession.createDataFrame([tuple(row)], kpis.schema)
+    finally:
+        cached.unpersist()
 
 
 # ---------------------------------------------------------------- A4
