@@ -84,7 +84,8 @@ def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "
     step = edges.select(F.col("producer").alias("src"), F.col("consumer").alias("dst"))
     if direction == "preview":
         step = step.unionByName(edges.select(F.col("consumer").alias("src"), F.col("producer").alias("dst")))
-    step = _cut(step.distinct())
+    # no distinct here: every round de-duplicates its new frontier anyway
+    step = _cut(step)
     visited = _cut(seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0)))
     frontier = visited.select("node")
     depth = 0
