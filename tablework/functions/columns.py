@@ -129,9 +129,12 @@ def drop_lines(column: ColumnOrName, contains_pattern: str) -> Column:
     mode with UNIX_LINES (``(?d)``, so ``^`` only follows ``\\n``).  The
     ``^`` anchor makes every attempt start at a line start, which keeps the
     match linear in the text length (an unanchored pattern retries from
-    every position of a long line).
+    every position of a long line).  Texts without any match skip the
+    rewrite (a plain ``rlike`` scan decides).
     """
-    return F.regexp_replace(_c(column), "(?d)(?m)^[^\\n]*(?:" + contains_pattern + ")[^\\n]*\\n?", "")
+    text = _c(column)
+    rewritten = F.regexp_replace(text, "(?d)(?m)^[^\\n]*(?:" + contains_pattern + ")[^\\n]*\\n?", "")
+    return F.when(text.rlike(contains_pattern), rewritten).otherwise(text)
 
 
 # ---------------------------------------------------------------- F11
