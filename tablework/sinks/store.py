@@ -43,6 +43,9 @@ _MANIFEST_SCHEMA = (
     "primary_key string, partition_expr string, n_rows_in_version long, committed_at string, meta string"
 )
 
+# Directory value Spark writes for a NULL partition value.
+_NULL_PART = "__HIVE_DEFAULT_PARTITION__"
+
 # Sentinel: keep the include filter of the previous snapshot (K7).
 KEEP = object()
 
@@ -238,7 +241,8 @@ class TableStore:
         """K5: delete target rows whose key matches an incoming row, insert
         all incoming rows.  Incoming keys must be unique.  For a partitioned
         table only the partitions touched by ``incoming`` are rewritten; the
-        others are carried over by reference."""
+        others are carried over by reference (the partition expression must
+        be a function of the key columns, e.g. the month of a key date)."""
         version, tables, old_meta = self._read_manifest()
         entry = tables.get(name)
         if entry is None:
@@ -246,7 +250,10 @@ class TableStore:
         incoming = incoming.select(*entry.schema.fieldNames())
         self._validate(entry, incoming)
         if entry.partition_expr:
-            touched = [r[0] for r in incoming.select(F.expr(entry.partition_expr).cast("string")).distinct().collect()]
+            touched = [
+                _NULL_PART if r[0] is None else r[0]
+                for r in incoming.select(F.expr(entry.partition_expr).cast("string")).distinct().collect()
+            ]
             old = self._read_entry(entry, touched)
             kept_paths = [(p, path) for p, path in entry.paths if p not in touched]
         else:

@@ -105,3 +105,12 @@ def test_summary_trend_and_kpis(spark):
     long_rows = pv.daily_trend(daily, "2024-01-31", days=5).collect()
     assert [(r["viewed_on"], r["article"]) for r in long_rows] == [("2024-01-28", "A"), ("2024-01-28", "B")]
     assert F is not None
+
+
+def test_upsert_with_null_partition_value(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.ensure_table("t", spark.createDataFrame([], "k int, d date, v int").schema,
+                       primary_key=["k"], partition_expr="date_format(d, 'yyyy-MM')")
+    store.upsert("t", spark.createDataFrame([(1, None, 1), (2, dt.date(2024, 1, 1), 2)], "k int, d date, v int"), ["k"])
+    store.upsert("t", spark.createDataFrame([(1, None, 10)], "k int, d date, v int"), ["k"])
+    assert sorted(tuple(r) for r in store.read("t").select("k", "v").collect()) == [(1, 10), (2, 2)]
