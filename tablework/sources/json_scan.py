@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tablework.contracts import Contract, source_schema
 from tablework.functions.columns import drop_lines
@@ -77,9 +78,9 @@ def unnest_pages(
     more_col: str = "exceededTransferLimit",
     error_col: str = "error",
 ) -> DataFrame:
-    """Landed API pages (one row per page, payload columns as raw JSON
-    text) to one row per feature ``attributes`` object, typed by
-    ``contract`` (source names).
+    """Landed API pages (one row per page; payload columns either raw
+    JSON text or parsed by the JSON reader) to one row per feature
+    ``attributes`` object, typed by ``contract`` (source names).
 
     Non-object features and features without an object ``attributes`` are
     dropped; a missing ``features`` is an empty list.  Page-level errors
@@ -87,9 +88,15 @@ def unnest_pages(
     more data with no kept rows, no rows at all) are computed in one
     aggregate over the pages and raised on the driver.
     """
-    cols = set(pages.columns)
-    feats = F.coalesce(F.col(array_col).cast("string"), F.lit("[]")) if array_col in cols else F.lit("[]")
-    err = F.col(error_col).cast("string") if error_col in cols else F.lit(None).cast("string")
+    types = {f.name: f.dataType for f in pages.schema.fields}
+
+    def as_json_text(name: str) -> Column:
+        # raw JSON text when read as string, else serialise the parsed value
+        return F.col(name) if isinstance(types[name], StringType) else F.to_json(F.col(name))
+
+    feats = F.coalesce(as_json_text(array_col), F.lit("[]")) if array_col in types else F.lit("[]")
+    err = as_json_text(error_col) if error_col in types else F.lit(None).cast("string")
+    cols = set(types)
     more = F.coalesce(F.col(more_col).cast("boolean"), F.lit(False)) if more_col in cols else F.lit(False)
     is_list = F.trim(feats).startswith("[")
     elems = F.from_json(F.when(is_list, feats), "array<string>")
