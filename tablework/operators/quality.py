@@ -33,7 +33,8 @@ class Rule:
     ``min_length`` (length >= ``arg``), ``pattern`` (whole-string regex
     ``arg``), ``min_items`` (array size >= ``arg``), ``exactly_one`` /
     ``at_most_one`` (of the columns in ``arg``), ``requires`` (when
-    ``column`` is set, all of ``arg`` must be set).
+    ``column`` is set, all of ``arg`` must be set), ``implies`` (``arg`` =
+    (value, other column, other value): the value needs the other value).
     """
 
     kind: str
@@ -84,6 +85,9 @@ def _rule_fails(rule: Rule) -> tuple[Column, str]:
         if k == "exactly_one":
             return n_set != F.lit(1), f"exactly one of {', '.join(cols)} is required"
         return n_set > F.lit(1), f"at most one of {', '.join(cols)} may be set"
+    if k == "implies":
+        value, other, other_value = a
+        return (c == F.lit(value)) & ~F.coalesce(F.col(other) == F.lit(other_value), F.lit(False)), f"{rule.column} {value} requires {other} {other_value}"
     if k == "requires":
         needs = list(a)
         missing = reduce(lambda x, y: x | y, [~_is_set(F.col(x)) for x in needs])

@@ -265,3 +265,16 @@ def test_operations_manifest_preview_cleanup(spark):
         ("share", "marts", "missing"),
         ("database", "marts", "drop_database"),
     ]
+
+
+def test_share_access_rules(spark):
+    df = spark.createDataFrame(
+        [(1, "HIDDEN", "RESTRICTED"), (2, "HIDDEN", "ORGANIZATION"), (3, "DISCOVERABLE", "UNRESTRICTED"), (4, "SECRET", None)],
+        "id int, visibility string, access string",
+    )
+    rules = [
+        q.Rule("enum", "visibility", ["DISCOVERABLE", "HIDDEN"]),
+        q.Rule("implies", "visibility", ("HIDDEN", "access", "RESTRICTED"), message="HIDDEN shares must use RESTRICTED access"),
+    ]
+    got = sorted((r["id"], r["rule"], r["message"]) for r in q.check_rows(df, rules, ["id"]).collect())
+    assert got == [(2, "implies", "HIDDEN shares must use RESTRICTED access"), (4, "enum", "visibility must be one of DISCOVERABLE, HIDDEN")]
