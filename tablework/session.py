@@ -78,3 +78,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+def scale_conf(
+    input_bytes: int,
+    executor_memory_bytes: int = 16 << 30,
+    executor_cores: int = 4,
+    target_partition_bytes: int = 256 << 20,
+) -> dict[str, str]:
+    """Settings that keep tasks inside executor memory at a given input size.
+
+    * scan splits: ``maxPartitionBytes`` = the target partition size, capped
+      so one core's share of executor memory holds ~4 splits (decoded rows
+      are larger than parquet bytes);
+    * shuffles: start with ``input / target`` partitions (at least 200) and
+      let AQE coalesce small ones towards the same advisory size, so the
+      reducers of a 100 TB job are ~256 MB each, not 500 GB;
+    * skew: AQE splits any partition over 5x the median and over 4x the
+      target size (hot keys).
+    """
+    per_core = executor_memory_bytes // max(1, executor_cores)
+    split = max(32 << 20, min(target_partition_bytes, per_core // 4))
+    shuffle_parts = max(200, -(-input_bytes // split))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * split),
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int, **kwargs) -> dict[str, str]:
+    """Set ``scale_conf`` on a running session (all are runtime SQL confs)."""
+    conf = scale_conf(input_bytes, **kwargs)
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    return conf

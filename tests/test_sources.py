@@ -60,3 +60,15 @@ def test_catalog_inventory(spark):
     assert got == [("inv_a", 2), ("inv_b", 1)]
     s = inventory_summary(inv).first()
     assert (s["schemas"], s["columns"], s["tables"]) == (1, 3, 2)
+
+
+def test_scale_conf_sizes_partitions():
+    from tablework.session import scale_conf
+
+    big = scale_conf(100 << 40)  # 100 TB
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 << 20
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    small = scale_conf(10 << 20)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    tight = scale_conf(1 << 40, executor_memory_bytes=4 << 30, executor_cores=8)
+    assert int(tight["spark.sql.files.maxPartitionBytes"]) == 128 << 20
