@@ -98,3 +98,18 @@ def test_load_time_is_utc_seconds():
     import re
 
     assert re.fullmatch(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", fx.load_time())
+
+
+def test_typed_literals_and_split_first(spark):
+    row = spark.range(1).select(
+        fx.string_array([]).alias("empty_list"),
+        fx.string_map([], []).alias("empty_map"),
+        fx.string_map(["k"], ["v"]).alias("one"),
+    ).first()
+    assert row["empty_list"] == [] and row["empty_map"] == {} and row["one"] == {"k": "v"}
+    df = spark.createDataFrame([("12|RUN|x",), ("nosep",)], "s string")
+    head, rest = fx.split_first(F.col("s"))
+    got = [(r[0], r[1]) for r in df.select(head, rest).collect()]
+    assert got == [("12", "RUN|x"), ("nosep", None)]
+    types = spark.range(1).select(fx.string_array([]).alias("a"), fx.string_map([], []).alias("m")).schema
+    assert types["a"].dataType.simpleString() == "array<string>" and types["m"].dataType.simpleString() == "map<string,string>"
