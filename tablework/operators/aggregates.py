@@ -69,7 +69,7 @@ def exact_median(df: DataFrame, column: str, accuracy: int = 10000, collect_limi
     hi_val: float | None = None
     below = 0  # rows strictly below lo_val
     n: int | None = None
-    for _ in range(8):
+    for _ in range(12):
         part = base
         if lo_val is not None:
             part = part.where((F.col("v") >= F.lit(lo_val)) & (F.col("v") <= F.lit(hi_val)))
@@ -100,7 +100,17 @@ def exact_median(df: DataFrame, column: str, accuracy: int = 10000, collect_limi
         hi_q = min(1.0, (k2 - below) / m + eps)
         row = part.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("q")).first()
         new_lo, new_hi = row["q"][0], row["q"][1]
-        below += part.where(F.col("v") < F.lit(new_lo)).count()
+        # exact counts decide whether the bracket really holds both middle
+        # ranks; if the sketch missed, retry this step with more accuracy
+        counts = part.agg(
+            F.count_if(F.col("v") < F.lit(new_lo)).alias("lt"),
+            F.count_if((F.col("v") >= F.lit(new_lo)) & (F.col("v") <= F.lit(new_hi))).alias("inside"),
+        ).first()
+        new_below = below + counts["lt"]
+        if not (new_below <= k1 and k2 < new_below + counts["inside"]):
+            accuracy *= 10
+            continue
+        below = new_below
         lo_val, hi_val = new_lo, new_hi
     raise RuntimeError("exact_median did not converge")
 
