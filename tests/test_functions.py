@@ -113,3 +113,14 @@ def test_typed_literals_and_split_first(spark):
     assert got == [("12", "RUN|x"), ("nosep", None)]
     types = spark.range(1).select(fx.string_array([]).alias("a"), fx.string_map([], []).alias("m")).schema
     assert types["a"].dataType.simpleString() == "array<string>" and types["m"].dataType.simpleString() == "map<string,string>"
+
+
+def test_store_two_writers_cannot_commit_same_version(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "db"))
+    store.replace_table("t", spark.createDataFrame([(1,)], "a int"))
+    version, tables, meta = store._read_manifest()
+    store._commit(version, tables, meta)  # first writer wins version + 1
+    with pytest.raises(Exception):
+        store._commit(version, tables, meta)  # second writer saw the same version
+    assert store.version() == version + 1
+    assert store.read("t").count() == 1
