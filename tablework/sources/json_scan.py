@@ -1,10 +1,11 @@
 """JSON and text sources.
 
-Sources never pass data through the driver.  Contract checks (Q5) are
-done on the *set of keys present* in the data, computed as a distributed
-``distinct`` over ``map_keys`` (bounded by the number of distinct keys),
-so a column that is absent everywhere fails the load exactly like a
-binder error would, while a column that is present but NULL does not.
+Sources never pass data through the driver.  Contract checks (Q5) run on
+the *set of keys present* in the data: for typed scans that is the schema
+Spark infers over all files, for page payloads a distributed ``distinct``
+over ``map_keys`` of the attribute objects (bounded by the number of
+distinct keys).  A column that is absent everywhere fails the load, like
+a binder error; a column that is present but NULL does not.
 """
 
 from __future__ import annotations
