@@ -35,6 +35,32 @@ ITEM_PAYLOAD_SCHEMA = (
 )
 
 
+def upsert_batch(
+    store: TableStore,
+    table: str,
+    batch: DataFrame,
+    batch_id: int,
+    keys: Sequence[str],
+    request_cols: Sequence[str] = ("article",),
+    loaded_at: str | None = None,
+) -> bool:
+    """Upsert one micro-batch of landed payload rows (``batch`` carries the
+    ``__mtime``/``__file`` metadata columns).  Returns False when the batch
+    id was already committed (a replay) or the batch is empty."""
+    done = store.meta().get("stream_batches", {}).get(table, -1)
+    if batch_id <= done:
+        return False
+    stamp = loaded_at or load_time()
+    rows = unnest_items(batch, [*request_cols, "__mtime", "__file"], stamp)
+    rows = latest_per_key(rows, list(keys), [F.col("__mtime").desc(), F.col("__file").desc()]).drop("__mtime", "__file")
+    if rows.isEmpty():
+        return False
+    batches = dict(store.meta().get("stream_batches", {}))
+    batches[table] = batch_id
+    store.upsert(table, rows, keys, meta={"stream_batches": batches})
+    return True
+
+
 def stream_upsert(
     spark: SparkSession,
     landing_dir: str,
@@ -58,18 +84,8 @@ def stream_upsert(
     committed = []
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        done = store.meta().get("stream_batches", {}).get(table, -1)
-        if batch_id <= done:
-            return
-        stamp = loaded_at or load_time()
-        rows = unnest_items(batch, [*request_cols, "__mtime", "__file"], stamp)
-        rows = latest_per_key(rows, list(keys), [F.col("__mtime").desc(), F.col("__file").desc()]).drop("__mtime", "__file")
-        if rows.isEmpty():
-            return
-        batches = dict(store.meta().get("stream_batches", {}))
-        batches[table] = batch_id
-        store.upsert(table, rows, keys, meta={"stream_batches": batches})
-        committed.append(batch_id)
+        if upsert_batch(store, table, batch, batch_id, keys, request_cols, loaded_at):
+            committed.append(batch_id)
 
     query = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -114,3 +114,22 @@ def test_upsert_with_null_partition_value(spark, tmp_path):
     store.upsert("t", spark.createDataFrame([(1, None, 1), (2, dt.date(2024, 1, 1), 2)], "k int, d date, v int"), ["k"])
     store.upsert("t", spark.createDataFrame([(1, None, 10)], "k int, d date, v int"), ["k"])
     assert sorted(tuple(r) for r in store.read("t").select("k", "v").collect()) == [(1, 10), (2, 2)]
+
+
+def test_replayed_batch_is_skipped(spark, tmp_path):
+    from tablework.streaming.incremental import upsert_batch
+
+    store = new_store(spark, tmp_path)
+    batch = payload_df(spark, [{"article": "A", "items": [item("2024013100", 5)]}]).select(
+        "*", F.lit(1).cast("timestamp").alias("__mtime"), F.lit("f1").alias("__file")
+    )
+    assert upsert_batch(store, "pageviews_daily", batch, 0, PAGEVIEWS_KEY, loaded_at="2024-02-01 06:00:00")
+    version = store.version()
+    assert not upsert_batch(store, "pageviews_daily", batch, 0, PAGEVIEWS_KEY)  # replay after a crash
+    assert store.version() == version
+    later = payload_df(spark, [{"article": "A", "items": [item("2024013100", 7)]}]).select(
+        "*", F.lit(2).cast("timestamp").alias("__mtime"), F.lit("f2").alias("__file")
+    )
+    older = batch
+    assert upsert_batch(store, "pageviews_daily", later.unionByName(older), 1, PAGEVIEWS_KEY)
+    assert [r["views"] for r in store.read("pageviews_daily").collect()] == [7]  # newest landed file wins
