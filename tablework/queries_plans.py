@@ -511,6 +511,34 @@ def q_lineage_levels(spark, sf_dir):
     return levels.select("node", F.col("level").cast("int").alias("level"))
 
 
+@register(
+    "lineage_edges",
+    """
+SELECT DISTINCT consumer, producer FROM (
+  SELECT 'nation:' || CAST(n_nationkey AS VARCHAR) AS consumer, 'region:' || CAST(n_regionkey AS VARCHAR) AS producer FROM nation
+  UNION ALL SELECT 'customer:' || CAST(c_custkey AS VARCHAR), 'nation:' || CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR), 'nation:' || CAST(s_nationkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'customer:' || CAST(c_custkey AS VARCHAR), 'nation:' || CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_acctbal > 5000
+) e
+""",
+)
+def q_lineage_edges(spark, sf_dir):
+    """L1: declared inputs (nation -> region, customer -> nation) plus
+    references (supplier -> nation, repeated customer references, and
+    same-package self references, which add no edge)."""
+    nation, customer, supplier, region = (_t(spark, sf_dir, n) for n in ("nation", "customer", "supplier", "region"))
+    node = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    inputs = nation.select(node("nation:", "n_nationkey").alias("consumer"), node("region:", "n_regionkey").alias("producer")).unionByName(
+        customer.select(node("customer:", "c_custkey").alias("consumer"), node("nation:", "c_nationkey").alias("producer"))
+    )
+    references = (
+        supplier.select(node("supplier:", "s_suppkey").alias("consumer"), node("nation:", "s_nationkey").alias("producer"))
+        .unionByName(customer.where(F.col("c_acctbal") > 5000).select(node("customer:", "c_custkey").alias("consumer"), node("nation:", "c_nationkey").alias("producer")))
+        .unionByName(region.select(node("region:", "r_regionkey").alias("consumer"), node("region:", "r_regionkey").alias("producer")))
+    )
+    return lg.build_edges(inputs, references)
+
+
 # ====================================================================
 # J7 path-prefix join on page URLs
 # ====================================================================

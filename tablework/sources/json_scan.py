@@ -160,6 +160,13 @@ def read_whole_text(spark: SparkSession, glob: str, drop_line_pattern: str | Non
     return df
 
 
+def read_whole_binary(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
+    """S4, binary variant: one row per file (``path``, ``length``,
+    ``content`` decoded as text) via the ``binaryFile`` source."""
+    df = spark.read.format("binaryFile").load(glob)
+    return df.select("path", "length", F.decode("content", encoding).alias("content"))
+
+
 # S4's line rewrite is the F10 helper
 drop_matching_lines = drop_lines
 
@@ -170,6 +177,7 @@ __all__ = [
     "drop_matching_lines",
     "project",
     "read_json_table",
+    "read_whole_binary",
     "read_whole_text",
     "unnest_items",
     "unnest_pages",

@@ -72,3 +72,11 @@ def test_scale_conf_sizes_partitions():
     assert small["spark.sql.shuffle.partitions"] == "200"
     tight = scale_conf(1 << 40, executor_memory_bytes=4 << 30, executor_cores=8)
     assert int(tight["spark.sql.files.maxPartitionBytes"]) == 128 << 20
+
+
+def test_read_whole_binary(spark, tmp_path):
+    from tablework.sources.json_scan import read_whole_binary
+
+    (tmp_path / "a.txt").write_text("héllo\nwörld")
+    row = read_whole_binary(spark, str(tmp_path / "*.txt")).first()
+    assert row["content"] == "héllo\nwörld" and row["length"] == len("héllo\nwörld".encode())
