@@ -539,6 +539,38 @@ def q_lineage_edges(spark, sf_dir):
     return lg.build_edges(inputs, references)
 
 
+CYCLE_EDGES_SQL = EDGES_SQL.rstrip().rstrip(")") + """
+  UNION ALL SELECT 'region:' || CAST(n_regionkey AS VARCHAR), 'nation:' || CAST(n_nationkey AS VARCHAR)
+  FROM nation WHERE n_nationkey = n_regionkey
+)"""
+
+
+@register(
+    "lineage_cycle_nodes",
+    f"""
+WITH RECURSIVE {CYCLE_EDGES_SQL},
+reach(start, node) AS (
+  SELECT consumer, producer FROM edges
+  UNION
+  SELECT r.start, e.producer FROM reach r JOIN edges e ON e.consumer = r.node
+)
+SELECT DISTINCT start AS node FROM reach WHERE start = node
+""",
+)
+def q_lineage_cycle_nodes(spark, sf_dir):
+    """L4: nodes on dependency cycles (peel remainder trimmed backwards) in
+    the table graph plus a back edge region -> nation wherever a nation's
+    key equals its region's key."""
+    nation = _t(spark, sf_dir, "nation")
+    back = nation.where(F.col("n_nationkey") == F.col("n_regionkey")).select(
+        F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("consumer"),
+        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("producer"),
+    )
+    edges = _edges(spark, sf_dir).unionByName(back)
+    _, remainder = lg.topological_levels(edges)
+    return lg.cycle_set(edges, remainder)
+
+
 # ====================================================================
 # J7 path-prefix join on page URLs
 # ====================================================================
