@@ -31,6 +31,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,20 +248,25 @@ class TableStore:
         entry = tables.get(name)
         if entry is None:
             raise KeyError(f"table {name} does not exist; create it with ensure_table")
-        incoming = incoming.select(*entry.schema.fieldNames())
-        self._validate(entry, incoming)
-        if entry.partition_expr:
-            touched = [
-                _NULL_PART if r[0] is None else r[0]
-                for r in incoming.select(F.expr(entry.partition_expr).cast("string")).distinct().collect()
-            ]
-            old = self._read_entry(entry, touched)
-            kept_paths = [(p, path) for p, path in entry.paths if p not in touched]
-        else:
-            old = self._read_entry(entry)
-            kept_paths = []
-        merged = upsert_frame(old, incoming, keys)
-        new_paths = self._stage(name, merged, entry.partition_expr)
+        # the incoming delta feeds several jobs (checks, partition list,
+        # merge): cache it for the duration of the upsert
+        incoming = incoming.select(*entry.schema.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._validate(entry, incoming)
+            if entry.partition_expr:
+                touched = [
+                    _NULL_PART if r[0] is None else r[0]
+                    for r in incoming.select(F.expr(entry.partition_expr).cast("string")).distinct().collect()
+                ]
+                old = self._read_entry(entry, touched)
+                kept_paths = [(p, path) for p, path in entry.paths if p not in touched]
+            else:
+                old = self._read_entry(entry)
+                kept_paths = []
+            merged = upsert_frame(old, incoming, keys)
+            new_paths = self._stage(name, merged, entry.partition_expr)
+        finally:
+            incoming.unpersist()
         tables = dict(tables)
         tables[name] = TableEntry(name, entry.schema, kept_paths + new_paths, entry.not_null, entry.primary_key, entry.partition_expr)
         merged_meta = dict(old_meta)
