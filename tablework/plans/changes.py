@@ -320,15 +320,23 @@ REF_FIELDS = ("type", "url", "schema", "table", "column", "view", "macro", "uuid
 
 def refs_equal(a: Column, b: Column) -> Column:
     """C5 equality: canonical arrays when both parse, text otherwise."""
-    ca, cb = canonical_with_fallback(a), canonical_with_fallback(b)
-    return F.coalesce(ca == cb, F.lit(False))
+    return canonical_equal(canonical_refs(a), a, canonical_refs(b), b)
 
 
-def canonical_with_fallback(text: Column) -> Column:
-    canon = canonical_refs(text)
+def canonical_equal(canon_a: Column, text_a: Column, canon_b: Column, text_b: Column) -> Column:
+    """C5 equality on already canonicalised references (so callers that also
+    read fields of the canonical arrays parse each side once)."""
+    return F.coalesce(canonical_key(canon_a, text_a) == canonical_key(canon_b, text_b), F.lit(False))
+
+
+def canonical_key(canon: Column, text: Column) -> Column:
     return F.when(canon.isNotNull(), F.to_json(canon)).otherwise(F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
 
 
+def canonical_with_fallback(text: Column) -> Column:
+    return canonical_key(canonical_refs(text), text)
+
+
 def canonical_refs(json_text: Column) -> Column:
     """JSON array of references -> array of fixed 9-field structs, with
     ``uuid`` falling back to ``<type>_id`` (a per-element computed JSON

@@ -428,14 +428,14 @@ FROM cur c JOIN des d USING (doc_id)
 def q_canonical_references(spark, sf_dir):
     current, desired = _doc_versions(spark, sf_dir)
     j = current.select("doc_id", F.col("refs").alias("c_refs")).join(desired.select("doc_id", F.col("refs").alias("d_refs")), "doc_id")
-    cc = ch.canonical_refs(F.col("c_refs"))
-    dc = ch.canonical_refs(F.col("d_refs"))
-    return j.select(
+    # canonicalise each side once, then read fields and compare
+    canon = j.select("doc_id", "c_refs", "d_refs", ch.canonical_refs(F.col("c_refs")).alias("cc"), ch.canonical_refs(F.col("d_refs")).alias("dc"))
+    return canon.select(
         "doc_id",
-        F.element_at(cc, 1)["type"].alias("ref_type"),
-        F.element_at(cc, 1)["uuid"].alias("stored_uuid"),
-        F.element_at(dc, 1)["uuid"].alias("wanted_uuid"),
-        ch.refs_equal(F.col("c_refs"), F.col("d_refs")).alias("refs_equal"),
+        F.element_at("cc", 1)["type"].alias("ref_type"),
+        F.element_at("cc", 1)["uuid"].alias("stored_uuid"),
+        F.element_at("dc", 1)["uuid"].alias("wanted_uuid"),
+        ch.canonical_equal(F.col("cc"), F.col("c_refs"), F.col("dc"), F.col("d_refs")).alias("refs_equal"),
     )
 
 
