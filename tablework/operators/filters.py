@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from tablework.functions.columns import trailing_days
 
 
+# Scope-guard messages (pieces around type, verb and name).
+GUARD_PRODUCTION = ("refusing to delete preview ", " because it matches production: ")
+GUARD_UNSCOPED = ("refusing to ", " preview ", " without branch slug ")
+
+
 def resolve_choice(choice: str | None, allowed: Sequence[str], all_value: str) -> str:
     """An unknown choice falls back to the ALL value (driver-side, tiny)."""
     return choice if choice in allowed else all_value
@@ -76,7 +81,7 @@ def scope_guard(
         matches = F.lit(False)
     has_marker = reduce(lambda a, b: a | b, [name.contains(m) for m in live_markers], F.lit(False))
     verb = F.when(typ.isin("share", "database"), F.lit("drop")).otherwise(F.lit("delete"))
-    reason = F.when(matches, F.concat(F.lit("refusing to delete preview "), typ, F.lit(" because it matches production: "), name)).when(
-        ~has_marker, F.concat(F.lit("refusing to "), verb, F.lit(" preview "), typ, F.lit(" without branch slug " + slug))
+    reason = F.when(matches, F.concat(F.lit(GUARD_PRODUCTION[0]), typ, F.lit(GUARD_PRODUCTION[1]), name)).when(
+        ~has_marker, F.concat(F.lit(GUARD_UNSCOPED[0]), verb, F.lit(GUARD_UNSCOPED[1]), typ, F.lit(GUARD_UNSCOPED[2] + slug))
     )
     return joined.withColumn("guard_error", reason).drop("__prod")

@@ -38,6 +38,20 @@ NOTE_ENDORSE = "endorsing requires an organization admin"
 NOTE_OFF_ENDORSED = "moving off endorsed may be one-way unless the deployer is an organization admin"
 NOTE_STAY_ENDORSED = "content update remains endorsed"
 NOTE_CONTEXT = "context deployment is not available yet"
+NOTE_GUIDE_SKIPPED = "set deploy: true to publish this Guide"
+NOTE_GUIDE_ID_MISSING = "configured Guide id does not exist"
+NOTE_DUPLICATE_GUIDE = "duplicate Guide topic/title; set id explicitly"
+NOTE_DROP_DATABASE = "database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS"
+NOTE_INPUT_PRESENT = "resolved from {}"
+NOTE_INPUT_PENDING = "will be produced by selected package {}"
+NOTE_INPUT_NO_FLIGHT = "selected package {} is missing and has no Flight configured with runOnDeploy"
+NOTE_INPUT_MISSING = "required production output {} is not available"
+
+
+def _fill(template: str, value: Column) -> Column:
+    """A note template with one ``{}`` slot filled by a column."""
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), value, F.lit(after))
 
 
 # ---------------------------------------------------------------- J6
@@ -84,9 +98,6 @@ def _missing_roles(desired: DataFrame, live: DataFrame, row_keys: Sequence[str])
 
 
 SINGLE_TYPES = ("share", "input", "role")  # existence checks: one plan row
-NOTE_GUIDE_SKIPPED = "set deploy: true to publish this Guide"
-NOTE_GUIDE_ID_MISSING = "configured Guide id does not exist"
-NOTE_DUPLICATE_GUIDE = "duplicate Guide topic/title; set id explicitly"
 
 
 def _with_defaults(df: DataFrame, cols: Sequence[tuple[str, str]]) -> DataFrame:
@@ -185,10 +196,10 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         )
         .when(
             typ == "input",
-            F.when(n > 0, F.concat(F.lit("resolved from "), out_ref))
-            .when(psel & pcan, F.concat(F.lit("will be produced by selected package "), out_ref))
-            .when(psel, F.concat(F.lit("selected package "), out_ref, F.lit(" is missing and has no Flight configured with runOnDeploy")))
-            .otherwise(F.concat(F.lit("required production output "), out_ref, F.lit(" is not available"))),
+            F.when(n > 0, _fill(NOTE_INPUT_PRESENT, out_ref))
+            .when(psel & pcan, _fill(NOTE_INPUT_PENDING, out_ref))
+            .when(psel, _fill(NOTE_INPUT_NO_FLIGHT, out_ref))
+            .otherwise(_fill(NOTE_INPUT_MISSING, out_ref)),
         )
         .when(typ == "context", NOTE_CONTEXT)
         .when(guide_off, NOTE_GUIDE_SKIPPED)
@@ -289,7 +300,7 @@ def plan_deletes(
     )
     dropdb = guarded.where(F.col("guard_error").isNull() & (F.col("type") == "database")).select(
         "package", "type", "key", "name", "level", *extra, F.lit("drop_database").alias("action"), F.lit(True).alias("exists"), F.lit(None).cast("string").alias("id"),
-        F.lit("database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS").alias("notes"),
+        F.lit(NOTE_DROP_DATABASE).alias("notes"),
     )
     allr = resolved.unionByName(errors).unionByName(dropdb)
     rank = F.create_map(*[x for k, v in KIND_RANK.items() for x in (F.lit(k), F.lit(v))])
