@@ -92,3 +92,47 @@ def q_incremental_daily_views(spark, sf_dir):
     _daily_payloads(events.where(F.col("ts") >= F.lit(INCREMENTAL_DAY).cast("timestamp_ntz"))).write.mode("append").json(landing)
     stream_upsert(spark, landing, store, "pageviews_daily", PAGEVIEWS_KEY, checkpoint=f"{root}/stream", loaded_at=JOB_LOADED_AT)
     return store.read("pageviews_daily")
+
+
+# ====================================================================
+# S2 landed API pages built from customers, unnested again
+# ====================================================================
+PAGE_SIZE = 1000  # fixed value: features per API page
+
+CUSTOMER_PAGE_CONTRACT = [
+    ("OBJECTID", "bigint", "object_id"),
+    ("fldName", "string", "name"),
+    ("fldNation", "int", "nation"),
+    ("fldBalance", "double", "balance"),
+    ("fldSegment", "string", "segment"),
+]
+
+
+@register(
+    "customer_pages",
+    """
+SELECT c_custkey AS OBJECTID, c_name AS fldName, c_nationkey AS fldNation,
+       c_acctbal AS fldBalance, c_mktsegment AS fldSegment
+FROM customer
+""",
+)
+def q_customer_pages(spark, sf_dir):
+    """Customers as paged API payloads (at most PAGE_SIZE features per page,
+    pages before the last flagged as exceeding the transfer limit), then
+    S2 unnests them back into typed rows."""
+    from tablework.sources.json_scan import unnest_pages
+
+    c = td.table(spark, sf_dir, "customer")
+    attrs = F.struct(
+        F.col("c_custkey").alias("OBJECTID"),
+        F.col("c_name").alias("fldName"),
+        F.col("c_nationkey").alias("fldNation"),
+        F.col("c_acctbal").alias("fldBalance"),
+        F.col("c_mktsegment").alias("fldSegment"),
+    )
+    pages = c.groupBy(F.floor(F.col("c_custkey") / PAGE_SIZE).alias("page_no")).agg(
+        F.collect_list(F.struct(attrs.alias("attributes"))).alias("features"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    pages = pages.select("features", (F.col("n") == PAGE_SIZE).alias("exceededTransferLimit"))
+    return unnest_pages(pages, CUSTOMER_PAGE_CONTRACT)
