@@ -43,3 +43,13 @@ def inventory_summary(inventory: DataFrame) -> DataFrame:
 def run_sql(spark: SparkSession, sql: str, args: Mapping[str, object] | Sequence[object] | None = None) -> DataFrame:
     """Parameterised SQL (named ``:name`` or positional ``?`` markers)."""
     return spark.sql(sql, args=args) if args is not None else spark.sql(sql)
+
+
+def set_variables(spark: SparkSession, values: Mapping[str, object]) -> None:
+    """S10 session variables: ``DECLARE OR REPLACE VARIABLE`` per name,
+    then the value via a parameter marker (never spliced into the text).
+    SQL reads them by name, e.g. ``WHERE c_nationkey = nation_filter``."""
+    for name, value in values.items():
+        if not name.isidentifier():
+            raise ValueError(f"invalid variable name {name!r}")
+        spark.sql(f"DECLARE OR REPLACE VARIABLE {name} = :value", args={"value": value})

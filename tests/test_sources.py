@@ -80,3 +80,12 @@ def test_read_whole_binary(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo\nwörld")
     row = read_whole_binary(spark, str(tmp_path / "*.txt")).first()
     assert row["content"] == "héllo\nwörld" and row["length"] == len("héllo\nwörld".encode())
+
+
+def test_session_variables(spark):
+    from tablework.sources.catalog import set_variables
+
+    spark.range(10).createOrReplaceTempView("ten_v")
+    set_variables(spark, {"lo_bound": 6, "label": "x'; DROP"})
+    row = run_sql(spark, "SELECT count(*) AS n, max(label) AS l FROM ten_v WHERE id >= lo_bound").first()
+    assert (row["n"], row["l"]) == (4, "x'; DROP")
