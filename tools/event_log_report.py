@@ -16,7 +16,8 @@ def main() -> None:
     ap.add_argument("log")
     ap.add_argument("--top", type=int, default=15)
     args = ap.parse_args()
-    stages, jobs, job_start = [], [], {}
+    stages, jobs, job_start, job_group = [], [], {}, {}
+    per_group: dict[str, list[float]] = {}
     # a rolling (v2) event log is a directory of ``events_<n>_...`` files
     if os.path.isdir(args.log):
         parts = sorted((f for f in os.listdir(args.log) if f.startswith("events_")), key=lambda f: int(f.split("_")[1]))
@@ -44,9 +45,16 @@ def main() -> None:
                     stages.append((ms, info["Stage ID"], info["Number of Tasks"], info["Stage Name"][:80]))
             elif kind == "SparkListenerJobStart":
                 job_start[ev["Job ID"]] = ev["Submission Time"]
+                job_group[ev["Job ID"]] = (ev.get("Properties") or {}).get("spark.jobGroup.id", "-")
             elif kind == "SparkListenerJobEnd" and ev["Job ID"] in job_start:
-                jobs.append(ev["Completion Time"] - job_start[ev["Job ID"]])
+                ms = ev["Completion Time"] - job_start[ev["Job ID"]]
+                jobs.append(ms)
+                per_group.setdefault(job_group.get(ev["Job ID"], "-"), []).append(ms)
     print(f"jobs: {len(jobs)}, total {sum(jobs) / 1000:.2f} s; stages: {len(stages)}, total {sum(s[0] for s in stages) / 1000:.2f} s")
+    if len(per_group) > 1:
+        print("per job group (jobs, total ms):")
+        for group, times in sorted(per_group.items(), key=lambda kv: -sum(kv[1])):
+            print(f"{len(times):6d} {sum(times):8.0f}  {group}")
     print("slowest stages (ms, id, tasks, name):")
     for ms, sid, tasks, name in sorted(stages, reverse=True)[: args.top]:
         print(f"{ms:8d} {sid:6d} {tasks:6d}  {name}")
