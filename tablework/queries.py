@@ -286,6 +286,22 @@ def q_article_summary(spark, sf_dir):
     return pv.article_summary(daily_views(spark, sf_dir), SUMMARY_AS_OF)
 
 
+@register(
+    "article_listing",
+    f"""
+WITH daily AS ({DAILY_SQL}), summary AS ({SUMMARY_SQL})
+SELECT article, total_views, avg_daily_views, views_last_7_days,
+  CAST(first_viewed_on AS VARCHAR) AS first_viewed_on,
+  CAST(last_viewed_on AS VARCHAR) AS last_viewed_on,
+  CAST(loaded_at_utc AS VARCHAR) AS loaded_at_utc
+FROM summary
+ORDER BY total_views DESC
+""",
+)
+def q_article_listing(spark, sf_dir):
+    return pv.summary_listing(pv.article_summary(daily_views(spark, sf_dir), SUMMARY_AS_OF))
+
+
 @register(
     "daily_trend",
     f"""
