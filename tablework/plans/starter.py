@@ -76,3 +76,24 @@ def starter_metric_summary(daily: DataFrame) -> DataFrame:
         F.max("measured_on").alias("last_measured_on"),
         F.max("loaded_at_utc").alias("loaded_at_utc"),
     )
+
+
+def summary_listing(summary: DataFrame) -> DataFrame:
+    """The starter dashboard's summary listing: dates and load time as text,
+    largest current value first."""
+    return summary.select(
+        "metric",
+        "current_value",
+        "avg_value",
+        "total_value",
+        F.col("first_measured_on").cast("string").alias("first_measured_on"),
+        F.col("last_measured_on").cast("string").alias("last_measured_on"),
+        F.col("loaded_at_utc").cast("string").alias("loaded_at_utc"),
+    ).orderBy(F.col("current_value").desc_nulls_last(), F.col("metric").asc())
+
+
+def daily_listing(daily: DataFrame) -> DataFrame:
+    """The starter dashboard's daily listing, by date then metric."""
+    return daily.select(F.col("measured_on").cast("string").alias("measured_on"), "metric", "value").orderBy(
+        F.col("measured_on").asc_nulls_last(), F.col("metric").asc_nulls_last()
+    )
