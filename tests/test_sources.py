@@ -89,3 +89,12 @@ def test_session_variables(spark):
     set_variables(spark, {"lo_bound": 6, "label": "x'; DROP"})
     row = run_sql(spark, "SELECT count(*) AS n, max(label) AS l FROM ten_v WHERE id >= lo_bound").first()
     assert (row["n"], row["l"]) == (4, "x'; DROP")
+
+
+def test_sorts_put_nulls_last_both_ways(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,)], "x int")
+    assert [r["x"] for r in shape.total_sort(df, "x").collect()] == [1, 3, None]
+    assert [r["x"] for r in shape.total_sort(df, ("x", True)).collect()] == [3, 1, None]
+    assert [r["x"] for r in shape.top_k(df, "x", 2, desc=True).collect()] == [3, 1]
+    u = shape.distinct_union([df, df.where("x = 1")])
+    assert sorted((r["x"] for r in u.collect()), key=lambda v: (v is None, v)) == [1, 3, None]
