@@ -1,0 +1,175 @@
+"""Secret scan: fixed patterns plus character Markov models.
+
+Three patterns give the base spans (assignments, access keys, long hex runs).
+The method adds spans of kind ``markov``: two first-order character models,
+one of random strings and one of ordinary identifiers, score every candidate
+token by the log-likelihood ratio per character.
+
+Both models are trained from a labelled sample that the patterns label: the
+random class from at most ``TRAIN_SECRETS`` distinct secret values, the
+ordinary class from the words of at most ``TRAIN_DOCS`` documents; both are
+taken by the smallest hash, so the sample is repeatable.  Everything else
+covers all rows and whole texts: one pass without a shuffle.
+
+Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of ``MIN_LENGTH``
+characters or more with a letter and a digit that overlap no base span.
+
+Edge cases: null text counts as empty; an empty text has no spans and the
+digest of the empty string; repeated rows are scanned one by one; null ids
+pass through; without any secret in the sample the random model is uniform.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tablework.llm.common import id_and_text, map_texts
+
+#: The base patterns (fixed values); letters of the first group in either case.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+MIN_ASSIGNED = 8
+KINDS = ("assign", "access", "hex", "markov")
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+MIN_LENGTH = 16
+#: Nats per character by which "random" must be likelier, and in all.
+MIN_RATE, MIN_TOTAL = 0.2, 8.0
+TRAIN_SECRETS = 4096
+TRAIN_DOCS = 2048
+
+_ASSIGN = re.compile(ASSIGN, re.ASCII)
+_ACCESS = re.compile(ACCESS)
+_HEX = re.compile(HEX)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+_HAS_DIGIT, _HAS_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_CODE = np.zeros(128, np.int64)
+for _i, _c in enumerate(ALPHABET):
+    _CODE[ord(_c)] = _i + 1  # 0: start of the string
+
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"
+
+
+def _codes(token: str) -> np.ndarray:
+    return np.concatenate(([0], _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]))
+
+
+def transition_logs(tokens: list[str]) -> np.ndarray:
+    """Log-probabilities of one character after another, each seen once more
+    than counted (so unseen pairs stay possible)."""
+    size = len(ALPHABET) + 1
+    counts = np.ones((size, size))
+    for token in tokens:
+        c = _codes(token)
+        np.add.at(counts, (c[:-1], c[1:]), 1)
+    return np.log(counts / counts.sum(axis=1, keepdims=True))
+
+
+def train(docs: DataFrame, n_secrets: int = TRAIN_SECRETS, n_docs: int = TRAIN_DOCS) -> np.ndarray:
+    """The table of log-likelihood ratios, random against ordinary."""
+    base = id_and_text(docs)
+    pattern = f"({ACCESS}|{HEX})"
+    secret = base.where(F.col("text").rlike(pattern)).select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("token"))
+    secret = secret.select(F.substring("token", 1, 256).alias("token")).distinct()
+    random = [r.token for r in secret.orderBy(F.xxhash64("token"), "token").limit(n_secrets).collect()]
+    words = (
+        base.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n_docs)
+        .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9+/_=-]{2,64})"), F.lit(1)))).alias("token"))
+        .where(~F.col("token").rlike(pattern)).where(F.col("token").rlike("[A-Za-z]"))
+    )
+    ordinary = [r.token for r in words.distinct().orderBy(F.xxhash64("token"), "token").limit(50 * n_secrets).collect()]
+    return transition_logs(random) - transition_logs(ordinary)
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the three patterns, code points."""
+    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= MIN_ASSIGNED]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    return sorted(found)
+
+
+def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    out = []
+    for m in _CANDIDATE.finditer(text):
+        token = m.group()
+        if not (_HAS_DIGIT.search(token) and _HAS_LETTER.search(token)):
+            continue
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
+            continue
+        c = _codes(token)
+        score = float(ratio[c[:-1], c[1:]].sum())
+        if score >= MIN_TOTAL and score >= MIN_RATE * len(token):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def scan_secrets(docs: DataFrame, ratio: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: counts by kind, digest of the base spans,
+    all spans as text and as structs (code points, end exclusive)."""
+    source = id_and_text(docs, id_col, text_col)
+    model = train(source) if ratio is None else ratio
+
+    def run(ids: list, texts: list[bytes]) -> dict[str, object]:
+        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "found")}
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            base = base_spans(text)
+            every = sorted(base + markov_spans(text, model, base))
+            for i, kind in enumerate(KINDS):
+                out[f"n_{kind}"].append(sum(1 for _, k, _ in every if k == i))
+            out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
+            out["spans"].append(_joined(every))
+            out["found"].append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
+        return out | {"doc_id": ids}
+
+    return map_texts(source, run, SCHEMA)
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span found in ``text`` replaced by ``mask``; where
+    spans overlap, their union is replaced once.  Other columns stay, and
+    ``n_chars`` is recomputed where there is one.  A null text stays null."""
+    model = train(docs)
+    names = docs.columns
+    schema = docs.schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        at = names.index("text")
+        for batch in batches:
+            texts, changed = batch.column(at).to_pylist(), {}
+            for i, text in enumerate(texts):
+                if not text:
+                    continue
+                base = base_spans(text)
+                spans = sorted((s, e) for s, _, e in base + markov_spans(text, model, base))
+                if spans:
+                    parts, done = [], 0
+                    for s, e in spans:
+                        if s >= done:
+                            parts += [text[done:s], mask]
+                        done = max(done, e)
+                    changed[i] = "".join(parts) + text[done:]
+            if changed:
+                texts = [changed.get(i, t) for i, t in enumerate(texts)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    was = batch.column(k).to_pylist()
+                    batch = batch.set_column(k, batch.schema.field(k), pa.array([len(texts[i]) if i in changed else w for i, w in enumerate(was)], type=batch.schema.field(k).type))
+            yield batch
+
+    return docs.mapInArrow(run, schema)
