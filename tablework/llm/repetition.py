@@ -1,8 +1,8 @@
 """Quality rules: repetition coverage from rolling hashes.
 
 Each task takes slices of texts, numbers their words, and measures with numpy
-which characters lie inside n-grams (several lengths) and lines that occur
-twice or more in the same text.  No shuffle, one pass, whole texts.
+which characters lie inside n-grams (several lengths) and lines that repeat
+an earlier one of the same text.  No shuffle, one pass, whole texts.
 
 Base columns (exact): ``word_chars`` code points in words, ``n_symbols``
 characters of ``[#*$%&|<>]``, ``n_dup_lines`` lines with a word equal to an
@@ -65,12 +65,19 @@ def _twice(keys: np.ndarray) -> np.ndarray:
     return flags
 
 
+def _again(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur earlier in ``keys`` as well."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    flags = np.zeros(len(keys), bool)
+    flags[order[1:][ranked[1:] == ranked[:-1]]] = True
+    return flags
+
+
 def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     """Words 0..size-1 that lie in an n-gram starting at one of ``starts``."""
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + n, -1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.bincount(starts, minlength=size + 1) - np.bincount(starts + n, minlength=size + 1)
+    return np.cumsum(edge[:size]) > 0
 
 
 def _windows(doc: np.ndarray, n: int) -> np.ndarray:
@@ -133,7 +140,7 @@ def measure(doc_ids: list, texts: list[bytes]) -> dict[str, object]:
     shares = []
     for n in NGRAM_LIMITS:
         at = _windows(doc, n)
-        inside = _covered(at[_twice(_rolling(ids, n, at, doc))], n, len(ids))
+        inside = _covered(at[_again(_rolling(ids, n, at, doc))], n, len(ids))
         shares.append(_sums(np.where(inside, chars, 0), first, last) / np.maximum(word_chars, 1))
     grams = np.array(shares).T if texts else np.zeros((0, len(NGRAM_LIMITS)))
     lines = np.array([_lines(t) for t in texts], np.int64).reshape(-1, 4)
