@@ -11,10 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import content_sort, repetition, secret_scan, toxicity
+from tablework.llm import content_sort, packing, repetition, secret_scan, toxicity
 from tablework.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_toxicity, op7_repetition_quality, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op5_toxicity, op7_repetition_quality, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
