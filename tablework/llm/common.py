@@ -6,6 +6,7 @@ Words are runs of bytes other than the six ASCII white-space characters
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -105,3 +106,28 @@ def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, object]
 
 def crc32_text(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
+
+
+def range_splitters(keyed: DataFrame, key: Column, parts: list[str], ranges: int, rows: int, per_range: int = 64) -> list[dict]:
+    """Borders of ``ranges`` ranges of about equally many rows: quantiles of a
+    sample chosen by the hash of ``parts``, so equal rows give equal borders."""
+    if ranges < 2 or not rows:
+        return []
+    chance = F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) <= int(min(1.0, per_range * ranges / rows) * (1 << 30))
+    keys = keyed.where(chance).agg(F.sort_array(F.collect_list(key)).alias("ks"))
+    step = F.size("ks") / F.lit(float(ranges))
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("ks", F.floor(i * step).cast("int")))
+    return [r.asDict() for r in keys.select(at.alias("s")).first().s if r is not None]
+
+
+def range_number(borders: list[dict], key_type: str, key: Column) -> Column:
+    """How many borders are at or below ``key``: binary search over a literal."""
+    if not borders:
+        return F.lit(0)
+    literal = F.from_json(F.lit(json.dumps(borders)), f"array<{key_type}>")
+    steps = [1 << i for i in reversed(range(len(borders).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.coalesce(F.get(literal, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
+    )

@@ -27,12 +27,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import ascii_lower, id_and_text, materialise
+from tablework.llm.common import ascii_lower, id_and_text, materialise, range_number, range_splitters
 
 PREFIX = 64
 SAMPLES_PER_RANGE = 40
@@ -40,29 +38,6 @@ SAMPLES_PER_RANGE = 40
 _KEY = "struct<p:string,h:string,d:bigint>"
 
 
-def splitters(sampled: DataFrame, ranges: int) -> list[dict]:
-    """Borders between ``ranges`` ranges: quantiles of the sampled keys."""
-    if ranges < 2:
-        return []
-    keys = sampled.agg(F.sort_array(F.collect_list(F.struct("p", "h", F.col("doc_id").alias("d")))).alias("ks"))
-    step = F.size("ks") / F.lit(float(ranges))
-    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("ks", F.floor(i * step).cast("int")))
-    return [r.asDict() for r in keys.select(at.alias("s")).first().s if r is not None]
-
-
-def range_number(borders: list[dict], key: Column) -> Column:
-    """How many borders are at or below ``key``: binary search over a literal."""
-    if not borders:
-        return F.lit(0)
-    literal = F.from_json(F.lit(json.dumps(borders)), f"array<{_KEY}>")
-    steps = [1 << i for i in reversed(range(len(borders).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.coalesce(F.get(literal, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
-    )
-
-
 def _runs(docs: DataFrame, ranges: int | None, keep_rows: bool) -> DataFrame:
     """Numbered runs without texts, but for the texts of border rows; with
     ``keep_rows`` also the whole input row of each run's last row.
@@ -75,11 +50,9 @@ def _runs(docs: DataFrame, ranges: int | None, keep_rows: bool) -> DataFrame:
         "doc_id", "row", prefix("norm").alias("p"), F.sha2(F.col("norm").cast("binary"), 256).alias("h")
     )
     n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.count()
-    share = min(1.0, SAMPLES_PER_RANGE * n / max(rows, 1))
-    chance = F.pmod(F.xxhash64("doc_id", "row.text"), F.lit(1 << 30)) <= int(share * (1 << 30))
-    borders = splitters(key.where(chance), n)
-    placed = key.select("doc_id", "row", "h", range_number(borders, F.struct("p", "h", F.col("doc_id").alias("d"))).alias("rid"))
+    order_key = F.struct("p", "h", F.col("doc_id").alias("d"))
+    borders = range_splitters(key, order_key, ["doc_id", "row.text"], n, docs.count(), SAMPLES_PER_RANGE)
+    placed = key.select("doc_id", "row", "h", range_number(borders, _KEY, order_key).alias("rid"))
     moved = placed.repartition("rid").withColumn("norm", ascii_lower(text))
     order = Window.partitionBy("rid").orderBy(prefix("norm"), "h", "norm", F.col("doc_id").asc_nulls_first())
     seen = moved.select(
