@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import content_sort, packing, repetition, secret_scan, toxicity, warc
+from tablework.llm import content_sort, packing, repetition, secret_scan, toxicity, warc, wrapper
 from tablework.llm.common import materialise, scratch_path, table
 
 
@@ -76,8 +76,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrapper.extract(pages, materialise(wrapper.induce(pages), "wrappers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op5_toxicity, op7_repetition_quality, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op5_toxicity, op7_repetition_quality, op9_secret_scan, op10_wrapper_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
