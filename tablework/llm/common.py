@@ -131,3 +131,14 @@ def range_number(borders: list[dict], key_type: str, key: Column) -> Column:
         F.lit(0),
         lambda at, step: F.when(F.coalesce(F.get(literal, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
     )
+
+
+#: Ids are broadcast only while all of them fit this; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id") -> DataFrame:
+    """Semi or anti join of ``docs`` with a one-column table of long ids."""
+    if 16 * ids.count() <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    return docs.join(ids, column, how)

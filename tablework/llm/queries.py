@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import content_sort, packing, repetition, secret_scan, toxicity, warc, wrapper
+from tablework.llm import content_sort, packing, parity_join, repetition, secret_scan, toxicity, warc, wrapper
 from tablework.llm.common import materialise, scratch_path, table
 
 
@@ -66,6 +66,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.repetition_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -82,7 +86,7 @@ def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op5_toxicity, op7_repetition_quality, op9_secret_scan, op10_wrapper_main_text)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op5_toxicity, op6_parity_join, op7_repetition_quality, op9_secret_scan, op10_wrapper_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
