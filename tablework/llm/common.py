@@ -88,7 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes:
             i = j
 
 
-def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, object]], schema: str, id_col: str = "doc_id") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, object]], schema: str, id_col: str = "doc_id", max_bytes: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` over (id, text): ``fn(ids, texts)`` returns the output
     columns of a slice.  No shuffle; memory is one slice of texts."""
     from pyspark.sql.types import StructType
@@ -97,7 +97,7 @@ def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, object]
     arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, max_bytes=max_bytes):
             out = fn(part.column(id_col).to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
 

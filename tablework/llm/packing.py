@@ -35,7 +35,8 @@ from tablework.llm.common import id_and_text, map_texts, materialise
 CAPACITY = 2048
 BINS = 256
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 120_000
+SLICE_BYTES = 1 << 20
 GAP = 1e-4  # of the linear programme's bound
 SMOOTHING = 0.8
 
@@ -46,38 +47,90 @@ class WordEncoder:
     """Ids of a text as little-endian 32-bit integers.
 
     White space never reaches this tokenizer's merges, so a text's ids are its
-    words' ids in order; each distinct word of a task is encoded once.
+    words' ids in order, and each word is encoded once as long as it is in the
+    cache.  The cache has two generations of at most ``CACHED_WORDS`` words (and
+    a slice's more); words still in use move to the younger one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        special = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), None)
+        self.mark, self.mark_id = special, special and self.tokenizer.token_to_id(special)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str, marked: bool) -> list[int]:
+        self.tokenizer.encode_special_tokens = not marked  # else a special token's text is ordinary text
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: many words are one text with a special token
+        between them, at which the ids are cut."""
+        if not words:
+            return []
+        out: list[bytes] = []
+        texts = [w.decode("utf-8", "replace") for w in words]
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            # without a special token, or where a word may hold its text: one by one
+            odd = [i for i, w in enumerate(part) if self.mark is None or "<|" in w or "|>" in w]
+            for i in odd:
+                part[i] = "a"
+            ids = np.array([] if self.mark is None else self._ids(self.mark.join(part), marked=True), "<u4")
+            cut = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            found = [raw[4 * i : 4 * j] for i, j in zip([0, *(cut + 1)], [*cut, len(ids)], strict=True)] if self.mark else [b""] * len(part)
+            for i in odd:
+                found[i] = np.array(self._ids(texts[at + i], marked=False), "<u4").tobytes()
+            out += found
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+            new = self.seen
+        young, old, missing = self.young, self.old, []
+        for w in new:
+            if (ids := old.get(w)) is None:
+                missing.append(w)
+            else:
+                young[w] = ids
+        # a full stop or comma after a letter or digit is a word of its own to the tokenizer
+        stems = {w: w[:-1] for w in missing if w[-1:] in b".," and len(w) > 1 and w[:-1].decode("utf-8", "replace")[-1].isalnum()}
+        todo = {stems.get(w, w) for w in missing}
+        todo |= {b".", b","}
+        todo = [w for w in todo if w not in young]
+        young.update(zip(todo, self._encode(todo), strict=True))
+        for w, stem in stems.items():
+            young[w] = young[stem] + young[w[-1:]]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]  # bytes: A-Z only; the tokenizer lower-cases the rest
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        self.seen = set().union(*split)
+        self._learn(self.seen - self.young.keys())
+        get = self.young.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+def encoder(path: str) -> WordEncoder:
+    """The Python worker's encoder: it outlives a task, so that the next task
+    finds the tokenizer loaded and its cache warm."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_tablework_encoders", {})
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Every document's pieces; ``ids`` only where asked for."""
     end = np.array([END_ID], "<u4").tobytes()
-    state: dict[str, WordEncoder] = {}
-
     def run(doc_ids: list, texts: list[bytes]) -> dict[str, object]:
-        encode = state.get("encoder") or state.setdefault("encoder", WordEncoder(tokenizer_path))
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
+        for doc_id, ids in zip(doc_ids, encoder(tokenizer_path)(texts), strict=True):
             ids += end
             n = len(ids) // 4
             for start in range(0, n, capacity):
@@ -87,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     out[k].append(v)
         return out
 
-    return map_texts(id_and_text(docs), run, PIECES)
+    return map_texts(id_and_text(docs), run, PIECES, max_bytes=SLICE_BYTES)
 
 
 def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -112,6 +165,25 @@ def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, a few hundred rows (element-wise, so that
+    no thread pool is woken in the driver for a small matrix)."""
+    n = len(matrix)
+    work = np.concatenate((matrix.astype(float), np.eye(n)), axis=1)
+    for k in range(n):
+        p = k + int(abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns of the linear programme's basis and how often each is used
     (fractions): revised simplex, columns priced by the knapsack.
@@ -123,33 +195,37 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
     m = len(sizes)
     columns = [np.where(np.arange(m) == i, capacity // sizes[i], 0) for i in range(m)]
     inverse = np.diag(1.0 / (capacity // sizes))
-    used = inverse @ demand
+    used = _times(inverse, demand)
     bound, centre, step = 0.0, None, 0
-    while True:
+    least, since = used.sum(), 0
+    while since < 20 * m + 500:  # degenerate steps in a row; any basis is a plan
         duals = inverse.sum(axis=0)
         prices = [duals] if centre is None else [SMOOTHING * centre + (1 - SMOOTHING) * duals, duals]
         for price in prices:
             value, pattern = _price(price, sizes, capacity)
-            if value > 0 and price @ demand / value > bound:
-                bound, centre = price @ demand / value, price / value
-            if duals @ pattern > 1 + 1e-9:
+            if value > 0 and (price * demand).sum() / value > bound:
+                bound, centre = (price * demand).sum() / value, price / value
+            if (duals * pattern).sum() > 1 + 1e-9:
                 break
         else:
             return columns, used
         if used.sum() - bound < max(0.5, GAP * used.sum()):
             return columns, used
-        direction = inverse @ pattern
+        direction = _times(inverse, pattern)
         up = np.flatnonzero(direction > 1e-9)
         out = int(up[(used[up] / direction[up]).argmin()])
         columns[out] = pattern
         step += 1
         if step % 200 == 0:  # against rounding errors
-            inverse = np.linalg.inv(np.array(columns, float).T)
+            inverse = _inverse(np.array(columns).T)
         else:
             row = inverse[out] / direction[out]
-            inverse -= np.outer(direction, row)
+            inverse -= direction[:, None] * row
             inverse[out] = row
-        used = np.maximum(inverse @ demand, 0)
+        used = np.maximum(_times(inverse, demand), 0)
+        since = 0 if used.sum() < least * (1 - 1e-12) else since + 1
+        least = min(least, used.sum())
+    return columns, used
 
 
 def _fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
