@@ -142,3 +142,13 @@ def join_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: st
     if 16 * ids.count() <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     return docs.join(ids, column, how)
+
+
+def join_side(docs: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``docs`` with a table that has a row for some of them.  It is
+    written first; while its files are small it is broadcast, else both sides
+    are shuffled on ``on``."""
+    side = materialise(side, "side")
+    files = side.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).distinct()
+    stored = files.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(side) if 4 * stored <= BROADCAST_BYTES else side, on, how)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import content_sort, packing, parity_join, repetition, secret_scan, toxicity, warc, wrapper
+from tablework.llm import content_sort, packing, parity_join, repetition, secret_scan, substrings, toxicity, warc, wrapper
 from tablework.llm.common import materialise, scratch_path, table
 
 
@@ -60,6 +60,11 @@ FROM t
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -86,7 +91,7 @@ def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op5_toxicity, op6_parity_join, op7_repetition_quality, op9_secret_scan, op10_wrapper_main_text)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op4_substring_dedup, op5_toxicity, op6_parity_join, op7_repetition_quality, op9_secret_scan, op10_wrapper_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
