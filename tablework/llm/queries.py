@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import content_sort, packing, parity_join, repetition, secret_scan, substrings, toxicity, warc, wrapper
+from tablework.llm import byte_bpe, content_sort, packing, parity_join, repetition, secret_scan, substrings, toxicity, warc, wrapper
 from tablework.llm.common import materialise, scratch_path, table
 
 
@@ -80,6 +80,13 @@ def op7_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return out.drop("ids")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -91,7 +98,7 @@ def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op4_substring_dedup, op5_toxicity, op6_parity_join, op7_repetition_quality, op9_secret_scan, op10_wrapper_main_text)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op4_substring_dedup, op5_toxicity, op6_parity_join, op7_repetition_quality, op8_byte_bpe, op9_secret_scan, op10_wrapper_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
