@@ -152,3 +152,11 @@ def join_side(docs: DataFrame, side: DataFrame, on: str, how: str = "inner") ->
     files = side.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).distinct()
     stored = files.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     return docs.join(F.broadcast(side) if 4 * stored <= BROADCAST_BYTES else side, on, how)
+
+
+def sample_rows(docs: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` distinct rows of (doc_id, text), by the smallest hashes: the
+    hashes are chosen first, so that only the chosen texts move."""
+    hashed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    chosen = hashed.select("_h").orderBy("_h").limit(n)
+    return hashed.join(F.broadcast(chosen), "_h", "left_semi").dropDuplicates(["_h"]).drop("_h")

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import ascii_lower_bytes, chunks, id_and_text, join_ids, materialise
+from tablework.llm.common import ascii_lower_bytes, chunks, id_and_text, join_ids, materialise, sample_rows
 from tablework.llm.components import connected_components
 from tablework.llm.shingles import BASE, Words, mix, shingle_sets
 
@@ -156,7 +156,7 @@ def _sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """Hash prefixes of shingles common in a bounded sample of documents."""
     shift = np.uint64(64 - FREQUENT_BITS)
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(FREQUENT_SAMPLE)
+    sample = sample_rows(docs.select("doc_id", "text"), FREQUENT_SAMPLE)
 
     def run(batches):
         for _, texts in chunks(batches):
@@ -333,22 +333,25 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent:
     and are near by their bit sketches."""
     labelled = entries.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rows = labelled.join(open_keys, "key", "left_semi").join(classes.select("set_id", "n", "sketch"), "set_id")
+    inside = labelled.join(open_keys, "key", "left_semi")
+    # a set has no more keys than shingles and spare cells; a pair is left to the smallest key it shares
+    shared = inside.groupBy("set_id").agg(F.collect_set("key").alias("shared"))
+    rows = inside.join(shared, "set_id").join(classes.select("set_id", "n", "sketch"), "set_id")
 
     def groups(batches):
         held, key = [], None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "set_id", "label", "n", "sketch")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "set_id", "label", "n", "sketch", "shared")), strict=True):
                 if row[0] != key:
                     if held:
-                        yield held
+                        yield key, held
                     held, key = [], row[0]
                 held.append(row[1:])
         if held:
-            yield held
+            yield key, held
 
     def run(batches):
-        for members in groups(batches):
+        for key, members in groups(batches):
             # by size, so that only sets of similar size are compared; sketches of one length are compared in blocks
             members.sort(key=lambda m: (m[2], m[0]))
             ids, label, n = (np.array([m[k] for m in members], np.int64) for k in range(3))
@@ -359,7 +362,7 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent:
                 by_length[w] = np.full((len(members), w), 0, np.uint64)
                 for i in fit:
                     by_length[w][i] = fold(np.frombuffer(members[i][3], np.uint64), w)
-            found = []
+            found, keys = [], [frozenset(m[4]) for m in members]
             for i in range(len(members)):
                 w = len(members[i][3]) // 8
                 stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
@@ -367,7 +370,9 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent:
                     to = min(at + block, stop)
                     apart = np.bitwise_count(by_length[w][at:to] ^ by_length[w][i]).sum(axis=1)
                     ok = (label[at:to] != label[i]) & (apart <= max_difference(n[i], n[at:to], percent))
-                    found += [(min(ids[i], x), max(ids[i], x)) for x in ids[at:to][ok]]
+                    for j in at + np.flatnonzero(ok):
+                        if min(keys[i] & keys[j]) == key:
+                            found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

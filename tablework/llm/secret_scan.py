@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import id_and_text, map_texts
+from tablework.llm.common import id_and_text, map_texts, sample_rows
 
 #: The base patterns (fixed values); letters of the first group in either case.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,7 +79,7 @@ def train(docs: DataFrame, n_secrets: int = TRAIN_SECRETS, n_docs: int = TRAIN_D
     secret = secret.select(F.substring("token", 1, 256).alias("token")).distinct()
     random = [r.token for r in secret.orderBy(F.xxhash64("token"), "token").limit(n_secrets).collect()]
     words = (
-        base.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n_docs)
+        sample_rows(base, n_docs)
         .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9+/_=-]{2,64})"), F.lit(1)))).alias("token"))
         .where(~F.col("token").rlike(pattern)).where(F.col("token").rlike("[A-Za-z]"))
     )
