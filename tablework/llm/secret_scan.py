@@ -7,8 +7,9 @@ token by the log-likelihood ratio per character.
 
 Both models are trained from a labelled sample that the patterns label: the
 random class from at most ``TRAIN_SECRETS`` distinct secret values, the
-ordinary class from the words of at most ``TRAIN_DOCS`` documents; both are
-taken by the smallest hash, so the sample is repeatable.  Everything else
+ordinary class from the words of at most ``TRAIN_DOCS`` documents that are no
+candidates themselves; both are taken by the smallest hash, so the sample is
+repeatable.  Everything else
 covers all rows and whole texts: one pass without a shuffle.
 
 Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of ``MIN_LENGTH``
@@ -41,6 +42,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MIN_LENGTH = 16
 #: Nats per character by which "random" must be likelier, and in all.
 MIN_RATE, MIN_TOTAL = 0.2, 8.0
+#: Share of an even distribution in each model: a random string may go on with
+#: any character, an ordinary one seldom with a pair never seen.
+RANDOM_UNIFORM, ORDINARY_UNIFORM = 0.5, 0.02
 TRAIN_SECRETS = 4096
 TRAIN_DOCS = 2048
 
@@ -60,15 +64,20 @@ def _codes(token: str) -> np.ndarray:
     return np.concatenate(([0], _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]))
 
 
-def transition_logs(tokens: list[str]) -> np.ndarray:
-    """Log-probabilities of one character after another, each seen once more
-    than counted (so unseen pairs stay possible)."""
+def transition_logs(tokens: list[str], uniform: float) -> np.ndarray:
+    """Log-probabilities of one character after another: counted ones, mixed
+    with the characters' shares where a character was never followed, and with
+    ``uniform`` of an even distribution."""
     size = len(ALPHABET) + 1
-    counts = np.ones((size, size))
+    counts = np.zeros((size, size))
     for token in tokens:
         c = _codes(token)
         np.add.at(counts, (c[:-1], c[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    even = np.full(size, 1 / size)
+    shares = counts.sum(axis=0) / counts.sum() if counts.any() else even
+    after = counts.sum(axis=1, keepdims=True)
+    model = np.where(after > 0, counts / np.maximum(after, 1), shares)
+    return np.log((1 - uniform) * model + uniform * even)
 
 
 def train(docs: DataFrame, n_secrets: int = TRAIN_SECRETS, n_docs: int = TRAIN_DOCS) -> np.ndarray:
@@ -82,9 +91,10 @@ def train(docs: DataFrame, n_secrets: int = TRAIN_SECRETS, n_docs: int = TRAIN_D
         sample_rows(base, n_docs)
         .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9+/_=-]{2,64})"), F.lit(1)))).alias("token"))
         .where(~F.col("token").rlike(pattern)).where(F.col("token").rlike("[A-Za-z]"))
+        .where((F.length("token") < MIN_LENGTH) | ~F.col("token").rlike("[0-9]"))  # a candidate has no label yet
     )
     ordinary = [r.token for r in words.distinct().orderBy(F.xxhash64("token"), "token").limit(50 * n_secrets).collect()]
-    return transition_logs(random) - transition_logs(ordinary)
+    return transition_logs(random, RANDOM_UNIFORM) - transition_logs(ordinary, ORDINARY_UNIFORM)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -48,6 +48,7 @@ SHARD_WORDS = 100_000
 #: very long text is spread over shards.
 STRETCH = 8192
 KEY_MASK = np.uint64((1 << 48) - 1)
+WHOLE = 1 << 40  # as a number of windows: all of a text
 
 
 def _cut_runs(*keys: np.ndarray) -> np.ndarray:
@@ -343,7 +344,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     pieces = pieces.groupBy("ref", "piece", "role", "words").agg(F.collect_set(F.struct("row", "place")).alias("at"))
     pieces = pieces.select(F.pmod(F.xxhash64("ref", "piece"), F.lit(shards)).alias("shard"), "role", F.col("at.row").alias("rows"), F.col("at.place").alias("places"), "words")
     n = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return pieces.repartition(n, "shard").sortWithinPartitions("shard", "role").mapInArrow(_automata(window), SPANS)
+    found = pieces.repartition(n, "shard").sortWithinPartitions("shard", "role").mapInArrow(_automata(window), SPANS)
+    # repeated rows have one number: all their windows start in the other row too
+    twice = docs.groupBy("row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("row", F.lit(0).cast("long").alias("place"), F.lit(WHOLE).cast("long").alias("n"))
+    return found.unionByName(twice)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,7 +365,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 words = text.split()
                 gone, merged = bytearray(len(words)), []
                 for s in sorted(found or [], key=lambda s: s["place"]):
-                    start, end = s["place"], s["place"] + s["n"] + window - 1
+                    if len(words) < window:  # a repeated row without a window
+                        break
+                    start, end = s["place"], min(len(words), s["place"] + s["n"] + window - 1)
                     gone[start:end] = b"\x01" * (end - start)
                     if merged and start <= merged[-1]["end"]:
                         merged[-1]["end"] = max(end, merged[-1]["end"])
