@@ -19,8 +19,7 @@ window whose words also start anywhere else, the same text included, goes.
 
 A broadcast of the automata of the whole corpus to all documents would grow
 with its square and has no size bound; so each stretch is sent to the shards
-that can match it, which are known from step 1, and sees no other.  Equal
-stretches that refer to one shard are streamed once.
+that can match it, which are known from step 1, and sees no other.
 
 Edge cases: null and empty texts have no words and the digest of the empty
 string; texts shorter than a window lose nothing; repeated rows repeat each
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import chunks, id_and_text, join_side, materialise
+from tablework.llm.common import chunks, id_and_text, join_ids, materialise
 from tablework.llm.shingles import Words
 
 WINDOW = 35
@@ -47,7 +46,8 @@ SHARD_WORDS = 100_000
 #: Windows of one text that may be one stretch; longer ones are cut, so that a
 #: very long text is spread over shards.
 STRETCH = 8192
-KEY_MASK = np.uint64((1 << 48) - 1)
+KEY_BYTES = 7
+KEY_MASK = np.uint64((1 << 56) - 1)
 WHOLE = 1 << 40  # as a number of windows: all of a text
 
 
@@ -71,6 +71,16 @@ def _from_planes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _raw(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _from_raw(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
+    return out.view("<u8").ravel()
+
+
 def _emit(window: int, buckets: int):
     """(bucket, block): of each bucket the rows, counts, places and hashes."""
 
@@ -89,7 +99,7 @@ def _emit(window: int, buckets: int):
             step[runs] = 0
             head = np.array([len(runs), len(step)], "<i8").tobytes() + row[part][runs].astype("<i8").tobytes() + place[part][runs].astype("<i8").tobytes()
             head += np.diff(np.append(runs, len(step))).astype("<i8").tobytes()
-            out.append((int(b), head + _planes(step, 2) + _planes(key[part], 6)))
+            out.append((int(b), head + _planes(step, 2) + _raw(key[part], KEY_BYTES)))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +127,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.cumsum(step)
     starts = np.concatenate(([0], np.cumsum(count)[:-1]))
     place = total - np.repeat(total[starts], count) + np.repeat(first, count)
-    return _from_planes(raw, at + 2 * n, n, 6), np.repeat(row, count), place
+    return _from_raw(raw, at + 2 * n, n, KEY_BYTES), np.repeat(row, count), place
 
 
 def repeated(key: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -312,14 +322,16 @@ def _passages(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            out = []
+            found: dict[tuple, list] = {}
             for row, stretches, text in zip(part.column("row").to_pylist(), part.column("stretches").to_pylist(), texts, strict=True):
                 words = text.split()
                 for s in stretches:
                     own = s["ref"] == row and s["ref_place"] == s["place"]
-                    out.append((s["ref"], s["ref_place"] // STRETCH, int(not own), row, s["place"], b" ".join(words[s["place"] : s["place"] + s["n"] + window - 1])))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=["ref", "piece", "role", "row", "place", "words"])
+                    key = (s["ref"], s["ref_place"] // STRETCH, int(not own), b" ".join(words[s["place"] : s["place"] + s["n"] + window - 1]))
+                    found.setdefault(key, []).append((row, s["place"]))
+            columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+            at = [pa.array([[p[i] for p in sorted(set(v))] for v in found.values()], pa.list_(pa.int64())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*columns, *at], names=["ref", "piece", "role", "words", "rows", "places"])
 
     return run
 
@@ -330,7 +342,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = max(1, -(-size // PARTITION_BYTES))
-    buckets = min(4 * partitions, 1 << 16)
+    buckets = min(partitions, 1 << 16)
     emitted = docs.mapInArrow(_emit(window, buckets), "bucket int, block binary").repartition(partitions, "bucket")
     sent = emitted.mapInArrow(_match(buckets), "bucket int, block binary").repartition(partitions, "bucket")
     stretches = materialise(sent.mapInArrow(_stretches, STRETCHES), "stretches")
@@ -338,11 +350,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words = own.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
     shards = max(1, -(-words // SHARD_WORDS))
     grouped = stretches.distinct().groupBy("row").agg(F.collect_list(F.struct("place", "n", "ref", "ref_place")).alias("stretches"))
-    texts = join_side(docs, grouped, "row").select("row", "stretches", "text")
-    pieces = texts.mapInArrow(_passages(window), "ref long, piece long, role int, row long, place long, words binary")
-    # equal stretches of one reference are streamed once, for all their places
-    pieces = pieces.groupBy("ref", "piece", "role", "words").agg(F.collect_set(F.struct("row", "place")).alias("at"))
-    pieces = pieces.select(F.pmod(F.xxhash64("ref", "piece"), F.lit(shards)).alias("shard"), "role", F.col("at.row").alias("rows"), F.col("at.place").alias("places"), "words")
+    # only the texts with repeated windows move
+    texts = join_ids(docs, stretches.select("row").distinct(), column="row").join(grouped.hint("shuffle_merge"), "row")
+    # equal stretches of a slice that refer to one passage are streamed once, for all their places
+    pieces = texts.mapInArrow(_passages(window), "ref long, piece long, role int, words binary, rows array<long>, places array<long>")
+    pieces = pieces.select(F.pmod(F.xxhash64("ref", "piece"), F.lit(shards)).alias("shard"), "role", "rows", "places", "words")
     n = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = pieces.repartition(n, "shard").sortWithinPartitions("shard", "role").mapInArrow(_automata(window), SPANS)
     # repeated rows have one number: all their windows start in the other row too
@@ -356,7 +368,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     source = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     spans = materialise(repeated_spans(source.select("row", "text"), window), "repeats")
     per_row = spans.groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
-    joined = join_side(source, per_row, "row", "left")
+    # texts without repeats stay where they are
+    touched = spans.select("row").distinct()
+    with_spans = join_ids(source, touched, column="row").join(per_row.hint("shuffle_merge"), "row").select("doc_id", "text", "spans")
+    untouched = join_ids(source, touched, "left_anti", "row").select("doc_id", "text", F.lit(None).cast(per_row.schema["spans"].dataType).alias("spans"))
+    joined = with_spans.unionByName(untouched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
