@@ -3,11 +3,13 @@
 1. A first Python step splits whole texts by the pattern and numbers the
    distinct words of its task; each is sent on once, as an array of bytes, with
    the texts as sequences of word numbers.
-2. The merges run in the JVM on the distinct words: ``aggregate`` folds over a
-   word's byte ids, each step joining the adjacent pair of lowest rank (the
-   leftmost of equals), until no pair has a rank.  Ranks come from a literal: an
-   open-addressing table of all pairs of ids whose pieces join to a piece, as
-   one array, so that a look-up costs the same for any vocabulary.
+2. The merges run in the JVM on the distinct words: of each word, the parts
+   that are pieces are looked up in a literal rank table and sorted by rank, and
+   ``aggregate`` folds over them, joining a part when it consists of exactly two
+   tokens.  That is the rule of joining the pair of lowest rank (the leftmost of
+   equals) as long as merges come in rising order of rank, which is checked for
+   the whole vocabulary.  The literal is an open-addressing table in one array,
+   so that a look-up costs the same for any vocabulary.
 3. A second Python step replaces word numbers by ids, and decodes: the pieces
    of the ids, concatenated.
 
@@ -38,12 +40,15 @@ from pyspark.sql import functions as F
 
 from tablework.llm.common import chunks, id_and_text
 
-LONG_WORD = 48
-TASK_WORDS = 400_000
+LONG_WORD = 32
+TASK_WORDS = 1_500_000
+#: Text of a task: a word is sent on once a task, so small scan splits are joined.
+TASK_BYTES = 96 << 20
 SLICE_BYTES = 4 << 20
 ID_BITS = 17
+NONE = 1 << ID_BITS  # above all ids
 
-SPLIT = "doc_ids array<long>, counts array<int>, refs binary, fresh array<array<int>>, long array<binary>, reset boolean"
+SPLIT = "doc_ids array<long>, counts array<int>, refs binary, fresh array<binary>, long array<binary>, reset boolean"
 ENCODED = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -56,70 +61,126 @@ def read_ranks(path: str) -> list[bytes]:
     return [found[i] for i in range(len(found))]
 
 
-class PairTable:
-    """Open addressing: entry = (left id, right id, joined id) in one integer,
-    0 for free; ``probes`` neighbouring places hold every pair."""
+def merge_ranks(word: bytes, number: dict[bytes, int]) -> list[int]:
+    """Ranks of the merges of a short word, in order."""
+    parts, ranks = [word[i : i + 1] for i in range(len(word))], []
+    while True:
+        found = min(((number[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in number), default=None)
+        if found is None:
+            return ranks
+        ranks.append(found[0])
+        parts[found[1] : found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
 
-    def __init__(self, pieces: list[bytes]):
-        number = {p: i for i, p in enumerate(pieces)}
-        pairs = [(number[p[:k]] << ID_BITS | number[p[k:]], i) for i, p in enumerate(pieces) for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
-        self.bits = max(4, (3 * len(pairs)).bit_length())
+
+def check_order(pieces: list[bytes]) -> None:
+    """Raise unless the merges of every piece come in rising rank order.
+
+    Then they do so in every word: were a pair of lower rank to arise from a
+    merge, the piece it joins to would show the same in itself.  Trained
+    vocabularies have this property; the fold over ranked candidates needs it.
+    """
+    number = {p: i for i, p in enumerate(pieces)}
+    for p in pieces:
+        ranks = merge_ranks(p, number)
+        if ranks != sorted(ranks):
+            raise ValueError(f"the merges of {p!r} are not in rank order")
+
+
+class RankTable:
+    """Ranks by the hash of a piece: open addressing in one array of integers.
+    An entry is the hash with its low ``ID_BITS`` bits replaced by the rank; 0
+    is free; ``probes`` neighbouring places hold every piece."""
+
+    def __init__(self, hashes: list[int]):
+        self.bits = max(4, (8 * len(hashes)).bit_length())
         self.slots = [0] * ((1 << self.bits) + 64)
         self.probes = 1
-        for key, joined in pairs:
-            at = self.place(key)
+        low = (1 << ID_BITS) - 1
+        if len({h >> ID_BITS for h in hashes}) < len(hashes):
+            raise ValueError("two pieces share a hash")
+        for rank, h in enumerate(hashes):
+            at = h & ((1 << self.bits) - 1)
             while self.slots[at]:
                 at += 1
-            self.slots[at] = key << ID_BITS | joined
-            self.probes = max(self.probes, at - self.place(key) + 1)
-
-    def place(self, key: int) -> int:
-        return (key * 40503 + (key >> ID_BITS) * 2654435761) % ((1 << self.bits) - 1)
+            self.slots[at] = (h & ~low) | rank
+            self.probes = max(self.probes, at - (h & ((1 << self.bits) - 1)) + 1)
 
     def literal(self) -> Column:
         return F.from_json(F.lit(json.dumps(self.slots, separators=(",", ":"))), "array<bigint>")
 
-    def joined(self, table: Column, left: Column, right: Column) -> Column:
-        """The id that the pair joins to, else a number above all ids."""
-        none = F.lit(1 << ID_BITS)
-        key = F.shiftleft(left.cast("bigint"), ID_BITS).bitwiseOR(right.cast("bigint"))
-        place = ((key * 40503 + left.cast("bigint") * 2654435761) % ((1 << self.bits) - 1)).cast("int")
+    def _place(self, piece: Column) -> Column:
+        return F.xxhash64(piece).bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
+
+    def maybe(self, table: Column, piece: Column) -> Column:
+        """False for most byte strings that are no piece: one look-up."""
+        return F.get(table, self._place(piece)) != 0
 
-        def probe(k: int, at: Column, key: Column) -> Column:
+    def rank(self, table: Column, piece: Column) -> Column:
+        """The rank (id) of a piece, else ``NONE``."""
+
+        def probe(k: int, place: Column, h: Column) -> Column:
             if k == self.probes:
-                return none
-            slot = F.get(table, at + k)
-            hit = F.shiftright(slot, ID_BITS) == key
-            return F.when(hit, slot.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")).when(slot == 0, none).otherwise(probe(k + 1, at, key))
+                return F.lit(NONE)
+
+            def hit(slot: Column) -> Column:
+                mine = F.shiftright(slot, ID_BITS) == F.shiftright(h, ID_BITS)
+                return F.when(slot == 0, F.lit(NONE)).when(mine, slot.bitwiseAND(F.lit(NONE - 1))).otherwise(probe(k + 1, place, h))
 
-        return probe(0, place, key)
+            return let(F.get(table, place + k), hit)
 
+        return let(F.xxhash64(piece), lambda h: probe(0, h.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int"), h))
 
-def fold_merges(table: Column, pairs: PairTable, byte_ids: Column) -> Column:
-    """Ids of one word from the ids of its bytes."""
-    none = 1 << ID_BITS
-    at = lambda ids, i: F.get(ids, i)
 
-    def rank(ids: Column, i: Column) -> Column:
-        return pairs.joined(table, at(ids, i), at(ids, i + 1))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; lambda bodies are interpreted,
+    and Spark computes a repeated expression as often as it is written there."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    ranks = F.transform(F.slice(byte_ids, 1, F.size(byte_ids) - 1), lambda x, i: pairs.joined(table, x, at(byte_ids, i + 1)))
-    start = F.struct(byte_ids.alias("ids"), ranks.alias("ranks"))
 
-    def step(state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-        best = F.array_min(ranks)
-        i = F.array_position(ranks, best).cast("int")  # from 1: the leftmost
-        n = F.size(ids)
-        # ids: before, joined, after; ranks of the two pairs that now hold the joined id are looked up anew
-        left = F.when(i > 1, F.array(pairs.joined(table, at(ids, i - 2), best))).otherwise(F.array().cast("array<int>"))
-        right = F.when(i + 1 < n, F.array(pairs.joined(table, best, at(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
-        new_ids = F.concat(F.slice(ids, 1, i - 1), F.array(best), F.slice(ids, i + 2, n))
-        new_ranks = F.concat(F.slice(ranks, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, n))
-        return F.when(best < none, F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))).otherwise(state)
+def _left(x: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", x, n)
 
-    merged = F.aggregate(F.slice(byte_ids, 2, F.size(byte_ids)), start, step, lambda s: s["ids"])
-    return F.when(F.size(byte_ids) < 2, byte_ids).otherwise(merged)
+
+def _right(x: Column, n: Column) -> Column:
+    return F.call_function("shiftright", x, n)
+
+
+def fold_merges(table: Column, ranks: RankTable, word: Column, longest: int) -> Column:
+    """Ids of one word (binary, at most ``LONG_WORD`` bytes).
+
+    The state of the fold is the set of token borders, one bit each.  The
+    word's parts that are pieces are taken in the order of their ranks, the
+    leftmost first; such a part is joined if both its ends are borders and
+    exactly one border lies within, which goes.
+    """
+    one = F.lit(1).cast("bigint")
+
+    def join(borders: Column, c: Column) -> Column:
+        start, size = F.shiftright(c, 6).bitwiseAND(F.lit(63)).cast("int"), c.bitwiseAND(F.lit(63)).cast("int")
+        within = _right(borders, start).bitwiseAND(_left(one, size + 1) - 1)
+        return let(
+            within,
+            lambda x: F.when((F.bit_count(x) == 3) & (x.bitwiseAND(one) == 1) & (_right(x, size) == 1), borders.bitwiseXOR(_left(x - 1 - _left(one, size), start))).otherwise(borders),
+        )
+
+    def ids(borders: Column, n: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), n), lambda b: _right(borders, b).bitwiseAND(one) == 1)
+        return let(
+            places, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda b, k: ranks.rank(table, F.substring(word, b + 1, F.get(at, k + 1) - b)).cast("int"))
+        )
+
+    def merged(n: Column) -> Column:
+        grid = F.transform(
+            F.sequence(F.lit(0), n - 2),
+            lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(n - i, F.lit(longest))), lambda size: F.when(ranks.maybe(table, F.substring(word, i + 1, size)), i * 64 + size).otherwise(0)), lambda c: c > 0),
+        )
+        parts = F.transform(F.flatten(grid), lambda c: ranks.rank(table, F.substring(word, F.shiftright(c, 6) + 1, c.bitwiseAND(F.lit(63)))) * 4096 + c)
+        # rank, start and size are one number, so that sorting numbers sorts by rank, then place
+        ranked = F.sort_array(F.filter(parts, lambda c: c < NONE * 4096))
+        return let(F.aggregate(ranked, _left(one, n + 1) - 1, join), lambda borders: ids(borders, n))
+
+    single = F.array(ranks.rank(table, word).cast("int"))
+    return let(F.length(word), lambda n: F.when(n > 1, merged(n)).when(n == 1, single).otherwise(F.array().cast("array<int>")))
 
 
 def heap_merges(word: bytes, number: dict[bytes, int]) -> list[int]:
@@ -150,12 +211,11 @@ def heap_merges(word: bytes, number: dict[bytes, int]) -> list[int]:
     return [number[word[i : ends[i]]] for i in range(len(word)) if i not in starts]
 
 
-def _split(pattern: str, byte_ids: list[int]):
+def _split(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        ids = np.array(byte_ids, np.int32)
         known: dict[str, int] = {}
         for part, texts in chunks(batches, max_bytes=SLICE_BYTES):
             reset = len(known) > TASK_WORDS
@@ -168,14 +228,12 @@ def _split(pattern: str, byte_ids: list[int]):
             get = known.__getitem__
             refs = np.array([k for ws in split for k in map(get, ws)], np.int32)
             short = [w if len(w) <= LONG_WORD else b"" for w in fresh]
-            offsets = np.concatenate(([0], np.cumsum([len(w) for w in short]))).astype(np.int32)
-            values = ids[np.frombuffer(b"".join(short), np.uint8)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([[len(ws) for ws in split]], pa.list_(pa.int32())),
                     pa.array([refs.tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))),
+                    pa.array([short], pa.list_(pa.binary())),
                     pa.array([[w for w in fresh if len(w) > LONG_WORD]], pa.list_(pa.binary())),
                     pa.array([reset]),
                 ],
@@ -232,11 +290,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True,
     """One row per row of ``docs``: ids (binary, 32-bit little-endian, if asked
     for), their number, and the digests of ids and of the decoded bytes."""
     pieces = read_ranks(rank_file)
-    number = {p: i for i, p in enumerate(pieces)}
-    pairs = PairTable(pieces)
-    split = id_and_text(docs, id_col, text_col).mapInArrow(_split(pattern, [number[bytes([b])] for b in range(256)]), SPLIT)
+    check_order(pieces)
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(pieces)), "i int, p binary")
+    ranks = RankTable([r.h for r in numbered.select("i", F.xxhash64("p").alias("h")).orderBy("i").collect()])  # one number a piece
+    longest = min(LONG_WORD, max(map(len, pieces)))
+    source = id_and_text(docs, id_col, text_col)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    split = source.coalesce(max(1, size // TASK_BYTES)).mapInArrow(_split(pattern), SPLIT)
     # the table is bound once, as a variable, so that the plan holds one literal
-    encoded = F.get(F.transform(F.array(pairs.literal()), lambda table: F.transform("fresh", lambda word: fold_merges(table, pairs, word))), 0)
+    encoded = F.get(F.transform(F.array(ranks.literal()), lambda table: F.transform("fresh", lambda word: fold_merges(table, ranks, word, longest))), 0)
     merged = split.select("doc_ids", "counts", "refs", "long", "reset", encoded.alias("encoded"))
     return merged.mapInArrow(_assemble(pieces, with_ids), ENCODED)
 
