@@ -56,8 +56,8 @@ GROUP = 24
 FREQUENT_SAMPLE, FREQUENT_IN = 4096, 3
 FREQUENT_BITS = 22
 SPARE = 0.08  # cells beyond the least number, as a share of the set
-BLOCK_BYTES = 48 << 20
-PARTITION_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+PARTITION_BYTES = 16 << 20
 KEY_MASK = np.uint64((1 << 48) - 1)
 
 EMITTED = "bucket int, kind int, doc_id long, n long, set_id long, sketch binary, keys binary"
@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, g
     source = id_and_text(docs, id_col, text_col)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = max(1, -(-size // PARTITION_BYTES))
-    buckets = min(4 * partitions, 1 << 16)
+    buckets = min(partitions, 1 << 16)
     emitted = source.mapInArrow(_emit(_frequent(source, n), n, percent, buckets), EMITTED)
     matched = materialise(emitted.repartition(partitions, "bucket").mapInArrow(_match(percent, group), MATCHED), "matched")
     facts = matched.where("kind = 0").select("doc_id", "n", "set_id", "sketch")
