@@ -89,11 +89,17 @@ def tstz_text(column: ColumnOrName) -> Column:
 
 # ---------------------------------------------------------------- F7
 def split_list(column: ColumnOrName, sep: str = ",") -> Column:
-    """Split on ``sep``, trim each part and drop blanks."""
-    parts = F.transform(F.split(_c(column), sep), lambda x: F.trim(x))
+    """Split on ``sep``, trim each part (any white space) and drop blanks."""
+    parts = F.transform(F.split(_c(column), sep), lambda x: F.regexp_replace(x, "\\A\\s+|\\s+\\z", ""))
     return F.filter(parts, lambda x: x != F.lit(""))
 
 
+def required_list(column: ColumnOrName, what: str, sep: str = ",") -> Column:
+    """:func:`split_list` that fails the query where nothing is left."""
+    parts = split_list(column, sep)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.raise_error(F.lit(f"{what} must name at least one entry")))
+
+
 # ---------------------------------------------------------------- F8
 SLUG_MAX = 48  # fixed value: slug length limit
 SLUG_EMPTY = "preview"  # fixed value: slug of an empty name
@@ -118,7 +124,7 @@ def metric_label(column: ColumnOrName) -> Column:
 # ---------------------------------------------------------------- F10
 def full_match(column: ColumnOrName, pattern: str) -> Column:
     """Whole-string regex match."""
-    return _c(column).rlike("^(?:" + pattern + ")$")
+    return _c(column).rlike("\\A(?:" + pattern + ")\\z")
 
 
 def drop_lines(column: ColumnOrName, contains_pattern: str) -> Column:

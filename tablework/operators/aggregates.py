@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.functions.columns import fmt_utc, trailing_days
+from tablework.session import checkpoint_dir
 
 
 # ---------------------------------------------------------------- A1
@@ -52,67 +53,28 @@ def value_at_latest(value: str, by: str, tie: str | None = None) -> Column:
 
 
 # ---------------------------------------------------------------- A3
-def exact_median(df: DataFrame, column: str, accuracy: int = 10000, collect_limit: int = 100000) -> float | None:
+def exact_median(df: DataFrame, column: str) -> float | None:
     """Exact median (linear interpolation at 0.5, as ``median`` in SQL).
 
     ``F.median`` on one global group collects every distinct value into a
-    single task.  Instead we narrow a bracket around the two middle ranks
-    with ``percentile_approx`` (bounded sketches, merged like partial
-    aggregates), count the rows below the bracket exactly, and only bring
-    (value, count) pairs of the bracket to the driver once there are at
-    most ``collect_limit`` of them.  Duplicated values collapse into one
-    pair, so a hot value does not grow the bracket.
+    single task.  Here equal values collapse into one counted row (partial
+    aggregate), the rows are range-partitioned and sorted, and running counts
+    inside each range plus the counts of the ranges before give ranks; only
+    the one or two middle values leave the executors, at any size.
     """
-    x = F.col(column)
-    base = df.select(x.cast("double").alias("v")).where(F.col("v").isNotNull())
-    lo_val: float | None = None
-    hi_val: float | None = None
-    below = 0  # rows strictly below lo_val
-    n: int | None = None
-    for _ in range(12):
-        part = base
-        if lo_val is not None:
-            part = part.where((F.col("v") >= F.lit(lo_val)) & (F.col("v") <= F.lit(hi_val)))
-        grouped = part.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        # One job answers the common case: at most collect_limit distinct values.
-        pairs = grouped.limit(collect_limit + 1).collect()
-        if len(pairs) <= collect_limit:
-            pairs = sorted((r["v"], r["c"]) for r in pairs)
-            if n is None:
-                n = sum(c for _, c in pairs)
-            if n == 0:
-                return None
-            vals = []
-            for target in ((n - 1) // 2, n // 2):
-                seen = below
-                for v, c in pairs:
-                    seen += c
-                    if seen > target:
-                        vals.append(v)
-                        break
-            return vals[0] * 0.5 + vals[1] * 0.5
-        if n is None:
-            n = base.count()
-        k1, k2 = (n - 1) // 2, n // 2  # 0-based ranks of the middle values
-        m = part.count()
-        eps = 2.0 / accuracy
-        lo_q = max(0.0, (k1 - below) / m - eps)
-        hi_q = min(1.0, (k2 - below) / m + eps)
-        row = part.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("q")).first()
-        new_lo, new_hi = row["q"][0], row["q"][1]
-        # exact counts decide whether the bracket really holds both middle
-        # ranks; if the sketch missed, retry this step with more accuracy
-        counts = part.agg(
-            F.count_if(F.col("v") < F.lit(new_lo)).alias("lt"),
-            F.count_if((F.col("v") >= F.lit(new_lo)) & (F.col("v") <= F.lit(new_hi))).alias("inside"),
-        ).first()
-        new_below = below + counts["lt"]
-        if not (new_below <= k1 and k2 < new_below + counts["inside"]):
-            accuracy *= 10
-            continue
-        below = new_below
-        lo_val, hi_val = new_lo, new_hi
-    raise RuntimeError("exact_median did not converge")
+    checkpoint_dir(df.sparkSession)
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    counted = counted.checkpoint(eager=True)
+    before = counted.groupBy("part").agg(F.sum("c").alias("n"))  # one row per range
+    along = Window.orderBy("part")
+    before = before.select("part", (F.sum("n").over(along) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("c").over(inside)).join(before, "part").withColumn("upto", F.col("upto") + F.col("before"))
+    lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)  # from 0
+    first = F.col("upto") - F.col("c")
+    middle = ranked.where((first <= upper) & (F.col("upto") > lower)).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    return None if middle.lo is None else middle.lo * 0.5 + middle.hi * 0.5
 
 
 def kpi_row(
@@ -132,7 +94,8 @@ def kpi_row(
     lineage) for their duration.  The result is one row, materialised and
     returned as a one-row DataFrame so the cache can be released.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    needed = list(dict.fromkeys([ratio_col, *(src for src, _ in sum_cols), version_col, time_col]))
+    cached = df.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         med = exact_median(cached, ratio_col)
         kpis = cached.agg(

@@ -69,13 +69,11 @@ def scope_guard(
     typ = F.col(type_col) if type_col else F.lit("resource")
     name = F.col(name_col)
     if production is not None:
-        prod = production.select(*key_cols, F.col(production_col).alias("__prod"))
-        if key_cols:
-            joined = df.join(prod, list(key_cols), "left")
-        else:
-            prod = prod.distinct()
-            joined = df.join(prod, name == F.col("__prod"), "left")
-        matches = F.coalesce(name == F.col("__prod"), F.lit(False))
+        # a row per key and name, so that a key with several production names adds no rows
+        prod = production.select(*key_cols, F.col(production_col).alias("__prod")).distinct()
+        same = [df[k] == prod[k] for k in key_cols] + [name == prod["__prod"]]
+        joined = df.join(prod, same, "left").select(*[df[c] for c in df.columns], prod["__prod"])
+        matches = F.col("__prod").isNotNull()
     else:
         joined = df.withColumn("__prod", F.lit(None).cast("string"))
         matches = F.lit(False)

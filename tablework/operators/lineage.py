@@ -13,8 +13,11 @@ driver only learns whether the frontier is empty.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablework.session import checkpoint_dir
 
@@ -34,13 +37,6 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _keep(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Checkpoint one round's state; return it and whether it is empty
-    (read from the checkpoint, so the round is computed once)."""
-    kept = _cut(df)
-    return kept, kept.isEmpty()
-
-
 # ---------------------------------------------------------------- L1
 def build_edges(inputs: DataFrame, references: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Edges from declared inputs ``(consumer, producer)`` and cross-package
@@ -69,13 +65,17 @@ def nodes_of(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- L2
-def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "prod", max_rounds: int = 10_000) -> DataFrame:
+def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "prod") -> DataFrame:
     """Selection expansion with hop distance.
 
     ``prod``: seeds plus everything downstream (consumers, transitively);
     ``preview``: the closure in both directions.  No seeds selects every
     node (depth 0).  Returns ``(node, depth)``, depth = fewest hops from a
     seed.
+
+    The edges are partitioned by their source once; a round moves only the
+    newest frontier.  What has been visited is appended to one table, so the
+    plan of a round does not grow; the walk ends when a frontier is empty.
     """
     if direction not in ("prod", "preview"):
         raise ValueError("direction must be prod or preview")
@@ -85,51 +85,64 @@ def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "
     if direction == "preview":
         step = step.unionByName(edges.select(F.col("consumer").alias("src"), F.col("producer").alias("dst")))
     # no distinct here: every round de-duplicates its new frontier anyway
-    step = _cut(step)
-    visited = _cut(seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0)))
-    frontier = visited.select("node")
+    step = _cut(step.repartition("src"))
+    visited = _Waves(step.sparkSession, "depth")
+    frontier = seeds.select(F.col("node")).distinct()
     depth = 0
-    while depth < max_rounds:
-        depth += 1
-        nxt = (
-            frontier.join(step, frontier["node"] == step["src"])
-            .select(F.col("dst").alias("node"))
-            .distinct()
-            .join(visited.select("node"), "node", "left_anti")
-        )
-        nxt, empty = _keep(nxt)
+    while True:
+        frontier, empty = visited.add(frontier, depth)
         if empty:
-            return visited
-        # a union of checkpointed pieces: short plan, no extra checkpoint
-        visited = visited.unionByName(nxt.withColumn("depth", F.lit(depth)))
-        frontier = nxt
-    raise RuntimeError("lineage expansion did not converge")
+            return visited.table()
+        depth += 1
+        reached = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = reached.join(visited.table().select("node"), "node", "left_anti")
+
+
+class _Waves:
+    """Numbered waves of nodes, appended to one table in the shared folder."""
+
+    def __init__(self, spark: SparkSession, number: str):
+        self.spark, self.number = spark, number
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
+        self.schema: StructType | None = None
+
+    def add(self, nodes: DataFrame, wave: int) -> tuple[DataFrame, bool]:
+        """Write a wave; read back, and whether it is empty."""
+        rows = nodes.select("node").withColumn(self.number, F.lit(wave))
+        self.schema = self.schema or rows.schema
+        rows.write.mode("append").parquet(f"{self.path}/{wave}")
+        written = self.spark.read.schema(self.schema).parquet(f"{self.path}/{wave}")
+        return written.select("node"), written.isEmpty()
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 # ---------------------------------------------------------------- L3
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Peel the graph: level 0 = nodes without dependencies, level k =
     nodes whose dependencies all have a level < k (so level = longest path
     from a source).  Returns ``(levels, remainder)`` where ``remainder``
     holds the nodes left when no node is ready (cycles and what depends on
-    them); order a wave by name to get a producer-first order."""
-    all_nodes = _cut(nodes_of(edges, nodes))
-    all_edges = _cut(edges.select("consumer", "producer").distinct())
-    levels = all_nodes.limit(0).withColumn("level", F.lit(0))
+    them); order a wave by name to get a producer-first order.
+
+    Each node carries the number of dependencies it still waits for; a round
+    subtracts those in the newest wave, found through edges that are
+    partitioned by producer once.
+    """
+    all_edges = _cut(edges.select("consumer", "producer").distinct().repartition("producer"))
+    waits = all_edges.groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    state = _cut(nodes_of(edges, nodes).join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
+    levels = _Waves(all_edges.sparkSession, "level")
     level = 0
-    while level < max_rounds:
-        # Unions of checkpointed waves keep every plan here short: the
-        # unresolved part is recomputed from all nodes/edges minus levels.
-        done = levels.select("node")
-        remaining = all_nodes.join(done, "node", "left_anti")
-        blocked = all_edges.join(done.select(F.col("node").alias("producer")), "producer", "left_anti").select(F.col("consumer").alias("node"))
-        ready, empty = _keep(remaining.join(blocked, "node", "left_anti"))
+    while True:
+        wave, empty = levels.add(state.where("waits = 0"), level)
+        state = state.where("waits > 0")
         if empty:
-            break
-        levels = levels.unionByName(ready.withColumn("level", F.lit(level)))
+            return levels.table(), state.select("node")
+        met = wave.join(all_edges, wave["node"] == all_edges["producer"]).groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        state = _cut(state.join(met, "node", "left").select("node", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")))
         level += 1
-    remaining = all_nodes.join(levels.select("node"), "node", "left_anti")
-    return levels, remaining
 
 
 def ordered_levels(levels: DataFrame) -> DataFrame:
@@ -137,22 +150,52 @@ def ordered_levels(levels: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- L4
-def cycle_set(edges: DataFrame, remainder: DataFrame) -> DataFrame:
-    """Nodes on (or between) cycles: the peel remainder trimmed backwards
-    (drop nodes nothing in the remainder depends on, repeatedly)."""
-    rem = remainder.select("node")
-    e = _cut(
-        edges.join(rem.select(F.col("node").alias("consumer")), "consumer", "left_semi").join(
-            rem.select(F.col("node").alias("producer")), "producer", "left_semi"
-        )
-    )
+def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends in ``nodes``."""
+    return edges.join(nodes.select(F.col("node").alias("consumer")), "consumer", "left_semi").join(nodes.select(F.col("node").alias("producer")), "producer", "left_semi")
+
+
+def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, label) with the largest label that reaches a node along ``step``
+    (src, dst), its own included."""
+    labels = _cut(start)
     while True:
-        has_consumer = e.select(F.col("producer").alias("node")).distinct()
-        trimmed = _cut(rem.join(has_consumer, "node", "left_semi"))
-        if trimmed.count() == rem.count():
-            return trimmed
-        rem = trimmed
-        e = _cut(e.join(rem.select(F.col("node").alias("consumer")), "consumer", "left_semi").join(rem.select(F.col("node").alias("producer")), "producer", "left_semi"))
+        near = labels.join(step, labels["node"] == step["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("near"))
+        after = labels.join(near, "node", "left").select("node", F.greatest("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
+        after = _cut(after)
+        if after.where("label > was").isEmpty():
+            return after.select("node", "label")
+        labels = after.select("node", "label")
+
+
+def cycle_set(edges: DataFrame, remainder: DataFrame) -> DataFrame:
+    """Nodes on a cycle, i.e. that reach themselves; a node that only lies
+    between two cycles is none.
+
+    Strongly connected parts by colouring: every node takes the largest name
+    that reaches it; the nodes of a colour that reach back to the node of that
+    name are one part.  Parts found are taken out until no node is left.
+    """
+    rem = _cut(remainder.select("node").distinct())
+    found = rem.limit(0)
+    while not rem.isEmpty():
+        inner = _cut(_inside(edges.select("consumer", "producer").distinct(), rem))
+        colour = _spread(rem.select("node", F.col("node").alias("label")), inner.select(F.col("producer").alias("src"), F.col("consumer").alias("dst")))
+        one = lambda c: colour.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        same = _cut(inner.join(one("consumer"), "consumer").join(one("producer"), "producer").where("consumer_label = producer_label").select("consumer", "producer"))
+        # backwards from the node that gave the colour its name, within the colour
+        roots = colour.where("node = label")
+        part = _spread(
+            colour.join(roots.select("node", F.lit(1).alias("r")), "node", "left").select("node", F.coalesce("r", F.lit(0)).alias("label")),
+            same.select(F.col("consumer").alias("src"), F.col("producer").alias("dst")),
+        ).where("label = 1")
+        members = _cut(part.select("node").join(colour, "node"))
+        large = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+        loops = inner.where("consumer = producer").select(F.col("consumer").alias("node"))
+        cyclic = members.join(large, "label", "left_semi").select("node").unionByName(members.select("node").join(loops, "node", "left_semi")).distinct()
+        found = _cut(found.unionByName(cyclic))
+        rem = _cut(rem.join(members.select("node"), "node", "left_anti"))
+    return found
 
 
 def find_cycle(edges: DataFrame, nodes: DataFrame | None = None) -> list[str] | None:

@@ -59,7 +59,7 @@ TYPE_PATTERNS = {
 
 def _type_ok(text: Column, type_name: str) -> Column:
     """Whether the text form of a value is of the JSON-schema style type."""
-    return text.rlike("^(?:" + TYPE_PATTERNS[type_name] + ")$")
+    return text.rlike("\\A(?:" + TYPE_PATTERNS[type_name] + ")\\z")
 
 
 def _rule_fails(rule: Rule) -> tuple[Column, str]:
@@ -76,7 +76,7 @@ def _rule_fails(rule: Rule) -> tuple[Column, str]:
     if k == "min_length":
         return c.isNotNull() & (F.length(c) < F.lit(int(a))), f"{rule.column} must have at least {a} characters"
     if k == "pattern":
-        return c.isNotNull() & ~c.rlike("^(?:" + str(a) + ")$"), f"{rule.column} must match {a}"
+        return c.isNotNull() & ~c.rlike(str(a)), f"{rule.column} must match {a}"
     if k == "min_items":
         return c.isNotNull() & (F.size(c) < F.lit(int(a))), f"{rule.column} must have at least {a} items"
     if k in ("exactly_one", "at_most_one"):
@@ -173,8 +173,8 @@ def require_rows(df: DataFrame, what: str = "source") -> DataFrame:
 
 
 def check_separation(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Q7: (key, column, value) where the same key in both sets shares a
-    non-NULL identifier value in that column.
+    """Q7: (key, column, value) where the same key in both sets shares an
+    identifier value in that column; two absent values (NULL) are equal.
 
     Each side is first reduced to its distinct (key, column, value)
     triples (a partial aggregate), then the triples are equi-joined, so a
@@ -183,10 +183,9 @@ def check_separation(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequ
 
     def triples(df: DataFrame) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("shared_value")) for c in cols])
-        return (
-            df.select(*keys, F.inline(cells))
-            .where(F.col("shared_value").isNotNull())
-            .distinct()
-        )
+        return df.select(*keys, F.inline(cells)).distinct()
 
-    return triples(a).join(triples(b), [*keys, "column", "shared_value"], "inner")
+    left, right = triples(a).alias("l"), triples(b).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*keys, "column")]
+    joined = left.join(right, [*same, F.col("l.shared_value").eqNullSafe(F.col("r.shared_value"))], "inner")
+    return joined.select(*[F.col(f"l.{c}") for c in (*keys, "column", "shared_value")])

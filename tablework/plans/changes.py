@@ -167,7 +167,7 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
     psel = F.coalesce("producer_selected", F.lit(False))
     pcan = F.coalesce("producer_can_produce", F.lit(False))
     deployed = F.coalesce("deploy", F.lit(False))
-    guide_off = (typ == "guide") & ~F.coalesce("deploy", F.lit(True))
+    guide_off = (typ == "guide") & ~deployed  # no flag: not deployed
     guide_id_missing = (typ == "guide") & by_id & (n == 0)
     dstat = F.col("desired_status")
     cur = F.col("live_status")

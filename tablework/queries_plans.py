@@ -154,7 +154,7 @@ j AS (
     coalesce(d.producer IN (SELECT package FROM selected), false) AS psel,
     coalesce(d.producer IN (SELECT package FROM producing), false) AS pcan,
     coalesce(d.deploy, false) AS deployed,
-    d.type = 'guide' AND NOT coalesce(d.deploy, true) AS guide_off,
+    d.type = 'guide' AND NOT coalesce(d.deploy, false) AS guide_off,
     d.type = 'guide' AND d.id IS NOT NULL AND coalesce(c.n_live, 0) = 0 AS guide_id_missing
   FROM d
   LEFT JOIN counts c ON c.lookup_type = d.lookup_type AND c.mkey = d.mkey

@@ -66,9 +66,9 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick our
-    own (a fresh temp directory) when nothing is configured, which is
-    the case for local tests.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session
+    gets a fresh temp directory when nothing is configured (tests).  On a
+    cluster that is an error: executors do not see each other's disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -77,6 +77,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return spark.sparkContext.getCheckpointDir() or configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tablework-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

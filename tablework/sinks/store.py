@@ -229,7 +229,8 @@ class TableStore:
                 rows = rows.select(*entry.schema.fieldNames())
             paths = self._stage(name, rows, None)
             old_paths = entry.paths if entry else []
-            new_tables[name] = TableEntry(name, entry.schema if entry else rows.schema, old_paths + paths)
+            kept = (entry.not_null, entry.primary_key, entry.partition_expr) if entry else ([], [], None)
+            new_tables[name] = TableEntry(name, entry.schema if entry else rows.schema, old_paths + paths, *kept)
         merged_meta = dict(old_meta)
         merged_meta.update(meta or {})
         return self._commit(version, new_tables, merged_meta)

@@ -6,12 +6,13 @@ stream, unnested (S3) and upserted (K5) into a store table from
 ``foreachBatch``.  ``trigger(availableNow=True)`` processes whatever has
 landed and stops, which is how a daily job runs it.
 
-Exactly-once: ``foreachBatch`` can replay a batch after a failure between
-the table commit and the stream checkpoint.  The batch id is written into
-the table manifest with the data, and a replayed id is skipped.  Inside
-one batch a key that appears in several files keeps the row of the most
-recently modified file (last landed load wins), so an incoming batch is
-always unique on the key.
+The upsert is idempotent: a batch that is replayed after a failure, or files
+that are read again under a new stream checkpoint, write the same keys once
+more and leave the same table, so no batch is ever skipped.  Inside one batch
+a key that appears in several files keeps the row of the most recently
+modified file (last landed load wins), so an incoming batch is always unique
+on the key.  The stream checkpoint is the caller's to name: it has to live in
+storage that survives the application.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql.types import StructType
 
 from tablework.functions.columns import load_time
 from tablework.operators.windows import latest_per_key
-from tablework.session import checkpoint_dir
 from tablework.sinks.store import TableStore
 from tablework.sources.json_scan import unnest_items
 
@@ -39,25 +39,19 @@ def upsert_batch(
     store: TableStore,
     table: str,
     batch: DataFrame,
-    batch_id: int,
     keys: Sequence[str],
     request_cols: Sequence[str] = ("article",),
     loaded_at: str | None = None,
 ) -> bool:
     """Upsert one micro-batch of landed payload rows (``batch`` carries the
     ``__mtime``/``__file`` metadata columns).  Returns False when the batch
-    id was already committed (a replay) or the batch is empty."""
-    done = store.meta().get("stream_batches", {}).get(table, -1)
-    if batch_id <= done:
-        return False
+    has no items."""
     stamp = loaded_at or load_time()
     rows = unnest_items(batch, [*request_cols, "__mtime", "__file"], stamp)
     rows = latest_per_key(rows, list(keys), [F.col("__mtime").desc(), F.col("__file").desc()]).drop("__mtime", "__file")
     if rows.isEmpty():
         return False
-    batches = dict(store.meta().get("stream_batches", {}))
-    batches[table] = batch_id
-    store.upsert(table, rows, keys, meta={"stream_batches": batches})
+    store.upsert(table, rows, keys)
     return True
 
 
@@ -67,7 +61,7 @@ def stream_upsert(
     store: TableStore,
     table: str,
     keys: Sequence[str],
-    checkpoint: str | None = None,
+    checkpoint: str,
     payload_schema: StructType | str = ITEM_PAYLOAD_SCHEMA,
     request_cols: Sequence[str] = ("article",),
     max_files_per_trigger: int | None = None,
@@ -76,7 +70,6 @@ def stream_upsert(
     """Run the incremental load until all landed files are processed.
     Returns the number of micro-batches committed in this run.
     ``loaded_at`` fixes the load time (default: now, one value per batch)."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/streams/{table}"
     reader = spark.readStream.schema(payload_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -84,9 +77,9 @@ def stream_upsert(
     committed = []
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if upsert_batch(store, table, batch, batch_id, keys, request_cols, loaded_at):
+        if upsert_batch(store, table, batch, keys, request_cols, loaded_at):
             committed.append(batch_id)
 
-    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return len(committed)

@@ -65,3 +65,14 @@ def test_changed_files_select_owners(spark):
     assert pick(["packages/first"]) == ["packages/first"]
     assert pick([], has_base=False) == ["packages/first", "packages/second"]
     assert pick([]) == []
+
+
+def test_levels_of_a_chain_and_cycles_with_a_bridge(spark):
+    chain = spark.createDataFrame([(f"n{i + 1:02d}", f"n{i:02d}") for i in range(25)], "consumer string, producer string")
+    levels, rest = lg.topological_levels(chain)
+    assert {r["node"]: r["level"] for r in levels.collect()} == {f"n{i:02d}": i for i in range(26)}
+    assert rest.isEmpty()
+    # a <-> b and x <-> y, with m between them: m is on no cycle
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("m", "a"), ("x", "m"), ("x", "y"), ("y", "x"), ("z", "y"), ("s", "s")], "consumer string, producer string")
+    _, rest = lg.topological_levels(edges)
+    assert {r["node"] for r in lg.cycle_set(edges, rest).collect()} == {"a", "b", "x", "y", "s"}

@@ -87,6 +87,19 @@ def test_stream_upsert_two_drops(spark, tmp_path):
     assert stream_upsert(spark, str(landing), store, "pageviews_daily", PAGEVIEWS_KEY, checkpoint=str(tmp_path / "ckpt")) == 0
 
 
+def test_stream_upsert_on_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    """A restart whose stream checkpoint is gone reads all files again: batch
+    numbers start at 0 once more, and newly landed days still arrive."""
+    store = new_store(spark, tmp_path)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "drop1.json").write_text(json.dumps({"article": "A", "items": [item("2024013100", 5)]}) + "\n")
+    stream_upsert(spark, str(landing), store, "pageviews_daily", PAGEVIEWS_KEY, checkpoint=str(tmp_path / "ckpt1"))
+    (landing / "drop2.json").write_text(json.dumps({"article": "A", "items": [item("2024020100", 6)]}) + "\n")
+    assert stream_upsert(spark, str(landing), store, "pageviews_daily", PAGEVIEWS_KEY, checkpoint=str(tmp_path / "ckpt2")) == 1
+    assert {(r["viewed_on"].isoformat(), r["views"]) for r in store.read("pageviews_daily").collect()} == {("2024-01-31", 5), ("2024-02-01", 6)}
+
+
 def test_summary_trend_and_kpis(spark):
     rows = [
         ("p", "A", "all-access", "user", "daily", dt.date(2024, 1, 20), 10, dt.datetime(2024, 1, 31, 6)),
@@ -116,20 +129,20 @@ def test_upsert_with_null_partition_value(spark, tmp_path):
     assert sorted(tuple(r) for r in store.read("t").select("k", "v").collect()) == [(1, 10), (2, 2)]
 
 
-def test_replayed_batch_is_skipped(spark, tmp_path):
+def test_replayed_batch_leaves_the_table_as_it_is(spark, tmp_path):
     from tablework.streaming.incremental import upsert_batch
 
     store = new_store(spark, tmp_path)
     batch = payload_df(spark, [{"article": "A", "items": [item("2024013100", 5)]}]).select(
         "*", F.lit(1).cast("timestamp").alias("__mtime"), F.lit("f1").alias("__file")
     )
-    assert upsert_batch(store, "pageviews_daily", batch, 0, PAGEVIEWS_KEY, loaded_at="2024-02-01 06:00:00")
-    version = store.version()
-    assert not upsert_batch(store, "pageviews_daily", batch, 0, PAGEVIEWS_KEY)  # replay after a crash
-    assert store.version() == version
+    assert upsert_batch(store, "pageviews_daily", batch, PAGEVIEWS_KEY, loaded_at="2024-02-01 06:00:00")
+    before = store.read("pageviews_daily").collect()
+    assert upsert_batch(store, "pageviews_daily", batch, PAGEVIEWS_KEY, loaded_at="2024-02-01 06:00:00")  # replay after a crash
+    assert store.read("pageviews_daily").collect() == before
     later = payload_df(spark, [{"article": "A", "items": [item("2024013100", 7)]}]).select(
         "*", F.lit(2).cast("timestamp").alias("__mtime"), F.lit("f2").alias("__file")
     )
     older = batch
-    assert upsert_batch(store, "pageviews_daily", later.unionByName(older), 1, PAGEVIEWS_KEY)
+    assert upsert_batch(store, "pageviews_daily", later.unionByName(older), PAGEVIEWS_KEY)
     assert [r["views"] for r in store.read("pageviews_daily").collect()] == [7]  # newest landed file wins

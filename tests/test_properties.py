@@ -16,7 +16,7 @@ SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[Health
 def test_exact_median_matches_python(spark, values, narrow):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
     clean = [float(v) for v in values if v is not None]
-    got = exact_median(df, "x", accuracy=50, collect_limit=3) if narrow else exact_median(df, "x")
+    got = exact_median(df, "x")
     if not clean:
         assert got is None
     else:
