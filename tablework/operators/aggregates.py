@@ -144,6 +144,7 @@ def count_per_group(df: DataFrame, keys: Sequence[str], counted: str, alias: str
 
 
 # ---------------------------------------------------------------- A7 / Q2
-def duplicates(df: DataFrame, keys: Sequence[str], count_name: str = "n_copies") -> DataFrame:
-    """Key values occurring more than once (with their count)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name)).where(F.col(count_name) > 1)
+def duplicates(df: DataFrame, keys: Sequence[str], count_name: str = "n_copies", extra: Sequence[Column] = ()) -> DataFrame:
+    """Key values occurring more than once, with their count and any ``extra``
+    aggregates."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name), *extra).where(F.col(count_name) > 1)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablework.operators.aggregates import duplicates
+
 
 class ContractError(ValueError):
     """The data does not satisfy its column contract."""
@@ -113,7 +115,7 @@ def check_rows(df: DataFrame, rules: Sequence[Rule], id_cols: Sequence[str]) ->
 
 def check_unique(df: DataFrame, keys: Sequence[str], count_name: str = "n_rows") -> DataFrame:
     """Q2: key values that occur more than once (partial aggregate first)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name)).where(F.col(count_name) > 1)
+    return duplicates(df, keys, count_name)
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:

@@ -330,7 +330,7 @@ REF_FIELDS = ("type", "url", "schema", "table", "column", "view", "macro", "uuid
 
 
 def refs_equal(a: Column, b: Column) -> Column:
-    """C5 equality: canonical arrays when both parse, text otherwise."""
+    """C5 equality: canonical arrays, other JSON by value, else as text."""
     return canonical_equal(canonical_refs(a), a, canonical_refs(b), b)
 
 
@@ -341,7 +341,10 @@ def canonical_equal(canon_a: Column, text_a: Column, canon_b: Column, text_b: Co
 
 
 def canonical_key(canon: Column, text: Column) -> Column:
-    return F.when(canon.isNotNull(), F.to_json(canon)).otherwise(F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    """Text that is equal for equal references: the canonical array, else the
+    parsed JSON value (white space and key order do not count), else the text."""
+    parsed = F.to_json(F.try_parse_json(text))
+    return F.when(canon.isNotNull(), F.to_json(canon)).otherwise(F.coalesce(parsed, F.concat(F.lit("text:"), F.coalesce(text, F.lit("")))))
 
 
 def canonical_with_fallback(text: Column) -> Column:

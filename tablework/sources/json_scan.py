@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
 from tablework.contracts import Contract, source_schema
 from tablework.functions.columns import drop_lines
@@ -100,7 +100,8 @@ def unnest_pages(
     cols = set(types)
     more = F.coalesce(F.col(more_col).cast("boolean"), F.lit(False)) if more_col in cols else F.lit(False)
     is_list = F.trim(feats).startswith("[")
-    elems = F.from_json(F.when(is_list, feats), "array<string>")
+    # a payload that is cut off fails the load instead of vanishing
+    elems = F.from_json(F.when(is_list, feats), "array<string>", {"mode": "FAILFAST"})
     kept = F.filter(
         F.transform(
             F.filter(elems, lambda e: F.trim(e).startswith("{")),
@@ -127,7 +128,19 @@ def unnest_pages(
         raise PageError("pages returned no rows")
     attrs = staged.select(F.explode("__attrs").alias("obj"))
     check_contract_keys(_present_keys(attrs, F.col("obj")), [src for src, _, _ in contract])
-    return attrs.select(F.from_json("obj", source_schema(contract)).alias("r")).select("r.*")
+    schema = source_schema(contract)
+    texts = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    rows = attrs.select(F.from_json("obj", texts, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return rows.select(*[strict_value(f.name, f.dataType).alias(f.name) for f in schema.fields])
+
+
+def strict_value(name: str, kind: DataType) -> Column:
+    """A JSON value's text as ``kind``: a number may be written as text or as
+    8.0; what cannot be cast fails the query instead of becoming NULL."""
+    text = F.col(f"`{name}`")
+    value = F.round(text.try_cast("decimal(38,6)")).try_cast(kind) if isinstance(kind, IntegralType) else text.try_cast(kind)
+    bad = F.raise_error(F.concat(F.lit(f"{name} cannot be cast to {kind.simpleString()}: "), text))
+    return F.when(text.isNull(), F.lit(None).cast(kind)).otherwise(F.coalesce(value, bad))
 
 
 # ---------------------------------------------------------------- S3

@@ -98,3 +98,21 @@ def test_sorts_put_nulls_last_both_ways(spark):
     assert [r["x"] for r in shape.top_k(df, "x", 2, desc=True).collect()] == [3, 1]
     u = shape.distinct_union([df, df.where("x = 1")])
     assert sorted((r["x"] for r in u.collect()), key=lambda v: (v is None, v)) == [1, 3, None]
+
+
+def test_page_values_are_cast_strictly(spark):
+    import pytest
+
+    from tablework.sources.json_scan import unnest_pages
+
+    contract = [("OBJECTID", "bigint", "object_id"), ("fldName", "string", "name")]
+
+    def pages(*texts):
+        return spark.createDataFrame([(t,) for t in texts], "features string")
+
+    good = pages('[{"attributes": {"OBJECTID": "7", "fldName": "a"}}, {"attributes": {"OBJECTID": 8.0, "fldName": null}}]')
+    assert sorted((r.OBJECTID, r.fldName) for r in unnest_pages(good, contract).collect()) == [(7, "a"), (8, None)]
+    with pytest.raises(Exception, match="cannot be cast"):
+        unnest_pages(pages('[{"attributes": {"OBJECTID": "abc", "fldName": "a"}}]'), contract).collect()
+    with pytest.raises(Exception):
+        unnest_pages(pages('[{"attributes": {"OBJECTID": 1, "fldName": "a"}}, {"attri'), contract).collect()
