@@ -43,9 +43,10 @@ NOTE_GUIDE_ID_MISSING = "configured Guide id does not exist"
 NOTE_DUPLICATE_GUIDE = "duplicate Guide topic/title; set id explicitly"
 NOTE_DROP_DATABASE = "database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS"
 NOTE_INPUT_PRESENT = "resolved from {}"
-NOTE_INPUT_PENDING = "will be produced by selected package {}"
-NOTE_INPUT_NO_FLIGHT = "selected package {} is missing and has no Flight configured with runOnDeploy"
 NOTE_INPUT_MISSING = "required production output {} is not available"
+# Notes of this library's own wording.
+NOTE_INPUT_PENDING = "package {} is part of this plan and produces it"
+NOTE_INPUT_NO_FLIGHT = "package {} is part of this plan but runs nothing on deploy"
 
 
 def _fill(template: str, value: Column) -> Column:
@@ -58,18 +59,15 @@ def _fill(template: str, value: Column) -> Column:
 def lookup_one(df: DataFrame, live: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
     """Resolve each row of ``df`` to live rows on ``keys``.
 
-    Adds ``n_live`` (0, 1 or more) and ``live_id``: NULL when absent, the id
-    when unique, and one output row per id when ambiguous.  Counts are a
-    partial aggregate, the ids come from an equi join, so a name with a
-    third of all live rows is split by AQE's skew handling instead of
-    being gathered in one task.
+    Adds ``n_live`` (0, 1 or more) and the smallest live id with its status
+    (NULL when absent): one output row per row of ``df``, also where a name is
+    live several times.  The live side is one partial aggregate, so a name with
+    a third of all live rows is reduced before it moves.
     """
-    counts = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live"))
-    ids = live.select(*keys, F.col(id_col).alias("live_id"), F.col("status").alias("live_status") if "status" in live.columns else F.lit(None).cast("string").alias("live_status"))
-    with_n = df.join(counts, list(keys), "left").withColumn("n_live", F.coalesce("n_live", F.lit(0)))
-    absent = with_n.where(F.col("n_live") == 0).withColumn("live_id", F.lit(None).cast("string")).withColumn("live_status", F.lit(None).cast("string"))
-    present = with_n.where(F.col("n_live") > 0).join(ids, list(keys), "inner")
-    return absent.unionByName(present)
+    status = F.col("status") if "status" in live.columns else F.lit(None).cast("string")
+    found = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live"), F.min(F.struct(F.col(id_col).alias("id"), status.alias("status"))).alias("__first"))
+    joined = df.join(found, list(keys), "left").withColumn("n_live", F.coalesce("n_live", F.lit(0)))
+    return joined.withColumns({"live_id": F.col("__first.id"), "live_status": F.col("__first.status")}).drop("__first")
 
 
 # ---------------------------------------------------------------- C3
@@ -144,16 +142,9 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         F.col("type") == "guide", F.array(F.concat(F.lit("id:"), F.col("id")), topic_key)
     ).otherwise(F.array(F.col("name")))
     live_k = lv.select(F.col("type").alias("lookup_type"), F.explode(live_keys).alias("mkey"), "id", "status")
-    single = d.where(typ.isin(*SINGLE_TYPES))
-    counts = live_k.groupBy("lookup_type", "mkey").agg(F.count(F.lit(1)).alias("n_live"), F.min("id").alias("live_id"))
-    single = (
-        single.join(counts, ["lookup_type", "mkey"], "left")
-        .withColumn("n_live", F.coalesce("n_live", F.lit(0)))
-        .withColumn("live_status", F.lit(None).cast("string"))
-    )
-    multi = lookup_one(d.where(~typ.isin(*SINGLE_TYPES)), live_k, ["lookup_type", "mkey"], "id")
+    found = lookup_one(d, live_k, ["lookup_type", "mkey"], "id")
     j = (
-        single.unionByName(multi)
+        found.withColumn("live_status", F.when(~typ.isin(*SINGLE_TYPES), F.col("live_status")))
         .join(missing, row_keys, "left")
         .join(producing, F.col("package") == F.col("__bp"), "left")
         .drop("__bp")

@@ -94,7 +94,6 @@ SELECT
   CAST(NULL AS DOUBLE) AS inplace_free_gas_bill_sm3,
   TIMESTAMP '{LOADED}' AS loaded_at_utc
 FROM orders
-WHERE o_orderstatus = 'P'
 """
 FIELDS_SQL = fields_sql(td.FIELDS_LOADED_AT)
 HISTORY_SQL = history_sql(td.RESERVES_LOADED_AT)

@@ -128,7 +128,7 @@ lk AS (
   UNION ALL SELECT type, 'id:' || id, id, status FROM live WHERE type = 'guide'
   UNION ALL SELECT type, 't:' || name || chr(1) || coalesce(topic, ''), id, status FROM live WHERE type = 'guide'
 ),
-counts AS (SELECT lookup_type, mkey, count(*) AS n_live, min(id) AS min_id FROM lk GROUP BY lookup_type, mkey),
+counts AS (SELECT lookup_type, mkey, count(*) AS n_live, min(id) AS min_id, min_by(status, id) AS min_status FROM lk GROUP BY lookup_type, mkey),
 known AS (SELECT name FROM live WHERE type = 'role' UNION SELECT name FROM desired WHERE type = 'role' AND deploy),
 missing AS (
   SELECT package, type, key, string_agg(DISTINCT r, ', ' ORDER BY r) AS missing_roles
@@ -147,8 +147,8 @@ d AS (
 ),
 j AS (
   SELECT d.*, coalesce(c.n_live, 0) AS n_live,
-    CASE WHEN d.type IN ('share', 'input', 'role') THEN c.min_id ELSE l.id END AS live_id,
-    CASE WHEN d.type IN ('share', 'input', 'role') THEN NULL ELSE l.status END AS live_status,
+    c.min_id AS live_id,
+    CASE WHEN d.type NOT IN ('share', 'input', 'role') THEN c.min_status END AS live_status,
     m.missing_roles,
     coalesce(d.package IN (SELECT package FROM producing), false) AS can_produce,
     coalesce(d.producer IN (SELECT package FROM selected), false) AS psel,
@@ -158,7 +158,6 @@ j AS (
     d.type = 'guide' AND d.id IS NOT NULL AND coalesce(c.n_live, 0) = 0 AS guide_id_missing
   FROM d
   LEFT JOIN counts c ON c.lookup_type = d.lookup_type AND c.mkey = d.mkey
-  LEFT JOIN lk l ON d.type NOT IN ('share', 'input', 'role') AND l.lookup_type = d.lookup_type AND l.mkey = d.mkey
   LEFT JOIN missing m ON m.package = d.package AND m.type = d.type AND m.key = d.key
 ),
 p AS (
@@ -190,8 +189,8 @@ p AS (
                                     WHEN can_produce THEN 'will be produced by a Flight configured with runOnDeploy'
                                     ELSE 'share is missing and no Flight in this package is configured with runOnDeploy' END
       WHEN type = 'input' THEN CASE WHEN n_live > 0 THEN 'resolved from ' || producer || '.' || output
-                                    WHEN psel AND pcan THEN 'will be produced by selected package ' || producer || '.' || output
-                                    WHEN psel THEN 'selected package ' || producer || '.' || output || ' is missing and has no Flight configured with runOnDeploy'
+                                    WHEN psel AND pcan THEN 'package ' || producer || '.' || output || ' is part of this plan and produces it'
+                                    WHEN psel THEN 'package ' || producer || '.' || output || ' is part of this plan but runs nothing on deploy'
                                     ELSE 'required production output ' || producer || '.' || output || ' is not available' END
       WHEN guide_off THEN 'set deploy: true to publish this Guide'
       WHEN guide_id_missing THEN 'configured Guide id does not exist'

@@ -73,11 +73,11 @@ def fields_from_customer(customer: DataFrame) -> DataFrame:
 
 
 def reserves_from_orders(orders: DataFrame) -> DataFrame:
-    """Pending orders as reserve history: one estimate per order, version =
+    """Orders as reserve history: one estimate per order, version =
     order year (NULL for urgent orders), estimate date = order date."""
     tp = F.col("o_totalprice")
     null_d = F.lit(None).cast("double")
-    return orders.where(F.col("o_orderstatus") == "P").select(
+    return orders.select(
         F.col("o_orderkey").alias("object_id"),
         F.col("o_custkey").alias("field_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast("int"))
