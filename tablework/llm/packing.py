@@ -35,7 +35,7 @@ from tablework.llm.common import id_and_text, map_texts, materialise
 CAPACITY = 2048
 BINS = 256
 END_ID = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 SLICE_BYTES = 4 << 20
 GAP = 1e-4  # of the linear programme's bound
 SMOOTHING = 0.8
