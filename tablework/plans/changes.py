@@ -148,8 +148,11 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         .join(missing, row_keys, "left")
         .join(producing, F.col("package") == F.col("__bp"), "left")
         .drop("__bp")
-        .join(selected, "producer", "left")
-        .join(producer_can, "producer", "left")
+        # most rows have no producer; each gets a key of its own that matches nothing, or they would meet in one task
+        .withColumn("__producer", F.coalesce("producer", F.concat(F.lit("\u0000"), F.xxhash64("package", "type", "key").cast("string"))))
+        .join(selected.withColumnRenamed("producer", "__producer"), "__producer", "left")
+        .join(producer_can.withColumnRenamed("producer", "__producer"), "__producer", "left")
+        .drop("__producer")
     )
     n = F.col("n_live")
     miss = F.col("missing_roles")
