@@ -32,6 +32,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from tablework.llm.common import chunks, id_and_text
 LONG_WORD = 32
 TASK_WORDS = 1_500_000
 #: Text of a task: a word is sent on once a task, so small scan splits are joined.
-TASK_BYTES = 96 << 20
-SLICE_BYTES = 4 << 20
+TASK_BYTES = 72 << 20
+SLICE_BYTES = 1 << 20
 ID_BITS = 17
 NONE = 1 << ID_BITS  # above all ids
 
@@ -222,16 +223,17 @@ def _split(pattern: str):
             if reset:
                 known = {}
             split = [find(t.decode("utf-8", "replace")) for t in texts]
-            fresh = [w.encode() for w in set().union(*split) if w not in known]
-            for w in fresh:
-                known[w.decode()] = len(known)
-            get = known.__getitem__
-            refs = np.array([k for ws in split for k in map(get, ws)], np.int32)
+            new = [w for w in set().union(*split) if w not in known]
+            for w in new:
+                known[w] = len(known)
+            fresh = [w.encode() for w in new]
+            get, counts = known.__getitem__, [len(ws) for ws in split]
+            refs = np.fromiter(map(get, chain.from_iterable(split)), np.int32, sum(counts))
             short = [w if len(w) <= LONG_WORD else b"" for w in fresh]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[len(ws) for ws in split]], pa.list_(pa.int32())),
+                    pa.array([counts], pa.list_(pa.int32())),
                     pa.array([refs.tobytes()], pa.binary()),
                     pa.array([short], pa.list_(pa.binary())),
                     pa.array([[w for w in fresh if len(w) > LONG_WORD]], pa.list_(pa.binary())),
@@ -243,16 +245,31 @@ def _split(pattern: str):
     return run
 
 
+class _Grown:
+    """An array that is appended to, with room to spare."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def append(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            room = np.zeros((self.n + len(more)) * 3 // 2, self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 def _assemble(pieces: list[bytes], with_ids: bool):
     number = {p: i for i, p in enumerate(pieces)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        flat, start = _Grown(np.int32), _Grown(np.int64)  # ids of all words so far, and where each word's begin
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 if row.column("reset")[0].as_py():
-                    flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+                    flat, start = _Grown(np.int32), _Grown(np.int64)
                 words = row.column("encoded").flatten()
                 values, lengths = np.asarray(words.flatten()).astype(np.int32), np.asarray(pa.compute.list_value_length(words)).astype(np.int64)
                 if long := row.column("long")[0].as_py():
@@ -264,12 +281,13 @@ def _assemble(pieces: list[bytes], with_ids: bool):
                         at = int(ends[k])
                         lengths[k] = len(m)
                     values = np.concatenate([*parts, values[at:]])
-                flat, size = [np.concatenate([*flat, values])], [np.concatenate([*size, lengths])]
-                start = np.concatenate(([0], np.cumsum(size[0])))
+                start.append(flat.n + np.cumsum(lengths) - lengths)
+                flat.append(values)
                 refs = np.frombuffer(row.column("refs")[0].as_buffer(), np.int32)
-                n = size[0][refs]
+                begin = start.room[refs]
+                n = np.where(refs + 1 < start.n, start.room[np.minimum(refs + 1, start.n - 1)], flat.n) - begin
                 total = np.concatenate(([0], np.cumsum(n)))
-                ids = flat[0][np.repeat(start[refs] - total[:-1], n) + np.arange(total[-1])]
+                ids = flat.room[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
                 bounds = total[np.concatenate(([0], np.cumsum(row.column("counts")[0].as_py())))].astype(np.int64)
                 out: dict[str, list] = {"ids": [], "ids_sha256": [], "decoded_sha256": []}
                 get = pieces.__getitem__
