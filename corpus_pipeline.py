@@ -38,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep=False)
 
 
 STAGES = [

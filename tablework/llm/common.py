@@ -86,6 +86,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes:
             part = batch.slice(i, j - i)
             yield part, [x or b"" for x in part.column(text_col).cast(pa.binary()).to_pylist()]
             i = j
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without it
 
 
 def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, object]], schema: str, id_col: str = "doc_id", max_bytes: int = 4 << 20) -> DataFrame:

@@ -35,7 +35,7 @@ from tablework.llm.common import id_and_text, map_texts, materialise
 CAPACITY = 2048
 BINS = 256
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 SLICE_BYTES = 4 << 20
 GAP = 1e-4  # of the linear programme's bound
 SMOOTHING = 0.8
@@ -114,23 +114,30 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-def encoder(path: str) -> WordEncoder:
-    """The Python worker's encoder: it outlives a task, so that the next task
-    finds the tokenizer loaded and its cache warm."""
+def encoder(path: str, keep: bool) -> WordEncoder:
+    """An encoder; with ``keep`` the Python worker's, which outlives a task, so
+    that the next task finds the tokenizer loaded and its cache warm."""
     import tokenizers
 
+    if not keep:
+        return WordEncoder(path)
+
     held = vars(tokenizers).setdefault("_tablework_encoders", {})
     if path not in held:
         held[path] = WordEncoder(path)
     return held[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every document's pieces; ``ids`` only where asked for."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: bool = True) -> DataFrame:
+    """Every document's pieces; ``ids`` only where asked for.  ``keep`` leaves
+    the word cache in the Python workers after a task: faster, but the memory is
+    missing in the stages that follow."""
     end = np.array([END_ID], "<u4").tobytes()
+    own: dict[str, WordEncoder] = {}  # a task's
     def run(doc_ids: list, texts: list[bytes]) -> dict[str, object]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        for doc_id, ids in zip(doc_ids, encoder(tokenizer_path)(texts), strict=True):
+        encode = own.get("encoder") or own.setdefault("encoder", encoder(tokenizer_path, keep))
+        for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
             ids += end
             n = len(ids) // 4
             for start in range(0, n, capacity):
@@ -336,9 +343,9 @@ def assign(parts: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> Data
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).drop("place")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: bool = True) -> DataFrame:
     """One row per piece; with ``with_ids`` also its ids (binary)."""
-    parts = pieces(docs, tokenizer_path, capacity, with_ids)
+    parts = pieces(docs, tokenizer_path, capacity, with_ids, keep)
     return assign(materialise(parts if with_ids else parts.drop("ids"), "pieces"), capacity)
 
 

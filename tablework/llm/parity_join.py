@@ -56,7 +56,7 @@ GROUP = 24
 FREQUENT_SAMPLE, FREQUENT_IN = 4096, 3
 FREQUENT_BITS = 22
 SPARE = 0.08  # cells beyond the least number, as a share of the set
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 PARTITION_BYTES = 16 << 20
 KEY_MASK = np.uint64((1 << 48) - 1)
 
@@ -194,7 +194,7 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(frequent, percent)
         held, size_held, seen = [], 0, set()
-        for part, texts in chunks(batches, max_bytes=2 << 20):
+        for part, texts in chunks(batches, max_bytes=1 << 20):
             doc, token, size, set_id = _sets(texts, n)
             first = np.concatenate(([0], np.cumsum(size)))
             new = np.array([bool(c) and (s not in seen) and not seen.add(s) for s, c in zip(set_id.tolist(), size.tolist(), strict=True)], bool)
