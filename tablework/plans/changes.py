@@ -419,3 +419,21 @@ def append_versions(
         changed.alias("changed_metadata"),
         access_changed.alias("access_changed"),
     )
+
+
+def version_rows(
+    decisions: DataFrame,
+    desired: DataFrame,
+    id_col: str,
+    content_col: str,
+    external_id_col: str,
+    refs_col: str,
+    metadata_cols: Sequence[str],
+) -> DataFrame:
+    """C4: the version rows to append, from :func:`append_versions`: the new
+    number, content, external id and references, and of the metadata only the
+    values that changed (others NULL).  Content moves only for these rows' ids."""
+    wanted = decisions.where("append_version").select(id_col, F.col("next_version").alias("version"), "changed_metadata")
+    rows = desired.select(id_col, content_col, external_id_col, refs_col, *metadata_cols).join(wanted, id_col)
+    changed = [F.when(F.array_contains("changed_metadata", m), F.col(m)).alias(m) for m in metadata_cols]
+    return rows.select(id_col, "version", content_col, external_id_col, refs_col, *changed)

@@ -411,6 +411,33 @@ def q_append_versions(spark, sf_dir):
     return out.withColumn("changed_metadata", F.array_join("changed_metadata", ","))
 
 
+@register(
+    "appended_versions",
+    f"""
+WITH {DOC_VERSIONS_SQL},
+pair AS (
+  SELECT d.*, c.version AS old_version, c.title AS old_title, c.topic AS old_topic, c.description AS old_description,
+    c.content IS DISTINCT FROM d.content
+    OR (ifnull(d.external_id, '') <> '' AND ifnull(c.external_id, '') <> d.external_id)
+    OR ifnull(json_extract_string(c.refs, '$[0].uuid'), json_extract_string(c.refs, '$[0].dive_id'))
+       <> ifnull(json_extract_string(d.refs, '$[0].uuid'), json_extract_string(d.refs, '$[0].dive_id')) AS appends
+  FROM des d JOIN cur c ON c.doc_id = d.doc_id
+)
+SELECT doc_id, old_version + 1 AS version, sha256(content) AS content_sha256, external_id, refs,
+  CASE WHEN ifnull(title, '') <> ifnull(old_title, '') THEN title END AS title,
+  CASE WHEN ifnull(topic, '') <> ifnull(old_topic, '') THEN topic END AS topic,
+  CASE WHEN ifnull(description, '') <> ifnull(old_description, '') THEN description END AS description
+FROM pair WHERE appends
+""",
+)
+def q_appended_versions(spark, sf_dir):
+    current, desired = _doc_versions(spark, sf_dir)
+    metadata = ["title", "topic", "description"]
+    decisions = ch.append_versions(current, desired, "doc_id", "content", "external_id", "refs", metadata, "access")
+    rows = ch.version_rows(decisions, desired, "doc_id", "content", "external_id", "refs", metadata)
+    return rows.withColumn("content_sha256", F.sha2("content", 256)).drop("content")
+
+
 @register(
     "canonical_references",
     f"""
