@@ -98,7 +98,3 @@ INGESTION_RUNS = "loaded_at_utc timestamp, source_service string, field_rows big
 def source_schema(contract: Contract) -> StructType:
     """Read schema in source names (used for JSON scans)."""
     return StructType([StructField(src, spark_type(t), True) for src, t, _ in contract])
-
-
-def target_schema(contract: Contract) -> StructType:
-    return StructType([StructField(dst, spark_type(t), True) for _, t, dst in contract])

@@ -13,7 +13,6 @@ from tablework.functions.columns import (  # noqa: F401
     metric_label,
     newest,
     nonneg_diff,
-    round_to,
     split_first,
     split_list,
     string_array,

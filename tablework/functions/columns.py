@@ -172,11 +172,6 @@ def json_field(column: ColumnOrName, path: str) -> Column:
     return F.get_json_object(_c(column), path)
 
 
-# ---------------------------------------------------------------- F4
-def round_to(column: ColumnOrName, digits: int) -> Column:
-    return F.round(_c(column), digits)
-
-
 # ---------------------------------------------------------------- F14
 def load_time() -> str:
     """Now in UTC cut to the second, as text: computed once on the driver

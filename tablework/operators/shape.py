@@ -70,11 +70,6 @@ def reconcile_members(
     return grants.unionByName(revokes)
 
 
-# ---------------------------------------------------------------- X2
-def survivors_plus_incoming(survivors: DataFrame, incoming: DataFrame) -> DataFrame:
-    return survivors.unionByName(incoming)
-
-
 # ---------------------------------------------------------------- X3
 def distinct_union(dfs: Sequence[DataFrame]) -> DataFrame:
     """UNION (distinct) of several selections with the same columns."""

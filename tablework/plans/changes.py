@@ -341,10 +341,6 @@ def canonical_key(canon: Column, text: Column) -> Column:
     return F.when(canon.isNotNull(), F.to_json(canon)).otherwise(F.coalesce(parsed, F.concat(F.lit("text:"), F.coalesce(text, F.lit("")))))
 
 
-def canonical_with_fallback(text: Column) -> Column:
-    return canonical_key(canonical_refs(text), text)
-
-
 def canonical_refs(json_text: Column) -> Column:
     """JSON array of references -> array of fixed 9-field structs, with
     ``uuid`` falling back to ``<type>_id`` (a per-element computed JSON

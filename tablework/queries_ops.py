@@ -14,12 +14,14 @@ from tablework import testdata as td
 from tablework.functions import columns as fx
 from tablework.operators import aggregates as agg
 from tablework.operators import filters as flt
+from tablework.operators import joins as jn
 from tablework.operators import quality as q
 from tablework.operators import shape
 from tablework.operators import windows as win
 from tablework.plans import changes as ch
 from tablework.queries import HISTORY_SQL, FIELDS_SQL, register
 from tablework.sinks import store as st
+from tablework.sources import catalog as cat
 from tablework.sources import json_scan as js
 
 
@@ -490,3 +492,52 @@ LIMIT {LISTING_SIZE} OFFSET 0
 def q_customer_listing(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return shape.page(c, [F.col("c_name").asc_nulls_last(), F.col("c_custkey").asc()], LISTING_SIZE, 0)
+
+
+# ====================================================================
+# J3 multi-key left join, A5 count per group, S8/S10 named tables and
+# parameterised SQL, X1 additive
+# ====================================================================
+@register(
+    "segment_debtors",
+    """
+SELECT c_nationkey, c_mktsegment, count(*) AS customers,
+  nullif(count(*) FILTER (WHERE c_acctbal < 0), 0) AS debtors
+FROM customer GROUP BY ALL
+""",
+)
+def q_segment_debtors(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    keys = ["c_nationkey", "c_mktsegment"]
+    all_rows = agg.count_per_group(c, keys, "c_custkey", "customers")
+    debtors = agg.count_per_group(c.where(F.col("c_acctbal") < 0), keys, "c_custkey", "debtors")
+    return jn.multi_key_left(all_rows, debtors, keys)
+
+
+@register(
+    "orders_since",
+    """
+SELECT o_orderstatus, count(*) AS n_orders, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') AS recent
+FROM orders GROUP BY o_orderstatus
+""",
+)
+def q_orders_since(spark, sf_dir):
+    cat.register_tables(spark, sf_dir, ["orders"])
+    return cat.run_sql(
+        spark,
+        "SELECT o_orderstatus, count(*) AS n_orders, count_if(o_orderdate >= CAST(:since AS TIMESTAMP_NTZ)) AS recent FROM orders GROUP BY o_orderstatus",
+        {"since": "1997-01-01"},
+    )
+
+
+@register(
+    "membership_additive",
+    """
+SELECT DISTINCT c_nationkey AS role, c_custkey AS member, 'GRANT' AS action FROM customer WHERE c_acctbal >= 5000
+""",
+)
+def q_membership_additive(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("role"), F.col("c_custkey").alias("member"), "c_acctbal")
+    desired = c.where(F.col("c_acctbal") >= 0).drop("c_acctbal")
+    current = c.where(F.col("c_acctbal") < 5000).drop("c_acctbal")
+    return shape.reconcile_members(desired, current, ["role", "member"], "additive")
