@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import chunks
+from tablework.llm.common import chunks, materialise
 
 SAMPLE_PAGES = 12
 #: Share of the sampled pages that a template node must be in, and the fewest
@@ -340,7 +340,9 @@ def induce(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"))
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h", "page_id"))).where(F.col("n") <= sample_pages)
     texts = pages.select(F.col("page_id").cast("long").alias("page_id"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"), "html")
-    chosen = texts.join(first.select("page_id", "h", "host").distinct(), ["page_id", "h", "host"], "left_semi")
+    first = materialise(first.select("page_id", "h", "host").distinct(), "sampled-pages")
+    few = 128 * first.count() <= BROADCAST_BYTES  # beyond that both sides are shuffled
+    chosen = texts.join(F.broadcast(first) if few else first, ["page_id", "h", "host"], "left_semi")
     groups = chosen.dropDuplicates(["page_id", "h", "host"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "page_id", "html"))).alias("sample"))
 
     def run(batches):
