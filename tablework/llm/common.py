@@ -71,6 +71,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give a task's freed memory back to the system; Python workers outlive
+    their tasks, and what they keep is missing in the stages that follow."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc; others return it themselves
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into slices of about ``max_bytes`` of text (one row at
     least, however long) and hand out each slice with its texts as bytes."""
@@ -86,7 +97,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes:
             part = batch.slice(i, j - i)
             yield part, [x or b"" for x in part.column(text_col).cast(pa.binary()).to_pylist()]
             i = j
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task without it
+    release_memory()
 
 
 def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, object]], schema: str, id_col: str = "doc_id", max_bytes: int = 4 << 20) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import ascii_lower_bytes, chunks, id_and_text, join_ids, materialise, sample_rows
+from tablework.llm.common import ascii_lower_bytes, chunks, id_and_text, join_ids, materialise, release_memory, sample_rows
 from tablework.llm.components import connected_components
 from tablework.llm.shingles import BASE, Words, mix, shingle_sets
 
@@ -214,6 +214,8 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
                 held, size_held, seen = [], 0, set()
         if held:
             yield blocks(held)
+            held = []
+        release_memory()
 
     return run
 
@@ -279,6 +281,7 @@ def _match(percent: int, group: int):
                 yield rows(1, set_id=pairs[:, 0], other=pairs[:, 1])
             if len(big_key):
                 yield rows(2, set_id=big_who, other=(big_key + (np.uint64(bucket) << np.uint64(48))).astype(np.int64))
+        release_memory()
 
     return run
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import chunks, id_and_text, join_ids, materialise
+from tablework.llm.common import chunks, id_and_text, join_ids, materialise, release_memory
 from tablework.llm.shingles import Words
 
 WINDOW = 35
@@ -170,6 +170,7 @@ def _match(parts: int):
                 raw += np.diff(np.append(runs, ends[p + 1] - ends[p])).astype("<i8").tobytes()
                 out.append((int(p), raw + _planes(place[s], 4) + _planes(ref_place[s], 4)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "block"])
+        release_memory()
 
     return run
 
