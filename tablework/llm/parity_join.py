@@ -57,7 +57,7 @@ FREQUENT_SAMPLE, FREQUENT_IN = 4096, 3
 FREQUENT_BITS = 22
 SPARE = 0.08  # cells beyond the least number, as a share of the set
 BLOCK_BYTES = 6 << 20
-PARTITION_BYTES = 12 << 20
+PARTITION_BYTES = 6 << 20
 KEY_MASK = np.uint64((1 << 48) - 1)
 
 EMITTED = "bucket int, kind int, doc_id long, n long, set_id long, sketch binary, keys binary"
