@@ -5,8 +5,11 @@ hashes of ``page_id``) are parsed into DOM trees and aligned by simple tree
 matching.  Nodes that align in most of them form the host's template.  A
 template node whose own text is the same everywhere is boilerplate; where the
 texts vary is a slot.  The content root is the template node that holds most
-of the varying text outside regions that are never content (menus, footers,
-adverts, forms, comments, ...).
+of the varying text outside regions that are never content (``nav``,
+``footer``, ``form``, hidden nodes, ...).  A class or id that names such a
+region (``sidebar``, ``comments``, ...) is weak evidence only (``close_named``):
+it never closes what holds the largest article or main element or ``MOST`` of
+the varying text, alone or with its equal siblings.
 
 Extract (``extract``): every page is parsed whole and aligned with its host's
 template; the text below the node matched with the content root is the main
@@ -45,7 +48,11 @@ TEMPLATE_SHARE, CONSTANT_PAGES = 0.6, 5
 BROADCAST_BYTES = 32 << 20
 SALT = 64
 
-#: Names that decide what is never content (fixed values).
+#: Share of the varying text that keeps a node open in spite of its name, and
+#: beside an article or main element without such names.
+MOST, MOST_BESIDE = 0.5, 0.8
+
+#: Tags that are never content, and names that hint at it (fixed values).
 NEVER = set("head title nav footer aside form script style noscript template button select option svg iframe object canvas textarea label dialog menu".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,10 +77,12 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "never", "children", "parent")
+    """``never`` holds by tag, role or hiding; ``named``: by class or id only."""
+
+    __slots__ = ("tag", "key", "never", "named", "children", "parent")
 
-    def __init__(self, tag: str, key: str, never: bool, parent: "Node | None"):
-        self.tag, self.key, self.never, self.parent, self.children = tag, key, never, parent, []
+    def __init__(self, tag: str, key: str, never: bool, parent: "Node | None", named: bool = False):
+        self.tag, self.key, self.never, self.named, self.parent, self.children = tag, key, never, named, parent, []
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -85,11 +94,11 @@ def _node(tag: str, source: str, parent: Node) -> Node:
     names = f"{a.get('class', '')} {a.get('id', '')}"
     never = tag in NEVER or a.get("role", "").lower() in NEVER_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
     never = never or "display:none" in a.get("style", "").replace(" ", "").lower()
-    never = never or tag not in ("html", "body") and any(t.lower() in NEVER_TOKENS for t in _NAME.findall(names))
+    named = tag not in ("html", "body") and any(t.lower() in NEVER_TOKENS for t in _NAME.findall(names))
     if tag == "header" and not any(x.tag in ("article", "main") for x in _up(parent)):
         never = True
     key = f"{tag}.{' '.join(sorted(a['class'].split()))}" if "class" in a else tag
-    return Node(tag, key, never, parent)
+    return Node(tag, key, never, parent, named)
 
 
 def _up(node: Node | None):
@@ -198,25 +207,89 @@ def simple_tree_matching(a, b, kids_a, kids_b) -> tuple[int, list]:
 
 
 class Slot:
-    """A template node: how many pages have it, its text while constant, and
-    the text mass below it."""
+    """A template node: how many pages have it, its text and its whole text
+    while constant, and the varying text mass below it."""
 
-    __slots__ = ("key", "tag", "never", "children", "pages", "text", "mass", "root")
+    __slots__ = ("key", "tag", "never", "named", "children", "pages", "text", "whole", "mass", "root")
 
-    def __init__(self, key: str, tag: str, never: bool):
-        self.key, self.tag, self.never = key, tag, never
-        self.children, self.pages, self.text, self.mass, self.root = [], 0, None, 0, False
+    def __init__(self, key: str, tag: str, never: bool, named: bool):
+        self.key, self.tag, self.never, self.named = key, tag, never, named
+        self.children, self.pages, self.text, self.whole, self.mass, self.root = [], 0, None, None, 0, False
 
 
 def _slots(node: Node) -> Slot:
-    out = Slot(node.key, node.tag, node.never)
+    out = Slot(node.key, node.tag, node.never, node.named)
     # a paragraph's own elements are content, never template
     out.children = [] if node.tag in LEAVES else [_slots(x) for x in elements(node)]
     return out
 
 
-def _mass(node: Node) -> int:
-    return 0 if node.never else sum(len(c) if isinstance(c, str) else _mass(c) for c in node.children)
+def _masses(page: Node, skip: set[int] = frozenset()) -> dict[int, int]:
+    """Text mass by node id; nodes that are never content, and the own text of
+    nodes in ``skip``, have none."""
+    out: dict[int, int] = {}
+    stack = [(page, False)]
+    while stack:
+        x, done = stack.pop()
+        if x.never:
+            out[id(x)] = 0
+        elif done:
+            own = 0 if id(x) in skip else sum(len(c) for c in x.children if isinstance(c, str))
+            out[id(x)] = own + sum(out[id(c)] for c in elements(x))
+        else:
+            stack.append((x, True))
+            stack += [(c, False) for c in elements(x)]
+    return out
+
+
+def _inside(node: Node) -> str:
+    """All text below ``node``."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack.extend(reversed(x.children))
+    return " ".join("".join(out).split())
+
+
+def close_named(top, kids, mass, decided: dict[int, bool] | None = None) -> None:
+    """Make the named nodes ``never`` that are no content.  Open stay the largest
+    article or main element and what is around it, and nodes that hold most of
+    the text, alone or with their siblings of the same key.  ``decided`` by node
+    id comes first."""
+    path, best, clean = [], (0, None, True), 0
+    stack = [(top, (), True)]
+    while stack:
+        x, above, plain = stack.pop()
+        if x.never:
+            continue
+        above, plain = (x, above), plain and not x.named
+        if x.tag in ("article", "main") and mass(x):
+            clean = max(clean, mass(x)) if plain else clean
+            if mass(x) > best[0]:
+                best, path = (mass(x), x, plain), above
+        stack += [(c, above, plain) for c in reversed(kids(x))]
+    around = set()
+    while path:
+        around.add(id(path[0]))
+        path = path[1]
+    total = mass(top)
+    limit = MOST_BESIDE if clean >= (1 - MOST_BESIDE) * total else MOST
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        pooled: dict[str, int] = {}
+        for c in kids(x):
+            if c.named and not c.never:
+                pooled[c.key] = pooled.get(c.key, 0) + mass(c)
+        for c in kids(x):
+            if c.named and not c.never:
+                small = id(c) not in around and not (total and pooled[c.key] >= limit * total)
+                c.never = (decided or {}).get(id(c), small)
+            if not c.never:
+                stack.append(c)
 
 
 def _kids(slot: Slot) -> list[Slot]:
@@ -229,12 +302,22 @@ def learn(pages: list[str]) -> str:
     if len(trees) < 2:
         return "null"
     template = _slots(trees[0])
-    for tree in trees:
-        for slot, node in simple_tree_matching(template, tree, _kids, elements)[1]:
-            text = own_text(node)
+    matched = [simple_tree_matching(template, tree, _kids, elements)[1] for tree in trees]
+    for pairs in matched:
+        for slot, node in pairs:
+            text, whole = own_text(node), _inside(node) if node.tag in LEAVES else ""
             slot.text = text if not slot.pages else (text if text == slot.text else "")
+            slot.whole = whole if not slot.pages else (whole if whole == slot.whole else "")
             slot.pages += 1
-            slot.mass += _mass(node)
+    for tree, pairs in zip(trees, matched, strict=True):
+        same: set[int] = set()
+        for slot, node in pairs:
+            if len(trees) >= CONSTANT_PAGES and slot.pages == len(trees):
+                same.update([id(node)] if slot.text else [])
+                same.update(map(id, _below(node)) if slot.whole else [])
+        mass = _masses(tree, same)
+        for slot, node in pairs:
+            slot.mass += mass.get(id(node), 0)
 
     def prune(slot: Slot) -> None:
         slot.children = [c for c in slot.children if c.pages >= TEMPLATE_SHARE * len(trees)]
@@ -242,6 +325,7 @@ def learn(pages: list[str]) -> str:
             prune(c)
 
     prune(template)
+    close_named(template, _kids, lambda x: x.mass)
     everywhere = [x for x in _walk(template) if x.tag in ("article", "main") and not x.never]
     at = max(everywhere, key=lambda x: x.mass, default=None)
     if at is None or at.mass < 0.5 * template.mass:
@@ -252,6 +336,14 @@ def learn(pages: list[str]) -> str:
     return json.dumps(_packed(template, len(trees), False))
 
 
+def _below(node: Node):
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += elements(x)
+
+
 def _walk(slot: Slot):
     yield slot
     for c in slot.children:
@@ -262,14 +354,14 @@ def _walk(slot: Slot):
 def _packed(slot: Slot, n: int, inside: bool) -> dict:
     inside = inside or slot.tag in ("article", "main")
     constant = slot.text if slot.text and slot.pages >= CONSTANT_PAGES and slot.pages == n and not inside else None
-    return {"k": slot.key, "t": constant, "r": slot.root, "c": [_packed(c, n, inside) for c in slot.children]}
+    return {"k": slot.key, "t": constant, "r": slot.root, "n": slot.never, "c": [_packed(c, n, inside) for c in slot.children]}
 
 
 class Template:
-    __slots__ = ("key", "text", "root", "children")
+    __slots__ = ("key", "text", "root", "never", "children")
 
     def __init__(self, packed: dict):
-        self.key, self.text, self.root = packed["k"], packed["t"], packed["r"]
+        self.key, self.text, self.root, self.never = packed["k"], packed["t"], packed["r"], packed["n"]
         self.children = [Template(c) for c in packed["c"]]
 
 
@@ -304,7 +396,7 @@ def blocks(node: Node, constant: set[int]) -> list[str]:
     return out
 
 
-def _own_root(page: Node) -> Node:
+def _own_root(page: Node, mass: dict[int, int]) -> Node:
     """Without a template: the article or main element with most text, else the page."""
     found, stack = [], [page]
     while stack:
@@ -312,22 +404,28 @@ def _own_root(page: Node) -> Node:
         if x.tag in ("article", "main"):
             found.append(x)
         stack += [c for c in elements(x) if not c.never]
-    return max(found, key=_mass, default=page)
+    return max(found, key=lambda x: mass[id(x)], default=page)
 
 
 def main_text(source: str, template: Template | None) -> str:
     if not source:
         return ""
     page = parse(source)
-    root, constant = None, set()
+    root, constant, decided = None, set(), {}
     if template is not None:
         for slot, node in simple_tree_matching(template, page, _kids, elements)[1]:
             if slot.root:
                 root = node
             if slot.text and slot.text == own_text(node):
                 constant.add(id(node))
+            if node.named:
+                decided[id(node)] = slot.never
+    mass = _masses(page, constant)
     if root is None or root is page:
-        root = _own_root(page)
+        root = _own_root(page, mass)
+        for x in _up(root):
+            decided.pop(id(x), None)
+    close_named(page, elements, lambda x: mass.get(id(x), 0), decided)
     return "\n\n".join(blocks(root, constant))
 
 

@@ -111,6 +111,28 @@ def test_wrapper_awkward_pages(spark):
     assert wrapper.extract(pages(spark, []), wrapper.induce(pages(spark, []))).count() == 0
 
 
+FRAMES = {
+    "wrap": ('<div class="content-sidebar-wrap"><article>', "</article><div class='sidebar'><p>side {k}</p></div></div>"),
+    "site": ('<div class="site has-sidebar"><div id="search-share"><main>', "</main></div><div class='related'>more {k}</div></div>"),
+    "article": ('<article class="post comments-open">', "</article><div id='comments'><p>reader {k}</p></div>"),
+    "main": ('<main class="search-page">', "<div class='share'>tell {k}</div></main>"),
+    "plain": ('<div class="no-sidebar"><div class="paywall-open">', "<div class='newsletter'>mail {k}</div></div></div>"),
+    "list": ("<div class='x'>", "</div>"),
+}
+
+
+@pytest.mark.parametrize("n", [1, 9])
+@pytest.mark.parametrize("kind", FRAMES)
+def test_names_do_not_close_what_holds_the_content(spark, kind, n):
+    paragraphs = ["Story {k} " + "words " * 20 + "a{k}", "Second {k} " + "words " * 20 + "b{k}"]
+    body = "".join(f"<div class='notice'>{p}</div>" if kind == "list" else f"<p>{p}</p>" for p in paragraphs)
+    open_, close = FRAMES[kind]
+    make = lambda k: f"<html><body class='menu'><nav>go {k}</nav><div class='cookie-bar'>cookies {k}</div>{open_}{body}{close}<footer>f {k}</footer></body></html>".replace("{k}", str(k))
+    frame = pages(spark, [(k, f"https://e.example/{k}", make(k)) for k in range(n)])
+    for r in wrapper.extract(frame, wrapper.induce(frame)).collect():
+        assert r.text == "\n\n".join(paragraphs).replace("{k}", str(r.page_id))
+
+
 def test_wrapper_shuffled_join_gives_the_same(spark, monkeypatch):
     frame = pages(spark, [(k, f"https://a.example/{k % 3}", article(k, BODY.format(k=k))) for k in range(12)])
     templates = wrapper.induce(frame).cache()
