@@ -1,23 +1,33 @@
 """Main text of web pages by wrapper induction.
 
-Induce (``induce``): for every host, at most ``SAMPLE_PAGES`` pages (smallest
-hashes of ``page_id``) are parsed into DOM trees and aligned by simple tree
-matching.  Nodes that align in most of them form the host's template.  A
-template node whose own text is the same everywhere is boilerplate; where the
-texts vary is a slot.  The content root is the template node that holds most
-of the varying text outside regions that are never content (``nav``,
-``footer``, ``form``, hidden nodes, ...).  A class or id that names such a
+Induce (``induce``), from all pages of every host:
+
+1. Each page is parsed into a DOM tree; the set of its container paths outside
+   article and main is its layout.  Pages are counted by host and layout, equal
+   pages of a host as one.
+2. A host's layouts with ``LAYOUT_SHARE`` of its pages and ``CONSTANT_PAGES`` at
+   least, or else its most frequent one, have one page each (smallest hash of
+   ``page_id`` and ``url``) as skeleton.
+3. Every page is aligned by simple tree matching with the skeleton whose
+   container paths are nearest to its own, and what the skeleton's nodes hold
+   is counted: pages, text mass, and pages by digest of the text.
+
+Nodes that align in ``TEMPLATE_SHARE`` of the pages form the template.  A
+template node whose text is the same in ``CONSTANT_SHARE`` of them is
+boilerplate; where the texts vary is a slot.  The content root is the template
+node that holds most of the varying text outside regions that are never content
+(``nav``, ``footer``, ``form``, hidden nodes, ...).  A class or id that names such a
 region (``sidebar``, ``comments``, ...) is weak evidence only (``close_named``):
 it never closes what holds the largest article or main element or ``MOST`` of
 the varying text, alone or with its equal siblings.
 
-Extract (``extract``): every page is parsed whole and aligned with its host's
-template; the text below the node matched with the content root is the main
+Extract (``extract``): every page is parsed whole and aligned with the nearest
+template of its host; the text below the node matched with the content root is the main
 text, without constant template text and never-content regions.  A host whose
 pages do not align, or a page that does not match, falls back to its own tree
 (article, main or body).
 
-Templates are one small row per host.  They are joined by broadcast while they
+Templates are one row per host.  They are joined by broadcast while they
 are smaller than ``BROADCAST_BYTES`` in all, and beyond that by a salted
 shuffle; either way a host with a third of all pages is spread.
 
@@ -31,20 +41,23 @@ one by one; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablework.llm.common import chunks, materialise
 
-SAMPLE_PAGES = 12
-#: Share of the sampled pages that a template node must be in, and the fewest
-#: pages from which a text counts as constant.
-TEMPLATE_SHARE, CONSTANT_PAGES = 0.6, 5
+#: Share of a host's pages from which a layout has a skeleton of its own.
+LAYOUT_SHARE = 0.01
+#: Shares of the pages that a template node, and a constant text, must be in,
+#: and the fewest pages from which a text counts as constant.
+TEMPLATE_SHARE, CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 0.9, 5
 BROADCAST_BYTES = 32 << 20
 SALT = 64
 
@@ -97,7 +110,7 @@ def _node(tag: str, source: str, parent: Node) -> Node:
     named = tag not in ("html", "body") and any(t.lower() in NEVER_TOKENS for t in _NAME.findall(names))
     if tag == "header" and not any(x.tag in ("article", "main") for x in _up(parent)):
         never = True
-    key = f"{tag}.{' '.join(sorted(a['class'].split()))}" if "class" in a else tag
+    key = f"{tag}.{' '.join(sorted(a['class'].split()))}" if "class" in a and tag not in ("html", "body") else tag
     return Node(tag, key, never, parent, named)
 
 
@@ -206,22 +219,79 @@ def simple_tree_matching(a, b, kids_a, kids_b) -> tuple[int, list]:
     return rows[-1][-1] + 1, pairs
 
 
+def container_paths(page: Node) -> frozenset[int]:
+    """Hashes of the key paths of block elements outside leaves, article, main
+    and regions that are never content."""
+    out, stack = set(), [(page, 0)]
+    while stack:
+        x, above = stack.pop()
+        for c in elements(x):
+            if c.never or c.tag in LEAVES or c.tag not in BLOCKS | {"article", "main"}:
+                continue
+            content = c.tag in ("article", "main")
+            path = zlib.crc32(f"/{c.tag if content else c.key}".encode(), above)
+            out.add(path)
+            if not content:
+                stack.append((c, path))
+    return frozenset(out)
+
+
+def layout(paths: frozenset[int]) -> int:
+    return int.from_bytes(hashlib.blake2b(",".join(map(str, sorted(paths))).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 class Slot:
-    """A template node: how many pages have it, its text and its whole text
-    while constant, and the varying text mass below it."""
+    """A template node: how many pages have it, the digest of its text while
+    constant, and the varying text mass below it."""
 
-    __slots__ = ("key", "tag", "never", "named", "children", "pages", "text", "whole", "mass", "root")
+    __slots__ = ("key", "tag", "never", "named", "children", "number", "pages", "text", "mass", "root")
 
     def __init__(self, key: str, tag: str, never: bool, named: bool):
         self.key, self.tag, self.never, self.named = key, tag, never, named
-        self.children, self.pages, self.text, self.whole, self.mass, self.root = [], 0, None, None, 0, False
+        self.children, self.number, self.pages, self.text, self.mass, self.root = [], 0, 0.0, None, 0.0, False
+
+
+class Skeleton:
+    """The nodes of a layout's page as slots, numbered in page order."""
+
+    def __init__(self, packed: dict):
+        self.paths, self.slots = frozenset(packed["p"]), []
+        self.top = self._slot(packed["s"])
+
+    def _slot(self, packed: list) -> Slot:
+        key, never, named, children = packed
+        out = Slot(key, key.split(".", 1)[0], never, named)
+        out.number = len(self.slots)
+        self.slots.append(out)
+        out.children = [self._slot(c) for c in children]
+        return out
 
 
-def _slots(node: Node) -> Slot:
-    out = Slot(node.key, node.tag, node.never, node.named)
+def _outline(node: Node) -> list:
     # a paragraph's own elements are content, never template
-    out.children = [] if node.tag in LEAVES else [_slots(x) for x in elements(node)]
-    return out
+    return [node.key, node.never, node.named, [] if node.tag in LEAVES else [_outline(x) for x in elements(node)]]
+
+
+def skeleton(source: str) -> str:
+    page = parse(source)
+    return json.dumps({"p": sorted(container_paths(page)), "s": _outline(page)})
+
+
+def nearest(page: Node, layouts: list):
+    """The layout that shares most container paths with the page."""
+    if len(layouts) == 1:
+        return layouts[0]
+    paths = container_paths(page)
+    return max(layouts, key=lambda x: len(paths & x.paths) / max(1, len(paths | x.paths)))
+
+
+def text_of(node: Node) -> str:
+    """What may be constant: a leaf's whole text, another node's own text."""
+    return _inside(node) if node.tag in LEAVES else own_text(node)
 
 
 def _masses(page: Node, skip: set[int] = frozenset()) -> dict[int, int]:
@@ -296,31 +366,44 @@ def _kids(slot: Slot) -> list[Slot]:
     return slot.children
 
 
-def learn(pages: list[str]) -> str:
-    """The template of some pages of one host, as JSON (null: none)."""
-    trees = [parse(p) for p in pages if p]
-    if len(trees) < 2:
-        return "null"
-    template = _slots(trees[0])
-    matched = [simple_tree_matching(template, tree, _kids, elements)[1] for tree in trees]
-    for pairs in matched:
-        for slot, node in pairs:
-            text, whole = own_text(node), _inside(node) if node.tag in LEAVES else ""
-            slot.text = text if not slot.pages else (text if text == slot.text else "")
-            slot.whole = whole if not slot.pages else (whole if whole == slot.whole else "")
-            slot.pages += 1
-    for tree, pairs in zip(trees, matched, strict=True):
-        same: set[int] = set()
-        for slot, node in pairs:
-            if len(trees) >= CONSTANT_PAGES and slot.pages == len(trees):
-                same.update([id(node)] if slot.text else [])
-                same.update(map(id, _below(node)) if slot.whole else [])
-        mass = _masses(tree, same)
-        for slot, node in pairs:
-            slot.mass += mass.get(id(node), 0)
+def measure(top: Slot, page: Node) -> list[tuple[int, int, int, int | None]]:
+    """(slot number, text mass, mass below that aligns with nothing, digest of a
+    text that may be constant) of the slots that a page has."""
+    pairs = simple_tree_matching(top, page, _kids, elements)[1]
+    mass, aligned, out = _masses(page), {id(node) for _, node in pairs}, []
+    for slot, node in pairs:
+        text, closed = text_of(node), id(node) not in mass or node.never
+        loose = 0 if closed or node.tag in LEAVES else sum(mass[id(c)] for c in elements(node) if id(c) not in aligned)
+        free = text and not any(x.tag in ("article", "main") for x in _up(node))
+        out.append((slot.number, 0 if closed else len(text), loose, digest(text) if free else None))
+    return out
+
 
+def learn(skeletons: list[str], counted: list[dict]) -> str:
+    """The templates of a host as JSON, from its skeletons and what all its
+    pages have in their slots."""
+    out = []
+    for number, packed in enumerate(skeletons):
+        found = Skeleton(json.loads(packed))
+        facts = {c["slot"]: c for c in counted if c["layout"] == number}
+        if 0 not in facts or facts[0]["pages"] < 1.5:
+            continue
+        n = facts[0]["pages"]
+        for slot in reversed(found.slots):  # children first
+            c = facts.get(slot.number)
+            if c is not None:
+                slot.pages = c["pages"]
+                if (c["same"] or 0) >= max(CONSTANT_PAGES, CONSTANT_SHARE * n) - 1e-6:
+                    slot.text = c["text"]
+                slot.mass = c["loose"] + (0 if slot.text is not None else c["own"])
+            slot.mass = 0 if slot.never else slot.mass + sum(x.mass for x in slot.children)
+        out.append({"p": sorted(found.paths), "s": _template(found.top, n)})
+    return json.dumps(out)
+
+
+def _template(template: Slot, n: float) -> dict:
     def prune(slot: Slot) -> None:
-        slot.children = [c for c in slot.children if c.pages >= TEMPLATE_SHARE * len(trees)]
+        slot.children = [c for c in slot.children if c.pages >= TEMPLATE_SHARE * n - 1e-6]
         for c in slot.children:
             prune(c)
 
@@ -333,15 +416,7 @@ def learn(pages: list[str]) -> str:
         while (best := max((c for c in at.children if not c.never and c.tag not in LEAVES), key=lambda x: x.mass, default=None)) is not None and best.mass >= 0.8 * at.mass > 0:
             at = best
     at.root = True
-    return json.dumps(_packed(template, len(trees), False))
-
-
-def _below(node: Node):
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        yield x
-        stack += elements(x)
+    return _packed(template)
 
 
 def _walk(slot: Slot):
@@ -351,10 +426,8 @@ def _walk(slot: Slot):
             yield from _walk(c)
 
 
-def _packed(slot: Slot, n: int, inside: bool) -> dict:
-    inside = inside or slot.tag in ("article", "main")
-    constant = slot.text if slot.text and slot.pages >= CONSTANT_PAGES and slot.pages == n and not inside else None
-    return {"k": slot.key, "t": constant, "r": slot.root, "n": slot.never, "c": [_packed(c, n, inside) for c in slot.children]}
+def _packed(slot: Slot) -> dict:
+    return {"k": slot.key, "t": slot.text, "r": slot.root, "n": slot.never, "c": [_packed(c) for c in slot.children]}
 
 
 class Template:
@@ -365,6 +438,13 @@ class Template:
         self.children = [Template(c) for c in packed["c"]]
 
 
+class Layout:
+    """A host's template for pages of nearly these container paths."""
+
+    def __init__(self, packed: dict):
+        self.paths, self.top = frozenset(packed["p"]), Template(packed["s"])
+
+
 def blocks(node: Node, constant: set[int]) -> list[str]:
     """The text blocks below ``node`` in page order."""
     out: list[str] = []
@@ -387,7 +467,9 @@ def blocks(node: Node, constant: set[int]) -> list[str]:
             if x.tag == "br":
                 line.append(" ")
                 continue
-            children = [c for c in x.children if not isinstance(c, str)] if id(x) in constant else x.children
+            children = x.children
+            if id(x) in constant:
+                children = [] if x.tag in LEAVES else elements(x)
             if x.tag in BLOCKS:
                 flush()
                 stack.append(None)
@@ -407,16 +489,16 @@ def _own_root(page: Node, mass: dict[int, int]) -> Node:
     return max(found, key=lambda x: mass[id(x)], default=page)
 
 
-def main_text(source: str, template: Template | None) -> str:
+def main_text(source: str, layouts: list[Layout]) -> str:
     if not source:
         return ""
     page = parse(source)
     root, constant, decided = None, set(), {}
-    if template is not None:
-        for slot, node in simple_tree_matching(template, page, _kids, elements)[1]:
+    if layouts:
+        for slot, node in simple_tree_matching(nearest(page, layouts).top, page, _kids, elements)[1]:
             if slot.root:
                 root = node
-            if slot.text and slot.text == own_text(node):
+            if slot.text is not None and slot.text == digest(text_of(node)):
                 constant.add(id(node))
             if node.named:
                 decided[id(node)] = slot.never
@@ -433,44 +515,115 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def induce(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, template) of every host of ``pages`` (page_id, url, html)."""
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"))
-    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h", "page_id"))).where(F.col("n") <= sample_pages)
-    texts = pages.select(F.col("page_id").cast("long").alias("page_id"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"), "html")
-    first = materialise(first.select("page_id", "h", "host").distinct(), "sampled-pages")
-    few = 128 * first.count() <= BROADCAST_BYTES  # beyond that both sides are shuffled
-    chosen = texts.join(F.broadcast(first) if few else first, ["page_id", "h", "host"], "left_semi")
-    groups = chosen.dropDuplicates(["page_id", "h", "host"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "page_id", "html"))).alias("sample"))
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("text"), _host(F.col("url")).alias("host")
+    ).withColumns({"h": F.xxhash64("page_id", "url"), "page": F.xxhash64("text")})
+
+
+def _beside(rows: DataFrame, side: DataFrame, on: str, size: str) -> DataFrame:
+    """``rows`` left-joined with a table of at most one row per key."""
+    bound = side.agg(F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()[0]
+    if bound <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), on, "left")
+    spread = side.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(spread, [on, "s"], "left").drop("s")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """Host, layout and hashes of every page."""
+
+    def run(batches):
+        for part, texts in chunks(batches):
+            found = [layout(container_paths(parse(t.decode("utf-8", "replace")))) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(found, pa.int64()), *(part.column(c) for c in ("h", "page_id", "page"))], names=["host", "layout", "h", "page_id", "page"])
+
+    return rows.where("text != ''").mapInArrow(run, "host string, layout long, h long, page_id long, page long")
+
+
+def _skeletons(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(host, skeletons) of the hosts that have at least two different pages."""
+    layouts = distinct.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "page_id", "page")).alias("first"))
+    hosts = layouts.groupBy("host").agg(F.sum("n").alias("total"), F.max(F.struct("n", "first")).alias("top")).where("total > 1")
+    enough = F.col("n") >= F.greatest(F.lit(float(CONSTANT_PAGES)), LAYOUT_SHARE * F.col("total"))
+    kept = layouts.join(hosts, "host").where(enough | (F.struct("n", "first") == F.col("top")))
+    kept = materialise(kept.select("host", "n", "first.h", "first.page_id", "first.page"), "layouts")
+    few = 128 * kept.count() <= BROADCAST_BYTES  # beyond that both sides are shuffled
+    wanted = kept.select("host", "h", "page", F.coalesce("page_id", F.lit(0)).alias("i"), "n")
+    chosen = rows.withColumn("i", F.coalesce("page_id", F.lit(0))).join(F.broadcast(wanted) if few else wanted, ["host", "h", "page", "i"])
+
+    def run(batches):
+        for part, texts in chunks(batches):
+            found = [skeleton(t.decode("utf-8", "replace")) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("n"), part.column("h"), pa.array(found, pa.string())], names=["host", "n", "h", "skeleton"])
+
+    outlines = chosen.select("host", "n", "h", "text").mapInArrow(run, "host string, n long, h long, skeleton string").distinct()
+    # 1 / LAYOUT_SHARE skeletons of a host at most; the most frequent layout first
+    ordered = F.sort_array(F.collect_list(F.struct(-F.col("n"), "h", "skeleton")))
+    return outlines.groupBy("host").agg(F.transform(ordered, lambda x: x["skeleton"]).alias("skeletons"))
+
+
+def induce(pages: DataFrame) -> DataFrame:
+    """(host, template) of every host of ``pages`` (page_id, url, html) that has
+    at least two different pages."""
+    rows = _keyed(pages)
+    signed = materialise(_signed(rows), "page-layouts")
+    # equal pages of a host count as one, so that copies make nothing constant
+    distinct = materialise(signed.groupBy("host", "page").agg(F.min("layout").alias("layout"), F.min("h").alias("h"), F.min_by("page_id", "h").alias("page_id"), F.count(F.lit(1)).alias("copies")), "pages")
+    skeletons = materialise(_skeletons(rows, distinct), "skeletons")
+    copies = distinct.where("copies > 1").select(F.xxhash64("host", "page").alias("copy"), "copies").dropDuplicates(["copy"])
+    joined = _beside(rows.where("text != ''").withColumn("copy", F.xxhash64("host", "page")), copies, "copy", "24")
+    packed = skeletons.select("host", F.to_json("skeletons").alias("skeletons"))
+    joined = _beside(joined.select("page_id", "url", "text", "host", "copies"), packed, "host", "octet_length(skeletons) + octet_length(host)").where("skeletons is not null")
+
+    def count(batches):
+        known: dict[str, list[Skeleton]] = {}
+        for part, texts in chunks(batches):
+            sums: dict[tuple, list[float]] = {}
+            for host, copies, packed, raw in zip(part.column("host").to_pylist(), part.column("copies").to_pylist(), part.column("skeletons").to_pylist(), texts, strict=True):
+                if packed not in known:
+                    if len(known) > 1024:
+                        known.clear()
+                    known[packed] = [Skeleton(json.loads(x)) for x in json.loads(packed)]
+                page = parse(raw.decode("utf-8", "replace"))
+                found = nearest(page, known[packed])
+                at, weight = known[packed].index(found), 1 / (copies or 1)
+                for slot, own, loose, text in measure(found.top, page):
+                    s = sums.setdefault((host, at, slot, text), [0.0, 0.0, 0.0])
+                    s[0], s[1], s[2] = s[0] + weight, s[1] + weight * own, s[2] + weight * loose
+            columns = [*zip(*sums)] or [()] * 4
+            values = [*zip(*sums.values())] or [()] * 3
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns + values, types, strict=True)], names=["host", "layout", "slot", "text", "pages", "own", "loose"])
+
+    slots = joined.mapInArrow(count, "host string, layout int, slot int, text long, pages double, own double, loose double")
+    total = [F.sum(c).alias(c) for c in ("pages", "own", "loose")]
+    by_text = slots.groupBy("host", "layout", "slot", "text").agg(*total)
+    said = F.when(F.col("text").isNotNull(), F.struct(F.col("pages").alias("same"), "text"))
+    by_slot = by_text.groupBy("host", "layout", "slot").agg(*total, F.max(said).alias("most"))
+    facts = by_slot.groupBy("host").agg(F.collect_list(F.struct("layout", "slot", "pages", "own", "loose", "most.same", "most.text")).alias("counted"))
 
     def run(batches):
         for b in batches:
-            found = [learn([p["html"] for p in s]) for s in b.column("sample").to_pylist()]
+            found = [learn(s, c) for s, c in zip(b.column("skeletons").to_pylist(), b.column("counted").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(found, pa.string())], names=["host", "template"])
 
-    return groups.mapInArrow(run, "host string, template string")
+    return skeletons.join(facts, "host").mapInArrow(run, "host string, template string")
 
 
 def extract(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
-    bound = templates.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")), F.lit(0))).first()[0]
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("text"), _host(F.col("url")).alias("host"))
-    if bound <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(templates), "host", "left")
-    else:
-        spread = templates.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = rows.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(spread, ["host", "s"], "left")
+    joined = _beside(_keyed(pages).drop("h", "page"), templates, "host", "octet_length(template) + octet_length(host)")
 
     def run(batches):
-        known: dict[str, Template | None] = {}
+        known: dict[str, list[Layout]] = {}
         for part, texts in chunks(batches):
             out = []
             for packed, raw in zip(part.column("template").to_pylist(), texts, strict=True):
                 if packed not in known:
                     if len(known) > 4096:
                         known.clear()
-                    found = json.loads(packed or "null")
-                    known[packed] = Template(found) if found else None
+                    known[packed] = [Layout(x) for x in json.loads(packed or "[]")]
                 out.append(main_text(raw.decode("utf-8", "replace"), known[packed]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

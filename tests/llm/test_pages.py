@@ -133,6 +133,44 @@ def test_names_do_not_close_what_holds_the_content(spark, kind, n):
         assert r.text == "\n\n".join(paragraphs).replace("{k}", str(r.page_id))
 
 
+def ranked(spark, n, host, make):
+    """``n`` pages of a host; ``make`` gets the rank of the page's hash."""
+    hashed = spark.createDataFrame([(k, f"https://{host}/{k}") for k in range(n)], "page_id long, url string").withColumn("h", F.xxhash64("page_id", "url"))
+    return [(r.page_id, r.url, make(at)) for at, r in enumerate(sorted(hashed.collect(), key=lambda r: (r.h, r.page_id)))]
+
+
+def story(at: int, by: str) -> str:
+    return f"<div class='top'><p>Welcome to us</p></div><div class='body'><div class='by'>{by}</div><p>Story {at} " + "words " * 30 + f"{at}</p></div><div class='end'>All rights</div>"
+
+
+def test_template_comes_from_all_pages(spark):
+    # a by-line that is equal in the first pages only; an error page comes first
+    make = lambda at: "<html><body>" + (f"<table><tr><td>error {at}</td></tr></table>" if at == 0 else story(at, "By Ann" if at < 20 else f"By {at}")) + "</body></html>"
+    data = ranked(spark, 60, "f.example", make)
+    frame = pages(spark, data)
+    got = {r.page_id: r.text for r in wrapper.extract(frame, wrapper.induce(frame)).collect()}
+    for at, (k, _, _) in enumerate(data):
+        if at:
+            assert got[k] == f"By {'Ann' if at < 20 else at}\n\nStory {at} " + "words " * 30 + str(at)
+
+
+def test_each_layout_has_its_own_template(spark):
+    other = lambda at: f"<section class='lead'>Our events</section><section class='event'><p>Event {at} " + "dates " * 30 + f"{at}</p></section>"
+    data = ranked(spark, 40, "g.example", lambda at: f"<html><body class='post-{at}'>" + (other(at) if at % 4 == 0 else story(at, f"By {at}")) + "</body></html>")
+    frame = pages(spark, data)
+    got = {r.page_id: r.text for r in wrapper.extract(frame, wrapper.induce(frame)).collect()}
+    for at, (k, _, _) in enumerate(data):
+        assert got[k] == (f"Event {at} " + "dates " * 30 + str(at) if at % 4 == 0 else f"By {at}\n\nStory {at} " + "words " * 30 + str(at))
+
+
+def test_copies_of_a_page_make_nothing_constant(spark):
+    data = ranked(spark, 30, "i.example", lambda at: "<html><body>" + story(max(at, 26), "By Ann") + "</body></html>")
+    frame = pages(spark, data)
+    got = {r.page_id: r.text for r in wrapper.extract(frame, wrapper.induce(frame)).collect()}
+    for at, (k, _, _) in enumerate(data):
+        assert f"Story {max(at, 26)} words" in got[k]
+
+
 def test_wrapper_shuffled_join_gives_the_same(spark, monkeypatch):
     frame = pages(spark, [(k, f"https://a.example/{k % 3}", article(k, BODY.format(k=k))) for k in range(12)])
     templates = wrapper.induce(frame).cache()
