@@ -22,10 +22,13 @@ differing cells, and of differing bits, a lower bound of that difference.
 4. Candidates whose bit sketches differ in too many bits go (exact bound); the
    others are verified on their shingles.
 5. Verified links give components.  Keys shared by more than ``GROUP`` sets of
-   several components are searched for further links across the components, in
-   blocks against the bit sketches; what passes is verified too, and the
-   components are joined.  So no link between components is lost, and a group of
-   thousands of near copies costs one candidate per member and key.
+   components are searched for further links across the components against the
+   bit sketches, in groups that one task holds; what passes is verified too, and
+   the components are joined.  So no link between components is lost, and a
+   group of thousands of near copies costs one candidate per member and key.
+   The sets of a key that more than ``HELD`` share meet in other groups: by
+   their shingles that at most ``HELD`` of these sets have, and, where two sets
+   can link by more common shingles alone, in pairs of hashed blocks.
 
 Hashes of 64 bits stand for shingles and sets.
 
@@ -51,6 +54,8 @@ from tablework.llm.shingles import BASE, Words, mix, shingle_sets
 SHINGLE = 5
 PERCENT = 75
 GROUP = 24
+#: Sets of one key, shingle or block that a task compares with each other.
+HELD = 2048
 #: Documents whose shingles are looked at for common ones, and in how many of
 #: their sets a shingle must be to count as frequent.
 FREQUENT_SAMPLE, FREQUENT_IN = 4096, 3
@@ -301,9 +306,8 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return materialise(wide.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole shingle sets."""
-    ids = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
+def _shingles(ids: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(set_id, tokens): the whole sets of the distinct ``ids``, from their texts."""
     # the class's first row has the text; equal ids with other texts are told apart by the set
     wanted = materialise(ids.join(classes.select("set_id", "doc_id"), "set_id"), "wanted-sets")
     texts = join_ids(docs, wanted.select("doc_id").distinct())
@@ -315,7 +319,13 @@ def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(set_id, pa.int64()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
     sets = texts.mapInArrow(run, "set_id long, tokens binary").join(wanted.select("set_id"), "set_id", "left_semi")
-    sets = materialise(sets.dropDuplicates(["set_id"]), "shingle-sets")
+    return materialise(sets.dropDuplicates(["set_id"]), "shingle-sets")
+
+
+def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole shingle sets."""
+    ids = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
+    sets = _shingles(ids, classes, docs, n)
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("tokens").alias(f"tokens_{s}"))
     wide = near.join(side("a"), "a").join(side("b"), "b")
 
@@ -331,20 +341,78 @@ def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     return materialise(wide.mapInArrow(check, "a long, b long"), "links")
 
 
-def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of sets that share a large key, are in different components
-    and are near by their bit sketches."""
+def _by_shingle(sets: DataFrame, classes: DataFrame, docs: DataFrame, n: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``sets`` (set_id, label): (g, set_id) by each shingle that 2 to
+    ``held`` sets of several components have, and (set_id, common), the number
+    of shingles that more have."""
+
+    def each(batches):
+        for x in batches:
+            tokens = [np.frombuffer(t.as_buffer(), np.int64) for t in x.column("tokens")]
+            for ids, part in zip(x.column("set_id").to_pylist(), tokens, strict=True):
+                yield pa.RecordBatch.from_pydict({"set_id": pa.array(np.full(len(part), ids), pa.int64()), "token": pa.array(part, pa.int64())})
+
+    tokens = materialise(_shingles(sets.select("set_id"), classes, docs, n).mapInArrow(each, "set_id long, token long").join(sets, "set_id"), "open-shingles")
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    counted = materialise(counted.where("c > 1 and lo < hi").select("token", "c"), "shingle-counts")
+    rare = join_ids(tokens, counted.where(F.col("c") <= held).select("token"), column="token")
+    common = join_ids(tokens, counted.where(F.col("c") > held).select("token"), column="token")
+    return rare.select(F.xxhash64(F.lit("shingle"), "token").alias("g"), "set_id"), common.groupBy("set_id").agg(F.count(F.lit(1)).alias("common"))
+
+
+def _by_block(near: DataFrame, held: int) -> DataFrame:
+    """(g, set_id): pairs of blocks of about ``held`` members of a key, as far as
+    two of their members can be a strong one and one of another component."""
+    sizes = near.groupBy("key", "strong", "label").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.select("key", "strong", "label", F.when(F.col("m") > held, F.col("label")).alias("one"), "m")
+    rooms = sizes.groupBy("key", "strong", "one").agg(F.ceil(F.sum("m") / held).alias("rooms"))
+    large = sizes.where("one is not null").select("key", "strong", "label", "one")
+    placed = near.join(large, ["key", "strong", "label"], "left").alias("p").join(
+        rooms.alias("r"), F.expr("p.key = r.key and p.strong = r.strong and p.one <=> r.one")
+    )
+    block = F.xxhash64("p.strong", "p.one", F.pmod(F.xxhash64("set_id"), F.col("rooms")))
+    placed = materialise(placed.select("p.key", "p.strong", "p.one", "set_id", block.alias("block")), "blocks")
+    blocks = placed.select("key", "strong", "one", "block").distinct()
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.key = y.key and x.block <= y.block and (x.strong or y.strong) and not coalesce(x.one = y.one, false)"))
+    pairs = pairs.select("x.key", F.col("x.block").alias("x"), F.col("y.block").alias("y"), F.xxhash64(F.lit("block"), "x.key", "x.block", "y.block").alias("g"))
+    side = lambda c: placed.select("key", F.col("block").alias(c), "set_id").join(pairs, ["key", c]).select("g", "set_id")
+    return side("x").unionByName(side("y")).distinct()
+
+
+def _open_groups(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, held: int) -> DataFrame:
+    """Sets by group ``g``, so that any two sets that link, share a large key and
+    are in different components are in one group; a group has about twice
+    ``held`` sets at most.  ``shared``: all groups of a set, or null."""
     labelled = entries.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    inside = labelled.join(open_keys, "key", "left_semi")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("key", "c")
+    inside = materialise(labelled.join(open_keys, "key"), "open-keys")
+    facts = classes.select("set_id", "n", "sketch")
+    few, many = inside.where(F.col("c") <= held), inside.where(F.col("c") > held)
     # a set has no more keys than shingles and spare cells; a pair is left to the smallest key it shares
-    shared = inside.groupBy("set_id").agg(F.collect_set("key").alias("shared"))
-    rows = inside.join(shared, "set_id").join(classes.select("set_id", "n", "sketch"), "set_id")
+    shared = few.groupBy("set_id").agg(F.collect_set("key").alias("shared"))
+    rows = few.join(shared, "set_id").join(facts, "set_id").select(F.col("key").alias("g"), "set_id", "label", "n", "sketch", "shared")
+    if many.isEmpty():
+        return rows
+    sets = materialise(many.select("set_id", "label").distinct(), "open-sets")
+    rare, common = _by_shingle(sets, classes, docs, n, held)
+    # linked sets a, b (n_a <= n_b) without a rare shingle in common share at least
+    # percent / (100 + percent) of n_a + n_b common ones: 2 such shares of n_a, and percent of n_b
+    able = common.join(facts.select("set_id", "n"), "set_id").where(100 * F.col("common") >= percent * F.col("n"))
+    able = able.select("set_id", (F.col("common") * (100 + percent) >= 2 * percent * F.col("n")).alias("strong"))
+    blocks = _by_block(materialise(many.select("key", "set_id", "label").join(able, "set_id"), "able-sets"), held)
+    more = rare.unionByName(blocks).join(sets, "set_id").join(facts, "set_id")
+    return rows.unionByName(more.select("g", "set_id", "label", "n", "sketch", F.lit(None).cast("array<bigint>").alias("shared")))
+
+
+def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, held: int, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of sets that share a large key, are in different components
+    and are near by their bit sketches."""
+    rows = _open_groups(entries, labels, classes, docs, n, percent, held)
 
     def groups(batches):
         held, key = [], None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "set_id", "label", "n", "sketch", "shared")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("g", "set_id", "label", "n", "sketch", "shared")), strict=True):
                 if row[0] != key:
                     if held:
                         yield key, held
@@ -365,7 +433,7 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent:
                 by_length[w] = np.full((len(members), w), 0, np.uint64)
                 for i in fit:
                     by_length[w][i] = fold(np.frombuffer(members[i][3], np.uint64), w)
-            found, keys = [], [frozenset(m[4]) for m in members]
+            found, keys = [], [frozenset(m[4]) if m[4] is not None else None for m in members]
             for i in range(len(members)):
                 w = len(members[i][3]) // 8
                 stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
@@ -374,15 +442,15 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent:
                     apart = np.bitwise_count(by_length[w][at:to] ^ by_length[w][i]).sum(axis=1)
                     ok = (label[at:to] != label[i]) & (apart <= max_difference(n[i], n[at:to], percent))
                     for j in at + np.flatnonzero(ok):
-                        if min(keys[i] & keys[j]) == key:
+                        if keys[i] is None or min(keys[i] & keys[j]) == key:
                             found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, set_id (null without a
     set) and component_id, the smallest doc_id reachable by links."""
     source = id_and_text(docs, id_col, text_col)
@@ -400,7 +468,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, g
     links = _verified(_near(pairs, classes, percent), classes, source, n, percent)
     labels = connected_components(links)
     entries = matched.where("kind = 2").select("set_id", F.col("other").alias("key"))
-    more = _near(_across(entries, labels, classes, percent), classes, percent)
+    more = _near(_across(entries, labels, classes, source, n, percent, held), classes, percent)
     if not more.isEmpty():
         links = links.unionByName(_verified(more, classes, source, n, percent))
         labels = connected_components(links)

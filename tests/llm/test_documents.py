@@ -184,6 +184,57 @@ def test_parity_join_random_sets(spark):
     assert got == {i: c if fx.shingle_set(t) else i for (i, t), c in zip(data, fx.components(data), strict=True)}
 
 
+def boilerplate_pages() -> list[tuple]:
+    """Pages of 80 % and of 92 % common text, some of them near copies of each other."""
+    import random
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common, texts = [[word() for _ in range(k)] for k in (160, 230)], []
+    for text, own in ((0, 40), (1, 20)):
+        for k in range(70):
+            body = common[text] + [word() for _ in range(own)]
+            texts.append(" ".join(body))
+            if k % 10 == 0:
+                body[-3] = word()
+                texts.append(" ".join(body))
+            if text and k % 2:  # two places more, so that these link with few of the others
+                body[20:20], body[90:90] = [word() for _ in range(18)], [word() for _ in range(18)]
+                texts.append(" ".join(body))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("held", [8, 2048])
+def test_boilerplate_pages_link_as_by_brute_force(spark, held):
+    data = boilerplate_pages()
+    got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), group=3, held=held).collect()}
+    assert got == dict(zip(range(len(data)), fx.components(data), strict=True))
+
+
+def test_groups_of_a_large_key_are_bounded_and_lose_no_link(spark):
+    data, held = boilerplate_pages(), 16
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    _, token, size, set_id = parity_join._sets([t.encode() for _, t in data], 5)
+    first = np.concatenate(([0], np.cumsum(size)))
+    tokens = {int(s): token[first[i] : first[i + 1]] for i, s in enumerate(set_id)}
+    classes = spark.createDataFrame([(int(s), i, int(size[i]), parity_join.Sketcher.bits(tokens[int(s)])) for i, s in enumerate(set_id)], "set_id long, doc_id long, n long, sketch binary")
+    entries = classes.selectExpr("set_id", "7L as key")
+    labels = spark.createDataFrame([], "node long, label long")  # nothing is linked yet
+    groups = {}
+    for r in parity_join._open_groups(entries, labels, classes, docs, 5, 75, held).collect():
+        groups.setdefault(r.g, set()).add(r.set_id)
+    assert max(map(len, groups.values())) <= 4 * held < len(data) / 2
+    found = {(r.a, r.b) for r in parity_join._across(entries, labels, classes, docs, 5, 75, held).collect()}
+    ids = sorted(tokens)
+    links = set()
+    for i, x in enumerate(ids):
+        for y in ids[i + 1 :]:
+            same = len(np.intersect1d(tokens[x], tokens[y]))
+            if 100 * same >= 75 * (len(tokens[x]) + len(tokens[y]) - same):
+                links.add((x, y))
+    assert len(links) > 100 and links <= found
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(1)
     for n, extra in ((3, 1), (50, 9), (400, 200)):
