@@ -12,8 +12,14 @@ candidates themselves; both are taken by the smallest hash, so the sample is
 repeatable.  Everything else
 covers all rows and whole texts: one pass without a shuffle.
 
-Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of ``MIN_LENGTH``
-characters or more with a letter and a digit that overlap no base span.
+Candidates are maximal runs of ``[A-Za-z0-9+/_=-]``, cut at the base spans, of
+``MIN_LENGTH`` characters or more.  One that passes as a whole, with a letter
+and a digit, is a span.  In any other, the stretch of ``MIN_LENGTH`` characters
+or more that lies highest above ``MIN_RATE`` is one if it passes and has a
+letter, widened to the
+ends of the letters and digits it is in and without joining characters at its
+ends; what is left on both sides is searched
+again.
 
 Edge cases: null text counts as empty; an empty text has no spans and the
 digest of the empty string; repeated rows are scanned one by one; null ids
@@ -106,19 +112,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _best_stretch(gain: np.ndarray) -> tuple[int, int] | None:
+    """(start, end) of the ``MIN_LENGTH`` or more characters whose gain lies
+    highest above ``MIN_RATE``, if they pass both limits."""
+    total = np.concatenate(([0.0], np.cumsum(gain - MIN_RATE)))
+    before = total[: len(total) - MIN_LENGTH]
+    above = total[MIN_LENGTH:] - np.minimum.accumulate(before)
+    end = int(np.argmax(above)) + MIN_LENGTH
+    start = int(np.argmin(before[: end - MIN_LENGTH + 1]))
+    good = above[end - MIN_LENGTH] >= 0 and gain[start:end].sum() >= MIN_TOTAL
+    return (start, end) if good else None
+
+
 def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out, joints = [], "+/_=-"
     for m in _CANDIDATE.finditer(text):
-        token = m.group()
-        if not (_HAS_DIGIT.search(token) and _HAS_LETTER.search(token)):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        c = _codes(token)
-        score = float(ratio[c[:-1], c[1:]].sum())
-        if score >= MIN_TOTAL and score >= MIN_RATE * len(token):
-            out.append((m.start(), 3, m.end()))
-    return out
+        pieces, at = [], m.start()
+        for s, _, e in [t for t in taken if t[0] < m.end() and m.start() < t[2]]:
+            pieces.append((at, s))
+            at = max(at, e)
+        pieces.append((at, m.end()))
+        while pieces:
+            lo, hi = pieces.pop()
+            if hi - lo < MIN_LENGTH:
+                continue
+            token = text[lo:hi]
+            c = _codes(token)
+            gain = ratio[c[:-1], c[1:]]
+            score = float(gain.sum())
+            if _HAS_DIGIT.search(token) and _HAS_LETTER.search(token) and score >= MIN_TOTAL and score >= MIN_RATE * len(token):
+                out.append((lo, 3, hi))
+                continue
+            found = _best_stretch(gain)
+            if found is None:
+                continue
+            start, end = found
+            if not token[start:end].strip(joints):
+                pieces += [(lo, lo + start), (lo + end, hi)]
+                continue
+            start += len(token[start:end]) - len(token[start:end].lstrip(joints))
+            end = start + len(token[start:end].rstrip(joints))
+            while start and token[start] not in joints and token[start - 1] not in joints:
+                start -= 1
+            while end < len(token) and token[end - 1] not in joints and token[end] not in joints:
+                end += 1
+            if _HAS_LETTER.search(token[start:end]):  # plain numbers are no secrets
+                out.append((lo + start, 3, lo + end))
+            pieces += [(lo, lo + start), (lo + end, hi)]
+    return sorted(out)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

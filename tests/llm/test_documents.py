@@ -369,6 +369,24 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert masked[220] == prose and sum(masked[200 + k] == "see [SECRET] here" for k in range(20)) == caught
 
 
+def test_secrets_inside_longer_runs_are_found():
+    import random
+
+    rng = random.Random(6)
+    draw = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(letters) for _ in range(n))
+    names = ["session_cookie_value_for_user", "customer_order_total", "parse_header_record_of_the_stream", "internationalisation"]
+    ratio = secret_scan.transition_logs([draw(36) for _ in range(2000)], secret_scan.RANDOM_UNIFORM) - secret_scan.transition_logs(names * 50, secret_scan.ORDINARY_UNIFORM)
+    spans = lambda t: secret_scan.markov_spans(t, ratio, secret_scan.base_spans(t))
+    for _ in range(20):
+        name, secret, hexes = "/".join(names) + "=", draw(16), "%032x" % rng.getrandbits(128)
+        assert spans(name + secret + "/" + names[0]) == [(len(name), 3, len(name) + 16)]
+        tail = "Z" + draw(23)
+        assert spans(hexes + tail) == [(32, 3, 56)]
+        assert spans(draw(16, "0123456789")) == []
+        assert spans(draw(24, "qxzjkvwbQXZJKVWB")) == [(0, 3, 24)]
+    assert not any(spans(n) for n in names) and spans("/".join(names)) == []
+
+
 # --- empty tables --------------------------------------------------------
 
 
