@@ -1,4 +1,4 @@
-"""Registered queries of the corpus operators (op1 to op10) and the pipeline.
+"""Registered queries of the corpus operators (op1 to op13).
 
 Each query reads its whole table, calls its operator with the production
 parameters, and keeps the columns of the contract.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import byte_bpe, content_sort, packing, parity_join, repetition, secret_scan, substrings, toxicity, warc, wrapper
+from tablework.llm import byte_bpe, content_sort, language, packing, parity_join, phrases, repetition, secret_scan, substrings, toxicity, variants, warc, wrapper
 from tablework.llm.common import materialise, scratch_path, table
 
 
@@ -97,9 +97,72 @@ def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(pages, materialise(wrapper.induce(pages), "wrappers"))
 
 
+def op11_gram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.fit(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+PHRASES_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+  FROM documents
+), p AS (
+  SELECT lang, unnest(ps) AS piece FROM d
+), q AS (
+  SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), t AS (
+  SELECT pid, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM q
+), g AS (
+  SELECT lang, w AS w1, lead(w) OVER along AS w2, lead(w, 2) OVER along AS w3 FROM t WINDOW along AS (PARTITION BY pid ORDER BY i)
+), f AS (
+  SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT c.*, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y
+  FROM c, (VALUES (1), (2)) AS borders(j) WHERE j < k
+), s AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, j, fx.f AS l, fy.f AS r, ((1000000::HUGEINT * a * a) // (fx.f::HUGEINT * fy.f))::BIGINT AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x AND fx.k = j JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y AND fy.k = cuts.k - j
+), low AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), around AS (
+  SELECT lang, inner_phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(ws[1:2], ' ') AS inner_phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT low.* FROM low LEFT JOIN around g ON g.lang = low.lang AND g.inner_phrase = low.phrase AND low.k = 2
+  WHERE g.longer IS NULL OR 100 * g.longer < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+QUERIES = (
+    op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op4_substring_dedup, op5_toxicity, op6_parity_join, op7_repetition_quality,
+    op8_byte_bpe, op9_secret_scan, op10_wrapper_main_text, op11_gram_variants, op12_language_id, op13_phrase_automata,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_exact_dedup, op3_warc_round_trip, op4_substring_dedup, op5_toxicity, op6_parity_join, op7_repetition_quality, op8_byte_bpe, op9_secret_scan, op10_wrapper_main_text)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op3_warc_round_trip": WARC_SQL}
+    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op3_warc_round_trip": WARC_SQL, "op13_phrase_automata": PHRASES_SQL}
