@@ -1,24 +1,22 @@
 """Lineage graph operators on an edge table ``(consumer, producer)``
 (L1-L4).
 
-Graph walks are frontier loops of DataFrame joins: each round joins the
-frontier with the edges, anti-joins what was already visited and stops
-when the frontier is empty, so cycles terminate.  Each round's state is
-cut from its lineage with an eager ``checkpoint()`` in the session's
-checkpoint directory (``spark.checkpoint.dir`` on a cluster), which
-keeps plans small and means a lost executor only recomputes the current
-round.  The
-driver only learns whether the frontier is empty.
+Graph walks are loops of DataFrame joins over waves of nodes.  Each round's
+wave is written to the session's checkpoint directory
+(``spark.checkpoint.dir`` on a cluster) and read back, which keeps plans
+small and means a lost executor only recomputes the current round.  The
+driver only learns whether a wave is empty.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablework.operators.ranges import Ranges
 from tablework.session import checkpoint_dir
 
 
@@ -106,43 +104,97 @@ class _Waves:
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
         self.schema: StructType | None = None
 
-    def add(self, nodes: DataFrame, wave: int) -> tuple[DataFrame, bool]:
-        """Write a wave; read back, and whether it is empty."""
-        rows = nodes.select("node").withColumn(self.number, F.lit(wave))
+    def add(self, nodes: DataFrame, wave: int, flag: str | None = None) -> tuple[DataFrame, bool]:
+        """Write a wave; read back, and whether it (or what has ``flag``) is empty."""
+        rows = nodes.withColumn(self.number, F.lit(wave))
         self.schema = self.schema or rows.schema
         rows.write.mode("append").parquet(f"{self.path}/{wave}")
         written = self.spark.read.schema(self.schema).parquet(f"{self.path}/{wave}")
-        return written.select("node"), written.isEmpty()
+        return written.drop(self.number), (written.where(flag) if flag else written).isEmpty()
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
+def ordered_selection(edges: DataFrame, seeds: DataFrame | None, direction: str = "prod") -> DataFrame:
+    """L2 in producer-first order: ``(node, depth, rank)`` of the selection,
+    ranked as in :func:`producer_first` of the whole graph.
+
+    A node's place follows from its ancestors alone, so the waves run over the
+    selection and what it depends on, not over the whole graph.  A cycle there
+    raises :class:`CycleError`.
+    """
+    chosen = _cut(expand_lineage(edges, seeds, direction))
+    needed = expand_lineage(edges.select(F.col("consumer").alias("producer"), F.col("producer").alias("consumer")), chosen.select("node"), "prod")
+    inner = edges.join(needed.select(F.col("node").alias("consumer")), "consumer", "left_semi")
+    keyed, remainder = _peel(inner, needed.select("node"), with_order=True)
+    if not remainder.isEmpty():
+        assert_acyclic(inner)
+    ordered = keyed.select("node", "best").join(chosen, "node")
+    return Ranges(ordered, [F.col("best").asc()]).numbered().select("node", "depth", "rank")
+
+
 # ---------------------------------------------------------------- L3
+def _peel(edges: DataFrame, nodes: DataFrame | None, with_order: bool) -> tuple[DataFrame, DataFrame]:
+    """``(node, level[, best])`` of the nodes that can be ordered, and the
+    remainder (cycles and what depends on them).
+
+    A wave holds the nodes whose dependencies are all in earlier waves.  The
+    edges are partitioned by producer once; a round meets the consumers of the
+    newest wave and adds up, per consumer, the dependencies met so far.  Only
+    consumers that were met and still wait are carried on; all others stay
+    untouched in the table of dependency counts.
+
+    ``best`` is a node's sort key: the largest key among its dependencies, less
+    the names at its end that are smaller than the node's own, plus that name.
+    In the order that always takes the smallest ready name, a node follows its
+    last dependency, and what is ready and smaller than the name before comes
+    at once; so key order is that order.
+    """
+    spark = edges.sparkSession
+    deps = _cut(edges.select("consumer", "producer").distinct().repartition("producer"))
+    waits = _cut(deps.groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("waits")))
+    everything = nodes_of(edges, nodes)
+    key = (lambda best: F.concat(F.filter(best, lambda x: x > F.col("node")), F.array("node"))) if with_order else (lambda best: best)
+    nothing = F.array().cast("array<string>") if with_order else F.lit(None).cast("array<string>")
+    waves = _Waves(spark, "level")
+    state = everything.join(waits, "node", "left_anti").select("node", F.lit(0).cast("long").alias("met"), key(nothing).alias("best"), F.lit(True).alias("ready"))
+    level = 0
+    while True:
+        state, empty = waves.add(state, level, "ready")
+        if empty:
+            break
+        reached = state.where("ready").join(deps, state["node"] == deps["producer"])
+        met = reached.groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("met"), F.max("best").alias("best"))
+        added = met.unionByName(state.where("NOT ready").select("node", "met", "best")).groupBy("node").agg(F.sum("met").alias("met"), F.max("best").alias("best"))
+        counted = added.join(waits, "node")
+        done = F.col("met") == F.col("waits")
+        state = counted.select("node", "met", F.when(done, key(F.col("best"))).otherwise(F.col("best")).alias("best"), done.alias("ready"))
+        level += 1
+    levels = waves.table().where("ready").select("node", "level", *(["best"] if with_order else []))
+    return levels, everything.join(levels.select("node"), "node", "left_anti")
+
+
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Peel the graph: level 0 = nodes without dependencies, level k =
     nodes whose dependencies all have a level < k (so level = longest path
     from a source).  Returns ``(levels, remainder)`` where ``remainder``
     holds the nodes left when no node is ready (cycles and what depends on
-    them); order a wave by name to get a producer-first order.
+    them); order a wave by name to get a producer-first order."""
+    return _peel(edges, nodes, with_order=False)
 
-    Each node carries the number of dependencies it still waits for; a round
-    subtracts those in the newest wave, found through edges that are
-    partitioned by producer once.
+
+def producer_first(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``(node, level, rank)``: the smallest producer-first order, in which the
+    next node is always the smallest name whose dependencies are all placed.
+
+    Ranks come from range counts over the sort keys of :func:`_peel`; a key
+    holds at most the names of one path.  A cycle raises :class:`CycleError`.
     """
-    all_edges = _cut(edges.select("consumer", "producer").distinct().repartition("producer"))
-    waits = all_edges.groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
-    state = _cut(nodes_of(edges, nodes).join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
-    levels = _Waves(all_edges.sparkSession, "level")
-    level = 0
-    while True:
-        wave, empty = levels.add(state.where("waits = 0"), level)
-        state = state.where("waits > 0")
-        if empty:
-            return levels.table(), state.select("node")
-        met = wave.join(all_edges, wave["node"] == all_edges["producer"]).groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("met"))
-        state = _cut(state.join(met, "node", "left").select("node", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")))
-        level += 1
+    keyed, remainder = _peel(edges, nodes, with_order=True)
+    if not remainder.isEmpty():
+        assert_acyclic(edges)
+    return Ranges(keyed, [F.col("best").asc()]).numbered().select("node", "level", "rank")
 
 
 def ordered_levels(levels: DataFrame) -> DataFrame:
@@ -168,57 +220,110 @@ def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def cycle_set(edges: DataFrame, remainder: DataFrame) -> DataFrame:
-    """Nodes on a cycle, i.e. that reach themselves; a node that only lies
-    between two cycles is none.
-
-    Strongly connected parts by colouring: every node takes the largest name
-    that reaches it; the nodes of a colour that reach back to the node of that
-    name are one part.  Parts found are taken out until no node is left.
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without dependencies and nodes without
+    consumers are taken away until there are none: cycles and what lies
+    between them.  A round keeps the edges whose consumer is still consumed
+    and whose producer still depends; leaves go first, so what hangs off the
+    cycles, mostly the bulk of the rows, leaves in the first rounds."""
+    left = _cut(edges.select("consumer", "producer").distinct())
+    n = left.count()
+    while True:
+        consumed = left.select(F.col("producer").alias("consumer")).distinct()
+        depends = left.select(F.col("consumer").alias("producer")).distinct()
+        left = _cut(left.join(consumed, "consumer", "left_semi").join(depends, "producer", "left_semi").select("consumer", "producer"))
+        now = left.count()
+        if now in (0, n):
+            return left
+        n = now
+
+
+def cycle_parts(edges: DataFrame) -> DataFrame:
+    """``(node, part)`` of the nodes that reach themselves; a node that only
+    lies between two cycles is none.  ``part`` is the smallest node of the
+    strongly connected part.
+
+    Forward and backward reach inside the core: every node takes the largest
+    name that reaches it; the nodes of one name that reach back to the node of
+    that name are one part.  Parts found are taken out, and the core is trimmed
+    again, until no edge is left.
     """
-    rem = _cut(remainder.select("node").distinct())
-    found = rem.limit(0)
-    while not rem.isEmpty():
-        inner = _cut(_inside(edges.select("consumer", "producer").distinct(), rem))
+    inner = cyclic_core(edges)
+    # a node that consumes itself is cyclic wherever it is found
+    loops = inner.where("consumer = producer").select(F.col("consumer").alias("node")).distinct()
+    found: DataFrame | None = None
+    while not inner.isEmpty():
+        rem = nodes_of(inner)
         colour = _spread(rem.select("node", F.col("node").alias("label")), inner.select(F.col("producer").alias("src"), F.col("consumer").alias("dst")))
         one = lambda c: colour.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         same = _cut(inner.join(one("consumer"), "consumer").join(one("producer"), "producer").where("consumer_label = producer_label").select("consumer", "producer"))
         # backwards from the node that gave the colour its name, within the colour
-        roots = colour.where("node = label")
-        part = _spread(
-            colour.join(roots.select("node", F.lit(1).alias("r")), "node", "left").select("node", F.coalesce("r", F.lit(0)).alias("label")),
-            same.select(F.col("consumer").alias("src"), F.col("producer").alias("dst")),
-        ).where("label = 1")
-        members = _cut(part.select("node").join(colour, "node"))
-        large = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
-        loops = inner.where("consumer = producer").select(F.col("consumer").alias("node"))
-        cyclic = members.join(large, "label", "left_semi").select("node").unionByName(members.select("node").join(loops, "node", "left_semi")).distinct()
-        found = _cut(found.unionByName(cyclic))
-        rem = _cut(rem.join(members.select("node"), "node", "left_anti"))
-    return found
+        start = colour.select("node", F.when(F.col("node") == F.col("label"), 1).otherwise(0).alias("label"))
+        part = _spread(start, same.select(F.col("consumer").alias("src"), F.col("producer").alias("dst"))).where("label = 1")
+        members = part.select("node").join(colour, "node")
+        named = members.groupBy("label").agg(F.min("node").alias("part"), F.count(F.lit(1)).alias("n"))
+        members = _cut(members.join(named, "label").join(loops.withColumn("loop", F.lit(True)), "node", "left").select("node", "part", ((F.col("n") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic")))
+        found = members if found is None else _cut(found.unionByName(members))
+        for end in ("consumer", "producer"):
+            inner = inner.join(members.select(F.col("node").alias(end)), end, "left_anti")
+        inner = cyclic_core(inner)
+    if found is None:
+        return nodes_of(inner).withColumn("part", F.col("node"))
+    return found.where("cyclic").select("node", "part")
+
+
+def cycle_set(edges: DataFrame, remainder: DataFrame | None = None) -> DataFrame:
+    """Nodes on a cycle, of ``remainder`` if given (all cycles lie in what
+    :func:`topological_levels` leaves)."""
+    return cycle_parts(edges if remainder is None else _inside(edges, remainder)).select("node")
+
+
+def cycle_chains(edges: DataFrame) -> DataFrame:
+    """``(part, hop, consumer, producer)``: one dependency chain
+    ``a -> b -> ... -> a`` of every strongly connected part, a row per hop
+    (from 0).
+
+    From the smallest node of a part, always on to the smallest dependency
+    inside the part, until a node comes again; the chain is what lies between.
+    Positions are found by pointer doubling: after k rounds the first 2^k nodes
+    of every walk are known, and a walk that repeats a node is finished.
+    """
+    parts = _cut(cycle_parts(edges))
+    one = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    inside = edges.join(one("consumer"), "consumer").join(one("producer"), "producer").where("consumer_part = producer_part")
+    jump = _cut(inside.groupBy(F.col("consumer").alias("node")).agg(F.min("producer").alias("to")))
+    walk = _cut(parts.select("part").distinct().select("part", F.lit(0).cast("long").alias("at"), F.col("part").alias("node")))
+    finished: DataFrame | None = None
+    length = 1
+    while not walk.isEmpty():
+        further = walk.join(jump, "node").select("part", (F.col("at") + length).alias("at"), F.col("to").alias("node"))
+        walk = _cut(walk.unionByName(further))
+        # the first repeat of a walk ends its chain; a position earlier the node was seen first
+        seen = Window.partitionBy("part", "node").orderBy("at")
+        repeats = walk.withColumns({"n": F.row_number().over(seen), "first": F.min("at").over(seen)}).where("n = 2")
+        ends = _cut(repeats.groupBy("part").agg(F.min(F.struct("at", "first")).alias("end")).select("part", F.col("end.at").alias("last"), F.col("end.first").alias("first")))
+        chain = walk.join(ends, "part").where("at >= first AND at <= last").select("part", (F.col("at") - F.col("first")).alias("hop"), "node")
+        finished = chain if finished is None else finished.unionByName(chain)
+        walk = _cut(walk.join(ends, "part", "left_anti"))
+        second = jump.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        jump = _cut(jump.join(second, "to").select("node", F.col("far").alias("to")))
+        length *= 2
+    if finished is None:
+        return edges.limit(0).select(F.col("consumer").alias("part"), F.lit(0).cast("long").alias("hop"), "consumer", "producer")
+    finished = _cut(finished)
+    back = finished.select("part", (F.col("hop") - 1).alias("hop"), F.col("node").alias("producer"))
+    return finished.join(back, ["part", "hop"]).select("part", "hop", F.col("node").alias("consumer"), "producer")
 
 
 def find_cycle(edges: DataFrame, nodes: DataFrame | None = None) -> list[str] | None:
-    """One dependency chain ``a -> b -> ... -> a`` or None.
-
-    Starts at the smallest node on a cycle and follows the smallest
-    dependency inside the cycle set; every step is one tiny lookup, so only
-    the chain itself reaches the driver."""
-    levels, remainder = topological_levels(edges, nodes)
-    if remainder.isEmpty():
+    """One dependency chain ``a -> b -> ... -> a`` (of the part with the
+    smallest node) or None; only the chain itself reaches the driver."""
+    chains = cycle_chains(edges)
+    smallest = chains.agg(F.min("part")).first()[0]
+    if smallest is None:
         return None
-    cyc = cycle_set(edges, remainder)
-    inner = _cut(edges.join(cyc.select(F.col("node").alias("consumer")), "consumer", "left_semi").join(cyc.select(F.col("node").alias("producer")), "producer", "left_semi"))
-    cur = cyc.agg(F.min("node")).first()[0]
-    chain = [cur]
-    seen = {cur}
-    while True:
-        nxt = inner.where(F.col("consumer") == F.lit(cur)).agg(F.min("producer")).first()[0]
-        chain.append(nxt)
-        if nxt in seen:
-            return chain[chain.index(nxt):]
-        seen.add(nxt)
-        cur = nxt
+    hops = chains.where(F.col("part") == smallest).orderBy("hop").collect()
+    return [hops[0]["consumer"], *[h["producer"] for h in hops]]
 
 
 def assert_acyclic(edges: DataFrame, nodes: DataFrame | None = None) -> None:
@@ -261,11 +366,16 @@ __all__ = [
     "GraphError",
     "assert_acyclic",
     "build_edges",
+    "cycle_chains",
+    "cycle_parts",
     "cycle_set",
+    "cyclic_core",
     "expand_lineage",
     "find_cycle",
     "graph_from_tables",
     "nodes_of",
     "ordered_levels",
+    "ordered_selection",
+    "producer_first",
     "topological_levels",
 ]

@@ -584,17 +584,131 @@ SELECT DISTINCT start AS node FROM reach WHERE start = node
 """,
 )
 def q_lineage_cycle_nodes(spark, sf_dir):
-    """L4: nodes on dependency cycles (peel remainder trimmed backwards) in
-    the table graph plus a back edge region -> nation wherever a nation's
-    key equals its region's key."""
+    """L4: nodes on dependency cycles in the table graph plus a back edge
+    region -> nation wherever a nation's key equals its region's key."""
+    return lg.cycle_set(_cyclic_edges(spark, sf_dir))
+
+
+def _cyclic_edges(spark, sf_dir):
     nation = _t(spark, sf_dir, "nation")
     back = nation.where(F.col("n_nationkey") == F.col("n_regionkey")).select(
         F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("consumer"),
         F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("producer"),
     )
-    edges = _edges(spark, sf_dir).unionByName(back)
-    _, remainder = lg.topological_levels(edges)
-    return lg.cycle_set(edges, remainder)
+    return _edges(spark, sf_dir).unionByName(back)
+
+
+# nations also consume the customer of their own number, so cycles run over customers and other nations
+CHAIN_EDGES_SQL = CYCLE_EDGES_SQL.rstrip().rstrip(")") + """
+  UNION ALL SELECT 'nation:' || CAST(n_nationkey AS VARCHAR), 'customer:' || CAST(c_custkey AS VARCHAR)
+  FROM nation JOIN customer ON c_custkey = n_nationkey
+)"""
+
+
+@register(
+    "lineage_cycle_chain",
+    f"""
+WITH RECURSIVE {CHAIN_EDGES_SQL},
+reach(start, node) AS (
+  SELECT consumer, producer FROM edges WHERE consumer NOT LIKE 'order:%' AND consumer NOT LIKE 'supplier:%'
+  UNION
+  SELECT r.start, e.producer FROM reach r JOIN edges e ON e.consumer = r.node
+),
+mutual AS (SELECT a.start AS node, a.node AS other FROM reach a JOIN reach b ON a.start = b.node AND a.node = b.start),
+parts AS (SELECT node, min(other) AS part FROM mutual GROUP BY node),
+nxt AS (
+  SELECT e.consumer AS node, min(e.producer) AS nxt FROM edges e JOIN mutual m ON m.node = e.consumer AND m.other = e.producer GROUP BY e.consumer
+),
+walk(part, path, node) AS (
+  SELECT DISTINCT part, [part], part FROM parts
+  UNION ALL
+  SELECT w.part, list_append(w.path, n.nxt), n.nxt FROM walk w JOIN nxt n ON n.node = w.node
+  WHERE len(list_distinct(w.path)) = len(w.path)
+),
+whole AS (SELECT part, path[list_position(path, node):] AS chain FROM walk WHERE len(list_distinct(path)) < len(path)),
+hops AS (SELECT part, chain, unnest(range(1, len(chain))) AS i FROM whole)
+SELECT part, CAST(i - 1 AS BIGINT) AS hop, chain[i] AS consumer, chain[i + 1] AS producer FROM hops
+""",
+)
+def q_lineage_cycle_chain(spark, sf_dir):
+    """L4: the chain of every cyclic part, a row per hop."""
+    own = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("consumer"),
+        F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("producer"),
+    )
+    return lg.cycle_chains(_cyclic_edges(spark, sf_dir).unionByName(own))
+
+
+# Orders consume their customer and all suppliers of their items: nodes with several dependencies.
+ORDER_EDGES_SQL = EDGES_SQL.rstrip().rstrip(")") + """
+  UNION ALL SELECT DISTINCT 'order:' || CAST(l_orderkey AS VARCHAR), 'supplier:' || CAST(l_suppkey AS VARCHAR) FROM lineitem
+),
+k0 AS (SELECT DISTINCT producer AS node, [producer] AS k FROM edges WHERE producer NOT IN (SELECT consumer FROM edges)),
+k1 AS (SELECT consumer AS node, list_append(list_filter(max(k), lambda x: x > consumer), consumer) AS k FROM edges JOIN k0 ON producer = node GROUP BY consumer),
+k2 AS (SELECT consumer AS node, list_append(list_filter(max(k), lambda x: x > consumer), consumer) AS k FROM edges JOIN k1 ON producer = node GROUP BY consumer),
+k3 AS (SELECT consumer AS node, list_append(list_filter(max(k), lambda x: x > consumer), consumer) AS k FROM edges JOIN k2 ON producer = node GROUP BY consumer),
+ks AS (SELECT node, 0 AS level, k FROM k0 UNION ALL SELECT node, 1, k FROM k1 UNION ALL SELECT node, 2, k FROM k2 UNION ALL SELECT node, 3, k FROM k3),
+placed AS (SELECT node, level, row_number() OVER (ORDER BY k) AS place FROM ks)"""
+
+
+def _order_edges(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("consumer"),
+        F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("producer"),
+    )
+    return _edges(spark, sf_dir).unionByName(items)
+
+
+@register(
+    "lineage_order",
+    f"""
+WITH {ORDER_EDGES_SQL}
+SELECT node, CAST(level AS INTEGER) AS level, CAST(place AS BIGINT) AS rank FROM placed
+""",
+)
+def q_lineage_order(spark, sf_dir):
+    """L3: the smallest producer-first order; it differs from (level, name)."""
+    return lg.producer_first(_order_edges(spark, sf_dir)).select("node", F.col("level").cast("int").alias("level"), "rank")
+
+
+@register(
+    "lineage_downstream_order",
+    f"""
+WITH RECURSIVE {ORDER_EDGES_SQL},
+walk(node, depth) AS (
+  SELECT 'nation:3', 0
+  UNION
+  SELECT e.consumer, w.depth + 1 FROM walk w JOIN edges e ON e.producer = w.node
+)
+SELECT w.node, CAST(min(depth) AS INTEGER) AS depth, row_number() OVER (ORDER BY min(p.place)) AS rank
+FROM walk w JOIN placed p ON p.node = w.node GROUP BY w.node
+""",
+)
+def q_lineage_downstream_order(spark, sf_dir):
+    """L2: what depends on nation 3, producers first."""
+    seeds = spark.createDataFrame([("nation:3",)], "node string")
+    return lg.ordered_selection(_order_edges(spark, sf_dir), seeds, "prod").select("node", F.col("depth").cast("int").alias("depth"), "rank")
+
+
+@register(
+    "lineage_component_order",
+    f"""
+WITH RECURSIVE {ORDER_EDGES_SQL},
+und AS (SELECT producer AS src, consumer AS dst FROM edges UNION SELECT consumer, producer FROM edges),
+walk(node, depth) USING KEY (node) AS (
+  SELECT 'nation:3', 0
+  UNION
+  SELECT u.dst, min(w.depth) + 1 FROM walk w JOIN und u ON u.src = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = u.dst AND r.depth <= w.depth + 1)
+  GROUP BY u.dst
+)
+SELECT w.node, CAST(depth AS INTEGER) AS depth, row_number() OVER (ORDER BY p.place) AS rank FROM walk w JOIN placed p ON p.node = w.node
+""",
+)
+def q_lineage_component_order(spark, sf_dir):
+    """L2 in both directions from nation 3, producers first."""
+    seeds = spark.createDataFrame([("nation:3",)], "node string")
+    return lg.ordered_selection(_order_edges(spark, sf_dir), seeds, "preview").select("node", F.col("depth").cast("int").alias("depth"), "rank")
 
 
 # ====================================================================
