@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework.operators.ranges import Ranges
+
 
 # ---------------------------------------------------------------- T1 / T2
 def sort_key(column: str | Column, desc: bool = False) -> Column:
@@ -32,8 +34,10 @@ def total_sort(df: DataFrame, *keys: tuple[str, bool] | str) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Bounded listing (LIMIT/OFFSET over a total order)."""
-    return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
+    """Bounded listing (LIMIT/OFFSET over a total order).  The first page
+    is a top-k; further ones are located by the row counts of ranges of the
+    order, so no task sorts what comes before the page."""
+    return Ranges(df, order).page(limit, offset) if offset else df.orderBy(*order).limit(limit)
 
 
 # ---------------------------------------------------------------- X1

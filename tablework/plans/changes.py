@@ -4,24 +4,26 @@ Inputs are tables, not manifests:
 
 * ``desired``: package, type, key, name, deploy, run_on_deploy, managed,
   desired_status, roles (array<string>), producer and output (for
-  inputs), id and topic (for guides)
+  inputs), id, topic and references (for guides: array of structs of type,
+  uuid, package, resource)
 * ``live``: type, name, id, status, topic
 
 Every rule is a ``when`` chain over joined columns; lookups are equi
-joins on (type, name), never one query per resource.  When a name
-resolves to several live rows the plan carries one ``error`` row per
-live id (instead of one row holding all ids joined into a string), so no
-group is ever collected into a single row.
+joins on (type, name), never one query per resource.  A name that resolves
+to several live rows gives one ``error`` row whose id holds the live ids
+joined by ``,``: up to ``ID_CHUNK`` of them, in order; ``ambiguous_ids``
+gives all of any number of ids, in rows of that size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.operators.filters import scope_guard
+from tablework.operators.ranges import Ranges
 
 PLAN_COLUMNS = ("package", "type", "key", "name", "action", "exists", "id", "notes", "current_status", "desired_status")
 
@@ -43,10 +45,15 @@ NOTE_GUIDE_ID_MISSING = "configured Guide id does not exist"
 NOTE_DUPLICATE_GUIDE = "duplicate Guide topic/title; set id explicitly"
 NOTE_DROP_DATABASE = "database existence is not inspected; cleanup uses DROP DATABASE IF EXISTS"
 NOTE_INPUT_PRESENT = "resolved from {}"
+NOTE_REFERENCE_UUID = "Guide {} does not resolve to exactly one live resource"
+NOTE_REFERENCE_COUNT = "Guide reference {} live resources; expected exactly one"
 NOTE_INPUT_MISSING = "required production output {} is not available"
 # Notes of this library's own wording.
 NOTE_INPUT_PENDING = "package {} is part of this plan and produces it"
 NOTE_INPUT_NO_FLIGHT = "package {} is part of this plan but runs nothing on deploy"
+NOTE_REFERENCE_PACKAGE = "Guide reference package {} is not available"
+NOTE_REFERENCE_RESOURCE = "Guide reference {} is not declared"
+NOTE_REFERENCE_VALIDATION_ONLY = "Guide reference {} is a validation-only Guide; set deploy: true or configure its id"
 
 
 def _fill(template: str, value: Column) -> Column:
@@ -70,6 +77,42 @@ def lookup_one(df: DataFrame, live: DataFrame, keys: Sequence[str], id_col: str
     return joined.withColumns({"live_id": F.col("__first.id"), "live_status": F.col("__first.status")}).drop("__first")
 
 
+ID_CHUNK = 1000  # ids in one text
+
+
+def _joined_ids(ids: Column) -> Column:
+    return F.array_join(F.array_sort(F.collect_list(ids)), ",")
+
+
+def ambiguous_ids(wanted: DataFrame, live: DataFrame, keys: Sequence[str], id_col: str = "id", chunk: int = ID_CHUNK) -> DataFrame:
+    """All live ids of the wanted names that are live several times:
+    ``(*keys, seq, n_live, ids)``, ids in order, joined by ``,``, cut into rows
+    of at most ``chunk`` ids; ``n_live`` stands on the first row (``seq`` 0).
+    The rows of a name, joined by ``,`` in the order of ``seq``, are the whole
+    list.
+
+    The ids are placed in ranges of (name, id), so a name with a third of all
+    rows spreads over many tasks, and a text never holds more than a chunk.
+    """
+    names = wanted.select(*keys).distinct()
+    several = live.join(names, list(keys), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live")).where("n_live > 1")
+    hits = live.select(*keys, F.col(id_col).cast("string").alias("__id")).join(several, list(keys))
+    placed = Ranges(hits, [*[F.col(k).asc() for k in keys], F.col("__id").asc()]).numbered("__at")
+    at = F.floor((F.col("__at") - 1) / chunk).cast("long")
+    texts = placed.groupBy(*keys, "n_live", at.alias("__chunk")).agg(_joined_ids(F.col("__id")).alias("ids"))
+    first = texts.groupBy(*keys).agg(F.min("__chunk").alias("__first"))
+    seq = (F.col("__chunk") - F.col("__first")).alias("seq")
+    return texts.join(first, list(keys)).select(*keys, seq, F.when(seq == 0, F.col("n_live")).alias("n_live"), "ids")
+
+
+def _first_ids(names: DataFrame, live: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """``(*keys, live_ids)``: the first ``ID_CHUNK`` ids of each name, as text;
+    the limit applies in every task before anything moves."""
+    place = Window.partitionBy(*keys).orderBy(id_col)
+    ranked = live.join(names, list(keys), "left_semi").withColumn("__at", F.row_number().over(place)).where(F.col("__at") <= ID_CHUNK)
+    return ranked.groupBy(*keys).agg(_joined_ids(F.col(id_col)).alias("live_ids"))
+
+
 # ---------------------------------------------------------------- C3
 def status_label(type_col: Column, current: Column, desired: Column, action: Column) -> Column:
     """Dive status text: ``preserve X``, ``draft (default)``, ``unmanaged``,
@@ -105,22 +148,95 @@ def _with_defaults(df: DataFrame, cols: Sequence[tuple[str, str]]) -> DataFrame:
     return df
 
 
-def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
-    """One plan row per desired row (per live id when a flight, dive or
-    guide name is ambiguous).
+REFERENCES = "array<struct<type:string,uuid:string,package:string,resource:string>>"
+_ROW_KEYS = ("package", "type", "key")
 
-    Roles, shares and inputs are existence checks (one row, the smallest
-    live id); flights, dives and guides resolve to 0, 1 or several live
-    rows.  Guides resolve by configured id when given, else by title and
-    topic (an empty topic matches NULL or '').
+
+def _match_key() -> Column:
+    """What a resource row is looked up by: guides by their id when they have
+    one, else by title and topic (none matches ''); others by name."""
+    topic_key = F.concat(F.lit("t:"), F.col("name"), F.lit("\u0001"), F.coalesce(F.col("topic"), F.lit("")))
+    return F.when(F.col("type") != "guide", F.col("name")).when(F.col("id").isNotNull(), F.concat(F.lit("id:"), F.col("id"))).otherwise(topic_key)
+
+
+def _live_keys(live: DataFrame) -> DataFrame:
+    """(lookup_type, mkey, id, status): a live guide can be found by its id or
+    by its (title, topic)."""
+    topic_key = F.concat(F.lit("t:"), F.col("name"), F.lit("\u0001"), F.coalesce(F.col("topic"), F.lit("")))
+    keys = F.when(F.col("type") == "guide", F.array(F.concat(F.lit("id:"), F.col("id")), topic_key)).otherwise(F.array(F.col("name")))
+    return live.select(F.col("type").alias("lookup_type"), F.explode(keys).alias("mkey"), "id", "status")
+
+
+def guide_reference_errors(desired: DataFrame, live: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """``(package, type, key, reference_error)`` of the deployed guides
+    with a reference that does not resolve; the first such reference counts.
+
+    A reference by ``uuid`` needs exactly one live row of its type with that
+    id.  One by (package, resource) names a declared resource (``declared``:
+    package, type, key, name, id, topic, deploy of all packages; default: the
+    desired rows; no package means the guide's own).  It is fine if its package
+    is part of the plan (a guide: and is deployed); else exactly one live row
+    must match it.  A guide that is neither deployed nor has an id cannot be
+    referenced.  Catalog references are not checked.
+
+    The nested arrays become rows, are resolved by equi joins on typed keys,
+    and fold back into one row per guide in one aggregate.
     """
-    row_keys = ["package", "type", "key"]
-    d = _with_defaults(
-        desired,
-        [("producer", "string"), ("output", "string"), ("id", "string"), ("managed", "boolean"), ("run_on_deploy", "boolean"),
-         ("desired_status", "string"), ("deploy", "boolean"), ("topic", "string"), ("roles", "array<string>")],
+    d, lv = _with_defaults(desired, _DESIRED_DEFAULTS), _with_defaults(live, _LIVE_DEFAULTS)
+    known = _with_defaults(declared, _DESIRED_DEFAULTS) if declared is not None else d
+    refs = d.where((F.col("type") == "guide") & F.coalesce("deploy", F.lit(False))).select(*_ROW_KEYS, F.posexplode(F.col("references").cast(REFERENCES)).alias("pos", "ref"))
+    refs = refs.where(F.coalesce(F.col("ref.type"), F.lit("")) != "catalog").select(
+        *_ROW_KEYS, "pos", F.col("ref.type").alias("ref_type"), F.nullif(F.col("ref.uuid"), F.lit("")).alias("uuid"),
+        F.coalesce("ref.package", "package").alias("ref_package"), F.col("ref.resource").alias("ref_key"),
+    )
+    by_id = lv.groupBy(F.col("type").alias("ref_type"), F.col("id").alias("uuid")).agg(F.count(F.lit(1)).alias("n_id"))
+    by_key = _live_keys(lv).groupBy(F.col("lookup_type").alias("ref_type"), "mkey").agg(F.count(F.lit(1)).alias("n_key"))
+    packages = known.select(F.col("package").alias("ref_package")).distinct().withColumn("known_package", F.lit(True))
+    planned = d.select(F.col("package").alias("ref_package")).distinct().withColumn("planned", F.lit(True))
+    target = known.select(
+        F.col("package").alias("ref_package"), F.col("type").alias("ref_type"), F.col("key").alias("ref_key"),
+        F.coalesce("deploy", F.lit(False)).alias("target_deploy"), F.col("id").isNotNull().alias("target_has_id"), _match_key().alias("mkey"),
+    ).dropDuplicates(["ref_package", "ref_type", "ref_key"])
+    joined = (
+        refs.join(by_id, ["ref_type", "uuid"], "left")
+        .join(packages, "ref_package", "left").join(planned, "ref_package", "left")
+        .join(target, ["ref_package", "ref_type", "ref_key"], "left")
+        .join(by_key, ["ref_type", "mkey"], "left")
+    )
+    label = F.concat_ws(".", "ref_package", "ref_type", "ref_key")
+    is_guide = F.col("ref_type") == "guide"
+    n_id, n_key = F.coalesce("n_id", F.lit(0)), F.coalesce("n_key", F.lit(0))
+    deployed_here = F.col("planned").isNotNull() & (~is_guide | F.col("target_deploy"))
+    problem = (
+        F.when(F.col("uuid").isNotNull(), F.when(n_id != 1, _fill(NOTE_REFERENCE_UUID, F.concat("ref_type", F.lit(" reference "), "uuid"))))
+        .when(F.col("known_package").isNull(), _fill(NOTE_REFERENCE_PACKAGE, F.col("ref_package")))
+        .when(F.col("mkey").isNull(), _fill(NOTE_REFERENCE_RESOURCE, label))
+        .when(is_guide & ~F.col("target_deploy") & ~F.col("target_has_id"), _fill(NOTE_REFERENCE_VALIDATION_ONLY, label))
+        .when(~deployed_here & (n_key != 1), _fill(NOTE_REFERENCE_COUNT, F.concat(label, F.lit(" resolved to "), n_key.cast("string"))))
     )
-    lv = _with_defaults(live, [("status", "string"), ("topic", "string")])
+    failed = joined.select(*_ROW_KEYS, "pos", problem.alias("problem")).where("problem IS NOT NULL")
+    return failed.groupBy(*_ROW_KEYS).agg(F.min_by("problem", "pos").alias("reference_error"))
+
+
+_DESIRED_DEFAULTS = (
+    ("producer", "string"), ("output", "string"), ("id", "string"), ("managed", "boolean"), ("run_on_deploy", "boolean"), ("desired_status", "string"),
+    ("deploy", "boolean"), ("topic", "string"), ("roles", "array<string>"), ("references", REFERENCES),
+)
+_LIVE_DEFAULTS = (("status", "string"), ("topic", "string"))
+
+
+def plan_changes(desired: DataFrame, live: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """One plan row per desired row.
+
+    Roles, shares and inputs are existence checks (the smallest live id);
+    flights, dives and guides resolve to 0, 1 or several live rows, and several
+    are an error that names their ids.  Guides resolve by configured id when
+    given, else by title and topic (an empty topic matches NULL or ''); a
+    deployed guide whose references do not resolve is an error
+    (:func:`guide_reference_errors`, also for ``declared``).
+    """
+    row_keys = ["package", "type", "key"]
+    d, lv = _with_defaults(desired, _DESIRED_DEFAULTS), _with_defaults(live, _LIVE_DEFAULTS)
     selected = d.select(F.col("package").alias("producer")).distinct().withColumn("producer_selected", F.lit(True))
     producing = (
         d.where((F.col("type") == "flight") & F.coalesce("run_on_deploy", F.lit(False)))
@@ -133,16 +249,16 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
 
     typ = F.col("type")
     by_id = (typ == "guide") & F.col("id").isNotNull()
-    topic_key = F.concat(F.lit("t:"), F.col("name"), F.lit("\u0001"), F.coalesce(F.col("topic"), F.lit("")))
-    d = d.withColumn("lookup_type", F.when(typ == "input", F.lit("share")).otherwise(typ)).withColumn(
-        "mkey", F.when(by_id, F.concat(F.lit("id:"), F.col("id"))).when(typ == "guide", topic_key).otherwise(F.col("name"))
-    )
-    # a live guide can be found by its id or by its (title, topic)
-    live_keys = F.when(
-        F.col("type") == "guide", F.array(F.concat(F.lit("id:"), F.col("id")), topic_key)
-    ).otherwise(F.array(F.col("name")))
-    live_k = lv.select(F.col("type").alias("lookup_type"), F.explode(live_keys).alias("mkey"), "id", "status")
-    found = lookup_one(d, live_k, ["lookup_type", "mkey"], "id")
+    d = d.withColumn("lookup_type", F.when(typ == "input", F.lit("share")).otherwise(typ)).withColumn("mkey", _match_key())
+    lookup = ["lookup_type", "mkey"]
+    live_k = _live_keys(lv)
+    found = lookup_one(d, live_k, lookup, "id")
+    several = live_k.where(~F.col("lookup_type").isin(*SINGLE_TYPES)).groupBy(*lookup).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*lookup)
+    found = found.join(_first_ids(several.join(d.select(*lookup).distinct(), lookup, "left_semi"), live_k, lookup), lookup, "left")
+    if "references" in desired.columns:
+        found = found.join(guide_reference_errors(desired, live, declared), row_keys, "left")
+    else:
+        found = found.withColumn("reference_error", F.lit(None).cast("string"))
     j = (
         found.withColumn("live_status", F.when(~typ.isin(*SINGLE_TYPES), F.col("live_status")))
         .join(missing, row_keys, "left")
@@ -163,6 +279,7 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
     deployed = F.coalesce("deploy", F.lit(False))
     guide_off = (typ == "guide") & ~deployed  # no flag: not deployed
     guide_id_missing = (typ == "guide") & by_id & (n == 0)
+    bad_reference = F.col("reference_error").isNotNull()
     dstat = F.col("desired_status")
     cur = F.col("live_status")
     out_ref = F.concat_ws(".", F.col("producer"), F.coalesce(F.col("output"), F.col("key")))
@@ -173,7 +290,7 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         .when(typ == "input", F.when(n > 0, "present").when(psel & pcan, "pending").otherwise("error"))
         .when(typ == "context", "validated_only")
         .when(guide_off, "validated_only")
-        .when(guide_id_missing, "error")
+        .when(guide_id_missing | bad_reference, "error")
         .when(n == 0, "create")
         .when(n == 1, "update")
         .otherwise("error")
@@ -197,6 +314,7 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         )
         .when(typ == "context", NOTE_CONTEXT)
         .when(guide_off, NOTE_GUIDE_SKIPPED)
+        .when(bad_reference, F.col("reference_error"))
         .when(guide_id_missing, NOTE_GUIDE_ID_MISSING)
         .when((typ == "guide") & (n > 1), NOTE_DUPLICATE_GUIDE)
         .when(n > 1, F.coalesce(F.element_at(F.create_map(*[x for k, v in NOTE_DUPLICATE.items() for x in (F.lit(k), F.lit(v))]), typ), F.lit("duplicate name; expected 0 or 1")))
@@ -211,15 +329,15 @@ def plan_changes(desired: DataFrame, live: DataFrame) -> DataFrame:
         .otherwise("")
     )
     exists = (
-        F.when((typ == "role") & ~deployed, F.lit(None).cast("boolean"))
+        F.when(((typ == "role") & ~deployed) | bad_reference, F.lit(None).cast("boolean"))
         .when((typ == "context") | guide_off | guide_id_missing, F.lit(False))
         .otherwise(n > 0)
     )
     ident = (
         F.when((typ == "context") | guide_off, F.lit(None).cast("string"))
-        .when(guide_id_missing, F.col("id"))
+        .when(guide_id_missing | bad_reference, F.col("id"))
         .when(typ == "role", F.when(deployed & (n > 0), F.col("name")))
-        .otherwise(F.col("live_id"))
+        .otherwise(F.coalesce("live_ids", "live_id"))
     )
     res = j.select(
         "package",

@@ -277,6 +277,31 @@ def q_lookup_one(spark, sf_dir):
     )
 
 
+@register(
+    "ambiguous_ids",
+    f"""
+WITH live AS (SELECT l_returnflag AS name, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id FROM lineitem),
+wanted AS (SELECT DISTINCT o_orderpriority AS name FROM orders UNION SELECT DISTINCT l_returnflag FROM lineitem WHERE l_quantity > 10),
+several AS (SELECT name, count(*) AS n_live FROM live WHERE name IN (SELECT name FROM wanted) GROUP BY name HAVING count(*) > 1),
+placed AS (
+  SELECT l.name, l.id, s.n_live, (row_number() OVER (ORDER BY l.name, l.id) - 1) // {ch.ID_CHUNK} AS chunk FROM live l JOIN several s USING (name)
+),
+texts AS (SELECT name, n_live, chunk, string_agg(id, ',' ORDER BY id) AS ids FROM placed GROUP BY ALL)
+SELECT name, CAST(chunk - min(chunk) OVER (PARTITION BY name) AS BIGINT) AS seq,
+  CASE WHEN chunk = min(chunk) OVER (PARTITION BY name) THEN n_live END AS n_live, ids
+FROM texts
+""",
+)
+def q_ambiguous_ids(spark, sf_dir):
+    """Every id of the names that are live several times (a return flag holds
+    a quarter of all line items at least), in chunks."""
+    li = _t(spark, sf_dir, "lineitem")
+    line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    live = li.select(F.col("l_returnflag").alias("name"), line.alias("id"))
+    wanted = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name")).unionByName(li.where(F.col("l_quantity") > 10).select(F.col("l_returnflag").alias("name")))
+    return ch.ambiguous_ids(wanted, live, ["name"])
+
+
 # ====================================================================
 # Q1 / Q4 row rules, Q3 references, Q7 separation
 # ====================================================================
@@ -494,6 +519,21 @@ def q_customer_listing(spark, sf_dir):
     return shape.page(c, [F.col("c_name").asc_nulls_last(), F.col("c_custkey").asc()], LISTING_SIZE, 0)
 
 
+@register(
+    "order_listing_deep",
+    f"""
+SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
+ORDER BY o_orderdate DESC NULLS LAST, o_totalprice NULLS LAST, o_orderkey
+LIMIT {LISTING_SIZE} OFFSET (SELECT count(*) // 2 FROM orders)
+""",
+)
+def q_order_listing_deep(spark, sf_dir):
+    """T3 deep inside the order: the page in the middle of all orders."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    order = [F.col("o_orderdate").desc_nulls_last(), F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey").asc()]
+    return shape.page(o, order, LISTING_SIZE, o.count() // 2)
+
+
 # ====================================================================
 # J3 multi-key left join, A5 count per group, S8/S10 named tables and
 # parameterised SQL, X1 additive

@@ -50,9 +50,34 @@ desired AS (
            THEN ['Customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')]
          WHEN c_mktsegment = 'FURNITURE' AND c_acctbal > 7000
            THEN ['Customer#' || lpad(CAST(c_custkey + 2 AS VARCHAR), 9, '0')]
-         ELSE CAST([] AS VARCHAR[]) END AS roles
+         ELSE CAST([] AS VARCHAR[]) END AS roles,
+    c_custkey, c_acctbal, c_nationkey
   FROM customer WHERE c_acctbal >= 0
 ),
+refs AS (
+  SELECT package, type, key, 1 AS pos, 'guide' AS rt, CAST(NULL AS VARCHAR) AS uuid, 'archive' AS rp, 'k' || CAST(c_custkey + 5 AS VARCHAR) AS rk
+  FROM desired WHERE type = 'guide' AND deploy AND c_acctbal > 4500
+  UNION ALL
+  SELECT package, type, key, 2, 'dive', NULL, 'archive', 'k' || CAST(c_custkey + 1 AS VARCHAR)
+  FROM desired WHERE type = 'guide' AND deploy AND c_acctbal BETWEEN 3500 AND 5500
+  UNION ALL
+  SELECT package, type, key, 3, 'flight', 'id_' || CAST(c_custkey + 3 AS VARCHAR), NULL, NULL
+  FROM desired WHERE type = 'guide' AND deploy AND c_acctbal > 4000
+  UNION ALL
+  SELECT package, type, key, 4, 'guide', NULL, 'bp_' || CAST(c_nationkey + 2 AS VARCHAR), key
+  FROM desired WHERE type = 'guide' AND deploy AND c_acctbal < 3300
+  UNION ALL
+  SELECT package, type, key, 5, 'guide', NULL, package, key FROM desired WHERE type = 'guide' AND deploy
+),
+declared AS (
+  SELECT 'bp_' || CAST(c_nationkey AS VARCHAR) AS package, {PLAN_TYPE_SQL.format(input="input")} AS type, 'k' || CAST(c_custkey AS VARCHAR) AS key, c_name AS name,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal BETWEEN 3000 AND 3500 THEN 'id_' || CAST(c_custkey AS VARCHAR)
+         WHEN c_mktsegment = 'MACHINERY' AND c_acctbal BETWEEN 8000 AND 8500 THEN 'gid_' || CAST(c_custkey AS VARCHAR) END AS id,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal > 4000 THEN 'ops' END AS topic,
+    CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal < 3000 THEN c_acctbal > 500 WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal < 9000 ELSE true END AS deploy
+  FROM customer
+),
+all_declared AS (SELECT * FROM declared UNION ALL SELECT 'archive', type, key, name, id, topic, deploy FROM declared),
 live AS (
   SELECT {PLAN_TYPE_SQL.format(input="share")} AS type,
     c_name AS name, 'id_' || CAST(c_custkey AS VARCHAR) AS id,
@@ -100,7 +125,20 @@ def plan_inputs(spark, sf_dir):
         .when((seg == "FURNITURE") & (bal > 7000), F.array(customer_name(2)))
         .otherwise(F.array().cast("array<string>"))
         .alias("roles"),
+        _references(bal).alias("references"),
     )
+    declared = c.select(
+        F.concat(F.lit("bp_"), F.col("c_nationkey").cast("string")).alias("package"),
+        typ("input").alias("type"),
+        F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"),
+        F.col("c_name").alias("name"),
+        F.when((seg == "MACHINERY") & bal.between(3000, 3500), F.concat(F.lit("id_"), F.col("c_custkey").cast("string")))
+        .when((seg == "MACHINERY") & bal.between(8000, 8500), F.concat(F.lit("gid_"), F.col("c_custkey").cast("string")))
+        .alias("id"),
+        F.when((seg == "MACHINERY") & (bal > 4000), F.lit("ops")).alias("topic"),
+        F.when((seg == "MACHINERY") & (bal < 3000), bal > 500).when(seg == "MACHINERY", bal < 9000).otherwise(F.lit(True)).alias("deploy"),
+    )
+    declared = declared.unionByName(declared.withColumn("package", F.lit("archive")))
     live_topic = F.when(bal > 4500, "ops").otherwise("")
     live1 = c.where(bal < 6000).select(
         typ("share").alias("type"),
@@ -116,7 +154,27 @@ def plan_inputs(spark, sf_dir):
         F.lit("draft").alias("status"),
         live_topic.alias("topic"),
     )
-    return desired, live1.unionByName(live2)
+    return desired, live1.unionByName(live2), declared
+
+
+def _references(bal):
+    """What a customer's guide refers to: an archived guide and dive, a flight by
+    id, a guide of another package, and itself."""
+    text = lambda prefix, offset: F.concat(F.lit(prefix), (F.col("c_custkey") + offset).cast("string"))
+
+    def ref(kind, uuid=None, package=None, resource=None):
+        given = {"uuid": uuid, "package": package, "resource": resource}
+        return F.struct(F.lit(kind).alias("type"), *[(F.lit(None).cast("string") if v is None else v).alias(k) for k, v in given.items()])
+
+    refs = F.array(
+        ref("catalog"),
+        F.when(bal > 4500, ref("guide", package=F.lit("archive"), resource=text("k", 5))),
+        F.when(bal.between(3500, 5500), ref("dive", package=F.lit("archive"), resource=text("k", 1))),
+        F.when(bal > 4000, ref("flight", uuid=text("id_", 3))),
+        F.when(bal < 3300, ref("guide", package=F.concat(F.lit("bp_"), (F.col("c_nationkey") + 2).cast("string")), resource=text("k", 0))),
+        ref("guide", resource=text("k", 0)),
+    )
+    return F.filter(refs, lambda r: r.isNotNull())
 
 
 @register(
@@ -128,7 +186,28 @@ lk AS (
   UNION ALL SELECT type, 'id:' || id, id, status FROM live WHERE type = 'guide'
   UNION ALL SELECT type, 't:' || name || chr(1) || coalesce(topic, ''), id, status FROM live WHERE type = 'guide'
 ),
-counts AS (SELECT lookup_type, mkey, count(*) AS n_live, min(id) AS min_id, min_by(status, id) AS min_status FROM lk GROUP BY lookup_type, mkey),
+counts AS (
+  SELECT lookup_type, mkey, count(*) AS n_live, min(id) AS min_id, min_by(status, id) AS min_status, string_agg(id, ',' ORDER BY id) AS ids FROM lk GROUP BY lookup_type, mkey
+),
+targets AS (
+  SELECT *, CASE WHEN type = 'guide' AND id IS NOT NULL THEN 'id:' || id WHEN type = 'guide' THEN 't:' || name || chr(1) || coalesce(topic, '') ELSE name END AS mkey
+  FROM all_declared
+),
+ref_errors AS (
+  SELECT r.package, r.type, r.key, r.pos, CASE
+      WHEN r.uuid IS NOT NULL THEN CASE WHEN (SELECT count(*) FROM live l WHERE l.type = r.rt AND l.id = r.uuid) <> 1
+        THEN 'Guide ' || r.rt || ' reference ' || r.uuid || ' does not resolve to exactly one live resource' END
+      WHEN r.rp NOT IN (SELECT package FROM all_declared) THEN 'Guide reference package ' || r.rp || ' is not available'
+      WHEN t.mkey IS NULL THEN 'Guide reference ' || r.rp || '.' || r.rt || '.' || r.rk || ' is not declared'
+      WHEN r.rt = 'guide' AND NOT t.deploy AND t.id IS NULL
+        THEN 'Guide reference ' || r.rp || '.' || r.rt || '.' || r.rk || ' is a validation-only Guide; set deploy: true or configure its id'
+      WHEN r.rp IN (SELECT package FROM desired) AND (r.rt <> 'guide' OR t.deploy) THEN NULL
+      WHEN coalesce(c.n_live, 0) <> 1
+        THEN 'Guide reference ' || r.rp || '.' || r.rt || '.' || r.rk || ' resolved to ' || coalesce(c.n_live, 0) || ' live resources; expected exactly one'
+    END AS message
+  FROM refs r LEFT JOIN targets t ON t.package = r.rp AND t.type = r.rt AND t.key = r.rk LEFT JOIN counts c ON c.lookup_type = r.rt AND c.mkey = t.mkey
+),
+bad AS (SELECT package, type, key, min_by(message, pos) AS message FROM ref_errors WHERE message IS NOT NULL GROUP BY package, type, key),
 known AS (SELECT name FROM live WHERE type = 'role' UNION SELECT name FROM desired WHERE type = 'role' AND deploy),
 missing AS (
   SELECT package, type, key, string_agg(DISTINCT r, ', ' ORDER BY r) AS missing_roles
@@ -147,7 +226,8 @@ d AS (
 ),
 j AS (
   SELECT d.*, coalesce(c.n_live, 0) AS n_live,
-    c.min_id AS live_id,
+    CASE WHEN d.type NOT IN ('share', 'input', 'role') THEN c.ids ELSE c.min_id END AS live_id,
+    b.message AS reference_error,
     CASE WHEN d.type NOT IN ('share', 'input', 'role') THEN c.min_status END AS live_status,
     m.missing_roles,
     coalesce(d.package IN (SELECT package FROM producing), false) AS can_produce,
@@ -159,6 +239,7 @@ j AS (
   FROM d
   LEFT JOIN counts c ON c.lookup_type = d.lookup_type AND c.mkey = d.mkey
   LEFT JOIN missing m ON m.package = d.package AND m.type = d.type AND m.key = d.key
+  LEFT JOIN bad b ON b.package = d.package AND b.type = d.type AND b.key = d.key
 ),
 p AS (
   SELECT package, type, key, name,
@@ -170,13 +251,13 @@ p AS (
                                     WHEN can_produce THEN 'pending' ELSE 'error' END
       WHEN type = 'input' THEN CASE WHEN n_live > 0 THEN 'present' WHEN psel AND pcan THEN 'pending' ELSE 'error' END
       WHEN guide_off THEN 'validated_only'
-      WHEN guide_id_missing THEN 'error'
+      WHEN guide_id_missing OR reference_error IS NOT NULL THEN 'error'
       WHEN n_live = 0 THEN 'create' WHEN n_live = 1 THEN 'update' ELSE 'error' END AS action,
-    CASE WHEN type = 'role' AND NOT deployed THEN CAST(NULL AS BOOLEAN)
+    CASE WHEN (type = 'role' AND NOT deployed) OR reference_error IS NOT NULL THEN CAST(NULL AS BOOLEAN)
          WHEN guide_off OR guide_id_missing THEN false
          ELSE n_live > 0 END AS "exists",
     CASE WHEN guide_off THEN CAST(NULL AS VARCHAR)
-         WHEN guide_id_missing THEN id
+         WHEN guide_id_missing OR reference_error IS NOT NULL THEN id
          WHEN type = 'role' THEN CASE WHEN deployed AND n_live > 0 THEN name END
          ELSE live_id END AS id,
     CASE
@@ -193,6 +274,7 @@ p AS (
                                     WHEN psel THEN 'package ' || producer || '.' || output || ' is part of this plan but runs nothing on deploy'
                                     ELSE 'required production output ' || producer || '.' || output || ' is not available' END
       WHEN guide_off THEN 'set deploy: true to publish this Guide'
+      WHEN reference_error IS NOT NULL THEN reference_error
       WHEN guide_id_missing THEN 'configured Guide id does not exist'
       WHEN type = 'guide' AND n_live > 1 THEN 'duplicate Guide topic/title; set id explicitly'
       WHEN n_live > 1 THEN CASE type WHEN 'flight' THEN 'duplicate Flight name; expected 0 or 1' WHEN 'dive' THEN 'duplicate Dive title; expected 0 or 1'
@@ -220,8 +302,7 @@ FROM p
 """,
 )
 def q_plan_changes(spark, sf_dir):
-    desired, live = plan_inputs(spark, sf_dir)
-    return ch.plan_changes(desired, live)
+    return ch.plan_changes(*plan_inputs(spark, sf_dir))
 
 
 # ====================================================================

@@ -180,7 +180,7 @@ def test_guide_rules(spark):
     assert got == [
         ("blank", "update", "g3"),
         ("byid", "update", "g1"),
-        ("dup", "error", "g4"),
+        ("dup", "error", "g4,g5"),
         ("gone", "error", "g404"),
         ("off", "validated_only", None),
         ("topic", "create", None),
@@ -191,6 +191,45 @@ def test_guide_rules(spark):
     assert notes["dup"] == "duplicate Guide topic/title; set id explicitly"
 
 
+def test_guide_references_must_resolve(spark):
+    own = ("bp", "guide")
+    ref = lambda kind, uuid=None, package=None, resource=None: (kind, uuid, package, resource)
+    cases = {
+        "fine": ([ref("catalog"), ref("flight", package="other", resource="loader"), ref("guide", resource="base"), ref("dive", uuid="d1")], ""),
+        "missing": ([ref("flight", package="other", resource="gone")], "Guide reference other.flight.gone resolved to 0 live resources; expected exactly one"),
+        "doubled": ([ref("dive", package="other", resource="twice")], "Guide reference other.dive.twice resolved to 2 live resources; expected exactly one"),
+        "check_only": ([ref("guide", resource="draft")], "Guide reference bp.guide.draft is a validation-only Guide; set deploy: true or configure its id"),
+        "uuid": ([ref("flight", uuid="f404")], "Guide flight reference f404 does not resolve to exactly one live resource"),
+        "nowhere": ([ref("dive", package="lost", resource="x")], "Guide reference package lost is not available"),
+        "undeclared": ([ref("dive", package="other", resource="x")], "Guide reference other.dive.x is not declared"),
+        "by_id": ([ref("guide", package="other", resource="kept")], ""),
+        "topic": ([ref("guide", package="other", resource="topical")], ""),
+        "first": ([ref("dive", package="lost", resource="x"), ref("flight", uuid="f404")], "Guide reference package lost is not available"),
+        "none": ([], ""),
+        "null": (None, ""),
+    }
+    schema = "package string, type string, key string, name string, deploy boolean, id string, topic string, references " + ch.REFERENCES
+    desired = [(*own, key, f"T {key}", True, None, None, refs) for key, (refs, _) in cases.items()]
+    desired += [(*own, "base", "Base", True, None, None, []), (*own, "draft", "Draft", False, None, None, [ref("dive", uuid="nothing")])]
+    declared = [*desired] + [
+        ("other", "flight", "loader", "Loader", None, None, None, None), ("other", "flight", "gone", "Gone", None, None, None, None),
+        ("other", "dive", "twice", "Twice", None, None, None, None), ("other", "guide", "kept", "Kept", False, "g9", None, None),
+        ("other", "guide", "topical", "Topical", True, None, "ops", None),
+    ]
+    live = [("flight", "Loader", "f1", None, None), ("dive", "Twice", "d1", None, None), ("dive", "Twice", "d2", None, None),
+            ("guide", "Other title", "g9", None, None), ("guide", "Topical", "g8", None, "ops"), ("guide", "Topical", "g7", None, "")]
+    lv = spark.createDataFrame(live, "type string, name string, id string, status string, topic string")
+    rows = ch.plan_changes(spark.createDataFrame(desired, schema), lv, spark.createDataFrame(declared, schema)).collect()
+    got = {r["key"]: r for r in rows}
+    assert len(rows) == len(desired)
+    for key, (_, note) in cases.items():
+        assert (got[key]["action"], got[key]["exists"], got[key]["notes"]) == (("error", None, note) if note else ("create", False, "")), key
+    assert got["draft"]["action"] == "validated_only"
+    # without the table of declared resources the other package is unknown
+    alone = {r["key"]: r["notes"] for r in ch.plan_changes(spark.createDataFrame(desired, schema), lv).collect()}
+    assert alone["missing"] == "Guide reference package other is not available"
+
+
 def test_duplicate_share_is_one_row(spark):
     desired = [("bp", "share", "s", "S", True, None, None, None, [], None, None)]
     live = [("share", "S", "url2", None), ("share", "S", "url1", None)]
