@@ -1,5 +1,7 @@
 """Hot keys: one key holds a third of all rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tablework.operators import quality as q
@@ -87,4 +89,4 @@ def test_deep_page_reads_only_its_ranges(spark):
     for offset, limit in ((N // 2, 50), (N - 5, 50), (1, N), (N + 1, 3)):
         assert [tuple(r) for r in shape.page(df, order, limit, offset).collect()] == want[offset : offset + limit]
     plan = Ranges(df, order).page(50, N // 2)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [__range" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*__range", plan)
