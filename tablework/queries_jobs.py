@@ -1,5 +1,5 @@
 """End-to-end job queries: the field-recovery load (S1, Q5, P1, F1, K6,
-K4, M1) and the incremental pageview load (S3, K3, K5, N1), each run on
+K4, M1) and the incremental pageview load (S3, K5, N1), each run on
 whole test tables and compared with SQL over the same tables.
 
 Both jobs write their inputs and outputs under a fresh directory in the
@@ -17,6 +17,7 @@ from tablework.contracts import FIELDS, PAGEVIEWS_DAILY, PAGEVIEWS_KEY, RESERVES
 from tablework.plans import field_recovery as fr
 from tablework.queries import DAILY_SQL, mart_sql, register
 from tablework.session import checkpoint_dir
+from tablework.sinks.keyed import KeyedTable
 from tablework.sinks.store import TableStore
 from tablework.streaming.incremental import stream_upsert
 
@@ -83,15 +84,14 @@ def q_incremental_daily_views(spark, sf_dir):
     both; the final table equals a batch daily count."""
     root = _scratch(spark, "incremental")
     landing = f"{root}/landing"
-    store = TableStore(spark, f"{root}/store")
-    store.ensure_table("pageviews_daily", PAGEVIEWS_DAILY, not_null=PAGEVIEWS_DAILY.fieldNames(), primary_key=PAGEVIEWS_KEY,
-                       partition_expr="date_format(viewed_on, 'yyyy-MM')")
+    table = f"pageviews_daily_{uuid.uuid4().hex}"
+    store = KeyedTable(spark, table, f"{root}/pageviews_daily", PAGEVIEWS_DAILY, PAGEVIEWS_KEY, F.date_format("viewed_on", "yyyy-MM"), "month")
     events = td.table(spark, sf_dir, "events")
     _daily_payloads(events.where(F.col("ts") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp_ntz"))).write.mode("append").json(landing)
-    stream_upsert(spark, landing, store, "pageviews_daily", PAGEVIEWS_KEY, checkpoint=f"{root}/stream", loaded_at=JOB_LOADED_AT)
+    stream_upsert(spark, landing, store, table, PAGEVIEWS_KEY, checkpoint=f"{root}/stream", loaded_at=JOB_LOADED_AT)
     _daily_payloads(events.where(F.col("ts") >= F.lit(INCREMENTAL_DAY).cast("timestamp_ntz"))).write.mode("append").json(landing)
-    stream_upsert(spark, landing, store, "pageviews_daily", PAGEVIEWS_KEY, checkpoint=f"{root}/stream", loaded_at=JOB_LOADED_AT)
-    return store.read("pageviews_daily")
+    stream_upsert(spark, landing, store, table, PAGEVIEWS_KEY, checkpoint=f"{root}/stream", loaded_at=JOB_LOADED_AT)
+    return store.read()
 
 
 # ====================================================================
@@ -136,3 +136,76 @@ def q_customer_pages(spark, sf_dir):
     )
     pages = pages.select("features", (F.col("n") == PAGE_SIZE).alias("exceededTransferLimit"))
     return unnest_pages(pages, CUSTOMER_PAGE_CONTRACT)
+
+
+# ====================================================================
+# S2 landed page files that overlap, stitched
+# ====================================================================
+LANDED_PAGE, LANDED_OVERLAP = 100, 10
+
+
+@register(
+    "customer_page_files",
+    """
+SELECT c_mktsegment AS series, c_custkey AS OBJECTID, c_name AS fldName, c_nationkey AS fldNation,
+       c_acctbal AS fldBalance, c_mktsegment AS fldSegment
+FROM customer
+""",
+)
+def q_customer_page_files(spark, sf_dir):
+    """Every segment's customers land as a series of page files; each page but
+    the first begins with the last rows of the page before.  Stitching drops
+    those and finds no gap."""
+    from tablework.operators.ranges import Ranges
+    from tablework.sources.json_scan import stitch_pages
+
+    c = td.table(spark, sf_dir, "customer")
+    ranked = Ranges(c, [F.col("c_mktsegment").asc(), F.col("c_custkey").asc()]).numbered("at")
+    series = ranked.groupBy("c_mktsegment").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = ranked.join(series, "c_mktsegment").withColumn("at", F.col("at") - F.col("first"))
+    own = F.floor(F.col("at") / LANDED_PAGE)
+    again = F.when((F.col("at") >= (own + 1) * LANDED_PAGE - LANDED_OVERLAP) & ((own + 1) * LANDED_PAGE < F.col("n")), own + 1)
+    attrs = F.struct(
+        F.col("c_custkey").alias("OBJECTID"), F.col("c_name").alias("fldName"), F.col("c_nationkey").alias("fldNation"),
+        F.col("c_acctbal").alias("fldBalance"), F.col("c_mktsegment").alias("fldSegment"),
+    )
+    dealt = placed.withColumn("page", F.explode(F.filter(F.array(own, again), lambda p: p.isNotNull())))
+    rows = dealt.groupBy("c_mktsegment", "page", "n").agg(F.array_sort(F.collect_list(F.struct("at", attrs.alias("attributes")))).alias("rows"))
+    pages = rows.select(
+        F.col("c_mktsegment").alias("layer"),
+        F.greatest(F.col("page") * LANDED_PAGE - F.when(F.col("page") > 0, LANDED_OVERLAP).otherwise(0), F.lit(0)).alias("resultOffset"),
+        F.transform("rows", lambda r: F.struct(r["attributes"].alias("attributes"))).alias("features"),
+        ((F.col("page") + 1) * LANDED_PAGE < F.col("n")).alias("exceededTransferLimit"),
+    )
+    landing = f"{_scratch(spark, 'pages')}/landing"
+    pages.write.json(landing)
+    landed = spark.read.schema("layer string, resultOffset long, features string, exceededTransferLimit boolean").json(landing)
+    return stitch_pages(landed, CUSTOMER_PAGE_CONTRACT, "OBJECTID", series_col="layer")
+
+
+# ====================================================================
+# S4 documents written as files and read back line by line
+# ====================================================================
+@register(
+    "document_files",
+    """
+WITH l AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), n AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l
+)
+SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, line FROM n WHERE NOT regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn][Ss][Ee]')
+""",
+)
+def q_document_files(spark, sf_dir):
+    """All texts in the order of their ids, written as a few files, read back
+    without the lines that hold a licence, and numbered."""
+    from tablework.operators.ranges import Ranges
+    from tablework.sources.json_scan import read_lines
+
+    folder = f"{_scratch(spark, 'texts')}/files"
+    docs = td.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text").write.option("lineSep", "\n").text(folder)
+    lines = read_lines(spark, folder, "[Ll][Ii][Cc][Ee][Nn][Ss][Ee]")
+    placed = Ranges(lines.select("path", "block", "at", "line"), [F.col("path").asc(), F.col("block").asc(), F.col("at").asc()])
+    return placed.numbered("line_no").select("line_no", "line")

@@ -21,6 +21,7 @@ from tablework.operators import windows as win
 from tablework.plans import changes as ch
 from tablework.queries import HISTORY_SQL, FIELDS_SQL, register
 from tablework.sinks import store as st
+from tablework.sinks.keyed import upsert_join
 from tablework.sources import catalog as cat
 from tablework.sources import json_scan as js
 
@@ -148,7 +149,7 @@ SELECT o_orderkey, o_totalprice FROM incoming
 )
 def q_orders_upsert(spark, sf_dir):
     target = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return st.upsert_frame(target, _corrections(spark, sf_dir), ["o_orderkey"])
+    return upsert_join(target, _corrections(spark, sf_dir), ["o_orderkey"])
 
 
 @register(

@@ -2,8 +2,8 @@
 
 A scheduled loader that re-fetches a trailing window and upserts it maps
 onto Structured Streaming: newly landed payload files are read as a file
-stream, unnested (S3) and upserted (K5) into a store table from
-``foreachBatch``.  ``trigger(availableNow=True)`` processes whatever has
+stream, unnested (S3) and upserted (K5) into a keyed table from
+``foreachBatch`` (a ``KeyedTable``, or a table of a ``TableStore``).  ``trigger(availableNow=True)`` processes whatever has
 landed and stops, which is how a daily job runs it.
 
 The upsert is idempotent: a batch that is replayed after a failure, or files
@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from tablework.functions.columns import load_time
 from tablework.operators.windows import latest_per_key
+from tablework.sinks.keyed import KeyedTable
 from tablework.sinks.store import TableStore
 from tablework.sources.json_scan import unnest_items
 
@@ -36,7 +37,7 @@ ITEM_PAYLOAD_SCHEMA = (
 
 
 def upsert_batch(
-    store: TableStore,
+    store: TableStore | KeyedTable,
     table: str,
     batch: DataFrame,
     keys: Sequence[str],
@@ -51,14 +52,17 @@ def upsert_batch(
     rows = latest_per_key(rows, list(keys), [F.col("__mtime").desc(), F.col("__file").desc()]).drop("__mtime", "__file")
     if rows.isEmpty():
         return False
-    store.upsert(table, rows, keys)
+    if isinstance(store, KeyedTable):
+        store.upsert(rows)
+    else:
+        store.upsert(table, rows, keys)
     return True
 
 
 def stream_upsert(
     spark: SparkSession,
     landing_dir: str,
-    store: TableStore,
+    store: TableStore | KeyedTable,
     table: str,
     keys: Sequence[str],
     checkpoint: str,

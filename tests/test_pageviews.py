@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tablework.contracts import PAGEVIEWS_DAILY, PAGEVIEWS_KEY
 from tablework.operators.quality import ContractError
 from tablework.plans import pageviews as pv
+from tablework.sinks.keyed import KeyedTable
 from tablework.sinks.store import TableStore
 from tablework.sources.json_scan import unnest_items
 from tablework.streaming.incremental import ITEM_PAYLOAD_SCHEMA, stream_upsert
@@ -146,3 +149,79 @@ def test_replayed_batch_leaves_the_table_as_it_is(spark, tmp_path):
     older = batch
     assert upsert_batch(store, "pageviews_daily", later.unionByName(older), PAGEVIEWS_KEY)
     assert [r["views"] for r in store.read("pageviews_daily").collect()] == [7]  # newest landed file wins
+
+
+# --- the same on a bucketed table of Spark's catalog -----------------------
+
+
+def keyed_table(spark, tmp_path):
+    name = f"pv_{uuid.uuid4().hex}"
+    return KeyedTable(spark, name, str(tmp_path / "pv"), PAGEVIEWS_DAILY, PAGEVIEWS_KEY, F.date_format("viewed_on", "yyyy-MM"), "month", buckets=3)
+
+
+def daily_rows(spark, *items):
+    return unnest_items(payload_df(spark, [{"article": "A", "items": list(items)}]), ["article"], "2024-02-02 06:17:00")
+
+
+def views(table):
+    return sorted((r["viewed_on"].isoformat(), r["views"]) for r in table.read().collect())
+
+
+def test_keyed_table_rewrites_only_the_months_it_touches(spark, tmp_path):
+    table = keyed_table(spark, tmp_path)
+    assert table.upsert(daily_rows(spark, item("2024013000", 4), item("2024013100", 5), item("2024020100", 6))) == ["2024-01", "2024-02"]
+    january = sorted(os.listdir(tmp_path / "pv" / "month=2024-01"))
+    assert table.upsert(daily_rows(spark, item("2024020100", 60), item("2024020200", 7))) == ["2024-02"]
+    assert sorted(os.listdir(tmp_path / "pv" / "month=2024-01")) == january
+    assert views(table) == [("2024-01-30", 4), ("2024-01-31", 5), ("2024-02-01", 60), ("2024-02-02", 7)]
+    with pytest.raises(ContractError):
+        table.upsert(daily_rows(spark, item("2024020100", 1), item("2024020100", 2)))
+    assert table.upsert(daily_rows(spark)) == []
+    assert len(views(table)) == 4
+
+
+def test_keyed_table_outlives_its_session(spark, tmp_path):
+    keyed_table(spark, tmp_path).upsert(daily_rows(spark, item("2024013100", 5)))
+    again = keyed_table(spark, tmp_path)  # another name: as in a new session, nothing is known of the first
+    assert views(again) == [("2024-01-31", 5)]
+    again.upsert(daily_rows(spark, item("2024013100", 8)))
+    assert views(again) == [("2024-01-31", 8)]
+
+
+def test_keyed_table_does_not_shuffle_what_is_stored(spark, tmp_path):
+    table = keyed_table(spark, tmp_path)
+    table.upsert(daily_rows(spark, item("2024013100", 5), item("2024013000", 4)))
+    incoming = spark.createDataFrame(daily_rows(spark, item("2024013100", 8)).collect(), PAGEVIEWS_DAILY).withColumn("month", F.lit("2024-01"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table.upsert_plan(incoming, ["2024-01"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "FullOuter" in plan
+    assert "Bucketed: true" in plan and "PartitionFilters: [isnotnull(month" in plan
+    stored = plan[: plan.index("FileScan")].splitlines()
+    assert "Exchange" not in "".join(stored[-3:])  # between the scan and the join
+
+
+def test_stream_into_a_keyed_table_replays_and_restarts(spark, tmp_path):
+    table = keyed_table(spark, tmp_path)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    run = lambda checkpoint: stream_upsert(spark, str(landing), table, table.name, PAGEVIEWS_KEY, checkpoint=str(tmp_path / checkpoint))
+    (landing / "drop1.json").write_text(json.dumps({"article": "A", "items": [item("2024013100", 5), item("2024020100", 6)]}) + "\n")
+    assert run("one") == 1
+    (landing / "drop2.json").write_text(json.dumps({"article": "A", "items": [item("2024020100", 60)]}) + "\n")
+    assert run("one") == 1 and run("one") == 0
+    assert views(table) == [("2024-01-31", 5), ("2024-02-01", 60)]
+    (landing / "drop3.json").write_text(json.dumps({"article": "A", "items": [item("2024030100", 1)]}) + "\n")
+    assert run("two") == 1  # a new checkpoint reads all files again
+    assert views(table) == [("2024-01-31", 5), ("2024-02-01", 60), ("2024-03-01", 1)]
+
+
+def test_upsert_join_keeps_rows_without_a_key(spark):
+    from tablework.sinks.keyed import upsert_join
+
+    target = spark.createDataFrame([(1, "a"), (2, None), (None, "x")], "k int, v string")
+    incoming = spark.createDataFrame([(2, None), (1, None), (3, "c"), (None, "y")], "k int, v string")
+    got = upsert_join(target, incoming, ["k"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, None), (2, None), (3, "c"), (None, "x"), (None, "y")], key=str)

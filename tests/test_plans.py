@@ -72,7 +72,7 @@ def test_duplicates_give_one_error_row_per_wanted_row(spark):
     desired = [("bp", "flight", "f", "F", True, False, None, None, [], None, None)]
     live = [("flight", "F", "a", None), ("flight", "F", "b", None)]
     out = ch.plan_changes(spark.createDataFrame(desired, DESIRED), spark.createDataFrame(live, LIVE)).collect()
-    assert sorted((r["action"], r["id"]) for r in out) == [("error", "a")]
+    assert sorted((r["action"], r["id"]) for r in out) == [("error", "a,b")]
     assert out[0]["notes"] == "duplicate Flight name; expected 0 or 1"
 
 
