@@ -149,9 +149,10 @@ def range_number(borders: list[dict], key_type: str, key: Column) -> Column:
 BROADCAST_BYTES = 32 << 20
 
 
-def join_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id") -> DataFrame:
-    """Semi or anti join of ``docs`` with a one-column table of long ids."""
-    if 16 * ids.count() <= BROADCAST_BYTES:
+def join_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str | list[str] = "doc_id") -> DataFrame:
+    """Semi or anti join of ``docs`` with a written table of long ids (or of a
+    few narrow key columns)."""
+    if 16 * len(ids.columns) * ids.count() <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     return docs.join(ids, column, how)
 

@@ -35,7 +35,10 @@ Hashes of 64 bits stand for shingles and sets.
 Edge cases: null and empty texts have no set, ``n_shingles`` 0 and link with
 nothing; a text of fewer words than a shingle has its whole sequence as its one
 shingle; repeated rows and equal texts share a class; null ids take part, and
-count as the largest when a component's smallest id is sought.
+count as the largest when a component's smallest id is sought (a component of
+null ids alone has a null ``component_id``).  A class's text is found again by a
+hash of id and text, so ids may be null or stand on several texts;
+:func:`keep_first` drops rows by id and that hash.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.llm.common import ascii_lower_bytes, chunks, id_and_text, join_ids, materialise, release_memory, sample_rows
@@ -56,6 +59,8 @@ PERCENT = 75
 GROUP = 24
 #: Sets of one key, shingle or block that a task compares with each other.
 HELD = 2048
+#: Earlier keys of a set that a task sees beside each of its keys.
+PRIOR = 8
 #: Documents whose shingles are looked at for common ones, and in how many of
 #: their sets a shingle must be to count as frequent.
 FREQUENT_SAMPLE, FREQUENT_IN = 4096, 3
@@ -65,8 +70,8 @@ BLOCK_BYTES = 6 << 20
 PARTITION_BYTES = 6 << 20
 KEY_MASK = np.uint64((1 << 48) - 1)
 
-EMITTED = "bucket int, kind int, doc_id long, n long, set_id long, sketch binary, keys binary"
-MATCHED = "kind int, doc_id long, n long, set_id long, other long, sketch binary"
+EMITTED = "bucket int, kind int, doc_id long, row long, n long, set_id long, sketch binary, keys binary"
+MATCHED = "kind int, doc_id long, row long, n long, set_id long, other long, sketch binary"
 
 
 def band_edges(percent: int = PERCENT, top: int = 1 << 40) -> np.ndarray:
@@ -174,7 +179,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
     names = [f.split()[0] for f in EMITTED.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def blocks(held: list[tuple]) -> pa.RecordBatch:
@@ -194,7 +199,7 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
             rows.append((int(b), head + packed))
         m = len(rows)
         none = [None] * m
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[r[0] for r in rows], [1] * m, none, none, none, none, [r[1] for r in rows]], types, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[r[0] for r in rows], [1] * m, none, none, none, none, none, [r[1] for r in rows]], types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(frequent, percent)
@@ -206,7 +211,7 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
             sketch = [Sketcher.bits(token[first[i] : first[i + 1]]) if new[i] else None for i in range(len(texts))]
             m = len(texts)
             bucket = (set_id.astype(np.uint64) >> np.uint64(48)).astype(np.int64) * buckets >> 16
-            facts = [bucket.astype(np.int32), [0] * m, part.column("doc_id"), size, [int(s) if c else None for s, c in zip(set_id, size, strict=True)], sketch, [None] * m]
+            facts = [bucket.astype(np.int32), [0] * m, part.column("doc_id"), part.column("row"), size, [int(s) if c else None for s, c in zip(set_id, size, strict=True)], sketch, [None] * m]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(facts, types, strict=True)], schema=schema)
             pick = new[doc]
             if pick.any():
@@ -261,7 +266,7 @@ def group_pairs(key: np.ndarray, who: np.ndarray, size: np.ndarray, percent: int
 
 
 def _match(percent: int, group: int):
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     schema = pa.schema(list(zip([f.split()[0] for f in MATCHED.split(", ")], types, strict=True)))
 
     def rows(kind: int, **columns) -> pa.RecordBatch:
@@ -275,7 +280,7 @@ def _match(percent: int, group: int):
             is_fact = pa.compute.equal(batch.column("kind"), 0)
             facts = batch.filter(is_fact)
             if facts.num_rows:
-                yield rows(0, **{c: facts.column(c) for c in ("doc_id", "n", "set_id", "sketch")})
+                yield rows(0, **{c: facts.column(c) for c in ("doc_id", "row", "n", "set_id", "sketch")})
             blocks = batch.filter(pa.compute.invert(is_fact))
             for bucket, block in zip(blocks.column("bucket").to_pylist(), blocks.column("keys").to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(block)
@@ -308,9 +313,9 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _shingles(ids: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """(set_id, tokens): the whole sets of the distinct ``ids``, from their texts."""
-    # the class's first row has the text; equal ids with other texts are told apart by the set
-    wanted = materialise(ids.join(classes.select("set_id", "doc_id"), "set_id"), "wanted-sets")
-    texts = join_ids(docs, wanted.select("doc_id").distinct())
+    # one row of the class has the text; rows whose hashes are equal by chance are told apart by the set
+    wanted = materialise(ids.join(classes.select("set_id", "row"), "set_id"), "wanted-sets")
+    texts = join_ids(docs, materialise(wanted.select("row").distinct(), "wanted-rows"), column="row")
 
     def run(batches):
         for _, part in chunks(batches):
@@ -382,15 +387,18 @@ def _by_block(near: DataFrame, held: int) -> DataFrame:
 def _open_groups(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, held: int) -> DataFrame:
     """Sets by group ``g``, so that any two sets that link, share a large key and
     are in different components are in one group; a group has about twice
-    ``held`` sets at most.  ``shared``: all groups of a set, or null."""
+    ``held`` sets at most.  ``prior``: the few groups of a set before this one,
+    in the order of their numbers, or null."""
     labelled = entries.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("key", "c")
     inside = materialise(labelled.join(open_keys, "key"), "open-keys")
     facts = classes.select("set_id", "n", "sketch")
     few, many = inside.where(F.col("c") <= held), inside.where(F.col("c") > held)
-    # a set has no more keys than shingles and spare cells; a pair is left to the smallest key it shares
-    shared = few.groupBy("set_id").agg(F.collect_set("key").alias("shared"))
-    rows = few.join(shared, "set_id").join(facts, "set_id").select(F.col("key").alias("g"), "set_id", "label", "n", "sketch", "shared")
+    # a pair that also shares one of the keys just before is reported there, or earlier still: pairs
+    # that share most of their keys, as near ones do, are reported about once
+    before = Window.partitionBy("set_id").orderBy("key").rowsBetween(-PRIOR, -1)
+    rows = few.select("set_id", "key", "label", F.collect_list("key").over(before).alias("prior"))
+    rows = rows.join(facts, "set_id").select(F.col("key").alias("g"), "set_id", "label", "n", "sketch", "prior")
     if many.isEmpty():
         return rows
     sets = materialise(many.select("set_id", "label").distinct(), "open-sets")
@@ -401,7 +409,7 @@ def _open_groups(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs
     able = able.select("set_id", (F.col("common") * (100 + percent) >= 2 * percent * F.col("n")).alias("strong"))
     blocks = _by_block(materialise(many.select("key", "set_id", "label").join(able, "set_id"), "able-sets"), held)
     more = rare.unionByName(blocks).join(sets, "set_id").join(facts, "set_id")
-    return rows.unionByName(more.select("g", "set_id", "label", "n", "sketch", F.lit(None).cast("array<bigint>").alias("shared")))
+    return rows.unionByName(more.select("g", "set_id", "label", "n", "sketch", F.lit(None).cast("array<bigint>").alias("prior")))
 
 
 def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, held: int, block: int = 512) -> DataFrame:
@@ -412,7 +420,7 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     def groups(batches):
         held, key = [], None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("g", "set_id", "label", "n", "sketch", "shared")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("g", "set_id", "label", "n", "sketch", "prior")), strict=True):
                 if row[0] != key:
                     if held:
                         yield key, held
@@ -422,7 +430,7 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
             yield key, held
 
     def run(batches):
-        for key, members in groups(batches):
+        for _, members in groups(batches):
             # by size, so that only sets of similar size are compared; sketches of one length are compared in blocks
             members.sort(key=lambda m: (m[2], m[0]))
             ids, label, n = (np.array([m[k] for m in members], np.int64) for k in range(3))
@@ -442,7 +450,7 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
                     apart = np.bitwise_count(by_length[w][at:to] ^ by_length[w][i]).sum(axis=1)
                     ok = (label[at:to] != label[i]) & (apart <= max_difference(n[i], n[at:to], percent))
                     for j in at + np.flatnonzero(ok):
-                        if keys[i] is None or min(keys[i] & keys[j]) == key:
+                        if keys[i] is None or keys[i].isdisjoint(keys[j]):
                             found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
@@ -450,18 +458,18 @@ def _across(entries: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     return rows.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, set_id (null without a
-    set) and component_id, the smallest doc_id reachable by links."""
-    source = id_and_text(docs, id_col, text_col)
+def _components(docs: DataFrame, n: int, percent: int, group: int, id_col: str, text_col: str, held: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, row, n_shingles, set_id (null without a
+    set), label (a set of the component) and component_id."""
+    source = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = max(1, -(-size // PARTITION_BYTES))
     buckets = min(partitions, 1 << 16)
     emitted = source.mapInArrow(_emit(_frequent(source, n), n, percent, buckets), EMITTED)
     matched = materialise(emitted.repartition(partitions, "bucket").mapInArrow(_match(percent, group), MATCHED), "matched")
-    facts = matched.where("kind = 0").select("doc_id", "n", "set_id", "sketch")
+    facts = matched.where("kind = 0").select("doc_id", "row", "n", "set_id", "sketch")
     classes = facts.where("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch")
     )
     classes = materialise(classes, "classes")
     pairs = matched.where("kind = 1").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
@@ -474,14 +482,33 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, g
         labels = connected_components(links)
     named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(named.join(smallest, "label").select("set_id", "component_id"), "components")
-    return facts.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = materialise(named.join(smallest, "label").select("set_id", "label", "component_id"), "components")
+    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    joined = facts.drop("sketch").join(named, "set_id", "left")
+    return joined.select("doc_id", "row", F.col("n").alias("n_shingles"), "set_id", "label", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, set_id (null without a
+    set) and component_id, the smallest doc_id reachable by links."""
+    return _components(docs, n, percent, group, id_col, text_col, held).select("doc_id", "n_shingles", "set_id", "component_id")
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id."""
-    found = near_duplicates(docs, n, percent)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return join_ids(docs, materialise(dropped, "near-copies"), "left_anti")
+    """``docs`` with one row of each component: that of the smallest doc_id (null
+    is the largest), of equal ids that of the smallest hash of id and text; of
+    rows equal in both any one.  Rows without a set all stay."""
+    found = materialise(_components(docs, n, percent, GROUP, "doc_id", "text", HELD).where("set_id is not null").select("doc_id", "row", "label"), "near-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = found.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    marked = found.join(first.select("label", "first"), "label").withColumn("stays", order == F.col("first"))
+    key = [F.col("doc_id").isNull().alias("__no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.col("row").alias("__row")]
+    names = ["__no_id", "__id", "__row"]
+    dropped = materialise(marked.where("NOT stays").select(*key).distinct(), "near-copies")
+    twice = materialise(marked.where("stays").groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*names), "equal-rows")
+    own = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"__no_id": own.isNull(), "__id": F.coalesce(own, F.lit(0).cast("long")), "__row": F.xxhash64(own, F.coalesce("text", F.lit("")))})
+    kept = join_ids(keyed, dropped, "left_anti", names)
+    if not twice.isEmpty():
+        kept = join_ids(kept, twice, "left_anti", names).unionByName(join_ids(kept, twice, "left_semi", names).dropDuplicates(names))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -213,11 +213,11 @@ def test_boilerplate_pages_link_as_by_brute_force(spark, held):
 
 def test_groups_of_a_large_key_are_bounded_and_lose_no_link(spark):
     data, held = boilerplate_pages(), 16
-    docs = spark.createDataFrame(data, "doc_id long, text string")
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "doc_id AS row")
     _, token, size, set_id = parity_join._sets([t.encode() for _, t in data], 5)
     first = np.concatenate(([0], np.cumsum(size)))
     tokens = {int(s): token[first[i] : first[i + 1]] for i, s in enumerate(set_id)}
-    classes = spark.createDataFrame([(int(s), i, int(size[i]), parity_join.Sketcher.bits(tokens[int(s)])) for i, s in enumerate(set_id)], "set_id long, doc_id long, n long, sketch binary")
+    classes = spark.createDataFrame([(int(s), i, int(size[i]), parity_join.Sketcher.bits(tokens[int(s)])) for i, s in enumerate(set_id)], "set_id long, row long, n long, sketch binary")
     entries = classes.selectExpr("set_id", "7L as key")
     labels = spark.createDataFrame([], "node long, label long")  # nothing is linked yet
     groups = {}
@@ -258,6 +258,28 @@ def test_keep_first(docs, pairs):
     assert {0, 1, 2, 3} <= kept and 900 not in kept
 
 
+def test_null_and_shared_ids_lose_no_link_and_no_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(base[:50] + [f"x{k}y{i}" for i in range(k)] + base[50:])
+    other = " ".join(f"o{i}" for i in range(40))
+    # a chain: the ends differ too much, the middle has no id
+    ends = [" ".join(base[i : i + 52]) for i in (0, 4, 8)]
+    data = [(5, ends[0]), (None, ends[1]), (7, ends[2]), (None, "far away " + other)]
+    schema = "doc_id long, text string"
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in parity_join.near_duplicates(spark.createDataFrame(data, schema)).collect()}
+    assert got == {(5, 48): 5, (None, 48): 5, (7, 48): 5, (None, 38): None}
+    kept = lambda rows: sorted(map(tuple, parity_join.keep_first(spark.createDataFrame(rows, schema).repartition(3)).collect()), key=key)
+    assert kept(data) == sorted([data[0], data[3]], key=key)
+    # one id on two texts: only the one that is a near copy goes
+    rows = [(1, near(1)), (2, near(2)), (2, other)]
+    assert kept(rows) == sorted([rows[0], rows[2]], key=key)
+    # rows without ids: one of each group stays; equal rows count once
+    rows = [(None, near(1)), (None, near(2)), (None, other), (None, other), (3, ""), (3, ""), (None, None)]
+    assert [r[1] for r in kept(rows) if r[1]].count(other) == 1
+    assert len(kept(rows)) == 5
+    assert [r[0] for r in kept([(4, near(1)), (None, near(2))])] == [4]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 150), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
