@@ -34,6 +34,13 @@ shuffle; either way a host with a third of all pages is spread.
 Blocks are joined by two line feeds; white space in a block becomes one space;
 character references are decoded.  Nothing else is dropped or cut.
 
+Siblings are aligned in runs: neighbours with equal keys (list items, rows) form
+a run, and of two runs that align, the items align in their order.  Runs that
+are equal from the front and from the back align first; what is left between
+them is aligned by dynamic programming, in pieces of ``PIECE`` runs.  So a list
+of any length costs time in proportion.  No step recurses: pages may nest as
+deep as they like.
+
 Edge cases: null or empty html gives the empty text; a null url is a host of
 its own; broken markup closes what it left open; repeated rows are extracted
 one by one; other columns are ignored.
@@ -46,6 +53,8 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +69,8 @@ LAYOUT_SHARE = 0.01
 TEMPLATE_SHARE, CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 0.9, 5
 BROADCAST_BYTES = 32 << 20
 SALT = 64
+#: Runs of siblings that one dynamic programme aligns; kinds of start tags a task remembers.
+PIECE, KNOWN = 256, 20_000
 
 #: Share of the varying text that keeps a node open in spite of its name, and
 #: beside an article or main element without such names.
@@ -90,28 +101,28 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    """``never`` holds by tag, role or hiding; ``named``: by class or id only."""
+    """``never`` holds by tag, role or hiding; ``named``: by class or id only;
+    ``within``: in an article or main element, or one itself."""
 
-    __slots__ = ("tag", "key", "never", "named", "children", "parent")
+    __slots__ = ("tag", "key", "never", "named", "within", "children", "parent")
 
-    def __init__(self, tag: str, key: str, never: bool, parent: "Node | None", named: bool = False):
-        self.tag, self.key, self.never, self.named, self.parent, self.children = tag, key, never, named, parent, []
+    def __init__(self, tag: str, key: str, never: bool, parent: "Node | None", named: bool = False, within: bool = False):
+        self.tag, self.key, self.never, self.named, self.within, self.parent, self.children = tag, key, never, named, within, parent, []
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m.group(1).lower(): entities.unescape((m.group(2) or "").strip("\"'")) for m in _ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def _node(tag: str, source: str, parent: Node) -> Node:
+def _kind(tag: str, source: str) -> tuple[str, bool, bool]:
+    """(key, never, named) of a start tag."""
     a = _attributes(source)
     names = f"{a.get('class', '')} {a.get('id', '')}"
     never = tag in NEVER or a.get("role", "").lower() in NEVER_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
     never = never or "display:none" in a.get("style", "").replace(" ", "").lower()
     named = tag not in ("html", "body") and any(t.lower() in NEVER_TOKENS for t in _NAME.findall(names))
-    if tag == "header" and not any(x.tag in ("article", "main") for x in _up(parent)):
-        never = True
     key = f"{tag}.{' '.join(sorted(a['class'].split()))}" if "class" in a and tag not in ("html", "body") else tag
-    return Node(tag, key, never, parent, named)
+    return key, never, named
 
 
 def _up(node: Node | None):
@@ -120,42 +131,58 @@ def _up(node: Node | None):
         node = node.parent
 
 
-def parse(source: str) -> Node:
-    """The page's tree; text is kept as strings among the children."""
-    root = at = Node("#page", "#page", False, None)
+def parse(source: str, known: dict | None = None) -> Node:
+    """The page's tree; text is kept as strings among the children.  ``known``
+    keeps what start tags mean, for all pages of a task."""
+    known = {} if known is None else known
+    root = Node("#page", "#page", False, None)
+    path: list[Node] = [root]  # the open elements
+    opened: dict[str, list[int]] = defaultdict(list)  # their places in the path, by tag
     done = 0
+
+    def close(depth: int) -> None:
+        while len(path) > depth:
+            opened[path.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     for m in iter(_scanner(source).next_token, None):
         if m.start() > done:
-            at.children.append(source[done : m.start()])
+            path[-1].children.append(source[done : m.start()])
         done = m.end()
         slash, tag, rest = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
         if not tag:
             continue
-        tag = tag.lower()
+        tag, rest = tag.lower(), rest or ""
         if slash:
-            found = next((x for x in _up(at) if x.tag == tag), None)
-            if found is not None and found.parent is not None:
-                at = found.parent
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
-        if tag in CLOSES_P:
-            p = next((x for x in _up(at) if x.tag == "p"), None)
-            if p is not None:
-                at = p.parent
+        if tag in CLOSES_P and opened.get("p"):
+            close(opened["p"][-1])
         if tag in SAME_LEVEL:
-            for x in _up(at):
-                if x.tag in SCOPES[tag]:
-                    break
-                if x.tag in SAME_LEVEL[tag]:
-                    at = x.parent
-                    if tag != "tr":
-                        break
-        node = _node(tag, rest or "", at)
+            scope = last(SCOPES[tag])
+            found = [places for t in SAME_LEVEL[tag] if (places := opened.get(t)) and places[-1] > scope]
+            if found:
+                # a row closes all cells and rows up to its table, others only the nearest of their kind
+                close(min(p[bisect_right(p, scope)] for p in found) if tag == "tr" else max(p[-1] for p in found))
+        if (kind := known.get((tag, rest))) is None:
+            kind = _kind(tag, rest)
+            if len(rest) < 256:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[tag, rest] = kind
+        key, never, named = kind
+        at = path[-1]
+        node = Node(tag, key, never or tag == "header" and not at.within, at, named, at.within or tag in ("article", "main"))
         at.children.append(node)
-        if tag in VOID or (rest or "").rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        at = node
+        opened[tag].append(len(path))
+        path.append(node)
     if done < len(source):
-        at.children.append(source[done:])
+        path[-1].children.append(source[done:])
     return root
 
 
@@ -187,36 +214,93 @@ def elements(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str)]
 
 
+def _runs(children: list) -> list[list]:
+    """Neighbours with equal keys, together."""
+    out: list[list] = []
+    for c in children:
+        if out and out[-1][0].key == c.key:
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def _aligned_runs(a: list[list], b: list[list]):
+    """Pairs of runs that align, with the matches of their items; asks for the
+    match of two nodes by yielding them."""
+
+    def items(x: list, y: list):
+        found = []
+        for p, q in zip(x, y, strict=False):
+            found.append((yield p, q))
+        return sum(w for w, _ in found), found
+
+    front = 0
+    while front < min(len(a), len(b)) and a[front][0].key == b[front][0].key:
+        front += 1
+    back = 0
+    while back < min(len(a), len(b)) - front and a[-1 - back][0].key == b[-1 - back][0].key:
+        back += 1
+    out = []
+    for x, y in zip(a[:front], b[:front], strict=True):
+        out.append((yield from items(x, y)))
+    a_mid, b_mid = a[front : len(a) - back], b[front : len(b) - back]
+    pieces = -(-max(len(a_mid), len(b_mid)) // PIECE) if a_mid and b_mid else 0
+    for k in range(pieces):
+        left, right = (m[len(m) * k // pieces : len(m) * (k + 1) // pieces] for m in (a_mid, b_mid))
+        rows, inner = [[0] * (len(right) + 1)], {}
+        for i, x in enumerate(left):
+            row = [0]
+            for j, y in enumerate(right):
+                best = max(rows[i][j + 1], row[j])
+                if x[0].key == y[0].key:
+                    inner[i, j] = yield from items(x, y)
+                    best = max(best, rows[i][j] + inner[i, j][0])
+                row.append(best)
+            rows.append(row)
+        chosen, i, j = [], len(left), len(right)
+        while i and j:
+            if (i - 1, j - 1) in inner and rows[i][j] == rows[i - 1][j - 1] + inner[i - 1, j - 1][0]:
+                chosen.append(inner[i - 1, j - 1])
+                i, j = i - 1, j - 1
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        out += reversed(chosen)
+    for x, y in zip(a[len(a) - back :], b[len(b) - back :], strict=True):
+        out.append((yield from items(x, y)))
+    return out
+
+
 def simple_tree_matching(a, b, kids_a, kids_b) -> tuple[int, list]:
-    """Largest number of node pairs that align two ordered trees top-down, and
-    the pairs; nodes align when their keys (tag and class) are equal."""
+    """The number of node pairs that align two ordered trees top-down, and the
+    pairs in page order; nodes align when their keys (tag and class) are equal."""
     if a.key != b.key:
         return 0, []
-    ca, cb = kids_a(a), kids_b(b)
-    if not ca or not cb:
-        return 1, [(a, b)]
-    keys = {x.key for x in ca}
-    rows = [[0] * (len(cb) + 1)]
-    inner = {}
-    for i, x in enumerate(ca):
-        row = [0]
-        for j, y in enumerate(cb):
-            best = max(rows[i][j + 1], row[j])
-            if y.key in keys and x.key == y.key:
-                inner[i, j] = simple_tree_matching(x, y, kids_a, kids_b)
-                best = max(best, rows[i][j] + inner[i, j][0])
-            row.append(best)
-        rows.append(row)
-    pairs, i, j = [(a, b)], len(ca), len(cb)
-    while i and j:
-        if (i - 1, j - 1) in inner and rows[i][j] == rows[i - 1][j - 1] + inner[i - 1, j - 1][0]:
-            pairs += inner[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
+
+    def match(x, y):
+        found = yield from _aligned_runs(_runs(kids_a(x)), _runs(kids_b(y)))
+        return 1 + sum(w for w, _ in found), (x, y, found)
+
+    # the calls wait on a stack of their own, which may be as deep as the pages
+    stack, value = [match(a, b)], None
+    while stack:
+        try:
+            asked = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
         else:
-            j -= 1
-    return rows[-1][-1] + 1, pairs
+            stack.append(match(*asked))
+            value = None
+    size, tree = value
+    pairs, todo = [], [tree]
+    while todo:
+        x, y, found = todo.pop()
+        pairs.append((x, y))
+        todo += [t for _, items in reversed(found) for _, t in reversed(items)]
+    return size, pairs
 
 
 def container_paths(page: Node) -> frozenset[int]:
@@ -260,20 +344,28 @@ class Skeleton:
 
     def __init__(self, packed: dict):
         self.paths, self.slots = frozenset(packed["p"]), []
-        self.top = self._slot(packed["s"])
-
-    def _slot(self, packed: list) -> Slot:
-        key, never, named, children = packed
-        out = Slot(key, key.split(".", 1)[0], never, named)
-        out.number = len(self.slots)
-        self.slots.append(out)
-        out.children = [self._slot(c) for c in children]
-        return out
+        for number, (key, never, named, parent) in enumerate(packed["s"]):
+            slot = Slot(key, key.split(".", 1)[0], never, named)
+            slot.number = number
+            self.slots.append(slot)
+            if parent is not None:
+                self.slots[parent].children.append(slot)
+        self.top = self.slots[0]
+
+
+def _in_order(top, kids) -> list[tuple[object, int | None]]:
+    """(node, number of its parent) of a tree in page order."""
+    out, stack = [], [(top, None)]
+    while stack:
+        x, parent = stack.pop()
+        out.append((x, parent))
+        stack += [(c, len(out) - 1) for c in reversed(kids(x))]
+    return out
 
 
-def _outline(node: Node) -> list:
+def _outline(page: Node) -> list:
     # a paragraph's own elements are content, never template
-    return [node.key, node.never, node.named, [] if node.tag in LEAVES else [_outline(x) for x in elements(node)]]
+    return [[x.key, x.never, x.named, parent] for x, parent in _in_order(page, lambda x: [] if x.tag in LEAVES else elements(x))]
 
 
 def skeleton(source: str) -> str:
@@ -374,7 +466,7 @@ def measure(top: Slot, page: Node) -> list[tuple[int, int, int, int | None]]:
     for slot, node in pairs:
         text, closed = text_of(node), id(node) not in mass or node.never
         loose = 0 if closed or node.tag in LEAVES else sum(mass[id(c)] for c in elements(node) if id(c) not in aligned)
-        free = text and not any(x.tag in ("article", "main") for x in _up(node))
+        free = text and not node.within
         out.append((slot.number, 0 if closed else len(text), loose, digest(text) if free else None))
     return out
 
@@ -401,48 +493,41 @@ def learn(skeletons: list[str], counted: list[dict]) -> str:
     return json.dumps(out)
 
 
-def _template(template: Slot, n: float) -> dict:
-    def prune(slot: Slot) -> None:
-        slot.children = [c for c in slot.children if c.pages >= TEMPLATE_SHARE * n - 1e-6]
-        for c in slot.children:
-            prune(c)
-
-    prune(template)
+def _template(template: Slot, n: float) -> list:
+    stack = [template]
+    while stack:
+        x = stack.pop()
+        x.children = [c for c in x.children if c.pages >= TEMPLATE_SHARE * n - 1e-6]
+        stack += x.children
     close_named(template, _kids, lambda x: x.mass)
-    everywhere = [x for x in _walk(template) if x.tag in ("article", "main") and not x.never]
+    open_slots = [x for x, _ in _in_order(template, lambda x: [c for c in x.children if not c.never])]
+    everywhere = [x for x in open_slots if x.tag in ("article", "main") and not x.never]
     at = max(everywhere, key=lambda x: x.mass, default=None)
     if at is None or at.mass < 0.5 * template.mass:
         at = template
         while (best := max((c for c in at.children if not c.never and c.tag not in LEAVES), key=lambda x: x.mass, default=None)) is not None and best.mass >= 0.8 * at.mass > 0:
             at = best
     at.root = True
-    return _packed(template)
-
-
-def _walk(slot: Slot):
-    yield slot
-    for c in slot.children:
-        if not c.never:
-            yield from _walk(c)
-
-
-def _packed(slot: Slot) -> dict:
-    return {"k": slot.key, "t": slot.text, "r": slot.root, "n": slot.never, "c": [_packed(c) for c in slot.children]}
+    return [[x.key, x.text, x.root, x.never, parent] for x, parent in _in_order(template, _kids)]
 
 
 class Template:
     __slots__ = ("key", "text", "root", "never", "children")
 
-    def __init__(self, packed: dict):
-        self.key, self.text, self.root, self.never = packed["k"], packed["t"], packed["r"], packed["n"]
-        self.children = [Template(c) for c in packed["c"]]
+    def __init__(self, key: str, text: int | None, root: bool, never: bool):
+        self.key, self.text, self.root, self.never, self.children = key, text, root, never, []
 
 
 class Layout:
     """A host's template for pages of nearly these container paths."""
 
     def __init__(self, packed: dict):
-        self.paths, self.top = frozenset(packed["p"]), Template(packed["s"])
+        self.paths, nodes = frozenset(packed["p"]), []
+        for *fields, parent in packed["s"]:
+            nodes.append(Template(*fields))
+            if parent is not None:
+                nodes[parent].children.append(nodes[-1])
+        self.top = nodes[0]
 
 
 def blocks(node: Node, constant: set[int]) -> list[str]:
@@ -489,10 +574,10 @@ def _own_root(page: Node, mass: dict[int, int]) -> Node:
     return max(found, key=lambda x: mass[id(x)], default=page)
 
 
-def main_text(source: str, layouts: list[Layout]) -> str:
+def main_text(source: str, layouts: list[Layout], known: dict | None = None) -> str:
     if not source:
         return ""
-    page = parse(source)
+    page = parse(source, known)
     root, constant, decided = None, set(), {}
     if layouts:
         for slot, node in simple_tree_matching(nearest(page, layouts).top, page, _kids, elements)[1]:
@@ -534,8 +619,9 @@ def _signed(rows: DataFrame) -> DataFrame:
     """Host, layout and hashes of every page."""
 
     def run(batches):
+        tags: dict = {}
         for part, texts in chunks(batches):
-            found = [layout(container_paths(parse(t.decode("utf-8", "replace")))) for t in texts]
+            found = [layout(container_paths(parse(t.decode("utf-8", "replace"), tags))) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(found, pa.int64()), *(part.column(c) for c in ("h", "page_id", "page"))], names=["host", "layout", "h", "page_id", "page"])
 
     return rows.where("text != ''").mapInArrow(run, "host string, layout long, h long, page_id long, page long")
@@ -578,6 +664,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def count(batches):
         known: dict[str, list[Skeleton]] = {}
+        tags: dict = {}
         for part, texts in chunks(batches):
             sums: dict[tuple, list[float]] = {}
             for host, copies, packed, raw in zip(part.column("host").to_pylist(), part.column("copies").to_pylist(), part.column("skeletons").to_pylist(), texts, strict=True):
@@ -585,7 +672,7 @@ def induce(pages: DataFrame) -> DataFrame:
                     if len(known) > 1024:
                         known.clear()
                     known[packed] = [Skeleton(json.loads(x)) for x in json.loads(packed)]
-                page = parse(raw.decode("utf-8", "replace"))
+                page = parse(raw.decode("utf-8", "replace"), tags)
                 found = nearest(page, known[packed])
                 at, weight = known[packed].index(found), 1 / (copies or 1)
                 for slot, own, loose, text in measure(found.top, page):
@@ -617,6 +704,7 @@ def extract(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
     def run(batches):
         known: dict[str, list[Layout]] = {}
+        tags: dict = {}
         for part, texts in chunks(batches):
             out = []
             for packed, raw in zip(part.column("template").to_pylist(), texts, strict=True):
@@ -624,7 +712,7 @@ def extract(pages: DataFrame, templates: DataFrame) -> DataFrame:
                     if len(known) > 4096:
                         known.clear()
                     known[packed] = [Layout(x) for x in json.loads(packed or "[]")]
-                out.append(main_text(raw.decode("utf-8", "replace"), known[packed]))
+                out.append(main_text(raw.decode("utf-8", "replace"), known[packed], tags))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,7 @@
 """WARC round trip and main-text extraction."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -196,3 +197,62 @@ def test_pages_of_the_test_tables(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+def plain_matching(a, b, kids_a, kids_b):
+    """The recurrence of simple tree matching, word for word."""
+    if a.key != b.key:
+        return 0
+    x, y = kids_a(a), kids_b(b)
+    rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + plain_matching(x[i - 1], y[j - 1], kids_a, kids_b))
+    return rows[-1][-1] + 1
+
+
+def random_page(rng, depth=0):
+    tags = ["div", "section", "b", "i", "em"]
+    out, before = [], None
+    for _ in range(rng.randint(1, 4) if depth else 4):
+        tag = rng.choice([t for t in tags if t != before])  # no runs: then the alignment is the recurrence's
+        before = tag
+        out.append(f"<{tag}>{random_page(rng, depth + 1) if depth < 3 and rng.random() < 0.6 else 'x'}</{tag}>")
+    return "".join(out)
+
+
+def test_tree_matching_gives_the_pairs_of_the_recurrence():
+    rng = random.Random(5)
+    as_good = 0
+    for _ in range(60):
+        a, b = (wrapper.parse(random_page(rng)) for _ in range(2))
+        size, pairs = wrapper.simple_tree_matching(a, b, wrapper.elements, wrapper.elements)
+        best = plain_matching(a, b, wrapper.elements, wrapper.elements)
+        assert size == len(pairs) <= best and all(x.key == y.key for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == size
+        as_good += size >= 0.9 * best
+        assert wrapper.simple_tree_matching(a, a, wrapper.elements, wrapper.elements)[0] == plain_matching(a, a, wrapper.elements, wrapper.elements)
+    assert as_good >= 54
+
+
+def odd_pages():
+    deep = "<font>" * 100_000 + "deep text"
+    wide = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(50_000)) + "</ul>"
+    mixed = "<dl>" + "".join(f"<dt>t{i}<dd>d{i}" for i in range(20_000)) + "</dl>"
+    table = "<table>" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    fonts = "<ul><li><ul>" + "<font>" * 3000 + "<li>x</li>" * 3000
+    return [deep, wide, mixed, table, fonts, "<p>" * 30_000 + "end", "<div>" * 50_000 + "</div>" * 50_000 + "after"]
+
+
+def test_deep_and_wide_pages_are_induced_and_extracted(spark):
+    rows = []
+    for kind, body in enumerate(odd_pages()):
+        for k in range(2):
+            rows.append((10 * kind + k, f"https://odd{kind}.example/{k}", f"<html><body><div class=top>Site menu</div><article><h1>Title {k}</h1>{body}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrapper.extract(pages, wrapper.induce(pages)).collect()}
+    assert len(got) == len(rows)
+    assert got[0].split("\n\n") == ["Title 0", "deep text"]
+    assert got[11].split("\n\n") == ["Title 1"] + [f"item {i}" for i in range(50_000)]
+    assert got[21].count("\n\n") == 40_000 and got[31].split("\n\n")[1:] == ["a", "b"] * 20_000
+    assert got[40].split("\n\n").count("x") == 3000 and got[50].endswith("end") and got[60].endswith("after")
