@@ -48,11 +48,12 @@ class WordEncoder:
 
     White space never reaches this tokenizer's merges, so a text's ids are its
     words' ids in order, and each word is encoded once as long as it is in the
-    cache.  The cache has two generations of at most ``CACHED_WORDS`` words (and
+    cache.  The cache has two generations of at most ``cached`` words (and
     a slice's more); words still in use move to the younger one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
+        self.cached = cached
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,7 +89,7 @@ class WordEncoder:
         return out
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.young) > CACHED_WORDS:
+        if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
             new = self.seen
         young, old, missing = self.young, self.old, []
@@ -114,13 +115,13 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-def encoder(path: str, keep: bool) -> WordEncoder:
+def encoder(path: str, keep: bool, cached: int = CACHED_WORDS) -> WordEncoder:
     """An encoder; with ``keep`` the Python worker's, which outlives a task, so
     that the next task finds the tokenizer loaded and its cache warm."""
     import tokenizers
 
     if not keep:
-        return WordEncoder(path)
+        return WordEncoder(path, cached)
 
     held = vars(tokenizers).setdefault("_tablework_encoders", {})
     if path not in held:
@@ -128,15 +129,17 @@ def encoder(path: str, keep: bool) -> WordEncoder:
     return held[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: bool = True, cached: int = CACHED_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Every document's pieces; ``ids`` only where asked for.  ``keep`` leaves
-    the word cache in the Python workers after a task: faster, but the memory is
-    missing in the stages that follow."""
+    the word cache in the Python workers after a task (in the ``tokenizers``
+    module, which outlives it; two generations of ``CACHED_WORDS`` words at most):
+    faster, but the memory is missing in the stages that follow.  Without it a
+    task has its own cache of ``cached`` words."""
     end = np.array([END_ID], "<u4").tobytes()
     own: dict[str, WordEncoder] = {}  # a task's
     def run(doc_ids: list, texts: list[bytes]) -> dict[str, object]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        encode = own.get("encoder") or own.setdefault("encoder", encoder(tokenizer_path, keep))
+        encode = own.get("encoder") or own.setdefault("encoder", encoder(tokenizer_path, keep, cached))
         for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
             ids += end
             n = len(ids) // 4
@@ -147,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     out[k].append(v)
         return out
 
-    return map_texts(id_and_text(docs), run, PIECES, max_bytes=SLICE_BYTES)
+    return map_texts(id_and_text(docs), run, PIECES, max_bytes=slice_bytes)
 
 
 def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -343,9 +346,12 @@ def assign(parts: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> Data
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).drop("place")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: bool = True) -> DataFrame:
-    """One row per piece; with ``with_ids`` also its ids (binary)."""
-    parts = pieces(docs, tokenizer_path, capacity, with_ids, keep)
+def pack(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep: bool = True, cached: int = CACHED_WORDS, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """One row per piece; with ``with_ids`` also its ids (binary).  The cache's
+    settings (see :func:`pieces`) change time and memory only."""
+    parts = pieces(docs, tokenizer_path, capacity, with_ids, keep, cached, slice_bytes)
     return assign(materialise(parts if with_ids else parts.drop("ids"), "pieces"), capacity)
 
 
