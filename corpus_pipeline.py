@@ -49,7 +49,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep=False)
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep=False, cached=100_000, slice_bytes=1 << 20)
 
 
 STAGES = [
