@@ -134,8 +134,9 @@ class RankTable:
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once; lambda bodies are interpreted,
-    and Spark computes a repeated expression as often as it is written there."""
-    return F.get(F.transform(F.array(value), body), 0)
+    and Spark computes a repeated expression as often as it is written there.
+    A fold over no element hands its start value to ``body`` as it is."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 def _left(x: Column, n: Column) -> Column:
@@ -158,11 +159,14 @@ def fold_merges(table: Column, ranks: RankTable, word: Column, longest: int) ->
 
     def join(borders: Column, c: Column) -> Column:
         start, size = F.shiftright(c, 6).bitwiseAND(F.lit(63)).cast("int"), c.bitwiseAND(F.lit(63)).cast("int")
-        within = _right(borders, start).bitwiseAND(_left(one, size + 1) - 1)
-        return let(
-            within,
-            lambda x: F.when((F.bit_count(x) == 3) & (x.bitwiseAND(one) == 1) & (_right(x, size) == 1), borders.bitwiseXOR(_left(x - 1 - _left(one, size), start))).otherwise(borders),
-        )
+        ends = _left(one + _left(one, size), start)
+
+        def merge(inner: Column) -> Column:
+            return F.when((inner != 0) & (inner.bitwiseAND(inner - 1) == 0), borders.bitwiseXOR(inner)).otherwise(borders)
+
+        # borders strictly inside the part
+        inside = borders.bitwiseAND(_left(_left(one, size) - 2, start))
+        return F.when(borders.bitwiseAND(ends) == ends, let(inside, merge)).otherwise(borders)
 
     def ids(borders: Column, n: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), n), lambda b: _right(borders, b).bitwiseAND(one) == 1)
@@ -171,13 +175,13 @@ def fold_merges(table: Column, ranks: RankTable, word: Column, longest: int) ->
         )
 
     def merged(n: Column) -> Column:
-        grid = F.transform(
-            F.sequence(F.lit(0), n - 2),
-            lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(n - i, F.lit(longest))), lambda size: F.when(ranks.maybe(table, F.substring(word, i + 1, size)), i * 64 + size).otherwise(0)), lambda c: c > 0),
-        )
-        parts = F.transform(F.flatten(grid), lambda c: ranks.rank(table, F.substring(word, F.shiftright(c, 6) + 1, c.bitwiseAND(F.lit(63)))) * 4096 + c)
-        # rank, start and size are one number, so that sorting numbers sorts by rank, then place
-        ranked = F.sort_array(F.filter(parts, lambda c: c < NONE * 4096))
+        def parts(i: Column) -> Column:
+            sizes = F.filter(F.sequence(F.lit(2), F.least(n - i, F.lit(longest))), lambda size: ranks.maybe(table, F.substring(word, i + 1, size)))
+            # rank, start and size are one number, so that sorting numbers sorts by rank, then place
+            return F.transform(sizes, lambda size: ranks.rank(table, F.substring(word, i + 1, size)) * 4096 + (i * 64 + size))
+
+        found = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), parts))
+        ranked = F.sort_array(F.filter(found, lambda c: c < NONE * 4096))
         return let(F.aggregate(ranked, _left(one, n + 1) - 1, join), lambda borders: ids(borders, n))
 
     single = F.array(ranks.rank(table, word).cast("int"))
