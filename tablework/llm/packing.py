@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import id_and_text, map_texts, materialise
+from tablework.llm.common import id_and_text, map_texts, materialise, release_memory
 
 CAPACITY = 2048
 BINS = 256
@@ -121,7 +121,10 @@ def encoder(path: str, keep: bool, cached: int = CACHED_WORDS) -> WordEncoder:
     import tokenizers
 
     if not keep:
-        return WordEncoder(path, cached)
+        release_memory()  # what the worker's earlier tasks left after their end
+        own = WordEncoder(path, cached)
+        release_memory()  # what reading the tokenizer's file took
+        return own
 
     held = vars(tokenizers).setdefault("_tablework_encoders", {})
     if path not in held:
