@@ -46,6 +46,8 @@ TASK_WORDS = 1_500_000
 #: Text of a task: a word is sent on once a task, so small scan splits are joined.
 TASK_BYTES = 72 << 20
 SLICE_BYTES = 1 << 20
+#: Parts longer than this are tried only where a longer piece begins with the same bytes.
+HEAD_BYTES = 6
 ID_BITS = 17
 NONE = 1 << ID_BITS  # above all ids
 
@@ -90,9 +92,10 @@ def check_order(pieces: list[bytes]) -> None:
 class RankTable:
     """Ranks by the hash of a piece: open addressing in one array of integers.
     An entry is the hash with its low ``ID_BITS`` bits replaced by the rank; 0
-    is free; ``probes`` neighbouring places hold every piece."""
+    is free; ``probes`` neighbouring places hold every piece.  Behind them are
+    marks at the hashes of the first ``HEAD_BYTES`` bytes of longer pieces."""
 
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes: list[int], heads: list[int]):
         self.bits = max(4, (8 * len(hashes)).bit_length())
         self.slots = [0] * ((1 << self.bits) + 64)
         self.probes = 1
@@ -105,6 +108,9 @@ class RankTable:
                 at += 1
             self.slots[at] = (h & ~low) | rank
             self.probes = max(self.probes, at - (h & ((1 << self.bits) - 1)) + 1)
+        self.marks_at, self.mark_bits = len(self.slots), max(4, (8 * len(heads)).bit_length())
+        marks = {h & ((1 << self.mark_bits) - 1) for h in heads}
+        self.slots += [int(i in marks) for i in range(1 << self.mark_bits)]
 
     def literal(self) -> Column:
         return F.from_json(F.lit(json.dumps(self.slots, separators=(",", ":"))), "array<bigint>")
@@ -116,6 +122,10 @@ class RankTable:
         """False for most byte strings that are no piece: one look-up."""
         return F.get(table, self._place(piece)) != 0
 
+    def goes_on(self, table: Column, head: Column) -> Column:
+        """False for most byte strings that no longer piece begins with."""
+        return F.get(table, F.xxhash64(head).bitwiseAND(F.lit((1 << self.mark_bits) - 1)).cast("int") + self.marks_at) != 0
+
     def rank(self, table: Column, piece: Column) -> Column:
         """The rank (id) of a piece, else ``NONE``."""
 
@@ -176,7 +186,9 @@ def fold_merges(table: Column, ranks: RankTable, word: Column, longest: int) ->
 
     def merged(n: Column) -> Column:
         def parts(i: Column) -> Column:
-            sizes = F.filter(F.sequence(F.lit(2), F.least(n - i, F.lit(longest))), lambda size: ranks.maybe(table, F.substring(word, i + 1, size)))
+            rest = n - i if longest >= LONG_WORD else F.least(n - i, F.lit(longest))
+            most = F.when(n - i <= HEAD_BYTES, rest).when(ranks.goes_on(table, F.substring(word, i + 1, HEAD_BYTES)), rest).otherwise(HEAD_BYTES)
+            sizes = F.filter(F.sequence(F.lit(2), most), lambda size: ranks.maybe(table, F.substring(word, i + 1, size)))
             # rank, start and size are one number, so that sorting numbers sorts by rank, then place
             return F.transform(sizes, lambda size: ranks.rank(table, F.substring(word, i + 1, size)) * 4096 + (i * 64 + size))
 
@@ -314,7 +326,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True,
     pieces = read_ranks(rank_file)
     check_order(pieces)
     numbered = docs.sparkSession.createDataFrame(list(enumerate(pieces)), "i int, p binary")
-    ranks = RankTable([r.h for r in numbered.select("i", F.xxhash64("p").alias("h")).orderBy("i").collect()])  # one number a piece
+    head = F.when(F.length("p") > HEAD_BYTES, F.xxhash64(F.substring("p", 1, HEAD_BYTES)))
+    hashes = numbered.select("i", F.xxhash64("p").alias("h"), head.alias("head")).orderBy("i").collect()  # two numbers a piece
+    ranks = RankTable([r.h for r in hashes], [r.head for r in hashes if r.head is not None])
     longest = min(LONG_WORD, max(map(len, pieces)))
     source = id_and_text(docs, id_col, text_col)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
