@@ -1,29 +1,36 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine.
 
-Fit (``fit``), from at most ``MAX_EXAMPLES`` labelled rows (smallest hashes of
-``doc_id``, so the sample is repeatable):
+Fit (``fit``), from at most ``MAX_EXAMPLES`` labelled rows and ``SAMPLE_BYTES``
+of their text (smallest hashes of ``doc_id``, so the sample is repeatable; one
+row for each id):
 
-* features are words and word beginnings of ``STEMS`` letters; the ones kept
-  are those whose document counts differ most between the two labels
-  (likelihood ratio above a Bonferroni limit, ``MAX_FEATURES`` at most);
+* terms are all words of the examples, and the word beginnings of ``STEMS``
+  letters whose document counts differ between the labels beyond chance
+  (likelihood ratio above a Bonferroni limit);
 * document frequencies for the IDF weights are counted over all documents;
+* a term's weight is its IDF, times ``UNTOLD`` for words whose counts tell
+  nothing about the label by that test: they count, but less;
 * the labelled rows become unit TF-IDF vectors in an inverted index whose
   postings are cut into blocks of ``BLOCK`` examples, each with the largest
   weight it holds for a term.
 
-Score (``score``): a document's vector meets the blocks in the order of their
-upper bounds (query weights times block maxima) until the bound falls below
-the ``NEIGHBOURS``-th best similarity, so the neighbours are exact.  Their
-labels vote with their similarity; a logistic curve fitted to leave-one-out
-votes of the examples turns votes into probabilities.  The nearest examples
-are returned as evidence.  One pass without a shuffle; the index is bounded by
-the two parameters above and is broadcast.
-
-Edge cases: null or empty texts, and texts without any feature, have no
-neighbours and get the share of toxic examples that have none either; without
-usable labels the score is 0.0 for all.  Of labels that contradict each other
-for one id the larger counts; null labels are left out.  Repeated rows are
-scored one by one.  Labels, language, source and id are never features.
+Score (``score``): a document's vector has all its words; those of no example
+count in its length, with the IDF of a word never seen.  It meets the blocks
+with the largest upper bounds (query weights times block maxima), then all
+blocks whose bound reaches the ``NEIGHBOURS``-th best similarity found there,
+so the neighbours are exact.  Their labels vote with their similarity; a
+logistic curve fitted to leave-one-out votes of the examples turns votes into
+probabilities.  The nearest examples are returned as evidence.  One pass
+without a shuffle; the index is bounded by the two parameters above and is
+broadcast.
+
+Edge cases: null or empty texts, and texts that share no term with an example,
+have no neighbours and get the share of toxic examples that have none either;
+without usable labels, or with one label only, the score is 0.0 for all.  Of
+labels that contradict each other for one id the larger counts; null labels are
+left out.  Of different texts with one id the one with the smallest hash is the
+example.  Repeated rows are scored one by one.  Labels, language, source and id
+are never terms.
 """
 
 from __future__ import annotations
@@ -31,20 +38,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.llm.common import chunks, crc32_text, id_and_text, map_texts
 
-MAX_EXAMPLES = 8192
-MAX_FEATURES = 1024
+MAX_EXAMPLES = 4096
+SAMPLE_BYTES = 32 << 20
 STEMS = (4, 5, 6)
 MIN_DOCS = 3
 FALSE_FEATURES = 0.05
+UNTOLD = 0.1
 BLOCK = 64
+FIRST_BLOCKS = 4
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.25
 N_EVIDENCE = 3
@@ -64,77 +74,142 @@ def features(word: str) -> list[str]:
     return [word] + [word[:n] + "~" for n in STEMS if len(word) >= n]
 
 
-class FeatureCounter:
-    """Counts a fixed feature set in texts; one dictionary probe a word
-    decides whether any feature can be in it."""
+class TermCounter:
+    """Counts of a text's terms (by number), and of its words that are none."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.index = {f: i for i, f in enumerate(vocabulary)}
-        self.heads = {f.rstrip("~")[: STEMS[0]] for f in vocabulary}
+    def __init__(self, terms: list[str]):
+        self.index = {t: i for i, t in enumerate(terms)}
+        self.words = frozenset(t for t in terms if not t.endswith("~"))
+        self.heads = {t.rstrip("~")[: STEMS[0]] for t in terms if t.endswith("~")}
 
-    def __call__(self, raw: bytes) -> Counter:
+    def __call__(self, raw: bytes) -> tuple[dict[int, int], list[int]]:
         heads, n, index = self.heads, STEMS[0], self.index
-        return Counter(index[f] for w in words(raw) if w[:n] in heads for f in features(w) if f in index)
+        counts = Counter(words(raw))
+        distinct = set(counts)
+        known = distinct & self.words
+        found = {index[w]: counts[w] for w in known}
+        for w in counts:
+            if w[:n] in heads:
+                for f in features(w)[1:]:
+                    if (i := index.get(f)) is not None:
+                        found[i] = found.get(i, 0) + counts[w]
+        return found, [counts[w] for w in distinct - known]
+
+    def present(self, raw: bytes) -> list[int]:
+        """The numbers of the terms in a text."""
+        distinct, n = set(words(raw)), STEMS[0]
+        begun = {f for w in distinct if w[:n] in self.heads for f in features(w)[1:] if f in self.index}
+        return list(map(self.index.__getitem__, [*(distinct & self.words), *begun]))
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges in turn, and their lengths."""
+    n = stop - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
 @dataclass
 class Index:
-    """Inverted index over unit vectors, in blocks with their maxima."""
+    """Inverted index over unit vectors: a term has an entry for each block of
+    examples that holds it, an entry its largest weight and its postings."""
 
-    idf: np.ndarray
+    idf: np.ndarray  # weights of the terms
     ids: np.ndarray  # of the examples, in index order
     toxic: np.ndarray
-    postings: list  # per term: block -> (example numbers, weights)
-    block_max: np.ndarray  # terms x blocks
+    first_entry: np.ndarray  # of each term
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    first_posting: np.ndarray  # of each entry
+    example: np.ndarray
+    weight: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[dict[int, int]], ids: list, toxic: list[int], idf: np.ndarray) -> Index:
         units = [unit(v, idf) for v in vectors]
         # examples with the same heaviest terms share blocks, which keeps the maxima tight
-        order = sorted(range(len(units)), key=lambda i: (sorted(units[i], key=units[i].get, reverse=True), ids[i]))
-        n_blocks = max(1, -(-len(order) // BLOCK))
-        postings: list[dict] = [{} for _ in idf]
-        block_max = np.zeros((len(idf), n_blocks))
-        for at, i in enumerate(order):
-            for t, w in units[i].items():
-                numbers, weights = postings[t].setdefault(at // BLOCK, ([], []))
-                numbers.append(at)
-                weights.append(w)
-                block_max[t, at // BLOCK] = max(block_max[t, at // BLOCK], w)
-        packed = [{b: (np.array(n), np.array(w)) for b, (n, w) in p.items()} for p in postings]
-        return cls(idf, np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.int64), packed, block_max)
+        order = sorted(range(len(units)), key=lambda i: (sorted(units[i], key=units[i].get, reverse=True)[:16], ids[i]))
+        term = np.concatenate([np.fromiter(units[i], np.int64, len(units[i])) for i in order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([np.fromiter(units[i].values(), float, len(units[i])) for i in order] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(order)), [len(units[i]) for i in order])
+        by_term = np.argsort(term, kind="stable")
+        term, weight, example = term[by_term], weight[by_term], example[by_term]
+        block = example // BLOCK
+        fresh = np.ones(len(term), bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(fresh)
+        top = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        return cls(
+            idf, np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.int64),
+            np.searchsorted(term[start], np.arange(len(idf) + 1)), block[start].astype(np.int32), top, np.append(start, len(term)), example.astype(np.int32), weight,
+        )
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest cosine above 0 as (similarity, example
         number); equal ones by example number."""
-        bound = sum((w * self.block_max[t] for t, w in query.items()), np.zeros(self.block_max.shape[1]))
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query.items():
-                if (hit := self.postings[t].get(int(b))) is not None:
-                    scores[hit[0] - b * BLOCK] += w * hit[1]
-            best += [(-round(float(scores[i]), 12), int(i + b * BLOCK)) for i in np.flatnonzero(scores > 0) if i + b * BLOCK != skip]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        return self.nearest_to(*_arrays(query, float), k, skip)
+
+    def nearest_to(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
+        """:meth:`nearest` of a vector given as terms, rising, and weights."""
+        entries, n = _ranges(self.first_entry[terms], self.first_entry[terms + 1])
+        if not len(entries):
+            return []
+        weights, blocks = np.repeat(weights, n), self.entry_block[entries]
+        bound = np.bincount(blocks, weights * self.entry_max[entries], -(-len(self.ids) // BLOCK))
+
+        def visit(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            inside = chosen[blocks]
+            at, n = _ranges(self.first_posting[entries[inside]], self.first_posting[entries[inside] + 1])
+            scores = np.bincount(self.example[at], np.repeat(weights[inside], n) * self.weight[at], len(self.ids))
+            if skip >= 0:
+                scores[skip] = 0
+            found = np.flatnonzero(scores > 0)
+            return found, np.round(scores[found], 12)
+
+        chosen = np.zeros(len(bound), bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        found, scores = visit(chosen & (bound > 0))
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = ~chosen & (bound > 0) & (bound >= least - 1e-9)
+        if rest.any():
+            more, others = visit(rest)
+            found, scores = np.concatenate((found, more)), np.concatenate((scores, others))
+        if len(scores) > k:
+            top = scores >= np.partition(scores, -k)[-k]
+            found, scores = found[top], scores[top]
+        order = np.lexsort((found, -scores))[:k]
+        return list(zip(scores[order].tolist(), found[order].tolist(), strict=True))
+
+
+def _arrays(by_term: dict, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a vector, rising, and their values."""
+    terms, values = np.fromiter(by_term, np.int64, len(by_term)), np.fromiter(by_term.values(), kind, len(by_term))
+    order = np.argsort(terms)
+    return terms[order], values[order]
+
+
+def unit_arrays(counts: dict[int, int], idf: np.ndarray, unknown: Sequence[int] = (), unseen: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The TF-IDF vector of a text over its length, as terms and weights; words
+    that are no terms (their counts in ``unknown``) only make it longer."""
+    terms, values = _arrays(counts, float)
+    weights = (1 + np.log(values)) * idf[terms]
+    other = (1 + np.log(np.sort(np.array(unknown, float)))) * unseen
+    return terms, weights / math.sqrt(float((weights * weights).sum() + (other * other).sum()))
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    weights = {t: (1 + math.log(c)) * idf[t] for t, c in sorted(counts.items())}
-    norm = math.sqrt(sum(w * w for w in weights.values()))
-    return {t: w / norm for t, w in weights.items()}
+    terms, weights = unit_arrays(counts, idf)
+    return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
 
 @dataclass
 class Model:
-    vocabulary: list[str]
+    terms: list[str]
     index: Index | None = None
     prior: float = 0.0
     none_rate: float = 0.0  # toxic share of examples without a neighbour
+    unseen: float = 0.0  # weight of a word that no example has
     curve: tuple[float, float] = (1.0, 0.0)
-    _counter: FeatureCounter | None = field(default=None, repr=False)
+    _counter: TermCounter | None = field(default=None, repr=False)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near or self.index is None:
@@ -147,9 +222,9 @@ class Model:
         if self.index is None:
             return 0.0, []
         if self._counter is None:
-            self._counter = FeatureCounter(self.vocabulary)
-        counts = self._counter(raw)
-        near = self.index.nearest(unit(counts, self.index.idf)) if counts else []
+            self._counter = TermCounter(self.terms)
+        counts, unknown = self._counter(raw)
+        near = self.index.nearest_to(*unit_arrays(counts, self.index.idf, unknown, self.unseen)) if counts else []
         return calibrated(self.vote(near), self.curve), near
 
 
@@ -184,83 +259,98 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(crc32_text(doc_id), F.lit(HOLD_OUT)) == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, limit: int, text_bytes: int) -> DataFrame:
+    """(doc_id, text, toxic): one row for each of at most ``limit`` ids, with
+    ``text_bytes`` of text in all."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(chosen), "doc_id")  # `limit` rows at most
+    # of several texts of an id one is chosen by its hash, so that only chosen texts move
+    sized = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).alias("t"))
+    one = sized.groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))  # `limit` rows at most
+    along = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = one.withColumn("sum", F.sum("t.n").over(along)).where(F.col("sum") <= text_bytes).select("doc_id", "toxic", F.col("t.h").alias("h"))
+    return docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(fitting), ["doc_id", "h"]).dropDuplicates(["doc_id"]).drop("h")
 
 
-def _select_features(sample: DataFrame, limit: int) -> list[str]:
+def _terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the examples and the telling beginnings, sorted, and which
+    of them tell about the label; no terms unless both labels are there."""
     def distinct(ids: list, texts: list[bytes]) -> dict[str, object]:
         return {"doc_id": ids, "fs": [sorted({f for w in set(words(t)) for f in features(w)}) for t in texts]}
 
     per_doc = map_texts(sample, distinct, "doc_id long, fs array<string>")
-    labelled = per_doc.join(F.broadcast(sample.select("doc_id", "toxic").distinct()), "doc_id")
-    n, n_toxic = labelled.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    labelled = per_doc.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")
+    n, n_toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not n_toxic or n_toxic == n:
-        return []
+        return [], np.zeros(0, bool)
     counts = labelled.select("toxic", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    counts = counts.where(F.col("a") + F.col("b") >= MIN_DOCS)
+    counts = counts.persist()
+    try:
+        # chance that a feature unrelated to the label gets this far, times their number
+        tried = max(counts.where(F.col("a") + F.col("b") >= MIN_DOCS).count(), 1)
 
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        def part(seen, expected):
+            return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    a, b, t, c = F.col("a"), F.col("b"), F.lit(float(n_toxic)), F.lit(float(n - n_toxic))
-    d = a + b
-    ratio = 2 * (part(a, d * t / n) + part(b, d * c / n) + part(t - a, (n - d) * t / n) + part(c - b, (n - d) * c / n))
-    # chance that a feature unrelated to the label gets this far, times their number
-    tried = max(counts.count(), 1)
-    rows = counts.select("f", ratio.alias("g")).where(F.col("g") >= 2 * math.log(tried / FALSE_FEATURES)).orderBy(F.desc("g"), "f").limit(limit).collect()
-    return sorted(r.f for r in rows)
+        a, b, t, c = F.col("a"), F.col("b"), F.lit(float(n_toxic)), F.lit(float(n - n_toxic))
+        d = a + b
+        ratio = 2 * (part(a, d * t / n) + part(b, d * c / n) + part(t - a, (n - d) * t / n) + part(c - b, (n - d) * c / n))
+        tells = (d >= MIN_DOCS) & (ratio >= 2 * math.log(tried / FALSE_FEATURES))
+        rows = counts.select("f", tells.alias("tells")).where(~F.col("f").endswith("~") | F.col("tells")).toArrow()  # words of the sample
+    finally:
+        counts.unpersist()
+    found = dict(zip(rows.column("f").to_pylist(), rows.column("tells").to_pylist(), strict=True))
+    terms = sorted(found)
+    return terms, np.array([found[f] for f in terms], bool)
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Documents that hold each feature, over all documents; a task sends one
-    row per feature at most."""
+def _document_frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
+    """Documents that hold each term, over all documents; a task sends one row
+    per term at most."""
     import pyarrow as pa
 
     def run(batches):
-        count, total = FeatureCounter(vocabulary), np.zeros(len(vocabulary), np.int64)
+        count, total = TermCounter(terms), np.zeros(len(terms), np.int64)
         for _, texts in chunks(batches):
             for t in texts:
-                for i in count(t):
-                    total[i] += 1
+                total[count.present(t)] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    out = np.zeros(len(vocabulary))
-    for r in docs.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
+    rows = docs.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms))
+    out[np.asarray(rows.column("i"))] = np.asarray(rows.column("n"))
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of the rows not held out."""
     source = id_and_text(docs)
-    sample = _sample(source, labels, max_examples).persist()
+    sample = _sample(source, labels, max_examples, sample_bytes).persist()
     try:
-        vocabulary = _select_features(sample, max_features)
-        if not vocabulary:
+        terms, tells = _terms(sample)
+        if not terms:
             return Model([])
 
         def vectors(ids: list, texts: list[bytes]) -> dict[str, object]:
-            count = FeatureCounter(vocabulary)
-            found = [sorted(count(t).items()) for t in texts]
+            count = TermCounter(terms)
+            found = [sorted(count(t)[0].items()) for t in texts]
             return {"doc_id": ids, "f": [[i for i, _ in x] for x in found], "n": [[c for _, c in x] for x in found]}
 
-        rows = map_texts(sample, vectors, "doc_id long, f array<int>, n array<int>").join(F.broadcast(sample.select("doc_id", "toxic").distinct()), "doc_id").collect()
+        found = map_texts(sample, vectors, "doc_id long, f array<int>, n array<int>").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").toArrow()
     finally:
         sample.unpersist()
-    rows.sort(key=lambda r: r.doc_id)
-    counted = [(dict(zip(r.f, r.n, strict=True)), r.doc_id, r.toxic) for r in rows]
-    df = _document_frequencies(source, vocabulary)
-    idf = np.log((1 + source.count()) / (1 + df)) + 1
+    found = found.sort_by("doc_id")
+    counted = [(dict(zip(f.as_py(), n.as_py(), strict=True)), i.as_py(), t.as_py()) for f, n, i, t in zip(*(found.column(c) for c in ("f", "n", "doc_id", "toxic")), strict=True)]
+    told = np.where(tells, 1.0, UNTOLD)
+    n_docs = source.count()
+    idf = told * (np.log((1 + n_docs) / (1 + _document_frequencies(source, terms))) + 1)
     inside = [x for x in counted if x[0]]
     outside = [x[2] for x in counted if not x[0]]
     prior = sum(x[2] for x in counted) / len(counted)
     index = Index.build([x[0] for x in inside], [x[1] for x in inside], [x[2] for x in inside], idf)
-    model = Model(vocabulary, index, prior, (sum(outside) + prior) / (len(outside) + 1))
+    model = Model(terms, index, prior, (sum(outside) + prior) / (len(outside) + 1), UNTOLD * (math.log(1 + n_docs) + 1))
     number = {int(i): at for at, i in enumerate(index.ids)}
     votes = [model.vote(index.nearest(unit(v, idf), skip=number[i])) for v, i, _ in inside]
     model.curve = fit_curve(votes + [model.none_rate] * len(outside), [x[2] for x in inside] + outside)

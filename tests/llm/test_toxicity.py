@@ -95,3 +95,70 @@ def test_without_labels_or_rows(spark, tables):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
     none = docs.limit(0)
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_whole_query_against_dense_cosine(tables, model):
+    """Scores and evidence of every row from dense vectors over all words of
+    the examples, with document frequencies counted here."""
+    docs, labels = tables
+    rows = docs.select("doc_id", "text").collect()
+    known: dict[int, int] = {}
+    for r in labels.dropna().collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    counts = []
+    for r in rows:
+        c: dict[str, int] = {}
+        for w in toxicity.words((r.text or "").encode()):
+            for f in toxicity.features(w):
+                c[f] = c.get(f, 0) + 1
+        counts.append(c)
+    examples = {r.doc_id: c for r, c in zip(rows, counts) if r.doc_id in known}
+    every_word = {f for c in examples.values() for f in c if not f.endswith("~")}
+    assert every_word == {t for t in model.terms if not t.endswith("~")}
+    at = {t: i for i, t in enumerate(model.terms)}
+    df = np.zeros(len(at))
+    for c in counts:
+        df[[at[f] for f in c if f in at]] += 1
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    telling = np.isclose(model.index.idf, idf)
+    assert (telling | np.isclose(model.index.idf, toxicity.UNTOLD * idf)).all()
+    assert all(telling[at[f]] for f in at if f.endswith("~")) and {"vilest", "scum~"} <= {f for f in at if telling[at[f]]}
+    weight = np.where(telling, 1.0, toxicity.UNTOLD) * idf
+    unseen = toxicity.UNTOLD * (np.log(1 + len(rows)) + 1)
+
+    def dense(c):
+        v = np.zeros(len(at))
+        for f, n in c.items():
+            if f in at:
+                v[at[f]] = (1 + np.log(n)) * weight[at[f]]
+        other = sum(((1 + np.log(n)) * unseen) ** 2 for f, n in c.items() if f not in at and not f.endswith("~"))
+        length = np.sqrt((v * v).sum() + other)
+        return v / length if length else v
+
+    ids = [int(i) for i in model.index.ids]
+    matrix = np.array([dense(examples[i]) for i in ids])
+    want = []
+    for r, c in zip(rows, counts):
+        similar = np.round(matrix @ dense(c), 9)
+        near = [i for i in sorted(range(len(ids)), key=lambda i: (-similar[i], i))[: toxicity.NEIGHBOURS] if similar[i] > 0]
+        total = sum(similar[i] for i in near)
+        vote = (sum(similar[i] * known[ids[i]] for i in near) + toxicity.PRIOR_WEIGHT * model.prior) / (total + toxicity.PRIOR_WEIGHT) if near else model.none_rate
+        want.append((r.doc_id, toxicity.calibrated(vote, model.curve), [similar[i] for i in near[: toxicity.N_EVIDENCE]]))
+    got = [(r.doc_id, r.score, [e.similarity for e in r.evidence]) for r in toxicity.score(docs, model).collect()]
+
+    def order(x):
+        return x[0] is None, x[0] or 0, x[1]
+
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=order), sorted(want, key=order)):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-6) and g[2] == pytest.approx(w[2], abs=1e-6)
+
+
+def test_one_example_for_an_id_and_a_bound_on_text(spark, tables):
+    docs, labels = tables
+    many = docs.unionByName(docs.where("doc_id = 2").withColumn("text", F.lit("another text")))
+    few = toxicity._sample(toxicity.id_and_text(many), labels, 50, 1 << 30).collect()
+    assert len(few) == len({r.doc_id for r in few}) <= 50
+    small = toxicity._sample(toxicity.id_and_text(many), labels, 50, 3000).collect()
+    assert 0 < sum(len((r.text or "").encode()) for r in small) <= 3000
