@@ -18,7 +18,8 @@ Score (``score``): a document's vector has all its words; those of no example
 count in its length, with the IDF of a word never seen.  It meets the blocks
 with the largest upper bounds (query weights times block maxima), then all
 blocks whose bound reaches the ``NEIGHBOURS``-th best similarity found there,
-so the neighbours are exact.  Their labels vote with their similarity; a
+so the neighbours are exact; bounds that hardly differ leave no block out, and
+all are met at once.  Their labels vote with their similarity; a
 logistic curve fitted to leave-one-out votes of the examples turns votes into
 probabilities.  The nearest examples are returned as evidence.  One pass
 without a shuffle; the index is bounded by the two parameters above and is
@@ -55,6 +56,7 @@ FALSE_FEATURES = 0.05
 UNTOLD = 0.1
 BLOCK = 64
 FIRST_BLOCKS = 4
+STEEP = 2.0
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.25
 N_EVIDENCE = 3
@@ -140,7 +142,7 @@ class Index:
         top = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
         return cls(
             idf, np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.int64),
-            np.searchsorted(term[start], np.arange(len(idf) + 1)), block[start].astype(np.int32), top, np.append(start, len(term)), example.astype(np.int32), weight,
+            np.searchsorted(term[start], np.arange(len(idf) + 1)), block[start], top, np.append(start, len(term)), example, weight,
         )
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
@@ -153,24 +155,34 @@ class Index:
         entries, n = _ranges(self.first_entry[terms], self.first_entry[terms + 1])
         if not len(entries):
             return []
-        weights, blocks = np.repeat(weights, n), self.entry_block[entries]
-        bound = np.bincount(blocks, weights * self.entry_max[entries], -(-len(self.ids) // BLOCK))
-
-        def visit(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            inside = chosen[blocks]
-            at, n = _ranges(self.first_posting[entries[inside]], self.first_posting[entries[inside] + 1])
-            scores = np.bincount(self.example[at], np.repeat(weights[inside], n) * self.weight[at], len(self.ids))
+        of_entry, blocks = np.repeat(weights, n), self.entry_block[entries]
+        bound = np.bincount(blocks, of_entry * self.entry_max[entries], -(-len(self.ids) // BLOCK))
+
+        def visit(chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            if chosen is None:  # all blocks: the postings of a term stand together
+                at, n = _ranges(self.first_posting[self.first_entry[terms]], self.first_posting[self.first_entry[terms + 1]])
+                weight = np.repeat(weights, n)
+            else:
+                inside = chosen[blocks]
+                at, n = _ranges(self.first_posting[entries[inside]], self.first_posting[entries[inside] + 1])
+                weight = np.repeat(of_entry[inside], n)
+            scores = np.bincount(self.example[at], weight * self.weight[at], len(self.ids))
             if skip >= 0:
                 scores[skip] = 0
-            found = np.flatnonzero(scores > 0)
+            found = np.flatnonzero(scores > (max(0.0, np.partition(scores, -k)[-k] - 1e-9) if len(scores) > k else 0))
             return found, np.round(scores[found], 12)
 
-        chosen = np.zeros(len(bound), bool)
-        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        found, scores = visit(chosen & (bound > 0))
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = ~chosen & (bound > 0) & (bound >= least - 1e-9)
-        if rest.any():
+        chosen, rest = np.zeros(len(bound), bool), bound > 0
+        if bound.max() > STEEP * np.median(bound):  # else no block could be left out
+            chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+            found, scores = visit(chosen & rest)
+            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            rest &= ~chosen & (bound >= least - 1e-9)
+        else:
+            found, scores = np.zeros(0, np.int64), np.zeros(0)
+        if 2 * np.count_nonzero(rest) > len(rest):
+            found, scores = visit(None)
+        elif rest.any():
             more, others = visit(rest)
             found, scores = np.concatenate((found, more)), np.concatenate((scores, others))
         if len(scores) > k:
