@@ -1,10 +1,11 @@
 """Global positions of rows by range counts: numbering a total order and
 reading pages deep inside it, without gathering the rows in one task.
 
-The rows are range-partitioned on the order once and written to the shared
-checkpoint folder, one folder per range.  The counts of the ranges (one row
-each) give the position of every range's first row; rows are numbered inside
-their own range only.
+The rows are range-partitioned on the order once, sorted and numbered there,
+and written to the shared checkpoint folder, one folder per range.  The counts
+of the ranges (one row each) give the position of every range's first row.  A
+range holds about ``RANGE_ROWS`` rows however many there are, so a task sorts a
+bounded number, and nothing moves again to be numbered.
 """
 
 from __future__ import annotations
@@ -12,23 +13,39 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablework.session import checkpoint_dir
 
 _PART = "__range"
+_PLACE = "__place"  # of a row in its range, from 0
+
+RANGE_ROWS = 250_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int | None:
+    """Partitions of about ``RANGE_ROWS`` rows; None where the session's own
+    number of them is enough."""
+    n = -(-rows // RANGE_ROWS)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 class Ranges:
     """``df`` in ranges of its total order ``order`` (sort columns; add a unique
-    one last, equal keys share a range and are numbered arbitrarily)."""
+    one last, equal keys share a range and are numbered arbitrarily).  ``rows``
+    is about how many there are, where that is known."""
 
-    def __init__(self, df: DataFrame, order: Sequence[Column]):
+    def __init__(self, df: DataFrame, order: Sequence[Column], rows: int | None = None):
         spark = df.sparkSession
         path = f"{checkpoint_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
         self.order = list(order)
-        parts = df.repartitionByRange(*self.order).withColumn(_PART, F.spark_partition_id())
+        self.parts = parts_for(spark, df.count() if rows is None else rows)
+        dealt = df.repartitionByRange(self.parts, *self.order) if self.parts else df.repartitionByRange(*self.order)
+        # sorted by the range first, which is the order the folders are written in
+        inside = dealt.withColumn(_PART, F.spark_partition_id()).sortWithinPartitions(_PART, *self.order)
+        # the low 33 bits count the rows of a task
+        parts = inside.withColumn(_PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         parts.write.partitionBy(_PART).parquet(path)
         self.rows = spark.read.schema(parts.schema).parquet(path)
         along = Window.orderBy(_PART)
@@ -49,6 +66,5 @@ class Ranges:
         return inside.orderBy("__at").drop("__at")
 
     def _number(self, rows: DataFrame, name: str) -> DataFrame:
-        at = F.row_number().over(Window.partitionBy(_PART).orderBy(*self.order))
-        numbered = rows.withColumn(name, at.cast("long")).join(self.starts, _PART)
-        return numbered.withColumn(name, F.col(name) + F.col("__before")).drop(_PART, "__before", "__n")
+        numbered = rows.join(F.broadcast(self.starts), _PART)
+        return numbered.withColumn(name, F.col(_PLACE) + F.col("__before") + 1).drop(_PART, _PLACE, "__before", "__n")

@@ -97,9 +97,12 @@ def ambiguous_ids(wanted: DataFrame, live: DataFrame, keys: Sequence[str], id_co
     names = wanted.select(*keys).distinct()
     several = live.join(names, list(keys), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_live")).where("n_live > 1")
     hits = live.select(*keys, F.col(id_col).cast("string").alias("__id")).join(several, list(keys))
-    placed = Ranges(hits, [*[F.col(k).asc() for k in keys], F.col("__id").asc()]).numbered("__at")
+    ranges = Ranges(hits, [*[F.col(k).asc() for k in keys], F.col("__id").asc()])
     at = F.floor((F.col("__at") - 1) / chunk).cast("long")
-    texts = placed.groupBy(*keys, "n_live", at.alias("__chunk")).agg(_joined_ids(F.col("__id")).alias("ids"))
+    placed = ranges.numbered("__at").withColumn("__chunk", at)
+    # whole chunks go to as many tasks as there are ranges, so that a task gathers a bounded number of ids
+    dealt = placed.repartition(ranges.parts, "__chunk") if ranges.parts else placed.repartition("__chunk")
+    texts = dealt.groupBy(*keys, "n_live", "__chunk").agg(_joined_ids(F.col("__id")).alias("ids"))
     first = texts.groupBy(*keys).agg(F.min("__chunk").alias("__first"))
     seq = (F.col("__chunk") - F.col("__first")).alias("seq")
     return texts.join(first, list(keys)).select(*keys, seq, F.when(seq == 0, F.col("n_live")).alias("n_live"), "ids")

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tablework.operators import quality as q
+from tablework.operators import ranges as rg
 from tablework.operators import shape
 from tablework.operators.aggregates import exact_median
 from tablework.operators.ranges import Ranges
@@ -82,6 +83,20 @@ def test_a_hot_name_is_spread_over_ranges(spark):
     assert [(r["k"], r["v"]) for r in ranges.page(100, 9950).collect()] == want[9950:10050]
 
 
+def test_ranges_stay_small_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(rg, "RANGE_ROWS", 1000)
+    ranges = Ranges(hot(spark), [F.col("k").asc(), F.col("v").asc()])
+    sizes = [r["count"] for r in ranges.rows.groupBy("__range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 2500  # borders come from a sample
+    numbered = ranges.numbered()
+    assert "Window [row_number" not in numbered._jdf.queryExecution().executedPlan().toString()
+    want = sorted((0 if i % 3 == 0 else i % 1000 + 1, i) for i in range(N))
+    assert [(r["k"], r["v"]) for r in numbered.orderBy("rank").collect()] == want
+    live = hot(spark).select(F.col("k").cast("string").alias("name"), F.col("v").cast("string").alias("id"))
+    rows = ch.ambiguous_ids(spark.createDataFrame([("0",)], "name string"), live, ["name"], chunk=100).orderBy("seq").collect()
+    assert ",".join(r["ids"] for r in rows).split(",") == sorted(str(i) for i in range(0, N, 3))
+
+
 def test_deep_page_reads_only_its_ranges(spark):
     df = hot(spark)
     order = [F.col("k").desc(), F.col("v").asc()]
