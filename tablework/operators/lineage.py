@@ -5,12 +5,15 @@ Graph walks are loops of DataFrame joins over waves of nodes.  Each round's
 wave is written to the session's checkpoint directory
 (``spark.checkpoint.dir`` on a cluster) and read back, which keeps plans
 small and means a lost executor only recomputes the current round.  The
-driver only learns whether a wave is empty.
+driver only learns whether a wave is empty.  The edges are written there too,
+once for each end they are met by, in buckets of that end: a round moves nodes,
+never edges.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,20 +74,24 @@ def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "
     node (depth 0).  Returns ``(node, depth)``, depth = fewest hops from a
     seed.
 
-    The edges are partitioned by their source once; a round moves only the
-    newest frontier.  What has been visited is appended to one table, so the
-    plan of a round does not grow; the walk ends when a frontier is empty.
+    The edges are stored by their source once; a round moves only the newest
+    frontier.  What has been visited is appended to one table, so the plan of a
+    round does not grow; the walk ends when a frontier is empty.
     """
-    if direction not in ("prod", "preview"):
+    if direction not in _WAYS:
         raise ValueError("direction must be prod or preview")
     if seeds is None:
         return nodes_of(edges).withColumn("depth", F.lit(0))
-    step = edges.select(F.col("producer").alias("src"), F.col("consumer").alias("dst"))
-    if direction == "preview":
-        step = step.unionByName(edges.select(F.col("consumer").alias("src"), F.col("producer").alias("dst")))
-    # no distinct here: every round de-duplicates its new frontier anyway
-    step = _cut(step.repartition("src"))
-    visited = _Waves(step.sparkSession, "depth")
+    return _walk(_Edges(edges), seeds, _WAYS[direction])
+
+
+_DOWN, _UP = ("producer", "consumer"), ("consumer", "producer")
+_WAYS = {"prod": [_DOWN], "preview": [_DOWN, _UP]}
+
+
+def _walk(edges: _Edges, seeds: DataFrame, ways: list[tuple[str, str]]) -> DataFrame:
+    """``(node, depth)`` of what the seeds reach along ``ways`` (from, to)."""
+    visited = _Waves(seeds.sparkSession, "depth")
     frontier = seeds.select(F.col("node")).distinct()
     depth = 0
     while True:
@@ -92,10 +99,51 @@ def expand_lineage(edges: DataFrame, seeds: DataFrame | None, direction: str = "
         if empty:
             return visited.table()
         depth += 1
-        reached = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct()
+        ends = [frontier.join(edges.by(a), frontier["node"] == F.col(a)).select(F.col(b).alias("node")) for a, b in ways]
+        reached = reduce(DataFrame.unionByName, ends).distinct()
         frontier = reached.join(visited.table().select("node"), "node", "left_anti")
 
 
+EDGE_ROWS = 250_000  # edges in a bucket
+
+
+class _Edges:
+    """The distinct edges, stored in buckets of one end or of each, so that
+    joins and counts on that end do not move them."""
+
+    def __init__(self, edges: DataFrame):
+        self.spark = edges.sparkSession
+        self.edges = edges.select("consumer", "producer")
+        self.buckets = max(1, -(-self.edges.count() // EDGE_ROWS))
+        self.sides: dict[str, DataFrame] = {}
+
+    def by(self, end: str) -> DataFrame:
+        if end not in self.sides:
+            stored = next(iter(self.sides.values()), None)
+            dealt = self.edges.repartition(self.buckets, end).distinct() if stored is None else stored.repartition(self.buckets, end)
+            self.sides[end] = self._store(dealt, end)
+        return self.sides[end]
+
+    def nodes(self, more: DataFrame | None = None) -> DataFrame:
+        ends = [self.by(end).select(F.col(end).alias("node")).distinct() for end in _DOWN]
+        return reduce(DataFrame.unionByName, ends + ([] if more is None else [more.select("node")])).distinct()
+
+    def waits(self) -> DataFrame:
+        """``(node, waits, leads)`` of every consumer: its number of
+        dependencies, and whether anything depends on it."""
+        counts = self.by("consumer").groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+        leading = self.by("producer").select(F.col("producer").alias("node")).distinct().withColumn("leads", F.lit(True))
+        return self._store(counts.join(leading, "node", "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "node")
+
+    def _store(self, dealt: DataFrame, end: str) -> DataFrame:
+        name = f"lineage_{uuid.uuid4().hex}"
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/{name}"
+        dealt.write.format("parquet").bucketBy(self.buckets, end).sortBy(end).option("path", path).saveAsTable(name)
+        stored = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only: the files are at a path of their own
+        return stored
+
+
 class _Waves:
     """Numbered waves of nodes, appended to one table in the shared folder."""
 
@@ -121,58 +169,75 @@ def ordered_selection(edges: DataFrame, seeds: DataFrame | None, direction: str
     ranked as in :func:`producer_first` of the whole graph.
 
     A node's place follows from its ancestors alone, so the waves run over the
-    selection and what it depends on, not over the whole graph.  A cycle there
-    raises :class:`CycleError`.
+    selection and what it depends on, not over the whole graph; a selection in
+    both directions holds that already.  A cycle there raises
+    :class:`CycleError`.
     """
-    chosen = _cut(expand_lineage(edges, seeds, direction))
-    needed = expand_lineage(edges.select(F.col("consumer").alias("producer"), F.col("producer").alias("consumer")), chosen.select("node"), "prod")
-    inner = edges.join(needed.select(F.col("node").alias("consumer")), "consumer", "left_semi")
-    keyed, remainder = _peel(inner, needed.select("node"), with_order=True)
+    if direction not in _WAYS:
+        raise ValueError("direction must be prod or preview")
+    inner = _Edges(edges)
+    if seeds is None:
+        chosen = needed = inner.nodes().withColumn("depth", F.lit(0))
+    else:
+        chosen = needed = _walk(inner, seeds, _WAYS[direction])
+        if _UP not in _WAYS[direction]:
+            needed = _walk(inner, chosen, [_UP])
+            inner = _Edges(inner.by("consumer").join(needed.select(F.col("node").alias("consumer")), "consumer", "left_semi"))
+    keyed, remainder = _peel(inner, needed.select("node").distinct(), with_order=True)
     if not remainder.isEmpty():
-        assert_acyclic(inner)
+        assert_acyclic(_inside(inner.by("consumer"), needed))
     ordered = keyed.select("node", "best").join(chosen, "node")
-    return Ranges(ordered, [F.col("best").asc()]).numbered().select("node", "depth", "rank")
+    return Ranges(ordered, [F.col("best").asc()], chosen.count()).numbered().select("node", "depth", "rank")
 
 
 # ---------------------------------------------------------------- L3
-def _peel(edges: DataFrame, nodes: DataFrame | None, with_order: bool) -> tuple[DataFrame, DataFrame]:
-    """``(node, level[, best])`` of the nodes that can be ordered, and the
-    remainder (cycles and what depends on them).
+def _peel(edges: _Edges, nodes: DataFrame, with_order: bool) -> tuple[DataFrame, DataFrame]:
+    """``(node, level[, best])`` of those of ``nodes`` that can be ordered, and
+    the remainder (cycles and what depends on them).  ``nodes`` are distinct
+    and hold all that they depend on.
 
-    A wave holds the nodes whose dependencies are all in earlier waves.  The
-    edges are partitioned by producer once; a round meets the consumers of the
-    newest wave and adds up, per consumer, the dependencies met so far.  Only
-    consumers that were met and still wait are carried on; all others stay
-    untouched in the table of dependency counts.
+    A wave holds the nodes whose dependencies are all in earlier waves.  A
+    round meets the consumers of those in the newest wave that anything depends
+    on, and adds up, per consumer, the dependencies met so far.  Only consumers
+    that were met and still wait are carried on; all others stay untouched in
+    the table of dependency counts.
 
     ``best`` is a node's sort key: the largest key among its dependencies, less
     the names at its end that are smaller than the node's own, plus that name.
     In the order that always takes the smallest ready name, a node follows its
     last dependency, and what is ready and smaller than the name before comes
-    at once; so key order is that order.
+    at once; so key order is that order.  Along the edges a wave's keys go as
+    their places among each other, a number each; only the largest of a
+    consumer becomes a key again.
     """
-    spark = edges.sparkSession
-    deps = _cut(edges.select("consumer", "producer").distinct().repartition("producer"))
-    waits = _cut(deps.groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("waits")))
-    everything = nodes_of(edges, nodes)
-    key = (lambda best: F.concat(F.filter(best, lambda x: x > F.col("node")), F.array("node"))) if with_order else (lambda best: best)
-    nothing = F.array().cast("array<string>") if with_order else F.lit(None).cast("array<string>")
-    waves = _Waves(spark, "level")
-    state = everything.join(waits, "node", "left_anti").select("node", F.lit(0).cast("long").alias("met"), key(nothing).alias("best"), F.lit(True).alias("ready"))
+    deps, waits = edges.by("producer"), edges.waits()
+    own = F.concat(F.filter("best", lambda x: x > F.col("node")), F.array("node"))
+    extra = ["best"] if with_order else []
+    waves = _Waves(edges.spark, "level")
+    zero = F.lit(0).cast("long")
+    state = nodes.join(waits, "node", "left_anti").select("node", zero.alias("met"), zero.alias("waits"), F.lit(True).alias("leads"), *[F.array("node").alias(c) for c in extra], F.lit(True).alias("ready"))
     level = 0
     while True:
-        state, empty = waves.add(state, level, "ready")
+        state, empty = waves.add(state, level, "ready AND leads")
         if empty:
             break
-        reached = state.where("ready").join(deps, state["node"] == deps["producer"])
-        met = reached.groupBy(F.col("consumer").alias("node")).agg(F.count(F.lit(1)).alias("met"), F.max("best").alias("best"))
-        added = met.unionByName(state.where("NOT ready").select("node", "met", "best")).groupBy("node").agg(F.sum("met").alias("met"), F.max("best").alias("best"))
-        counted = added.join(waits, "node")
-        done = F.col("met") == F.col("waits")
-        state = counted.select("node", "met", F.when(done, key(F.col("best"))).otherwise(F.col("best")).alias("best"), done.alias("ready"))
+        newest = state.where("ready AND leads").select("node", *extra)
+        if with_order:
+            newest = Ranges(newest, [F.col("best").asc()]).numbered("place")
+        reached = newest.join(deps, newest["node"] == deps["producer"]).groupBy(F.col("consumer").alias("node"))
+        met = reached.agg(F.count(F.lit(1)).alias("met"), *[F.max("place").alias("place") for _ in extra]).join(waits, "node")
+        if with_order:
+            met = met.join(newest.select("place", "best"), "place")
+        columns = ["node", "met", "waits", "leads", *extra]
+        waiting = state.where("NOT ready").select(*columns)
+        met = met.select(*columns)
+        if not waiting.isEmpty():
+            met = met.unionByName(waiting).groupBy("node", "waits", "leads").agg(F.sum("met").alias("met"), *[F.max(c).alias(c) for c in extra])
+        ready = F.col("met") == F.col("waits")
+        state = met.select("node", "met", "waits", "leads", *[F.when(ready, own).otherwise(F.col(c)).alias(c) for c in extra], ready.alias("ready"))
         level += 1
-    levels = waves.table().where("ready").select("node", "level", *(["best"] if with_order else []))
-    return levels, everything.join(levels.select("node"), "node", "left_anti")
+    levels = waves.table().where("ready").select("node", "level", *extra)
+    return levels, nodes.join(levels.select("node"), "node", "left_anti")
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +246,8 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> tupl
     from a source).  Returns ``(levels, remainder)`` where ``remainder``
     holds the nodes left when no node is ready (cycles and what depends on
     them); order a wave by name to get a producer-first order."""
-    return _peel(edges, nodes, with_order=False)
+    stored = _Edges(edges)
+    return _peel(stored, stored.nodes(nodes), with_order=False)
 
 
 def producer_first(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -191,7 +257,8 @@ def producer_first(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
     Ranks come from range counts over the sort keys of :func:`_peel`; a key
     holds at most the names of one path.  A cycle raises :class:`CycleError`.
     """
-    keyed, remainder = _peel(edges, nodes, with_order=True)
+    stored = _Edges(edges)
+    keyed, remainder = _peel(stored, stored.nodes(nodes), with_order=True)
     if not remainder.isEmpty():
         assert_acyclic(edges)
     return Ranges(keyed, [F.col("best").asc()]).numbered().select("node", "level", "rank")

@@ -145,6 +145,28 @@ def test_selection_orders_by_what_lies_outside_it_too(spark):
     assert ranked(lg.ordered_selection(edges, seeds, "prod")) == ["s", "t", "b"]
 
 
+def test_rounds_do_not_move_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(lg, "EDGE_ROWS", 10)
+    stored = lg._Edges(edges_df(spark, random_dag(3) * 2))
+    assert stored.buckets > 4
+    assert stored.by("producer").count() == len(random_dag(3))
+    for end in ("producer", "consumer"):
+        plan = stored.by(end).groupBy(end).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    assert ranked(lg.producer_first(edges_df(spark, random_dag(3)))) == ready_list_order(random_dag(3))
+
+
+def test_a_selection_in_both_directions_is_walked_once(spark, monkeypatch):
+    walks = []
+    walk = lg._walk
+    monkeypatch.setattr(lg, "_walk", lambda edges, seeds, ways: walks.append(ways) or walk(edges, seeds, ways))
+    edges = edges_df(spark, [("b", "a"), ("c", "b"), ("y", "x"), (None, "a"), ("c", None)])
+    seeds = spark.createDataFrame([("b",)], "node string")
+    # a dependency without a name is never placed, so c is not either
+    assert ranked(lg.ordered_selection(edges, seeds, "preview")) == ["a", "b"]
+    assert len(walks) == 1
+
+
 def test_cycle_chains_of_all_parts(spark):
     ring = [(f"r{i:02d}", f"r{(i + 1) % 13:02d}") for i in range(13)]
     pairs = ring + [("a", "b"), ("b", "c"), ("c", "b"), ("c", "a"), ("s", "s"), ("m", "a"), ("r03", "m"), ("x", "r00"), ("a", "y")]
