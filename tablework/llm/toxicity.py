@@ -10,16 +10,16 @@ row for each id):
 * document frequencies for the IDF weights are counted over all documents;
 * a term's weight is its IDF, times ``UNTOLD`` for words whose counts tell
   nothing about the label by that test: they count, but less;
-* the labelled rows become unit TF-IDF vectors in an inverted index whose
-  postings are cut into blocks of ``BLOCK`` examples, each with the largest
-  weight it holds for a term.
+* the labelled rows become unit TF-IDF vectors, kept by example and in an
+  inverted index, where the ``DENSE`` terms of most examples are rows of a
+  matrix instead of postings.
 
 Score (``score``): a document's vector has all its words; those of no example
-count in its length, with the IDF of a word never seen.  It meets the blocks
-with the largest upper bounds (query weights times block maxima), then all
-blocks whose bound reaches the ``NEIGHBOURS``-th best similarity found there,
-so the neighbours are exact; bounds that hardly differ leave no block out, and
-all are met at once.  Their labels vote with their similarity; a
+count in its length, with the IDF of a word never seen.  ``TOGETHER`` vectors
+at a time meet the matrix (one product) and the postings of their other terms,
+in single precision.  Examples that may be among the ``NEIGHBOURS`` best by the
+error bound of that arithmetic are met again in double precision, so the
+neighbours are exact.  Their labels vote with their similarity; a
 logistic curve fitted to leave-one-out votes of the examples turns votes into
 probabilities.  The nearest examples are returned as evidence.  One pass
 without a shuffle; the index is bounded by the two parameters above and is
@@ -39,7 +39,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,9 +54,8 @@ STEMS = (4, 5, 6)
 MIN_DOCS = 3
 FALSE_FEATURES = 0.05
 UNTOLD = 0.1
-BLOCK = 64
-FIRST_BLOCKS = 4
-STEEP = 2.0
+DENSE = 512
+TOGETHER = 32
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.25
 N_EVIDENCE = 3
@@ -67,8 +66,16 @@ SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Of Latin-1: letters stay, what ends a word becomes a space.
+_LATIN = bytes(c if _WORD.fullmatch(chr(c)) else 32 for c in range(256))
+
+
 def words(raw: bytes) -> list[str]:
-    return _WORD.findall(raw.decode("utf-8", "replace").lower())
+    text = raw.decode("utf-8", "replace").lower()
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
 
 
 def features(word: str) -> list[str]:
@@ -81,27 +88,36 @@ class TermCounter:
 
     def __init__(self, terms: list[str]):
         self.index = {t: i for i, t in enumerate(terms)}
-        self.words = frozenset(t for t in terms if not t.endswith("~"))
-        self.heads = {t.rstrip("~")[: STEMS[0]] for t in terms if t.endswith("~")}
+        self.heads = {t[: STEMS[0]] for t in terms if t.endswith("~")}
 
-    def __call__(self, raw: bytes) -> tuple[dict[int, int], list[int]]:
-        heads, n, index = self.heads, STEMS[0], self.index
-        counts = Counter(words(raw))
-        distinct = set(counts)
-        known = distinct & self.words
-        found = {index[w]: counts[w] for w in known}
-        for w in counts:
+    def _begun(self, distinct: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """The words with beginnings that are terms, once for each of these."""
+        heads, n, get = self.heads, STEMS[0], self.index.get
+        for w in distinct:
             if w[:n] in heads:
                 for f in features(w)[1:]:
-                    if (i := index.get(f)) is not None:
-                        found[i] = found.get(i, 0) + counts[w]
-        return found, [counts[w] for w in distinct - known]
+                    if (i := get(f)) is not None:
+                        yield w, i
+
+    def __call__(self, raw: bytes) -> tuple[dict[int, int], list[int]]:
+        counts = Counter(words(raw))
+        numbers = list(map(self.index.get, counts))
+        found = dict(zip(numbers, counts.values(), strict=True))
+        unknown: list[int] = []
+        if None in found:  # its place holds the last of the unknown words only
+            del found[None]
+            unknown = [n for i, n in zip(numbers, counts.values(), strict=True) if i is None]
+        for w, i in self._begun(counts):
+            found[i] = found.get(i, 0) + counts[w]
+        return found, unknown
 
     def present(self, raw: bytes) -> list[int]:
         """The numbers of the terms in a text."""
-        distinct, n = set(words(raw)), STEMS[0]
-        begun = {f for w in distinct if w[:n] in self.heads for f in features(w)[1:] if f in self.index}
-        return list(map(self.index.__getitem__, [*(distinct & self.words), *begun]))
+        distinct = set(words(raw))
+        found = set(map(self.index.get, distinct))
+        found.update(i for _, i in self._begun(distinct))
+        found.discard(None)
+        return list(found)
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,106 +126,124 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
+Vector = tuple[np.ndarray, np.ndarray]  # terms, rising, and their values
+
+
 @dataclass
 class Index:
-    """Inverted index over unit vectors: a term has an entry for each block of
-    examples that holds it, an entry its largest weight and its postings."""
+    """Unit vectors by example, and inverted: the terms of most examples as rows
+    of a matrix, the others with their postings."""
 
     idf: np.ndarray  # weights of the terms
     ids: np.ndarray  # of the examples, in index order
     toxic: np.ndarray
-    first_entry: np.ndarray  # of each term
-    entry_block: np.ndarray
-    entry_max: np.ndarray
-    first_posting: np.ndarray  # of each entry
-    example: np.ndarray
+    first: np.ndarray  # place of each example's first term
+    term: np.ndarray
     weight: np.ndarray
+    row: np.ndarray  # of each term in the matrix, -1 if it has none
+    first_posting: np.ndarray  # of each term
+    example: np.ndarray  # of each posting
+    rough: np.ndarray  # its weight in single precision
+    _rows: np.ndarray | None = field(default=None, repr=False)
+    _query: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, vectors: list[dict[int, int]], ids: list, toxic: list[int], idf: np.ndarray) -> Index:
-        units = [unit(v, idf) for v in vectors]
-        # examples with the same heaviest terms share blocks, which keeps the maxima tight
-        order = sorted(range(len(units)), key=lambda i: (sorted(units[i], key=units[i].get, reverse=True)[:16], ids[i]))
-        term = np.concatenate([np.fromiter(units[i], np.int64, len(units[i])) for i in order] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([np.fromiter(units[i].values(), float, len(units[i])) for i in order] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(order)), [len(units[i]) for i in order])
-        by_term = np.argsort(term, kind="stable")
-        term, weight, example = term[by_term], weight[by_term], example[by_term]
-        block = example // BLOCK
-        fresh = np.ones(len(term), bool)
-        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        start = np.flatnonzero(fresh)
-        top = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        return cls.of([_arrays(v, float) for v in vectors], ids, toxic, idf)
+
+    @classmethod
+    def of(cls, vectors: list[Vector], ids: list, toxic: list[int], idf: np.ndarray) -> Index:
+        units = [_unit(*v, idf) for v in vectors]
+        # the order decides between examples of equal similarity: by their heaviest terms, then by id
+        order = sorted(range(len(units)), key=lambda i: (units[i][0][np.argsort(-units[i][1], kind="stable")[:16]].tolist(), ids[i]))
+        lengths = np.array([len(units[i][0]) for i in order], np.int64)
+        term = np.concatenate([units[i][0] for i in order] or [np.zeros(0)]).astype(np.int32)
+        weight = np.concatenate([units[i][1] for i in order] or [np.zeros(0)])
+        held = np.bincount(term, minlength=len(idf))
+        dense = np.sort(np.argsort(-held, kind="stable")[:DENSE])
+        row = np.full(len(idf), -1, np.int32)
+        row[dense] = np.arange(len(dense))
+        posting = np.argsort(term, kind="stable")
+        posting = posting[row[term[posting]] < 0]
+        example = np.repeat(np.arange(len(order), dtype=np.int32), lengths)[posting]
         return cls(
-            idf, np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.int64),
-            np.searchsorted(term[start], np.arange(len(idf) + 1)), block[start], top, np.append(start, len(term)), example, weight,
+            idf, np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.int64), np.append(0, np.cumsum(lengths)),
+            term, weight, row, np.searchsorted(term[posting], np.arange(len(idf) + 1)), example, weight[posting].astype(np.float32),
         )
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_rows": None, "_query": None}  # tasks make their own
+
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest cosine above 0 as (similarity, example
         number); equal ones by example number."""
-        return self.nearest_to(*_arrays(query, float), k, skip)
-
-    def nearest_to(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
-        """:meth:`nearest` of a vector given as terms, rising, and weights."""
-        entries, n = _ranges(self.first_entry[terms], self.first_entry[terms + 1])
-        if not len(entries):
-            return []
-        of_entry, blocks = np.repeat(weights, n), self.entry_block[entries]
-        bound = np.bincount(blocks, of_entry * self.entry_max[entries], -(-len(self.ids) // BLOCK))
-
-        def visit(chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-            if chosen is None:  # all blocks: the postings of a term stand together
-                at, n = _ranges(self.first_posting[self.first_entry[terms]], self.first_posting[self.first_entry[terms + 1]])
-                weight = np.repeat(weights, n)
-            else:
-                inside = chosen[blocks]
-                at, n = _ranges(self.first_posting[entries[inside]], self.first_posting[entries[inside] + 1])
-                weight = np.repeat(of_entry[inside], n)
-            scores = np.bincount(self.example[at], weight * self.weight[at], len(self.ids))
-            if skip >= 0:
-                scores[skip] = 0
-            found = np.flatnonzero(scores > (max(0.0, np.partition(scores, -k)[-k] - 1e-9) if len(scores) > k else 0))
-            return found, np.round(scores[found], 12)
-
-        chosen, rest = np.zeros(len(bound), bool), bound > 0
-        if bound.max() > STEEP * np.median(bound):  # else no block could be left out
-            chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-            found, scores = visit(chosen & rest)
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            rest &= ~chosen & (bound >= least - 1e-9)
-        else:
-            found, scores = np.zeros(0, np.int64), np.zeros(0)
-        if 2 * np.count_nonzero(rest) > len(rest):
-            found, scores = visit(None)
-        elif rest.any():
-            more, others = visit(rest)
-            found, scores = np.concatenate((found, more)), np.concatenate((scores, others))
-        if len(scores) > k:
-            top = scores >= np.partition(scores, -k)[-k]
-            found, scores = found[top], scores[top]
+        return self.nearest_to([_arrays(query, float)], k, [skip])[0]
+
+    def nearest_to(self, queries: Sequence[Vector], k: int = NEIGHBOURS, skip: Sequence[int] = ()) -> list[list[tuple[float, int]]]:
+        """:meth:`nearest` of each vector."""
+        found = []
+        for i in range(0, len(queries), TOGETHER):
+            part = queries[i : i + TOGETHER]
+            scores = self._rough(part)
+            for at, without in enumerate(skip[i : i + TOGETHER]):
+                if without >= 0:
+                    scores[at, without] = 0
+            found += [self._exact(*q, s, k) for q, s in zip(part, scores, strict=True)]
+        return found
+
+    def _rough(self, queries: Sequence[Vector]) -> np.ndarray:
+        """Similarities to all examples, in single precision."""
+        n = len(self.ids)
+        if self._rows is None:
+            at = np.flatnonzero(self.row[self.term] >= 0)
+            self._rows = np.zeros((int(self.row.max(initial=-1)) + 1, n), np.float32)
+            self._rows[self.row[self.term[at]], np.searchsorted(self.first, at, "right") - 1] = self.weight[at]
+        heavy = np.zeros((len(queries), len(self._rows)), np.float32)
+        scores = np.empty((len(queries), n), np.float32)
+        for q, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            heavy[q, row[row >= 0]] = weights[row >= 0]
+            rest, weights = terms[row < 0], weights[row < 0]
+            at, lengths = _ranges(self.first_posting[rest], self.first_posting[rest + 1])
+            scores[q] = np.bincount(self.example[at], np.repeat(weights, lengths) * self.rough[at], n)
+        scores += heavy @ self._rows
+        return scores
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The nearest examples, given similarities of single precision.  These
+        are sums over the matrix's terms of products that add up to 1 at most,
+        so each is off by a rounding error a term and a few more at most."""
+        error = (len(self._rows) + 16) * 2.0**-24
+        found = np.flatnonzero(rough > (max(0.0, np.partition(rough, -k)[-k] - 3 * error) if len(rough) > k else 0))
+        if self._query is None:
+            self._query = np.zeros(len(self.idf))
+        self._query[terms] = weights
+        begin, end = self.first[found], self.first[found + 1]
+        held = [slice(i, j) for i, j in zip(begin.tolist(), end.tolist(), strict=True)] or [slice(0)]
+        products = self._query[np.concatenate([self.term[x] for x in held])] * np.concatenate([self.weight[x] for x in held])
+        scores = np.round(np.bincount(np.repeat(np.arange(len(found)), end - begin), products, len(found)), 12)
+        self._query[terms] = 0
         order = np.lexsort((found, -scores))[:k]
         return list(zip(scores[order].tolist(), found[order].tolist(), strict=True))
 
 
-def _arrays(by_term: dict, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(by_term: dict, kind: type) -> Vector:
     """The terms of a vector, rising, and their values."""
     terms, values = np.fromiter(by_term, np.int64, len(by_term)), np.fromiter(by_term.values(), kind, len(by_term))
     order = np.argsort(terms)
     return terms[order], values[order]
 
 
-def unit_arrays(counts: dict[int, int], idf: np.ndarray, unknown: Sequence[int] = (), unseen: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """The TF-IDF vector of a text over its length, as terms and weights; words
-    that are no terms (their counts in ``unknown``) only make it longer."""
-    terms, values = _arrays(counts, float)
+def _unit(terms: np.ndarray, values: np.ndarray, idf: np.ndarray, unknown: Sequence[int] = (), unseen: float = 0.0) -> Vector:
+    """The TF-IDF vector of a text over its length; words that are no terms
+    (their counts in ``unknown``) only make it longer."""
     weights = (1 + np.log(values)) * idf[terms]
     other = (1 + np.log(np.sort(np.array(unknown, float)))) * unseen
     return terms, weights / math.sqrt(float((weights * weights).sum() + (other * other).sum()))
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    terms, weights = unit_arrays(counts, idf)
+    terms, weights = _unit(*_arrays(counts, float), idf)
     return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
 
@@ -230,14 +264,19 @@ class Model:
         toxic = sum(s for s, i in near if self.index.toxic[i])
         return (toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT)
 
-    def score(self, raw: bytes) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, texts: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of each text."""
         if self.index is None:
-            return 0.0, []
+            yield from ((0.0, []) for _ in texts)
+            return
         if self._counter is None:
             self._counter = TermCounter(self.terms)
-        counts, unknown = self._counter(raw)
-        near = self.index.nearest_to(*unit_arrays(counts, self.index.idf, unknown, self.unseen)) if counts else []
-        return calibrated(self.vote(near), self.curve), near
+        for i in range(0, len(texts), TOGETHER):
+            counted = [self._counter(t) for t in texts[i : i + TOGETHER]]
+            near = iter(self.index.nearest_to([_unit(*_arrays(c, float), self.index.idf, unknown, self.unseen) for c, unknown in counted if c]))
+            for c, _ in counted:
+                found = next(near) if c else []
+                yield calibrated(self.vote(found), self.curve), found
 
 
 def logit(p: float) -> float:
@@ -353,26 +392,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, sa
         found = map_texts(sample, vectors, "doc_id long, f array<int>, n array<int>").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").toArrow()
     finally:
         sample.unpersist()
-    found = found.sort_by("doc_id")
-    counted = [(dict(zip(f.as_py(), n.as_py(), strict=True)), i.as_py(), t.as_py()) for f, n, i, t in zip(*(found.column(c) for c in ("f", "n", "doc_id", "toxic")), strict=True)]
+    found = found.sort_by("doc_id").combine_chunks()
+    ids, toxic = found.column("doc_id").to_pylist(), found.column("toxic").to_pylist()
+    numbers, counts = (found.column(c).combine_chunks() for c in "fn")
+    bounds = np.append(0, np.cumsum(np.asarray(numbers.value_lengths())))
+    numbers, counts = np.asarray(numbers.flatten()), np.asarray(counts.flatten()).astype(float)
     told = np.where(tells, 1.0, UNTOLD)
     n_docs = source.count()
     idf = told * (np.log((1 + n_docs) / (1 + _document_frequencies(source, terms))) + 1)
-    inside = [x for x in counted if x[0]]
-    outside = [x[2] for x in counted if not x[0]]
-    prior = sum(x[2] for x in counted) / len(counted)
-    index = Index.build([x[0] for x in inside], [x[1] for x in inside], [x[2] for x in inside], idf)
+    inside = [i for i in range(len(ids)) if bounds[i] < bounds[i + 1]]
+    outside = [toxic[i] for i in range(len(ids)) if bounds[i] == bounds[i + 1]]
+    vectors = [(numbers[bounds[i] : bounds[i + 1]], counts[bounds[i] : bounds[i + 1]]) for i in inside]
+    prior = sum(toxic) / len(toxic)
+    index = Index.of(vectors, [ids[i] for i in inside], [toxic[i] for i in inside], idf)
     model = Model(terms, index, prior, (sum(outside) + prior) / (len(outside) + 1), UNTOLD * (math.log(1 + n_docs) + 1))
     number = {int(i): at for at, i in enumerate(index.ids)}
-    votes = [model.vote(index.nearest(unit(v, idf), skip=number[i])) for v, i, _ in inside]
-    model.curve = fit_curve(votes + [model.none_rate] * len(outside), [x[2] for x in inside] + outside)
+    near = index.nearest_to([_unit(*v, idf) for v in vectors], skip=[number[ids[i]] for i in inside])
+    votes = [model.vote(x) for x in near]
+    model.curve = fit_curve(votes + [model.none_rate] * len(outside), [toxic[i] for i in inside] + outside)
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: score, predicted label, nearest examples."""
     def run(ids: list, texts: list[bytes]) -> dict[str, object]:
-        results = [model.score(t) for t in texts]
+        results = list(model.score(texts))
         evidence = [[{"doc_id": int(model.index.ids[i]), "similarity": s, "toxic": int(model.index.toxic[i])} for s, i in near[:N_EVIDENCE]] for _, near in results]
         return {"doc_id": ids, "score": [s for s, _ in results], "predicted": [int(s >= 0.5) for s, _ in results], "evidence": evidence}
 
@@ -385,6 +429,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for part, texts in chunks(batches):
-            yield part.filter(pa.array([model.score(t)[0] < 0.5 for t in texts], pa.bool_()))
+            yield part.filter(pa.array([s < 0.5 for s, _ in model.score(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -162,3 +162,38 @@ def test_one_example_for_an_id_and_a_bound_on_text(spark, tables):
     assert len(few) == len({r.doc_id for r in few}) <= 50
     small = toxicity._sample(toxicity.id_and_text(many), labels, 50, 3000).collect()
     assert 0 < sum(len((r.text or "").encode()) for r in small) <= 3000
+
+
+@pytest.mark.parametrize("dense", [0, 8, 512])
+def test_frequent_terms_are_rows_and_neighbours_stay_exact(monkeypatch, dense):
+    """Postings are met for the rarer terms only; copies and an example left
+    out, in vectors scored together."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)
+    rng = np.random.default_rng(4)
+    n_terms, n = 900, 300
+    vectors = [{t: 1 for t in range(8)} | {int(t): int(rng.integers(1, 4)) for t in rng.choice(np.arange(8, n_terms), 5, replace=False)} for _ in range(n)]
+    vectors += vectors[:40]
+    idf = rng.uniform(1, 6, n_terms)
+    index = toxicity.Index.build(vectors, list(range(len(vectors))), [0] * len(vectors), idf)
+    assert len(index.example) <= {0: 13, 8: 5, 512: 2}[dense] * len(vectors)
+    matrix = np.zeros((len(vectors), n_terms))
+    for at, i in enumerate(index.ids):
+        for t, w in toxicity.unit(vectors[i], idf).items():
+            matrix[at, t] = w
+    skip = [at if at % 2 else -1 for at in range(len(vectors))]
+    queries = [(np.flatnonzero(row), row[np.flatnonzero(row)]) for row in matrix]
+    for row, without, got in zip(matrix, skip, index.nearest_to(queries, 15, skip)):
+        similar = np.round(matrix @ row, 12)
+        if without >= 0:
+            similar[without] = 0
+        want = sorted(similar[similar > 0], reverse=True)[:15]
+        assert [s for s, _ in got] == pytest.approx(want, abs=1e-9) and without not in [i for _, i in got]
+        assert got == sorted(got, key=lambda x: (-x[0], x[1])) and all(similar[i] == pytest.approx(s, abs=1e-9) for s, i in got)
+
+
+def test_words_of_latin_texts_are_those_of_the_pattern():
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.choice([rng.randrange(256), rng.randrange(97, 123), 32, 0x130, 0x4E2D, 0x2019][: rng.choice([3, 6])])) for _ in range(60)) for _ in range(500)]
+    for t in ["", "a_b2c²d ªº µÀÿ İx", *texts]:
+        assert toxicity.words(t.encode()) == toxicity._WORD.findall(t.lower())
