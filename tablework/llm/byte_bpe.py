@@ -9,7 +9,8 @@
    tokens.  That is the rule of joining the pair of lowest rank (the leftmost of
    equals) as long as merges come in rising order of rank, which is checked for
    the whole vocabulary.  The literal is an open-addressing table in one array,
-   so that a look-up costs the same for any vocabulary.
+   so that a look-up costs the same for any vocabulary.  A second one has the
+   length of the longest piece by its head, so that longer parts are not tried.
 3. A second Python step replaces word numbers by ids, and decodes: the pieces
    of the ids, concatenated.
 
@@ -31,8 +32,11 @@ import base64
 import hashlib
 import heapq
 import json
+import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,7 @@ TASK_WORDS = 1_500_000
 #: Text of a task: a word is sent on once a task, so small scan splits are joined.
 TASK_BYTES = 72 << 20
 SLICE_BYTES = 1 << 20
+HEAD = 3
 ID_BITS = 17
 NONE = 1 << ID_BITS  # above all ids
 
@@ -139,6 +144,11 @@ def let(value: Column, body) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
+def bound(literal: Column, body) -> Column:
+    """``body`` of a literal that the plan holds once."""
+    return F.get(F.transform(F.array(literal), body), 0)
+
+
 def _left(x: Column, n: Column) -> Column:
     return F.call_function("shiftleft", x, n)
 
@@ -147,7 +157,25 @@ def _right(x: Column, n: Column) -> Column:
     return F.call_function("shiftright", x, n)
 
 
-def fold_merges(table: Column, ranks: RankTable, word: Column, longest: int) -> Column:
+class Reach:
+    """The length of the longest piece that begins like a part, by the hash of
+    its first ``HEAD`` bytes; heads that share a place share the larger one."""
+
+    def __init__(self, pieces: list[bytes], head_hashes: list[int]):
+        self.bits = max(4, (8 * len(set(head_hashes))).bit_length())
+        self.slots = [HEAD - 1] * (1 << self.bits)  # shorter parts are looked up in any case
+        for p, h in zip(pieces, head_hashes, strict=True):
+            at = h & ((1 << self.bits) - 1)
+            self.slots[at] = max(self.slots[at], min(len(p), LONG_WORD))
+
+    def literal(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.slots, separators=(",", ":"))), "array<int>")
+
+    def longest(self, table: Column, head: Column) -> Column:
+        return F.get(table, F.xxhash64(head).bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int"))
+
+
+def fold_merges(table: Column, ranks: RankTable, word: Column, reach_table: Column, reach: Reach) -> Column:
     """Ids of one word (binary, at most ``LONG_WORD`` bytes).
 
     The state of the fold is the set of token borders, one bit each.  The
@@ -176,7 +204,8 @@ def fold_merges(table: Column, ranks: RankTable, word: Column, longest: int) ->
 
     def merged(n: Column) -> Column:
         def parts(i: Column) -> Column:
-            sizes = F.filter(F.sequence(F.lit(2), F.least(n - i, F.lit(longest))), lambda size: ranks.maybe(table, F.substring(word, i + 1, size)))
+            most = F.least(n - i, reach.longest(reach_table, F.substring(word, i + 1, HEAD)))
+            sizes = F.filter(F.sequence(F.lit(2), most), lambda size: ranks.maybe(table, F.substring(word, i + 1, size)))
             # rank, start and size are one number, so that sorting numbers sorts by rank, then place
             return F.transform(sizes, lambda size: ranks.rank(table, F.substring(word, i + 1, size)) * 4096 + (i * 64 + size))
 
@@ -216,23 +245,44 @@ def heap_merges(word: bytes, number: dict[bytes, int]) -> list[int]:
     return [number[word[i : ends[i]]] for i in range(len(word)) if i not in starts]
 
 
+def _finder(pattern: str):
+    """All matches in a text.  In texts of Latin-1 characters the classes of the
+    pattern are written out, which ``re`` is quicker at."""
+    import regex
+
+    whole = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    find, latin = regex.compile(whole).findall, whole
+    for name in ("L", "N", "White_Space"):
+        members = "".join(f"\\x{c:02x}" for c in range(256) if regex.fullmatch(rf"\p{{{name}}}", chr(c)))
+        # within a class of several the members alone
+        latin = regex.sub(rf"(?<=\[[^\]]*)\\p{{{name}}}", lambda _: members, latin)  # noqa: B023
+        latin = latin.replace(rf"\p{{{name}}}", f"[{members}]").replace(rf"\P{{{name}}}", f"[^{members}]")
+    find_latin = re.compile(latin).findall if r"\p" not in latin.lower() else find
+
+    def run(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return find(text)
+        return find_latin(text)
+
+    return run
+
+
 def _split(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        known: dict[str, int] = {}
+        find = _finder(pattern)
+        known: dict[str, int] = defaultdict(count().__next__)
         for part, texts in chunks(batches, max_bytes=SLICE_BYTES):
             reset = len(known) > TASK_WORDS
             if reset:
-                known = {}
-            split = [find(t.decode("utf-8", "replace")) for t in texts]
-            new = [w for w in set().union(*split) if w not in known]
-            for w in new:
-                known[w] = len(known)
-            fresh = [w.encode() for w in new]
-            get, counts = known.__getitem__, [len(ws) for ws in split]
-            refs = np.fromiter(map(get, chain.from_iterable(split)), np.int32, sum(counts))
+                known = defaultdict(count().__next__)
+            before, counts, refs = len(known), [], array("i")
+            for t in texts:
+                split = find(t.decode("utf-8", "replace"))
+                counts.append(len(split))
+                refs.extend(map(known.__getitem__, split))  # a new word gets the next number
+            fresh = [w.encode() for w in islice(reversed(known), len(known) - before)][::-1]
             short = [w if len(w) <= LONG_WORD else b"" for w in fresh]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -314,13 +364,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True,
     pieces = read_ranks(rank_file)
     check_order(pieces)
     numbered = docs.sparkSession.createDataFrame(list(enumerate(pieces)), "i int, p binary")
-    ranks = RankTable([r.h for r in numbered.select("i", F.xxhash64("p").alias("h")).orderBy("i").collect()])  # one number a piece
-    longest = min(LONG_WORD, max(map(len, pieces)))
+    hashes = numbered.select("i", F.xxhash64("p").alias("h"), F.xxhash64(F.substring("p", 1, HEAD)).alias("b")).orderBy("i").collect()  # two numbers a piece
+    ranks, reach = RankTable([r.h for r in hashes]), Reach(pieces, [r.b for r in hashes])
     source = id_and_text(docs, id_col, text_col)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     split = source.coalesce(max(1, size // TASK_BYTES)).mapInArrow(_split(pattern), SPLIT)
-    # the table is bound once, as a variable, so that the plan holds one literal
-    encoded = F.get(F.transform(F.array(ranks.literal()), lambda table: F.transform("fresh", lambda word: fold_merges(table, ranks, word, longest))), 0)
+    # the tables are bound once, as variables, so that the plan holds one literal of each
+    encoded = bound(ranks.literal(), lambda table: bound(reach.literal(), lambda most: F.transform("fresh", lambda word: fold_merges(table, ranks, word, most, reach))))
     merged = split.select("doc_ids", "counts", "refs", "long", "reset", encoded.alias("encoded"))
     return merged.mapInArrow(_assemble(pieces, with_ids), ENCODED)
 

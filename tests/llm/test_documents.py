@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tablework.llm import byte_bpe, content_sort, packing, parity_join, repetition, secret_scan, substrings
 from tablework.llm.components import connected_components
@@ -352,6 +353,30 @@ def test_heap_merges_follow_the_same_rule():
         assert byte_bpe.heap_merges(word, number) == plain(word)
 
 
+def test_splitting_of_latin_texts_follows_the_pattern():
+    import random
+
+    import regex
+
+    rng = random.Random(6)
+    plain = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+    find = byte_bpe._finder(public_tokenizers.PATTERN)
+    kinds = [lambda: rng.randrange(256), lambda: rng.choice(b" '\n\tstvmreld09"), lambda: rng.randrange(128), lambda: rng.choice([0x2019, 0x4E2D, 0x2003])]
+    for k in range(3000):
+        text = "".join(chr(rng.choice(kinds[: 3 + k % 2])()) for _ in range(rng.randrange(40)))
+        assert find(text) == plain(text)
+
+
+def test_reach_leaves_out_no_piece(spark):
+    """A piece is found from its head; a head of no longer piece is not followed."""
+    pieces = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
+    rows = spark.createDataFrame(list(enumerate(pieces)), "i int, p binary").select("i", F.xxhash64(F.substring("p", 1, byte_bpe.HEAD)).alias("b")).orderBy("i").collect()
+    reach = byte_bpe.Reach(pieces, [r.b for r in rows])
+    most = [reach.slots[r.b & ((1 << reach.bits) - 1)] for r in rows]
+    assert all(m >= min(len(p), byte_bpe.LONG_WORD) for m, p in zip(most, pieces))
+    assert np.mean(np.array(reach.slots) == byte_bpe.HEAD - 1) > 0.8
+
+
 # --- secrets -------------------------------------------------------------
 
 
