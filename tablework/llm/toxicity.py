@@ -264,7 +264,10 @@ class Model:
         toxic = sum(s for s, i in near if self.index.toxic[i])
         return (toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT)
 
-    def score(self, texts: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+    def score(self, raw: bytes) -> tuple[float, list[tuple[float, int]]]:
+        return next(self.scores([raw]))
+
+    def scores(self, texts: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Score and nearest examples of each text."""
         if self.index is None:
             yield from ((0.0, []) for _ in texts)
@@ -416,7 +419,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, sa
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: score, predicted label, nearest examples."""
     def run(ids: list, texts: list[bytes]) -> dict[str, object]:
-        results = list(model.score(texts))
+        results = list(model.scores(texts))
         evidence = [[{"doc_id": int(model.index.ids[i]), "similarity": s, "toxic": int(model.index.toxic[i])} for s, i in near[:N_EVIDENCE]] for _, near in results]
         return {"doc_id": ids, "score": [s for s, _ in results], "predicted": [int(s >= 0.5) for s, _ in results], "evidence": evidence}
 
@@ -429,6 +432,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for part, texts in chunks(batches):
-            yield part.filter(pa.array([s < 0.5 for s, _ in model.score(texts)], pa.bool_()))
+            yield part.filter(pa.array([s < 0.5 for s, _ in model.scores(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
