@@ -22,8 +22,9 @@ error bound of that arithmetic are met again in double precision, so the
 neighbours are exact.  Their labels vote with their similarity; a
 logistic curve fitted to leave-one-out votes of the examples turns votes into
 probabilities.  The nearest examples are returned as evidence.  One pass
-without a shuffle; the index is bounded by the two parameters above and is
-broadcast.
+without a shuffle; the index is bounded by the two parameters above.  It goes
+to the executors as a file (``ship``) that their Python workers map, so that
+they share its pages and hold the terms' numbers only.
 
 Edge cases: null or empty texts, and texts that share no term with an example,
 have no neighbours and get the share of toxic examples that have none either;
@@ -36,17 +37,23 @@ are never terms.
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import chunks, crc32_text, id_and_text, map_texts
+from tablework.llm.common import chunks, crc32_text, id_and_text, map_texts, release_memory
 
 MAX_EXAMPLES = 4096
 SAMPLE_BYTES = 32 << 20
@@ -171,8 +178,13 @@ class Index:
             term, weight, row, np.searchsorted(term[posting], np.arange(len(idf) + 1)), example, weight[posting].astype(np.float32),
         )
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_rows": None, "_query": None}  # tasks make their own
+    def matrix(self) -> np.ndarray:
+        """Weights in all examples of the terms that have a row."""
+        if self._rows is None:
+            at = np.flatnonzero(self.row[self.term] >= 0)
+            self._rows = np.zeros((int(self.row.max(initial=-1)) + 1, len(self.ids)), np.float32)
+            self._rows[self.row[self.term[at]], np.searchsorted(self.first, at, "right") - 1] = self.weight[at]
+        return self._rows
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest cosine above 0 as (similarity, example
@@ -193,12 +205,8 @@ class Index:
 
     def _rough(self, queries: Sequence[Vector]) -> np.ndarray:
         """Similarities to all examples, in single precision."""
-        n = len(self.ids)
-        if self._rows is None:
-            at = np.flatnonzero(self.row[self.term] >= 0)
-            self._rows = np.zeros((int(self.row.max(initial=-1)) + 1, n), np.float32)
-            self._rows[self.row[self.term[at]], np.searchsorted(self.first, at, "right") - 1] = self.weight[at]
-        heavy = np.zeros((len(queries), len(self._rows)), np.float32)
+        n, rows = len(self.ids), self.matrix()
+        heavy = np.zeros((len(queries), len(rows)), np.float32)
         scores = np.empty((len(queries), n), np.float32)
         for q, (terms, weights) in enumerate(queries):
             row = self.row[terms]
@@ -206,14 +214,14 @@ class Index:
             rest, weights = terms[row < 0], weights[row < 0]
             at, lengths = _ranges(self.first_posting[rest], self.first_posting[rest + 1])
             scores[q] = np.bincount(self.example[at], np.repeat(weights, lengths) * self.rough[at], n)
-        scores += heavy @ self._rows
+        scores += heavy @ rows
         return scores
 
     def _exact(self, terms: np.ndarray, weights: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The nearest examples, given similarities of single precision.  These
         are sums over the matrix's terms of products that add up to 1 at most,
         so each is off by a rounding error a term and a few more at most."""
-        error = (len(self._rows) + 16) * 2.0**-24
+        error = (len(self.matrix()) + 16) * 2.0**-24
         found = np.flatnonzero(rough > (max(0.0, np.partition(rough, -k)[-k] - 3 * error) if len(rough) > k else 0))
         if self._query is None:
             self._query = np.zeros(len(self.idf))
@@ -282,6 +290,49 @@ class Model:
                 yield calibrated(self.vote(found), self.curve), found
 
 
+#: The arrays of an index that a file holds.
+ARRAYS = ("idf", "ids", "toxic", "first", "term", "weight", "row", "first_posting", "example", "rough", "_rows")
+
+
+@dataclass
+class Shipped:
+    """A model whose terms and arrays stand in a file that executors have.  A
+    task's function that holds this is small; what it opens is mapped, so the
+    Python workers of an executor share the pages."""
+
+    name: str
+    places: dict[str, tuple[str, tuple[int, ...], int, int]]  # of each array: type, shape, first byte, end
+    numbers: dict[str, object]  # the model's other fields
+
+    def open(self) -> Model:
+        if not self.places:
+            return Model([], **self.numbers)
+        data = np.asarray(np.memmap(SparkFiles.get(self.name), np.uint8, "r"))
+        found = {k: data[i:j].view(kind).reshape(shape) for k, (kind, shape, i, j) in self.places.items()}
+        terms = found.pop("terms").tobytes().decode().split("\n")
+        return Model(terms, Index(**found), **self.numbers)
+
+
+def ship(spark: SparkSession, model: Model) -> Shipped:
+    """Write the model to a file of the driver, which Spark copies to each
+    executor once; it is kept as long as the driver runs."""
+    numbers = {"prior": model.prior, "none_rate": model.none_rate, "unseen": model.unseen, "curve": model.curve}
+    if model.index is None:
+        return Shipped("", {}, numbers)
+    model.index.matrix()
+    arrays = {k: getattr(model.index, k) for k in ARRAYS} | {"terms": np.frombuffer("\n".join(model.terms).encode(), np.uint8)}
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="tablework-model-"))
+    atexit.register(shutil.rmtree, folder, True)
+    name, places = f"toxicity-{uuid.uuid4().hex}", {}
+    with open(f"{folder}/{name}", "wb") as f:
+        for k, a in arrays.items():
+            f.write(b"\0" * (-f.tell() % 64))
+            places[k] = (a.dtype.str, a.shape, f.tell(), f.tell() + a.nbytes)
+            f.write(np.ascontiguousarray(a).data)
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return Shipped(name, places, numbers)
+
+
 def logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return math.log(p / (1 - p))
@@ -364,11 +415,15 @@ def _document_frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
     per term at most."""
     import pyarrow as pa
 
+    joined, n = "\n".join(terms), len(terms)  # one string takes less of a worker than many
+
     def run(batches):
-        count, total = TermCounter(terms), np.zeros(len(terms), np.int64)
+        count, total = TermCounter(joined.split("\n")), np.zeros(n, np.int64)
         for _, texts in chunks(batches):
             for t in texts:
                 total[count.present(t)] += 1
+        del count
+        release_memory()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -418,9 +473,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, sa
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: score, predicted label, nearest examples."""
+    shipped = ship(docs.sparkSession, model)
+    opened: list[Model] = []  # of a task
+
     def run(ids: list, texts: list[bytes]) -> dict[str, object]:
-        results = list(model.scores(texts))
-        evidence = [[{"doc_id": int(model.index.ids[i]), "similarity": s, "toxic": int(model.index.toxic[i])} for s, i in near[:N_EVIDENCE]] for _, near in results]
+        if not opened:
+            opened.append(shipped.open())
+        results, index = list(opened[0].scores(texts)), opened[0].index
+        evidence = [[{"doc_id": int(index.ids[i]), "similarity": s, "toxic": int(index.toxic[i])} for s, i in near[:N_EVIDENCE]] for _, near in results]
         return {"doc_id": ids, "score": [s for s, _ in results], "predicted": [int(s >= 0.5) for s, _ in results], "evidence": evidence}
 
     return map_texts(id_and_text(docs, id_col, text_col), run, SCHEMA)
@@ -430,8 +490,13 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` (all columns) that are not predicted toxic."""
     import pyarrow as pa
 
+    shipped = ship(docs.sparkSession, model)
+
     def run(batches):
+        model = shipped.open()
         for part, texts in chunks(batches):
             yield part.filter(pa.array([s < 0.5 for s, _ in model.scores(texts)], pa.bool_()))
+        del model
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

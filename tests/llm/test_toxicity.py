@@ -1,5 +1,7 @@
 """Toxicity: exact neighbours, held-out accuracy, awkward rows."""
 
+import mmap
+import pickle
 import random
 import zlib
 
@@ -197,3 +199,31 @@ def test_words_of_latin_texts_are_those_of_the_pattern():
     texts = ["".join(chr(rng.choice([rng.randrange(256), rng.randrange(97, 123), 32, 0x130, 0x4E2D, 0x2019][: rng.choice([3, 6])])) for _ in range(60)) for _ in range(500)]
     for t in ["", "a_b2c²d ªº µÀÿ İx", *texts]:
         assert toxicity.words(t.encode()) == toxicity._WORD.findall(t.lower())
+
+
+class Kept(toxicity.Model):
+    """A model that stays on the driver."""
+
+    def __reduce__(self):
+        raise TypeError("the model was put into a task's function")
+
+
+def test_tasks_map_the_model(spark, tables, model):
+    shipped = toxicity.ship(spark, model)
+    opened = shipped.open()
+    assert opened.terms == model.terms and len(pickle.dumps(shipped)) < 4096
+    for name in toxicity.ARRAYS:
+        a = b = getattr(opened.index, name)
+        while isinstance(b, np.ndarray):
+            b = b.base
+        assert isinstance(b, mmap.mmap) and np.array_equal(a, getattr(model.index, name))
+    texts = [(r.text or "").encode() for r in tables[0].limit(80).collect()]
+    assert list(opened.scores(texts)) == list(model.scores(texts))
+
+
+def test_the_model_is_in_no_task(tables, model):
+    docs, kept = tables[0], Kept(model.terms, model.index, model.prior, model.none_rate, model.unseen, model.curve)
+    clean = sum(s < 0.5 for s, _ in model.scores([(r.text or "").encode() for r in docs.collect()]))
+    assert toxicity.keep_clean(docs, kept).count() == clean
+    assert toxicity.score(docs, kept).where("predicted = 0").count() == clean
+    assert toxicity.keep_clean(docs, Kept([])).count() == docs.count()
