@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import chunks, id_and_text
+from tablework.llm.common import chunks, id_and_text, release_memory
 
 LONG_WORD = 32
 TASK_WORDS = 1_500_000
@@ -295,6 +295,8 @@ def _split(pattern: str):
                 ],
                 names=["doc_ids", "counts", "refs", "fresh", "long", "reset"],
             )
+        del known
+        release_memory()
 
     return run
 
@@ -354,6 +356,8 @@ def _assemble(pieces: list[bytes], with_ids: bool):
                     [row.column("doc_ids").flatten(), pa.array(np.diff(bounds)), pa.array(out["ids"], pa.binary()), pa.array(out["ids_sha256"]), pa.array(out["decoded_sha256"])],
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
+        del flat, start
+        release_memory()
 
     return run
 

@@ -83,6 +83,8 @@ def op7_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    # an executor has two Python workers a task, and Spark fills a batch for each: 4 MB of bytes (one row at least), not 64
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     out = byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
     return out.drop("ids")
 

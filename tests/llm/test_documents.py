@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tablework.llm import byte_bpe, content_sort, packing, parity_join, repetition, secret_scan, substrings
+from tablework.llm import byte_bpe, content_sort, packing, parity_join, queries, repetition, secret_scan, substrings
 from tablework.llm.components import connected_components
 import fixture as fx
 
@@ -338,6 +338,34 @@ def test_byte_bpe_round_trip(docs, pairs):
     same([(r.doc_id, bytes(r.decoded)) for r in byte_bpe.decode(encoded, path).collect()], [(i, (t or "").encode()) for i, t in pairs])
 
 
+def test_op8_gets_batches_of_few_bytes(spark, tmp_path, monkeypatch):
+    def watched(make):
+        def made(*args):
+            step = make(*args)
+
+            def run(batches):
+                def small():
+                    for b in batches:
+                        assert b.nbytes < 8 << 20
+                        yield b
+
+                return step(small())
+
+            return run
+
+        return made
+
+    monkeypatch.setattr(byte_bpe, "_split", watched(byte_bpe._split))
+    monkeypatch.setattr(byte_bpe, "_assemble", watched(byte_bpe._assemble))
+    spark.range(40).selectExpr("id AS doc_id", "repeat('some words ', 60000) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        got = queries.op8_byte_bpe(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    whole = hashlib.sha256(b"some words " * 60000).hexdigest()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and {r.decoded_sha256 for r in got} == {whole}
+
+
 def test_heap_merges_follow_the_same_rule():
     pieces = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
     number = {p: i for i, p in enumerate(pieces)}
