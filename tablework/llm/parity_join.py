@@ -66,7 +66,11 @@ PRIOR = 8
 FREQUENT_SAMPLE, FREQUENT_IN = 4096, 3
 FREQUENT_BITS = 22
 SPARE = 0.08  # cells beyond the least number, as a share of the set
-BLOCK_BYTES = 6 << 20
+#: Of a Python task: texts hashed at once (their words take about 60 times
+#: that), keys held before they are packed, and sets known to be packed.
+SLICE_BYTES = 1 << 19
+BLOCK_BYTES = 3 << 20
+SEEN_SETS = 1 << 16
 PARTITION_BYTES = 6 << 20
 KEY_MASK = np.uint64((1 << 48) - 1)
 
@@ -169,7 +173,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     sample = sample_rows(docs.select("doc_id", "text"), FREQUENT_SAMPLE)
 
     def run(batches):
-        for _, texts in chunks(batches):
+        for _, texts in chunks(batches, max_bytes=SLICE_BYTES):
             doc, token, _, set_id = _sets(texts, n)
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(set_id[doc], pa.int64()), "p": pa.array((token >> shift).astype(np.int32), pa.int32())})
 
@@ -204,7 +208,7 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(frequent, percent)
         held, size_held, seen = [], 0, set()
-        for part, texts in chunks(batches, max_bytes=1 << 20):
+        for part, texts in chunks(batches, max_bytes=SLICE_BYTES):
             doc, token, size, set_id = _sets(texts, n)
             first = np.concatenate(([0], np.cumsum(size)))
             new = np.array([bool(c) and (s not in seen) and not seen.add(s) for s, c in zip(set_id.tolist(), size.tolist(), strict=True)], bool)
@@ -221,7 +225,9 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
                 size_held += 8 * len(key)
             if size_held >= BLOCK_BYTES:
                 yield blocks(held)
-                held, size_held, seen = [], 0, set()
+                held, size_held = [], 0
+                if len(seen) > SEEN_SETS:
+                    seen = set()
         if held:
             yield blocks(held)
             held = []
@@ -230,14 +236,24 @@ def _emit(frequent: np.ndarray, n: int, percent: int, buckets: int):
     return run
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set, size) of a block, one entry per key."""
-    m = int(np.frombuffer(block, "<i8", 1)[0])
-    who, size, count = (np.frombuffer(block, "<i8", m, 8 + 8 * m * k) for k in range(3))
-    raw = np.frombuffer(block, np.uint8, offset=8 + 24 * m).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
-    return wide.view("<u8").ravel(), np.repeat(who, count), np.repeat(size, count)
+def _shared(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, set, size) of the entries whose key stands in ``blocks`` more than
+    once.  Most keys stand there once; those never get a set and a size."""
+    sets = [int(np.frombuffer(b, "<i8", 1)[0]) for b in blocks]
+    who, size, count = (np.concatenate([np.frombuffer(b, "<i8", m, 8 + 8 * m * k) for b, m in zip(blocks, sets, strict=True)]) for k in range(3))
+    ends = np.cumsum(count)
+    key, at = np.zeros(int(ends[-1]), "<u8"), 0
+    for b, m in zip(blocks, sets, strict=True):
+        raw = np.frombuffer(b, np.uint8, offset=8 + 24 * m).reshape(-1, 6)
+        key[at : at + len(raw)].view(np.uint8).reshape(-1, 8)[:, :6] = raw
+        at += len(raw)
+    order = np.argsort(key)
+    key = key[order]
+    again = np.zeros(len(key), bool)
+    np.equal(key[1:], key[:-1], out=again[1:])
+    again[:-1] |= again[1:]
+    owner = np.searchsorted(ends, order[again], "right")
+    return key[again], who[owner], size[owner]
 
 
 def group_pairs(key: np.ndarray, who: np.ndarray, size: np.ndarray, percent: int, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,8 +301,7 @@ def _match(percent: int, group: int):
             for bucket, block in zip(blocks.column("bucket").to_pylist(), blocks.column("keys").to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(block)
         for bucket in sorted(held):
-            key, who, size = (np.concatenate(x) for x in zip(*map(_unpack, held.pop(bucket)), strict=True))
-            pairs, big_key, big_who = group_pairs(key, who, size, percent, group)
+            pairs, big_key, big_who = group_pairs(*_shared(held.pop(bucket)), percent, group)
             if len(pairs):
                 yield rows(1, set_id=pairs[:, 0], other=pairs[:, 1])
             if len(big_key):
@@ -318,7 +333,7 @@ def _shingles(ids: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> Da
     texts = join_ids(docs, materialise(wanted.select("row").distinct(), "wanted-rows"), column="row")
 
     def run(batches):
-        for _, part in chunks(batches):
+        for _, part in chunks(batches, max_bytes=SLICE_BYTES):
             _, token, size, set_id = _sets(part, n)
             first = np.concatenate(([0], np.cumsum(size)))
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(set_id, pa.int64()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())})

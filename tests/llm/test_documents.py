@@ -185,6 +185,48 @@ def test_parity_join_random_sets(spark):
     assert got == {i: c if fx.shingle_set(t) else i for (i, t), c in zip(data, fx.components(data), strict=True)}
 
 
+def key_block(sets: list[tuple[int, int, list[int]]]) -> bytes:
+    """A block of (set, size, 48-bit keys), as the join packs them."""
+    head = [np.array(x, "<i8").tobytes() for x in ([len(sets)], [s for s, _, _ in sets], [n for _, n, _ in sets], [len(k) for _, _, k in sets])]
+    return b"".join([*head, *(int(x).to_bytes(6, "little") for _, _, k in sets for x in k)])
+
+
+def test_only_shared_keys_get_a_set_and_a_size():
+    rng = np.random.default_rng(3)
+    sets = [(int(s), 20 + s % 7, rng.integers(0, 400, 9).tolist()) for s in range(-30, 30)]
+    sets += sets[:2]  # a set from two tasks
+    entries = [(k, s, n) for s, n, keys in sets for k in keys]
+    often = {k for k, _, _ in entries if sum(k == x for x, _, _ in entries) > 1}
+    for cut in (1, 17, len(sets)):
+        got = parity_join._shared([key_block(part) for part in (sets[:cut], sets[cut:]) if part])
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(e for e in entries if e[0] in often)
+        assert got[0].tolist() == sorted(got[0].tolist())
+    assert [len(x) for x in parity_join._shared([key_block([(1, 2, [5])])])] == [0, 0, 0]
+
+
+def test_a_match_task_holds_little_beside_its_keys():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    m, each = 4000, 200  # no key is shared, but for the last set's, which are the first one's
+    keys = np.random.default_rng(5).permutation(m * each).reshape(m, each)
+    keys[-1] = keys[0]
+    head = [np.array([m], "<i8"), np.arange(m, dtype="<i8"), np.full(m, 300, "<i8"), np.full(m, each, "<i8")]
+    block = b"".join(x.tobytes() for x in head) + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    names = [f.split()[0] for f in parity_join.EMITTED.split(", ")]
+    row = {"bucket": pa.array([0], pa.int32()), "kind": pa.array([1], pa.int32()), "keys": pa.array([block], pa.binary())}
+    batch = pa.RecordBatch.from_pydict({c: row.get(c, pa.nulls(1, pa.binary() if c == "sketch" else pa.int64())) for c in names})
+    tracemalloc.start()
+    try:
+        out = [r for b in parity_join._match(75, 24)(iter([batch])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(r["kind"], r["set_id"], r["other"]) for r in out] == [(1, 0, m - 1)]
+    assert peak < 8 * len(block)
+
+
 def boilerplate_pages() -> list[tuple]:
     """Pages of 80 % and of 92 % common text, some of them near copies of each other."""
     import random
